@@ -7,12 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters on which Python's str.split() breaks, as a regex class. Java's plain \s
-# knows only the ASCII ones.
-WORD_BREAKS = (
-    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# Fixed value: where a text is cut into words. '!' and '.' count as blanks, next to the characters on which
+# Python's str.split() breaks: Unicode white space, which (?U)\s stands for, and four separators.
+WORD_BREAKS = r"(?U)[!.\x1c-\x1f\s]+"
 
 
 def rounded(value: Column, digits: int = 2) -> Column:
@@ -64,5 +61,5 @@ def token_array(cell: Column, sep: str = ",", keep_blank: bool = False) -> Colum
 
 
 def word_array(text: Column) -> Column:
-    """Lower-case words of a text: '!' and '.' become blanks, then the text is cut at white space."""
-    return F.split(F.translate(F.lower(text), "!.", "  "), WORD_BREAKS)
+    """Lower-case words of a text, cut at white space, '!' and '.'; may start or end with an empty one."""
+    return F.split(F.lower(text), WORD_BREAKS)

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions import clean_double
+
 MAX_PIVOT_VALUES = 1000
 
 
@@ -68,29 +70,31 @@ def correlation(df: DataFrame, columns: Sequence[str], full: bool = False) -> Da
     All pairs come from one pass. r is null where a column is constant over the pair's rows. With
     full=True the mirrored pairs and the diagonal are listed too.
     """
-    doubles = df.select(
-        *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]
+    pairs = list(combinations(columns, 2)) + [(c, c) for c in columns if full]
+    doubles = df.select(*[clean_double(F.col(c)).alias(c) for c in columns])
+    # One row per pair keeps the aggregate small however many columns there are; each task sends one row
+    # of partial moments per pair.
+    entries = [
+        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    # Null unless both spreads are positive; a plain corr would divide by zero under ANSI mode.
+    spread = F.sqrt(F.regr_sxx("y", "x") * F.regr_syy("y", "x"))
+    moments = (
+        doubles.select(F.inline(F.array(*entries)))
+        .groupBy("pair")
+        .agg((F.regr_sxy("y", "x") / F.nullif(spread, F.lit(0.0))).alias("r"))
+    )
+    first = F.array(*[F.lit(a) for a, _ in pairs])[F.col("pair")]
+    second = F.array(*[F.lit(b) for _, b in pairs])[F.col("pair")]
+    listed = moments.select(first.alias("column_a"), second.alias("column_b"), "r")
+    if not full:
+        return listed
+    mirrored = F.array(
+        F.struct("column_a", "column_b", "r"),
+        F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"),
     )
-    pairs = list(combinations(columns, 2))
-    same = [(c, c) for c in columns] if full else []
-    aggregates = []
-    for i, (a, b) in enumerate([*pairs, *same]):
-        # Null unless both spreads are positive; a plain corr would divide by zero under ANSI mode.
-        spread = F.sqrt(F.regr_sxx(b, a) * F.regr_syy(b, a))
-        r = F.try_divide(F.regr_sxy(b, a), F.nullif(spread, F.lit(0.0)))
-        aggregates.append(r.alias(f"_r{i}"))
-    rows = []
-    for i, (a, b) in enumerate([*pairs, *same]):
-        names = [(a, b), (b, a)] if full and a != b else [(a, b)]
-        for left, right in names:
-            rows.append(
-                F.struct(
-                    F.lit(left).alias("column_a"),
-                    F.lit(right).alias("column_b"),
-                    F.col(f"_r{i}").alias("r"),
-                )
-            )
-    return doubles.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return listed.select(F.inline(mirrored)).distinct()
 
 
 def won_lost(df: DataFrame, key: str, result: str, labels: Sequence[str]) -> DataFrame:

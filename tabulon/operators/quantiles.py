@@ -33,7 +33,10 @@ SMALL = 200_000  # values that one task may put in order
 
 @dataclass(frozen=True)
 class _Search:
-    """State of one wanted rank: the value lies in [low, high], rank counts from 1 over all rows."""
+    """State of one wanted rank: the value is looked for in [low, high]; ranks count from 1.
+
+    floor and ceiling, if set, are the answers when the rank lies below or above the bracket.
+    """
 
     metric: str
     rank: int
@@ -42,6 +45,8 @@ class _Search:
     expected: int = 0
     below: int = 0
     inside: int = 0
+    floor: float | None = None
+    ceiling: float | None = None
     exact_bracket: bool = False
 
     def contains(self, value: Column) -> Column:
@@ -85,24 +90,35 @@ def _measure(
 
 
 def _narrow(search: _Search, below: int, inside: int, cuts: list[float] | None) -> _Search:
-    """Next bracket of a search after its counts are known."""
+    """Next bracket of a search after its counts are known; exact_bracket marks the last one."""
+    free = replace(search, floor=None, ceiling=None)
     if search.rank <= below:
-        return replace(search, low=-math.inf, high=search.low, expected=below)
+        if search.floor is not None:
+            return replace(free, low=search.floor, high=search.floor, exact_bracket=True)
+        return replace(free, low=-math.inf, high=search.low, expected=below)
     if search.rank > below + inside:
-        return replace(search, low=search.high, high=math.inf, expected=SMALL + 1)
-    known = replace(search, below=below, inside=inside, exact_bracket=True)
+        if search.ceiling is not None:
+            return replace(free, low=search.ceiling, high=search.ceiling, exact_bracket=True)
+        return replace(free, low=search.high, high=math.inf, expected=SMALL + 1)
     if inside <= SMALL or search.low == search.high:
-        return known
+        return replace(free, below=below, inside=inside, exact_bracket=True)
     if cuts is None:
         return replace(search, expected=inside)
-    cell = int((search.rank - below) / inside * GRID)
     # Two cells to each side: far more than the error of the sketch.
-    low, high = cuts[max(0, cell - 2)], cuts[min(GRID, cell + 2)]
-    low = search.low if cell < 2 else low
-    high = search.high if cell + 2 > GRID else high
-    if (low, high) == (search.low, search.high):
-        return known
-    return replace(search, low=low, high=high, expected=inside * 5 // GRID)
+    cell = int((search.rank - below) / inside * GRID)
+    low = cuts[cell - 2] if cell >= 2 else search.low
+    high = cuts[cell + 2] if cell + 2 <= GRID else search.high
+    if (low, high) != (search.low, search.high):
+        return replace(free, low=low, high=high, expected=inside * 5 // GRID)
+    # Nearly all rows equal an end of the bracket: look between the ends.
+    return replace(
+        search,
+        low=math.nextafter(low, math.inf),
+        high=math.nextafter(high, -math.inf),
+        expected=inside,
+        floor=low,
+        ceiling=high,
+    )
 
 
 def _select(doubles: DataFrame, searches: Sequence[_Search]) -> dict[_Search, float]:

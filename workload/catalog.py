@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import token_array
 from tabulon.operators import grouping, quality, reports
+from tabulon.operators.features import with_log_columns
 from tabulon.operators.similar import recommend
+from tabulon.operators.tokens import explode_tokens
 from tabulon.plans.catalog import OUTLIER_METRICS, RANKING_COLUMNS, REQUIRED, TEXT_COLUMNS
 from tabulon.plans.clustering import feature_input
-from tabulon.operators.features import with_log_columns
 from tabulon.sources import register_views
 from workload import fixtures as fx
 from workload.fixtures import ITEMS_SQL, TOKENS_SQL, TYPED_SQL
@@ -99,9 +100,10 @@ def count_over_view(spark, folder):
 
 
 def catalog_summary(spark, folder):
+    rows = fx.kept_items(spark, folder)
     return reports.summary(
-        fx.items(spark, folder),
-        fx.item_tokens(spark, folder),
+        rows,
+        explode_tokens(rows, "genre", "genre_name"),
         token="genre_name",
         language="original_language",
         year="release_year",
@@ -115,12 +117,12 @@ def missing_values(spark, folder):
 
 
 def outlier_thresholds(spark, folder):
-    return quality.outlier_thresholds(fx.items(spark, folder), OUTLIER_METRICS)
+    return quality.outlier_thresholds(fx.kept_items(spark, folder), OUTLIER_METRICS)
 
 
 def outlier_examples(spark, folder):
     examples = quality.outlier_examples(
-        fx.items(spark, folder), OUTLIER_METRICS, ["item_id", "title", "genre"], "item_id"
+        fx.kept_items(spark, folder), OUTLIER_METRICS, ["item_id", "title", "genre"], "item_id"
     )
     return examples.withColumn("distance_from_bound", F.round("distance_from_bound", 6))
 
@@ -185,9 +187,10 @@ def top_tokens_label(spark, folder):
 
 
 def group_profile(spark, folder):
+    rows = fx.kept_items(spark, folder)
     return grouping.group_profile(
-        fx.items(spark, folder),
-        fx.item_tokens(spark, folder),
+        rows,
+        explode_tokens(rows, "genre", "genre_name"),
         "original_language",
         "genre_name",
         "vote_average",
@@ -198,7 +201,7 @@ def group_profile(spark, folder):
 
 def recommend_similar(spark, folder):
     return recommend(
-        fx.items(spark, folder),
+        fx.kept_items(spark, folder),
         PROBES,
         group="original_language",
         title="title",

@@ -7,16 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabulon.operators.standardize import ColumnSpec
 from tabulon.operators.tokens import explode_tokens
 from tabulon.plans.catalog import CatalogColumns, clean_catalog, typed_catalog
+from tabulon.sources import materialize
 
 ITEM_COLUMNS = CatalogColumns(extra=(ColumnSpec("item_id", "item_id", "raw"),), tie_breaker="item_id")
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A supplied table; its schema is looked up in the file once per session of the program."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +89,11 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     return clean_catalog(typed(spark, folder), ITEM_COLUMNS)
 
 
+def kept_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean rows written as a table, for queries that pass over them more than once."""
+    return materialize(items(spark, folder), "items")
+
+
 def item_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return explode_tokens(items(spark, folder), "genre", "genre_name")
 

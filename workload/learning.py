@@ -16,7 +16,7 @@ K = 6
 
 
 def _rows(spark, folder):
-    return feature_input(fx.items(spark, folder))
+    return feature_input(fx.kept_items(spark, folder))
 
 
 def _features(spark, folder):
@@ -30,7 +30,7 @@ def _clustered(spark, folder):
 
 
 def vocabulary(spark, folder):
-    return features.vocabulary(_rows(spark, folder), "genre_array")
+    return features.vocabulary(feature_input(fx.items(spark, folder)), "genre_array")
 
 
 def token_presence(spark, folder):

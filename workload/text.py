@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import WORD_BREAKS
 from tabulon.operators import tokens
 from workload import fixtures as fx
 
@@ -32,8 +31,13 @@ def grouped_values(spark, folder):
     )
 
 
+# White space as Python's str.split() sees it; \s of this dialect knows the ASCII characters only.
+_BREAKS = (
+    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 _WORDS_SQL = f"""with words as (
-    select doc_id, unnest(regexp_split_to_array(translate(lower(text), '!.', '  '), '{WORD_BREAKS}')) as word
+    select doc_id, unnest(regexp_split_to_array(translate(lower(text), '!.', '  '), '{_BREAKS}')) as word
     from documents),
 pairs as (select doc_id, word, 1 as one from words where length(word) > 2)
 """
