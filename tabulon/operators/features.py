@@ -26,12 +26,19 @@ def vocabulary(df: DataFrame, tokens: str, min_rows: int = MIN_ROWS) -> DataFram
     )
 
 
+def bounded_vocabulary(df: DataFrame, tokens: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The vocabulary, most frequent token first, ties by token; at most MAX_VOCABULARY tokens."""
+    return (
+        vocabulary(df, tokens, min_rows).orderBy(F.desc("row_count"), "token").limit(MAX_VOCABULARY)
+    )
+
+
 def token_presence(df: DataFrame, id_column: str, tokens: str, min_rows: int = MIN_ROWS) -> DataFrame:
     """(id, token) for each vocabulary token a row holds: the multi-hot vector in long form."""
     present = df.select(id_column, F.explode(F.array_distinct(tokens)).alias("token"))
-    return present.join(vocabulary(df, tokens, min_rows).select("token"), "token").select(
-        id_column, "token"
-    )
+    # The vocabulary is bounded, so the rows stay where they are, however frequent a token is.
+    known = F.broadcast(bounded_vocabulary(df, tokens, min_rows).select("token"))
+    return present.join(known, "token").select(id_column, "token")
 
 
 def with_log_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,14 +47,11 @@ def with_log_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vocabulary_list(df: DataFrame, tokens: str, min_rows: int = MIN_ROWS) -> list[str]:
-    """The vocabulary, most frequent token first, ties by token; at most MAX_VOCABULARY tokens.
+    """The bounded vocabulary in its order.
 
     The fixed order makes vector positions independent of how the input is partitioned.
     """
-    ranked = (
-        vocabulary(df, tokens, min_rows).orderBy(F.desc("row_count"), "token").limit(MAX_VOCABULARY)
-    )
-    return [row["token"] for row in ranked.collect()]
+    return [row["token"] for row in bounded_vocabulary(df, tokens, min_rows).collect()]
 
 
 def fit_scaler(df: DataFrame, numerics: Sequence[str]) -> PipelineModel:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,14 @@ def top_rows(
     return ranked.select(*columns) if columns else ranked
 
 
+def stack_by_name(frames: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:
+    """Rows of all frames, duplicates kept, matched by column name whatever their order.
+
+    With allow_missing a column that a frame lacks is null in its rows.
+    """
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
+
+
 def outside_range(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     return df.where((F.col(value) < low) | (F.col(value) > high))
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.operators.reports import stack_by_name
 from tabulon.sources.shared import new_path
 
 MAX_REPORT_ROWS = 1_000_000
@@ -32,7 +32,6 @@ def read_delimited(
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .option("lineSep", "\n")
     )
     if columns is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -46,7 +45,7 @@ def read_many(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame
     if not paths:
         raise ValueError("no paths given")
     frames = [read_delimited(spark, path, **options) for path in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stack_by_name(frames, allow_missing=True)
 
 
 def literal_table(

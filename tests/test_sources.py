@@ -22,6 +22,15 @@ def test_quoted_cells_read_as_one_row(spark, tmp_path):
     assert rows == [("1", 'A "q" title'), ("2", "line1\nline2, x"), ("3", None)]
 
 
+def test_windows_line_ends(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_bytes(b'a,b\r\n1,"x\r\ny"\r\n2,z\r\n')
+    df = read_delimited(spark, str(path))
+    assert df.columns == ["a", "b"]
+    # A file's own kind of line end is read as \n, inside cells too.
+    assert [tuple(r) for r in df.collect()] == [("1", "x\ny"), ("2", "z")]
+
+
 def test_every_column_is_text_and_a_surplus_field_is_dropped(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("a,b\n1,2\n3,4,5\n", encoding="utf-8")

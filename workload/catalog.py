@@ -216,7 +216,7 @@ def union_by_name(spark, folder):
     rows = fx.items(spark, folder)
     early = rows.where(F.col("decade") == 1990).select("item_id", "title", "vote_average")
     late = rows.where(F.col("decade") == 2000).select("vote_average", "item_id", "title")
-    return early.unionByName(late)
+    return reports.stack_by_name([early, late])
 
 
 STATS_SQL = f"""stats as (
