@@ -20,15 +20,20 @@ SEARCH_ITERATIONS = 20
 FINAL_ITERATIONS = 50
 K_MIN, K_MAX = 5, 14
 
+ROWS_PER_PARTITION = 200_000
+
 
 def stable_layout(df: DataFrame, id_column: str, partitions: int | None = None) -> DataFrame:
     """The same rows in a partitioning that depends on the ids only.
 
     KMeans starts from a sample that follows the layout of its input, so equal layouts give equal labels
-    whatever files or partitions the rows came from.
+    whatever files or partitions the rows came from. Unless given, the number of partitions grows with the
+    rows, so that one partition of vectors fits beside the others of its executor.
     """
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, id_column).sortWithinPartitions(id_column)
+    if partitions is None:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(least, -(-df.count() // ROWS_PER_PARTITION))
+    return df.repartition(partitions, id_column).sortWithinPartitions(id_column)
 
 
 @contextmanager

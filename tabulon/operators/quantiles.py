@@ -4,9 +4,10 @@ Spark's exact percentile keeps every distinct value of a column in one task. Her
 returns a few numbers per quantile, and the next pass looks only at a narrower bracket of values:
 
 * a mergeable KLL sketch gives a first bracket around each quantile (about 1 % of the rows);
-* exact counts below and inside the bracket tell which rank inside it is wanted, and a sketch of the
-  inside values gives the next, narrower bracket;
-* once a bracket holds at most SMALL values, these are counted per value and put in order.
+* exact counts below, at the ends of and inside the bracket tell whether an end is the answer, and if not,
+  which rank inside is wanted;
+* while a bracket holds more than SMALL rows, a sketch of its rows gives the next, narrower one;
+* the rows of small brackets are counted per value and put in order.
 
 Sketches only choose where to look. Ranks come from exact counts, and a bracket that misses its rank is
 replaced by the side that holds it, so the result is always the exact order statistic.
@@ -28,29 +29,33 @@ from tabulon.functions import clean_double
 SKETCH_SIZE = 2000  # rank error about 0.0014 at 99 %
 MARGIN = 0.005  # half width of the first bracket, over three times that error
 GRID = 200  # cut points read from the sketch of a bracket
-SMALL = 200_000  # values that one task may put in order
+SMALL = 1_000_000  # values that one task may put in order
 
 
 @dataclass(frozen=True)
 class _Search:
-    """State of one wanted rank: the value is looked for in [low, high]; ranks count from 1.
-
-    floor and ceiling, if set, are the answers when the rank lies below or above the bracket.
-    """
+    """State of one wanted rank: the value is looked for in [low, high]; ranks count from 1."""
 
     metric: str
     rank: int
     low: float = -math.inf
     high: float = math.inf
-    expected: int = 0
     below: int = 0
     inside: int = 0
-    floor: float | None = None
-    ceiling: float | None = None
-    exact_bracket: bool = False
 
-    def contains(self, value: Column) -> Column:
-        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+    @property
+    def bracket(self) -> tuple[str, float, float]:
+        return self.metric, self.low, self.high
+
+
+def _inside(bracket: tuple[str, float, float]) -> Column:
+    metric, low, high = bracket
+    return (F.col(metric) >= F.lit(low)) & (F.col(metric) <= F.lit(high))
+
+
+def _brackets(searches: Sequence[_Search]) -> list[tuple[str, float, float]]:
+    """The distinct brackets; neighbouring ranks of one quantile share theirs."""
+    return list(dict.fromkeys(s.bracket for s in searches))
 
 
 def _grid(sketch: Column, size: Column, ranks: Sequence[float]) -> Column:
@@ -66,65 +71,99 @@ def _ranks(n: int, p: float, linear: bool) -> tuple[int, int, float]:
     return math.floor(position) + 1, math.ceil(position) + 1, position - math.floor(position)
 
 
-def _measure(
-    doubles: DataFrame, searches: Sequence[_Search]
-) -> list[tuple[int, int, list[float] | None]]:
-    """One pass: rows below and inside every bracket, with cut points where the bracket is still large."""
-    cut_ranks = [i / GRID for i in range(GRID + 1)]
+def _counts(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple, tuple[int, int, int, int]]:
+    """One pass: rows below, at the low end of, inside and at the high end of each bracket."""
+    brackets = _brackets(searches)
     aggregates = []
-    # Neighbouring ranks of one quantile share their bracket.
-    brackets = {(s.metric, s.low, s.high): s for s in searches}
-    for i, search in enumerate(brackets.values()):
-        value = F.col(search.metric)
-        inside = F.when(search.contains(value), value)
-        aggregates.append(F.count_if(value < F.lit(search.low)).alias(f"below{i}"))
-        aggregates.append(F.count(inside).alias(f"inside{i}"))
-        if search.expected > SMALL and search.low < search.high:
-            sketch = F.kll_sketch_agg_double(inside, F.lit(SKETCH_SIZE))
-            aggregates.append(_grid(sketch, F.count(inside), cut_ranks).alias(f"cuts{i}"))
-    row = doubles.agg(*aggregates).first().asDict()
-    measured = {
-        key: (row[f"below{i}"], row[f"inside{i}"], row.get(f"cuts{i}")) for i, key in enumerate(brackets)
+    for i, (metric, low, high) in enumerate(brackets):
+        value = F.col(metric)
+        aggregates += [
+            F.count_if(value < F.lit(low)).alias(f"below{i}"),
+            F.count_if(value == F.lit(low)).alias(f"low{i}"),
+            F.count_if((value > F.lit(low)) & (value < F.lit(high))).alias(f"inside{i}"),
+            F.count_if((value == F.lit(high)) & F.lit(low < high)).alias(f"high{i}"),
+        ]
+    row = doubles.agg(*aggregates).first()
+    return {
+        bracket: (row[f"below{i}"], row[f"low{i}"], row[f"inside{i}"], row[f"high{i}"])
+        for i, bracket in enumerate(brackets)
     }
-    return [measured[s.metric, s.low, s.high] for s in searches]
 
 
-def _narrow(search: _Search, below: int, inside: int, cuts: list[float] | None) -> _Search:
-    """Next bracket of a search after its counts are known; exact_bracket marks the last one."""
-    free = replace(search, floor=None, ceiling=None)
+def _cut_points(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple, list[float]]:
+    """One pass over the bracketed rows: evenly spaced quantiles of the values of each bracket."""
+    brackets = _brackets(searches)
+    cut_ranks = [i / GRID for i in range(GRID + 1)]
+    aggregates = []
+    for i, bracket in enumerate(brackets):
+        value = F.when(_inside(bracket), F.col(bracket[0]))
+        sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
+        aggregates.append(_grid(sketch, F.count(value), cut_ranks).alias(f"cuts{i}"))
+    row = doubles.where(reduce(or_, map(_inside, brackets))).agg(*aggregates).first()
+    return {bracket: row[f"cuts{i}"] for i, bracket in enumerate(brackets)}
+
+
+def _after_counts(search: _Search, below: int, at_low: int, inside: int, at_high: int) -> _Search | float:
+    """The value, if an end of the bracket is it, or the search in the part that holds the rank."""
+    low, high = search.low, search.high
     if search.rank <= below:
-        if search.floor is not None:
-            return replace(free, low=search.floor, high=search.floor, exact_bracket=True)
-        return replace(free, low=-math.inf, high=search.low, expected=below)
-    if search.rank > below + inside:
-        if search.ceiling is not None:
-            return replace(free, low=search.ceiling, high=search.ceiling, exact_bracket=True)
-        return replace(free, low=search.high, high=math.inf, expected=SMALL + 1)
-    if inside <= SMALL or search.low == search.high:
-        return replace(free, below=below, inside=inside, exact_bracket=True)
-    if cuts is None:
-        return replace(search, expected=inside)
-    # Two cells to each side: far more than the error of the sketch.
-    cell = int((search.rank - below) / inside * GRID)
-    low = cuts[cell - 2] if cell >= 2 else search.low
-    high = cuts[cell + 2] if cell + 2 <= GRID else search.high
-    if (low, high) != (search.low, search.high):
-        return replace(free, low=low, high=high, expected=inside * 5 // GRID)
-    # Nearly all rows equal an end of the bracket: look between the ends.
+        return replace(search, low=-math.inf, high=math.nextafter(low, -math.inf), inside=0)
+    if search.rank <= below + at_low:
+        return low
+    if search.rank <= below + at_low + inside:
+        return replace(
+            search,
+            low=math.nextafter(low, math.inf),
+            high=math.nextafter(high, -math.inf),
+            below=below + at_low,
+            inside=inside,
+        )
+    if search.rank <= below + at_low + inside + at_high:
+        return high
+    return replace(search, low=math.nextafter(high, math.inf), high=math.inf, inside=0)
+
+
+def _narrowed(search: _Search, cuts: list[float]) -> _Search:
+    """The search between the cut points around its rank, two cells to each side.
+
+    That is far more than the error of the sketch; a miss would only cost a further pass.
+    """
+    cell = int((search.rank - search.below) / search.inside * GRID)
     return replace(
         search,
-        low=math.nextafter(low, math.inf),
-        high=math.nextafter(high, -math.inf),
-        expected=inside,
-        floor=low,
-        ceiling=high,
+        low=cuts[cell - 2] if cell >= 2 else search.low,
+        high=cuts[cell + 2] if cell + 2 <= GRID else search.high,
+        inside=0,
     )
 
 
+def _order_statistics(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple[str, int], float]:
+    values: dict[tuple[str, int], float] = {}
+    # Counts of a bracket are known once inside is set.
+    small = [s for s in searches if 0 < s.inside <= SMALL]
+    open_searches = [s for s in searches if not 0 < s.inside <= SMALL]
+    while open_searches:
+        counts = _counts(doubles, open_searches)
+        large, unknown = [], []
+        for search in open_searches:
+            found = _after_counts(search, *counts[search.bracket])
+            if isinstance(found, float):
+                values[search.metric, search.rank] = found
+            elif found.inside == 0:
+                unknown.append(found)
+            else:
+                (small if found.inside <= SMALL else large).append(found)
+        cuts = _cut_points(doubles, large) if large else {}
+        open_searches = unknown + [_narrowed(s, cuts[s.bracket]) for s in large]
+    if small:
+        values |= {(s.metric, s.rank): value for s, value in _select(doubles, small).items()}
+    return values
+
+
 def _select(doubles: DataFrame, searches: Sequence[_Search]) -> dict[_Search, float]:
     """Values of searches whose bracket is small, from one pass over the bracketed rows."""
-    brackets = list({(s.metric, s.low, s.high): s for s in searches})
-    inside = [(F.col(m) >= F.lit(low)) & (F.col(m) <= F.lit(high)) for m, low, high in brackets]
+    brackets = _brackets(searches)
+    inside = [_inside(bracket) for bracket in brackets]
     entries = [
         F.when(inside[i], F.struct(F.lit(i).alias("bracket"), F.col(metric).alias("value")))
         for i, (metric, _, _) in enumerate(brackets)
@@ -141,7 +180,7 @@ def _select(doubles: DataFrame, searches: Sequence[_Search]) -> dict[_Search, fl
     reached = F.sum("rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     wanted = [
         F.when(
-            (F.col("bracket") == brackets.index((s.metric, s.low, s.high)))
+            (F.col("bracket") == brackets.index(s.bracket))
             & (F.col("reached") >= s.rank - s.below)
             & (F.col("reached") - F.col("rows") < s.rank - s.below),
             F.struct(F.lit(i).alias("search"), F.col("value")),
@@ -157,27 +196,6 @@ def _select(doubles: DataFrame, searches: Sequence[_Search]) -> dict[_Search, fl
     return {searches[row["search"]]: row["value"] for row in found}
 
 
-def _order_statistics(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple[str, int], float]:
-    done: list[_Search] = []
-    values: dict[tuple[str, int], float] = {}
-    open_searches = list(searches)
-    while open_searches:
-        still_open = []
-        for search, measured in zip(open_searches, _measure(doubles, open_searches), strict=True):
-            narrowed = _narrow(search, *measured)
-            if not narrowed.exact_bracket:
-                still_open.append(narrowed)
-            elif narrowed.low == narrowed.high:
-                values[narrowed.metric, narrowed.rank] = narrowed.low
-            else:
-                done.append(narrowed)
-        open_searches = still_open
-    if done:
-        for search, value in _select(doubles, done).items():
-            values[search.metric, search.rank] = value
-    return values
-
-
 def quantiles(
     df: DataFrame,
     metrics: Sequence[str],
@@ -215,24 +233,18 @@ def quantiles(
         for j, p in enumerate(probs):
             if n == 0:
                 continue
-            low_rank, high_rank, weight = _ranks(n, p, linear)
-            plan[metric, p] = (low_rank, high_rank, weight)
+            plan[metric, p] = _ranks(n, p, linear)
             if n <= SMALL:
-                bracket = {"inside": n, "exact_bracket": True}
+                bracket = {"inside": n}
             else:
+                ends = first[f"q_{metric}"][2 * j : 2 * j + 2]
                 bracket = {
-                    "low": first[f"q_{metric}"][2 * j] if p > MARGIN else -math.inf,
-                    "high": first[f"q_{metric}"][2 * j + 1] if p < 1 - MARGIN else math.inf,
-                    "expected": int(2 * MARGIN * n),
+                    "low": ends[0] if p > MARGIN else -math.inf,
+                    "high": ends[1] if p < 1 - MARGIN else math.inf,
                 }
-            for rank in {low_rank, high_rank}:
+            for rank in plan[metric, p][:2]:
                 searches.setdefault((metric, rank), _Search(metric, rank, **bracket))
-
-    small = [s for s in searches.values() if s.exact_bracket]
-    large = [s for s in searches.values() if not s.exact_bracket]
-    values = _order_statistics(doubles, large) if large else {}
-    if small:
-        values |= {(s.metric, s.rank): v for s, v in _select(doubles, small).items()}
+    values = _order_statistics(doubles, list(searches.values())) if searches else {}
 
     result: dict[tuple[str, float], float | None] = {}
     for metric in metrics:
