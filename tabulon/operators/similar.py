@@ -35,30 +35,33 @@ def recommend(
     Titles match in any case; the row with the smallest id decides the group, every row with the same title
     is left out, an unknown title gives no rows, and equal rows are ordered by id.
 
-    The candidates of a group are bounded without losing a result. At most n rows of one probed title can
+    Only groups that hold a probe are looked at, and their candidates are bounded without losing a result. At most n rows of one probed title can
     appear in any list, so rows are first cut to n per (group, probed title), rows of all other titles
     counting as one. The best 2n of those per group then hold, for every probe, n rows besides its own.
     Both cuts happen before the shuffle as well, and the join with the probes sees 2n rows per group.
     """
     probes = probe_frame(df, titles)
+    few = len(titles) <= MAX_BROADCAST_PROBES
     folded_rows = df.withColumn("_folded", F.lower(F.col(title)))
     homes = (
         folded_rows.join(probes, F.col("_folded") == F.col("folded"))
         .groupBy("probe", "folded")
         .agg(F.min_by(group, id_column).alias("_home"))
     )
+    wanted_groups = homes.select("_home").distinct()
+    probed_titles = probes.select(F.col("folded").alias("_probed")).distinct()
+    if few:
+        wanted_groups, probed_titles = F.broadcast(wanted_groups), F.broadcast(probed_titles)
 
     best_first = [F.desc(c) for c in order] + [F.asc(id_column)]
-    wanted = list(dict.fromkeys([*output, group, id_column, *order]))
-    probed = probes.select(F.col("folded").alias("_probed")).distinct()
-    if len(titles) <= MAX_BROADCAST_PROBES:
-        probed = F.broadcast(probed)
+    columns = list(dict.fromkeys([*output, group, id_column, *order]))
     per_title = Window.partitionBy(group, "_probed").orderBy(*best_first)
     per_group = Window.partitionBy(group).orderBy(*best_first)
     candidates = (
-        folded_rows.select(*wanted, "_folded")
-        .where(F.col(group).isNotNull() & F.col("_folded").isNotNull())
-        .join(probed, F.col("_folded") == F.col("_probed"), "left")
+        folded_rows.select(*columns, "_folded")
+        .where(F.col("_folded").isNotNull())
+        .join(wanted_groups, F.col(group) == F.col("_home"), "left_semi")
+        .join(probed_titles, F.col("_folded") == F.col("_probed"), "left")
         .withColumn("_n", F.row_number().over(per_title))
         .where(F.col("_n") <= n)
         .withColumn("_n", F.row_number().over(per_group))

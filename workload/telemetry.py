@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import map_values as mapped
 from tabulon.operators import matrix, profiles, quality, reports
-from tabulon.plans.telemetry import DURATION_BAND, RESULT_LABELS
+from tabulon.plans.telemetry import DURATION_BAND, RESULT_LABELS, telemetry_report
 from tabulon.sources import literal_table as literal
 from workload import fixtures as fx
 from workload.fixtures import ROUNDS_SQL
@@ -144,6 +144,37 @@ def distinct_values(spark, folder):
     return quality.distinct_values(fx.rounds(spark, folder), DISTINCT)
 
 
+def telemetry_job(spark, folder):
+    """The exploration as a whole: its count results stacked."""
+    found = telemetry_report(
+        fx.rounds(spark, folder),
+        share_reasons=["1-URGENT"],
+        paired_reasons=["1-URGENT", "5-LOW"],
+        reasons=REASONS,
+    )
+
+    def counts(name: str, *keys: str, count: str = "row_count"):
+        return found[name].select(
+            F.lit(name).alias("report"),
+            F.concat_ws("|", *keys).alias("key"),
+            F.col(count).cast("bigint").alias("row_count"),
+        )
+
+    return reports.stack_by_name(
+        [
+            counts("count_by_mode_and_map", "gamemode", "mapname"),
+            counts("count_by_mode_and_role", "gamemode", "winrole"),
+            counts("picks_by_operator", "operator"),
+            counts("weapon_types", "primaryweapontype"),
+            counts("kills_by_weapons", "primaryweapon", "secondaryweapon", count="kills"),
+            counts("won_lost_by_rank", "skillrank", count="Won"),
+            counts("objective_by_reason", "objectivelocation", count="3-MEDIUM"),
+            counts("null_counts", "column_name", count="null_count"),
+            counts("top_objectives_1-URGENT", "objectivelocation"),
+        ]
+    )
+
+
 _rounds = f"with {ROUNDS_SQL}\n"
 
 
@@ -295,4 +326,35 @@ from (select {c} as v, count(*) as n from rounds where {c} is not null group by
             f"select '{c}' as column_name, cast({c} as varchar) as value from rounds" for c in DISTINCT
         ),
     ),
+    "telemetry_job": (
+        telemetry_job,
+        _rounds
+        + "\nunion all\n".join(
+            [
+                f"select '{report}' as report, {key} as key, cast({count} as bigint) as row_count"
+                f" from rounds group by {key}"
+                for report, key, count in [
+                    ("count_by_mode_and_map", "gamemode || '|' || mapname", "count(*)"),
+                    ("count_by_mode_and_role", "gamemode || '|' || winrole", "count(*)"),
+                    ("picks_by_operator", "operator", "count(*)"),
+                    ("weapon_types", "primaryweapontype", "count(*)"),
+                    ("kills_by_weapons", "primaryweapon || '|' || secondaryweapon", "sum(nbkills)"),
+                    ("won_lost_by_rank", "skillrank", "sum(haswon)"),
+                    (
+                        "objective_by_reason",
+                        "objectivelocation",
+                        "count(*) filter (where endroundreason = '3-MEDIUM')",
+                    ),
+                ]
+            ]
+            + [
+                f"select 'null_counts', '{c}', count(*) - count({c}) from rounds"
+                for c in [*_ROUND_COLUMNS, "operator"]
+            ]
+        )
+        + """
+union all select 'top_objectives_1-URGENT', objectivelocation, n from (
+    select objectivelocation, count(*) filter (where endroundreason = '1-URGENT') as n
+    from rounds group by objectivelocation order by n desc, objectivelocation limit 5)""",
+    ),
 }
