@@ -98,11 +98,22 @@ def fit_features(
 
 
 def features_long(df: DataFrame, id_column: str, model: FeatureModel) -> DataFrame:
-    """(id, dim, value) of the non-zero entries of each feature vector, dim being the position's name."""
-    names = F.array(*[F.lit(name) for name in model.names])
+    """(id, dim, value) of the non-zero entries of each feature vector, dim being the position's name.
+
+    A sparse vector is read from its stored entries, so the cost follows the tokens a row has and not the
+    size of the vocabulary. The names are as many as the bounded vocabulary and are broadcast.
+    """
+    spark = df.sparkSession
+    names = spark.createDataFrame(list(enumerate(model.names)), "position int, dim string")
+    stored = F.unwrap_udt("features")
+    positions = F.coalesce(
+        stored["indices"], F.sequence(F.lit(0), F.size(stored["values"]) - 1)
+    )
+    entries = F.arrays_zip(positions.alias("position"), stored["values"].alias("value"))
     return (
         model.transform(df)
-        .select(id_column, F.posexplode(vector_to_array("features")).alias("_pos", "value"))
+        .select(id_column, F.inline(entries))
         .where(F.col("value") != 0.0)
-        .select(id_column, F.element_at(names, F.col("_pos") + 1).alias("dim"), "value")
+        .join(F.broadcast(names), "position")
+        .select(id_column, "dim", "value")
     )

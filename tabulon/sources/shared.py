@@ -39,7 +39,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read them from there.
 
     Later reports read only the columns they need, with filters pushed into the scan, and a lost executor
-    costs a re-read instead of a recomputation from the source.
+    costs a re-read instead of a recomputation from the source. The table stays in the folder, since frames
+    built on it may be read at any later time; clean the folder as you would after checkpoints.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
