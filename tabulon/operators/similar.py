@@ -35,10 +35,11 @@ def recommend(
     Titles match in any case; the row with the smallest id decides the group, every row with the same title
     is left out, an unknown title gives no rows, and equal rows are ordered by id.
 
-    Only groups that hold a probe are looked at, and their candidates are bounded without losing a result. At most n rows of one probed title can
-    appear in any list, so rows are first cut to n per (group, probed title), rows of all other titles
-    counting as one. The best 2n of those per group then hold, for every probe, n rows besides its own.
-    Both cuts happen before the shuffle as well, and the join with the probes sees 2n rows per group.
+    Only groups that hold a probe are looked at, and their candidates are bounded without losing a result:
+    no list uses more than n rows of one probed title, so rows are first cut to n per (group, probed title),
+    with the rows of all other titles taken together. Of what is left, the best 2n per group hold, for every
+    probe, n rows besides its own at most n. Both cuts are made before the shuffle as well, and the join
+    with the probes sees 2n rows per group.
     """
     probes = probe_frame(df, titles)
     few = len(titles) <= MAX_BROADCAST_PROBES
