@@ -53,7 +53,7 @@ def _repeat_words(words: Column) -> Column:
         ),
     ).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
     places = let(
-        F.array_sort(windows),
+        F.sort_array(windows),
         lambda s: F.filter(
             F.transform(
                 s,
@@ -65,7 +65,7 @@ def _repeat_words(words: Column) -> Column:
         ),
     )
     covered = let(
-        F.array_sort(places),
+        F.sort_array(places),
         lambda p: F.aggregate(
             F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW)))),
             F.lit(0).cast("bigint"),
