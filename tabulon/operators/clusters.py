@@ -19,20 +19,20 @@ SEED = 42
 SEARCH_ITERATIONS = 20
 FINAL_ITERATIONS = 50
 K_MIN, K_MAX = 5, 14
+# Spark's own limit of a covariance matrix.
+MAX_COVARIANCE = 65_535
 
-ROWS_PER_PARTITION = 200_000
+# Layout of a fit unless the caller gives another; labels depend on it and on the ids, on nothing else.
+PARTITIONS = 32
 
 
-def stable_layout(df: DataFrame, id_column: str, partitions: int | None = None) -> DataFrame:
+def stable_layout(df: DataFrame, id_column: str, partitions: int = PARTITIONS) -> DataFrame:
     """The same rows in a partitioning that depends on the ids only.
 
     KMeans starts from a sample that follows the layout of its input, so equal layouts give equal labels
-    whatever files or partitions the rows came from. Unless given, the number of partitions grows with the
-    rows, so that one partition of vectors fits beside the others of its executor.
+    whatever files or partitions the rows came from and whatever the session is set to. The number of partitions
+    is part of the fit: give about one per 200,000 rows for large tables, and the same one to repeat a fit.
     """
-    if partitions is None:
-        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(least, -(-df.count() // ROWS_PER_PARTITION))
     return df.repartition(partitions, id_column).sortWithinPartitions(id_column)
 
 
@@ -69,7 +69,7 @@ def fit_kmeans(
     k: int,
     max_iter: int = FINAL_ITERATIONS,
     seed: int = SEED,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> KMeansModel:
     """Fit on the vector column features; the rows are read once and kept for the iterations."""
     laid_out = stable_layout(features.select(id_column, "features"), id_column, partitions)
@@ -113,7 +113,7 @@ def search_k(
     seed: int = SEED,
     max_iter: int = SEARCH_ITERATIONS,
     parallelism: int = 4,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> DataFrame:
     """(k, silhouette) for each k, scores rounded to four digits.
 
@@ -146,9 +146,12 @@ def best_k(scores: DataFrame) -> int:
 def project_2d(features: DataFrame, keep: Sequence[str] = ("cluster",)) -> DataFrame:
     """The kept columns and x, y: the two main components of the feature vectors.
 
-    Stays distributed; only the covariance matrix (dimensions squared) is held by the driver. The sign of
-    each component is fixed so that its largest loading is positive.
+    Stays distributed; only the covariance matrix (dimensions squared) is held by the driver, for which Spark
+    takes at most 65,535 dimensions. The sign of each component is fixed so that its largest loading is positive.
     """
+    first = features.select("features").first()
+    if first is not None and first["features"].size > MAX_COVARIANCE:
+        raise ValueError(f"Spark's covariance takes at most {MAX_COVARIANCE} dimensions, not {first['features'].size}")
     model = PCA(k=2, inputCol="features", outputCol="_projected").fit(features)
     loadings = model.pc.toArray()
     signs = [1.0 if abs(column.max()) >= abs(column.min()) else -1.0 for column in loadings.T]

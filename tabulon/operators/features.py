@@ -11,9 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A token counts from this many rows on; the vocabulary bound is CountVectorizer's own.
+# Fixed value: a token counts from this many rows on.
 MIN_ROWS = 2
-MAX_VOCABULARY = 1 << 18
 
 
 def vocabulary(df: DataFrame, tokens: str, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -26,18 +25,10 @@ def vocabulary(df: DataFrame, tokens: str, min_rows: int = MIN_ROWS) -> DataFram
     )
 
 
-def bounded_vocabulary(df: DataFrame, tokens: str, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The vocabulary, most frequent token first, ties by token; at most MAX_VOCABULARY tokens."""
-    return (
-        vocabulary(df, tokens, min_rows).orderBy(F.desc("row_count"), "token").limit(MAX_VOCABULARY)
-    )
-
-
 def token_presence(df: DataFrame, id_column: str, tokens: str, min_rows: int = MIN_ROWS) -> DataFrame:
     """(id, token) for each vocabulary token a row holds: the multi-hot vector in long form."""
     present = df.select(id_column, F.explode(F.array_distinct(tokens)).alias("token"))
-    # The vocabulary is bounded, so the rows stay where they are, however frequent a token is.
-    known = F.broadcast(bounded_vocabulary(df, tokens, min_rows).select("token"))
+    known = vocabulary(df, tokens, min_rows).select("token")
     return present.join(known, "token").select(id_column, "token")
 
 
@@ -47,11 +38,13 @@ def with_log_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vocabulary_list(df: DataFrame, tokens: str, min_rows: int = MIN_ROWS) -> list[str]:
-    """The bounded vocabulary in its order.
+    """The whole vocabulary, most frequent token first, ties by token.
 
-    The fixed order makes vector positions independent of how the input is partitioned.
+    It is the dimension of the model, whose centers the driver holds anyway, so it has to fit there. The fixed
+    order makes vector positions independent of how the input is partitioned.
     """
-    return [row["token"] for row in bounded_vocabulary(df, tokens, min_rows).collect()]
+    ordered = vocabulary(df, tokens, min_rows).orderBy(F.desc("row_count"), "token")
+    return [row["token"] for row in ordered.collect()]
 
 
 def fit_scaler(df: DataFrame, numerics: Sequence[str]) -> PipelineModel:
@@ -101,7 +94,7 @@ def features_long(df: DataFrame, id_column: str, model: FeatureModel) -> DataFra
     """(id, dim, value) of the non-zero entries of each feature vector, dim being the position's name.
 
     A sparse vector is read from its stored entries, so the cost follows the tokens a row has and not the
-    size of the vocabulary. The names are as many as the bounded vocabulary and are broadcast.
+    size of the vocabulary.
     """
     spark = df.sparkSession
     names = spark.createDataFrame(list(enumerate(model.names)), "position int, dim string")
@@ -114,6 +107,6 @@ def features_long(df: DataFrame, id_column: str, model: FeatureModel) -> DataFra
         model.transform(df)
         .select(id_column, F.inline(entries))
         .where(F.col("value") != 0.0)
-        .join(F.broadcast(names), "position")
+        .join(names, "position")
         .select(id_column, "dim", "value")
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import rounded
+from tabulon.operators.ranks import first_rows
 
 
 def group_stats(df: DataFrame, group: str, vote: str, popularity: str, year: str) -> DataFrame:
@@ -26,15 +27,10 @@ def token_counts(tokens: DataFrame, group: str, token: str) -> DataFrame:
 def top_tokens_per_group(tokens: DataFrame, group: str, token: str, n: int = 3) -> DataFrame:
     """The n most frequent tokens of each group, ties by token.
 
-    Rows are counted with partial sums first; the rank filter then keeps n rows per group in each task
-    before the counts are brought together, so a hot group never lands in one task as a whole.
+    Rows are counted with partial sums first; the counts of a hot group are then ranked in parts.
     """
-    order = Window.partitionBy(group).orderBy(F.desc("token_count"), token)
-    return (
-        token_counts(tokens, group, token)
-        .withColumn("token_rank", F.row_number().over(order))
-        .where(F.col("token_rank") <= n)
-    )
+    counts = token_counts(tokens, group, token)
+    return first_rows(counts, [group], [F.desc("token_count"), F.asc(token)], token, n, "token_rank")
 
 
 def top_tokens_label(

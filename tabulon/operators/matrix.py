@@ -10,21 +10,16 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import clean_double
 
-MAX_PIVOT_VALUES = 1000
-
 
 def pivot_values(df: DataFrame, column: str) -> list:
-    """The sorted values of a column that becomes a header; runs a job and refuses wide results."""
-    rows = (
-        df.where(F.col(column).isNotNull())
-        .select(column)
-        .distinct()
-        .limit(MAX_PIVOT_VALUES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_PIVOT_VALUES:
-        raise ValueError(f"column {column!r} has more than {MAX_PIVOT_VALUES} values to pivot on")
-    return sorted(row[0] for row in rows)
+    """The sorted values of a column that becomes a header; runs a job. Each becomes a column, so the caller
+    chooses the wide form where they are few and crosstab_long where they are many."""
+    return sorted(row[0] for row in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
+
+
+def crosstab_long(df: DataFrame, row: str, column: str) -> DataFrame:
+    """(row, column, row_count) of the pairs that occur, for any number of values on either side."""
+    return df.dropna(subset=[row, column]).groupBy(row, column).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:

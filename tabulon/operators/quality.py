@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions import is_missing, rounded
+from tabulon.functions import clean_double, is_missing, rounded
 from tabulon.operators.quantiles import quantiles
+from tabulon.operators.ranks import first_rows
 
 # Fixed values of the outlier reports.
 IQR_FACTOR = 1.5
@@ -24,10 +25,10 @@ def missing_values(
     required maps a column to the reason why it matters. Blank cells of text_columns count as missing.
     All columns are counted in one pass; the single result row is then turned into report rows.
     """
-    counts = []
+    counts, types = [], dict(df.dtypes)
     for i, name in enumerate(required):
         cell = F.col(name)
-        missing = cell.isNull()
+        missing = is_missing(cell, types[name])
         if name in text_columns:
             missing = missing | (F.trim(cell) == "")
         counts.append(F.count_if(missing).alias(f"_missing{i}"))
@@ -95,7 +96,7 @@ def outlier_thresholds(
     """
     bounds = bounds or iqr_bounds(df, list(metrics))
     counts = [
-        F.count_if(bounds[metric].crossed_by(F.col(metric))).alias(f"_outliers{i}")
+        F.count_if(bounds[metric].crossed_by(clean_double(F.col(metric)))).alias(f"_outliers{i}")
         for i, metric in enumerate(metrics)
     ]
     rows = [
@@ -125,13 +126,12 @@ def outlier_examples(
 ) -> DataFrame:
     """The n outliers of each metric that lie farthest from the crossed bound.
 
-    One pass for all metrics: a row yields an entry for each metric it is an outlier of, and only the
-    best n entries of each task reach the shuffle (the rank filter is applied before it as well).
+    One pass for all metrics: a row yields an entry for each metric it is an outlier of. NaN is missing and no outlier.
     """
     bounds = bounds or iqr_bounds(df, list(metrics))
     entries = []
     for metric, reason in metrics.items():
-        limits, value = bounds[metric], F.col(metric).cast("double")
+        limits, value = bounds[metric], clean_double(F.col(metric))
         is_low = value < F.lit(limits.low)
         entry = F.struct(
             F.lit(metric).alias("metric"),
@@ -145,23 +145,18 @@ def outlier_examples(
             F.lit(reason).alias("why_outlier"),
         )
         entries.append(F.when(limits.crossed_by(value), entry))
-    farthest_first = Window.partitionBy("metric").orderBy(F.desc("distance_from_bound"), tie_breaker)
+    farthest_first = [F.desc("distance_from_bound"), F.asc(tie_breaker)]
     columns = list(dict.fromkeys([*keep, tie_breaker]))
-    return (
-        df.select(*columns, F.inline(F.array(*entries)))
-        .where(F.col("metric").isNotNull())
-        .withColumn("_rank", F.row_number().over(farthest_first))
-        .where(F.col("_rank") <= n)
-        .select(
-            "metric",
-            *keep,
-            "metric_value",
-            "lower_bound",
-            "upper_bound",
-            "outlier_side",
-            "distance_from_bound",
-            "why_outlier",
-        )
+    outliers = df.select(*columns, F.inline(F.array(*entries))).where(F.col("metric").isNotNull())
+    return first_rows(outliers, ["metric"], farthest_first, tie_breaker, n).select(
+        "metric",
+        *keep,
+        "metric_value",
+        "lower_bound",
+        "upper_bound",
+        "outlier_side",
+        "distance_from_bound",
+        "why_outlier",
     )
 
 

@@ -234,14 +234,11 @@ def quantiles(
             if n == 0:
                 continue
             plan[metric, p] = _ranks(n, p, linear)
-            if n <= SMALL:
-                bracket = {"inside": n}
-            else:
-                ends = first[f"q_{metric}"][2 * j : 2 * j + 2]
-                bracket = {
-                    "low": ends[0] if p > MARGIN else -math.inf,
-                    "high": ends[1] if p < 1 - MARGIN else math.inf,
-                }
+            ends = first[f"q_{metric}"][2 * j : 2 * j + 2]
+            bracket = {
+                "low": ends[0] if p > MARGIN else -math.inf,
+                "high": ends[1] if p < 1 - MARGIN else math.inf,
+            }
             for rank in plan[metric, p][:2]:
                 searches.setdefault((metric, rank), _Search(metric, rank, **bracket))
     values = _order_statistics(doubles, list(searches.values())) if searches else {}

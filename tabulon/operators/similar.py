@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_PROBES = 100_000
+from tabulon.operators.ranks import first_rows
 
 
 def probe_frame(df: DataFrame, titles: Sequence[str]) -> DataFrame:
     """(probe, folded) rows of the wanted titles; a title repeated in other case is kept once each."""
     schema = T.StructType([T.StructField("probe", T.StringType(), False)])
     rows = [(title,) for title in dict.fromkeys(titles)]
-    probes = df.sparkSession.createDataFrame(rows, schema).withColumn("folded", F.lower("probe"))
-    return F.broadcast(probes) if len(rows) <= MAX_BROADCAST_PROBES else probes
+    return df.sparkSession.createDataFrame(rows, schema).withColumn("folded", F.lower("probe"))
 
 
 def recommend(
@@ -42,7 +41,6 @@ def recommend(
     with the probes sees 2n rows per group.
     """
     probes = probe_frame(df, titles)
-    few = len(titles) <= MAX_BROADCAST_PROBES
     folded_rows = df.withColumn("_folded", F.lower(F.col(title)))
     homes = (
         folded_rows.join(probes, F.col("_folded") == F.col("folded"))
@@ -51,24 +49,17 @@ def recommend(
     )
     wanted_groups = homes.select("_home").distinct()
     probed_titles = probes.select(F.col("folded").alias("_probed")).distinct()
-    if few:
-        wanted_groups, probed_titles = F.broadcast(wanted_groups), F.broadcast(probed_titles)
 
     best_first = [F.desc(c) for c in order] + [F.asc(id_column)]
     columns = list(dict.fromkeys([*output, group, id_column, *order]))
-    per_title = Window.partitionBy(group, "_probed").orderBy(*best_first)
-    per_group = Window.partitionBy(group).orderBy(*best_first)
     candidates = (
         folded_rows.select(*columns, "_folded")
         .where(F.col("_folded").isNotNull())
         .join(wanted_groups, F.col(group) == F.col("_home"), "left_semi")
         .join(probed_titles, F.col("_folded") == F.col("_probed"), "left")
-        .withColumn("_n", F.row_number().over(per_title))
-        .where(F.col("_n") <= n)
-        .withColumn("_n", F.row_number().over(per_group))
-        .where(F.col("_n") <= 2 * n)
-        .drop("_n", "_probed")
     )
+    candidates = first_rows(candidates, [group, "_probed"], best_first, id_column, n)
+    candidates = first_rows(candidates, [group], best_first, id_column, 2 * n).drop("_probed")
 
     per_probe = Window.partitionBy("probe").orderBy(*best_first)
     same_group_other_title = (F.col(group) == F.col("_home")) & (F.col("folded") != F.col("_folded"))

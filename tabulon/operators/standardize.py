@@ -23,10 +23,16 @@ class ColumnSpec:
     kind: str
 
 
+def whole_number(cell: Column) -> Column:
+    """The int a cell stands for, null where its number has a fraction or is no int."""
+    number = cell.try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
+
 def typed_column(spec: ColumnSpec, strict: bool = False) -> Column:
     """Typing expression of one column.
 
-    Malformed cells become null, and "3.0" counts as the int 3. With strict=True the plain casts are used,
+    Malformed cells become null, and "3.0" counts as the int 3 ("3.7" is malformed). With strict=True the plain casts are used,
     which raise on such cells under ANSI mode.
     """
     cell = F.col(f"`{spec.source}`")
@@ -39,7 +45,7 @@ def typed_column(spec: ColumnSpec, strict: bool = False) -> Column:
     elif spec.kind == "double":
         typed = cell.cast("double") if strict else cell.try_cast("double")
     elif spec.kind == "int":
-        typed = cell.cast("int") if strict else cell.try_cast("double").try_cast("int")
+        typed = cell.cast("int") if strict else whole_number(cell)
     else:
         raise ValueError(f"unknown kind {spec.kind!r} for column {spec.name!r}")
     return typed.alias(spec.name)

@@ -7,16 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions import word_array
+from tabulon.functions import token_array, word_array
 
 
 def explode_tokens(df: DataFrame, cell: str, out: str, sep: str = ",") -> DataFrame:
     """One row per token of a delimited cell; blank tokens and rows with a null cell disappear."""
-    return (
-        df.withColumn(out, F.explode(F.split(F.col(cell), rf"\Q{sep}\E")))
-        .withColumn(out, F.trim(F.col(out)))
-        .where(F.col(out) != "")
-    )
+    return df.select("*", F.explode(token_array(F.col(cell), sep)).alias(out))
 
 
 def word_pairs(df: DataFrame, text: str, min_len: int = 3, keep: Sequence[str] = ()) -> DataFrame:
@@ -33,23 +29,5 @@ def reduce_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.sum("one").alias("n"))
 
 
-def grouped_values(pairs: DataFrame, chunk_size: int = 100_000) -> DataFrame:
-    """word -> list of its ones, as rows (word, chunk, ones) of at most chunk_size ones each.
-
-    All values of a word are the same 1, so its list is rebuilt from the combined count: the shuffle
-    carries one partial count per word and task, and no row holds a list of unbounded length.
-    """
-    counted = reduce_pairs(pairs)
-    last_chunk = F.floor((F.col("n") - 1) / chunk_size)
-    return counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))).select(
-        "word",
-        "chunk",
-        F.array_repeat(
-            F.lit(1),
-            F.least(F.lit(chunk_size), F.col("n") - F.col("chunk") * chunk_size).cast("int"),
-        ).alias("ones"),
-    )
-
-
 def word_count(df: DataFrame, text: str, min_len: int = 3) -> DataFrame:
     return reduce_pairs(word_pairs(df, text, min_len))

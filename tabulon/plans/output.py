@@ -10,11 +10,11 @@ from tabulon.sources import write_delimited, write_report
 
 
 def write_reports(
-    reports: Mapping[str, DataFrame], folder: str, row_level: Collection[str] = ()
+    reports: Mapping[str, DataFrame], folder: str, single_file: Collection[str] = ()
 ) -> None:
-    """Write each frame below the folder: reports as one CSV file, row-level results as a CSV folder."""
+    """Write each frame below the folder: a CSV folder of its name, or one CSV file for the names in single_file."""
     for name, frame in reports.items():
-        if name in row_level:
-            write_delimited(frame, f"{folder}/{name}")
-        else:
+        if name in single_file:
             write_report(frame, f"{folder}/{name}.csv")
+        else:
+            write_delimited(frame, f"{folder}/{name}")

@@ -4,27 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tabulon.operators.reports import stack_by_name
 from tabulon.sources.shared import new_path
 
-MAX_REPORT_ROWS = 1_000_000
-
 
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
     columns: Sequence[str] | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
     partitions: int | None = None,
 ) -> DataFrame:
     """All-string table from CSV files with a header; cells are quoted with '"' and escape it by doubling.
 
-    multi_line reads cells that hold line breaks, one task per file: give large data as a folder of files.
-    Set it to False when no cell has a line break, then large files are split as well. partitions
+    Large files are split. Set multi_line where cells hold line breaks; a file is then read by one task, so give large
+    data as a folder of files. partitions
     spreads the rows of few large files for the work that follows. Give columns to skip reading the
     header beforehand; files whose header differs then raise.
     """
@@ -73,22 +70,16 @@ def write_delimited(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _writer(df).mode(mode).csv(path)
 
 
-def write_report(
-    df: DataFrame, path: str, limit: int | None = None, max_rows: int = MAX_REPORT_ROWS
-) -> None:
-    """One CSV file of exactly this name, replacing an earlier one, for reports.
+def write_report(df: DataFrame, path: str, limit: int | None = None) -> None:
+    """One CSV file of exactly this name, replacing an earlier one, for small reports.
 
-    A single file is written by a single task. So that no large table passes through it, the write stops
-    at max_rows + 1 rows, and a result that large raises and publishes nothing.
+    A single file is written by a single task, which streams any number of rows; write_delimited is the way
+    for results that grow with the data.
     """
     spark = df.sparkSession
     rows = df.limit(limit) if limit is not None else df
-    counted = Observation()
     staging = new_path(spark, "report")
-    bounded = rows.limit(max_rows + 1).coalesce(1).observe(counted, F.count(F.lit(1)).alias("rows"))
-    _writer(bounded).csv(staging)
-    if counted.get["rows"] > max_rows:
-        raise ValueError(f"report has more than {max_rows} rows; use write_delimited")
+    _writer(rows.coalesce(1)).csv(staging)
 
     # The Hadoop file system of the target, so that any storage Spark can write to works.
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -75,7 +75,7 @@ def test_reports_are_ordered(reports):
 
 
 def test_saved_reports(reports, tmp_path):
-    write_reports(reports, str(tmp_path))
+    write_reports(reports, str(tmp_path), single_file=list(reports))
     assert {f for f in os.listdir(tmp_path) if f.endswith(".csv") and not f.startswith(".")} == {
         f"{name}.csv" for name in reports
     }
@@ -99,7 +99,7 @@ def test_clustering_job(raw, tmp_path):
     assert found["projection"].count() == rows
     per_title = found["recommendations"].groupBy("because_you_watched").count().collect()
     assert all(r["count"] <= 10 for r in per_title) and "nope" not in {r[0] for r in per_title}
-    write_reports(found, str(tmp_path), row_level=["movies_with_clusters", "projection"])
+    write_reports(found, str(tmp_path), single_file=["cluster_profiles"])
     assert os.path.isdir(tmp_path / "movies_with_clusters")
     assert os.path.isfile(tmp_path / "cluster_profiles.csv")
 

@@ -85,3 +85,10 @@ def test_summary_of_an_empty_table_raises(spark):
     tokens = spark.createDataFrame([], "token string")
     with pytest.raises(PySparkException):
         summary(rows, tokens, "token", "language", "year", "vote", "pop").collect()
+
+
+def test_nan_is_missing_and_no_outlier(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(1, 9)] + [(9, float("nan")), (10, None)], "id int, v double")
+    assert outlier_thresholds(df, {"v": ""}).first().outlier_count == 0
+    assert outlier_examples(df, {"v": ""}, ["v"], "id").count() == 0
+    assert missing_values(df, {"v": ""}).first().missing_count == 2

@@ -63,11 +63,11 @@ def test_agrees_with_one_query_per_title(spark, seed, n):
     assert sorted((r.because, r.id, r.title, r.place) for r in found) == brute_force(rows, titles, n)
 
 
-def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(similar, "MAX_BROADCAST_PROBES", 0)
-    rows = [r for r in table(7) if r[2] is not None]
-    found = run(spark.createDataFrame(rows, SCHEMA), ["hot", "t5"], 4).collect()
-    assert sorted((r.because, r.id, r.title, r.place) for r in found) == brute_force(rows, ["hot", "t5"], 4)
+@pytest.mark.parametrize("n", [501, 1001])
+def test_long_lists_with_a_hot_group(spark, n):
+    rows = [(i, f"t{i}", "hot" if i % 3 else f"g{i}", float(i % 7), 1.0) for i in range(6000)]
+    found = run(spark.createDataFrame(rows, SCHEMA), ["t1", "t2"], n).collect()
+    assert sorted((r.because, r.id, r.title, r.place) for r in found) == brute_force(rows, ["t1", "t2"], n)
 
 
 def test_equal_titles_are_all_left_out_and_the_smallest_id_decides(spark):

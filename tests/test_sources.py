@@ -18,14 +18,14 @@ from tabulon.sources import (
 def test_quoted_cells_read_as_one_row(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('id,text\n1,"A ""q"" title"\n2,"line1\nline2, x"\n3,\n', encoding="utf-8")
-    rows = [tuple(r) for r in read_delimited(spark, str(path)).collect()]
+    rows = [tuple(r) for r in read_delimited(spark, str(path), multi_line=True).collect()]
     assert rows == [("1", 'A "q" title'), ("2", "line1\nline2, x"), ("3", None)]
 
 
 def test_windows_line_ends(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes(b'a,b\r\n1,"x\r\ny"\r\n2,z\r\n')
-    df = read_delimited(spark, str(path))
+    df = read_delimited(spark, str(path), multi_line=True)
     assert df.columns == ["a", "b"]
     # A file's own kind of line end is read as \n, inside cells too.
     assert [tuple(r) for r in df.collect()] == [("1", "x\ny"), ("2", "z")]
@@ -34,7 +34,7 @@ def test_windows_line_ends(spark, tmp_path):
 def test_every_column_is_text_and_a_surplus_field_is_dropped(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("a,b\n1,2\n3,4,5\n", encoding="utf-8")
-    df = read_delimited(spark, str(path))
+    df = read_delimited(spark, str(path), multi_line=True)
     assert [t for _, t in df.dtypes] == ["string", "string"]
     assert [tuple(r) for r in df.collect()] == [("1", "2"), ("3", "4")]
 
@@ -51,7 +51,7 @@ def test_round_trip_keeps_everything_but_the_empty_string(spark, tmp_path):
     cells = ["  padded  ", 'say "hi", you', "two\nlines", "back\\slash", "tab\there", "cr\rhere", "a\r\nb", "ünï", None]
     df = spark.createDataFrame([(str(i), c) for i, c in enumerate(cells)] + [("e", "")], "id string, c string")
     write_delimited(df, str(tmp_path / "out"))
-    found = {r.id: r.c for r in read_delimited(spark, str(tmp_path / "out")).collect()}
+    found = {r.id: r.c for r in read_delimited(spark, str(tmp_path / "out"), multi_line=True).collect()}
     assert found == {**{str(i): c for i, c in enumerate(cells)}, "e": None}
 
 
@@ -72,8 +72,8 @@ def test_sources_with_different_columns(spark, tmp_path):
 
 
 def test_literal_table(spark):
-    columns = {"nom": ["Alice", "Bob", "Charlie"], "age": [25, 30, 35], "ville": ["Paris", "Lyon", "Marseille"]}
-    df = literal_table(spark, columns, "nom string, age int, ville string")
+    columns = {"name": ["Ida", "Uwe"], "size": [3, 8], "place": ["north", "south"]}
+    df = literal_table(spark, columns, "name string, size int, place string")
     assert [tuple(r) for r in df.collect()] == list(zip(*columns.values(), strict=True))
     with pytest.raises(ValueError):
         literal_table(spark, {"a": [1], "b": [1, 2]}, "a int, b int")
@@ -97,13 +97,17 @@ def test_report_without_rows_has_a_header(spark, tmp_path):
         assert file.read().strip() == "id"
 
 
-def test_large_report_is_refused_and_leaves_the_old_one(spark, tmp_path):
+def test_large_report_is_written_whole_and_replaces_the_old_one(spark, tmp_path):
     path = str(tmp_path / "r.csv")
     write_report(spark.range(2), path)
-    with pytest.raises(ValueError):
-        write_report(spark.range(100), path, max_rows=10)
+    write_report(spark.range(1_000_500), path)
     with open(path, encoding="utf-8") as file:
-        assert file.read() == "id\n0\n1\n"
+        assert sum(1 for _ in file) == 1_000_501
+
+
+def test_files_are_split_by_default(spark, tmp_path):
+    write_report(spark.range(2_000_000), str(tmp_path / "big.csv"))
+    assert read_delimited(spark, str(tmp_path / "big.csv"), columns=["id"]).rdd.getNumPartitions() > 1
 
 
 def test_materialized_table_lies_in_the_shared_folder(spark):

@@ -83,3 +83,8 @@ def test_rounded_is_half_up_and_covers_every_double(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     found = [r.r for r in df.select(rounded(F.col("v")).alias("r")).collect()]
     assert found == [2.68, -2.68, 0.01, 1e30, float("inf"), None]
+
+
+def test_a_fraction_is_no_int(spark):
+    df = spark.createDataFrame([("3.0",), ("3.7",), ("x",), ("nan",)], "c string")
+    assert [r.n for r in standardize(df, [ColumnSpec("c", "n", "int")]).collect()] == [3, None, None, None]

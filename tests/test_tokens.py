@@ -5,7 +5,7 @@ from collections import Counter
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tabulon.operators.tokens import explode_tokens, grouped_values, word_count, word_pairs
+from tabulon.operators.tokens import explode_tokens, word_count, word_pairs
 
 
 def python_words(text: str) -> list[str]:
@@ -46,17 +46,6 @@ def test_word_count_agrees_with_python(spark, texts):
     assert {r.word: r.n for r in word_count(df, "t").collect()} == dict(expected)
 
 
-def test_grouped_values_are_whole_and_cut_into_chunks(spark):
-    df = spark.createDataFrame([("word " * 7 + "other",)], "t string")
-    rows = grouped_values(word_pairs(df, "t"), chunk_size=3).orderBy("word", "chunk").collect()
-    assert [(r.word, r.chunk, r.ones) for r in rows] == [
-        ("other", 0, [1]),
-        ("word", 0, [1, 1, 1]),
-        ("word", 1, [1, 1, 1]),
-        ("word", 2, [1]),
-    ]
-
-
 def test_hot_word_is_combined_before_the_shuffle(spark):
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("t")

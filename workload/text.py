@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from tabulon.operators import tokens
 from workload import fixtures as fx
 
-CHUNK = 500
-
 
 def tokenize_words(spark, folder):
     """Every (word, 1) pair, told apart by document; listed as pairs per document and word."""
@@ -20,17 +18,6 @@ def word_count(spark, folder):
     return tokens.word_count(fx.table(spark, folder, "documents"), "text")
 
 
-def grouped_values(spark, folder):
-    pairs = tokens.word_pairs(fx.table(spark, folder, "documents"), "text")
-    grouped = tokens.grouped_values(pairs, CHUNK)
-    return grouped.select(
-        "word",
-        "chunk",
-        F.size("ones").alias("values"),
-        F.aggregate("ones", F.lit(0), lambda total, one: total + one).alias("total"),
-    )
-
-
 # White space as Python's str.split() sees it; \s of this dialect knows the ASCII characters only.
 _BREAKS = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -48,11 +35,4 @@ CASES = {
         _WORDS_SQL + "select doc_id, word, count(*) as pairs from pairs group by doc_id, word",
     ),
     "word_count": (word_count, _WORDS_SQL + "select word, count(*) as n from pairs group by word"),
-    "grouped_values": (
-        grouped_values,
-        _WORDS_SQL
-        + f"""select word, chunk, cast(count(*) as int) as values, cast(sum(one) as int) as total
-from (select word, one, (row_number() over (partition by word order by doc_id) - 1) // {CHUNK} as chunk
-      from pairs) group by word, chunk""",
-    ),
 }
