@@ -118,7 +118,7 @@ def filter_urls(df: DataFrame, url: str, rules: Sequence[UrlRule], default: str
     )
     candidates = materialize(candidates.withColumn("key", path_key(F.col("rule_key"), F.col("path"))), "url-candidates")
     open_paths = sweep(candidates.select("key"), listed.select("key"))
-    top = F.element_at("stack", -1)
+    top = F.try_element_at("stack", F.lit(-1))
     fitting = (
         candidates.join(open_paths.where(F.size("stack") > 0).select("key", top.alias("winner")), "key")
         .join(listed.select(F.col("key").alias("winner"), "rule_host", "rule_path", "verdict"), "winner")
