@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tabulon.sources.shared import materialize
 
 LENGTH = 200
-LEAD = 120
+LEAD = 64
 SEED = 5
 #: Bytes of strings that a task sorts at once; a lead with more is sorted on its own.
 BATCH_BYTES = 1 << 25
