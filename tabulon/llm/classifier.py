@@ -21,7 +21,7 @@ STEPS = 600
 #: Labelled documents that a fit uses at most, those with the least hash of the id.
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
-CONTEXT_WORDS = 50_000
+TEXTS_AT_ONCE = 256
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 _ids: dict[str, int] = {}
 
@@ -54,17 +54,24 @@ def token_buckets(text: str | None) -> np.ndarray:
     return np.asarray(out, np.int64)
 
 
-def context_sums(tokens: np.ndarray, index: np.ndarray, sums: np.ndarray) -> None:
-    """Adds to each token's bucket the index vectors of its neighbours."""
-    for begin in range(0, len(tokens), CONTEXT_WORDS):
-        part = tokens[max(0, begin - REACH) : begin + CONTEXT_WORDS]
-        skip = begin - max(0, begin - REACH)
+def context_sums(texts: list[np.ndarray], index: np.ndarray, sums: np.ndarray) -> None:
+    """Adds to each token's bucket the index vectors of its neighbours in the same text."""
+    for begin in range(0, len(texts), TEXTS_AT_ONCE):
+        part = texts[begin : begin + TEXTS_AT_ONCE]
+        tokens = np.concatenate(part)
+        owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
         for step in range(1, REACH + 1):
-            if len(part) > step:
-                left, right = part[:-step], part[step:]
-                fresh = np.arange(len(right)) + step >= skip
-                np.add.at(sums, right[fresh], index[left[fresh]])
-                np.add.at(sums, left[fresh], index[right[fresh]])
+            near = owner[:-step] == owner[step:]
+            pairs = np.concatenate([tokens[:-step][near] * BUCKETS + tokens[step:][near], tokens[step:][near] * BUCKETS + tokens[:-step][near]])
+            # Equal pairs are counted first; sorted by word, each word's neighbours are added in one run.
+            pairs, counts = np.unique(pairs, return_counts=True)
+            if len(pairs):
+                words, starts = np.unique(pairs // BUCKETS, return_index=True)
+                for low in range(0, len(words), 512):
+                    ends = starts[low + 512] if low + 512 < len(words) else len(pairs)
+                    span = slice(starts[low], ends)
+                    rows = index[pairs[span] % BUCKETS] * counts[span, None].astype(np.float32)
+                    sums[words[low : low + 512]] += np.add.reduceat(rows, starts[low : low + 512] - starts[low])
 
 
 def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -147,8 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def sums_of(batches):
         sums = np.zeros((BUCKETS, DIM), np.float32)
         for batch in batches:
-            for value in batch.column(0):
-                context_sums(token_buckets(value.as_py()), index, sums)
+            context_sums([token_buckets(value.as_py()) for value in batch.column(0)], index, sums)
         seen = np.flatnonzero(np.abs(sums).sum(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen, pa.int32()), pa.array(list(sums[seen]), pa.list_(pa.float32()))], names=["bucket", "v"]
