@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import running_sum
 from tabulon.llm.encoding import default_vocabulary, encode
+from tabulon.sources.shared import materialize
 
-LENGTHS_PER_BLOCK = 1024
+LENGTHS_PER_BLOCK = 64
 
 
 def encoded_lengths(df: DataFrame, text: str, vocabulary: str | None = None) -> DataFrame:
@@ -35,14 +35,29 @@ def length_histogram(df: DataFrame, text: str, vocabulary: str | None = None) ->
     Null and empty texts have length 0; an empty table gives no row. Documents are added up before the shuffle, so
     only one row per length and task is moved, however many documents share a length.
     """
-    counts = encoded_lengths(df, text, vocabulary).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "lane": F.lit(0)})
-    counts = counts.withColumn("block", -F.floor(F.col("n_tokens") / LENGTHS_PER_BLOCK))
-    longest_first = [F.desc("n_tokens")]
-    sums = running_sum(counts, ["lane"], "block", longest_first, "n_docs", "longer_docs")
-    sums = running_sum(sums, ["lane"], "block", longest_first, "tokens", "longer_tokens")
-    totals = counts.groupBy("lane").agg(F.sum("n_docs").alias("total_docs"), F.sum("tokens").alias("total_tokens"))
-    return sums.join(totals, "lane").select(
+    encoded = encoded_lengths(df, text, vocabulary).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Kept as a table of one row per length, so that the texts are encoded once.
+    counts = materialize(encoded, "length-counts")
+    counts = counts.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.col("n_tokens") / LENGTHS_PER_BLOCK)})
+    # One row per block of lengths meets in the windows that are not partitioned.
+    blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    beyond = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    carried = blocks.select(
+        "block",
+        F.coalesce(F.sum("docs").over(beyond), F.lit(0)).alias("docs_beyond"),
+        F.coalesce(F.sum("tokens").over(beyond), F.lit(0)).alias("tokens_beyond"),
+        F.sum("docs").over(whole).alias("total_docs"),
+        F.sum("tokens").over(whole).alias("total_tokens"),
+    )
+    inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.join(carried, "block").withColumns(
+        {
+            "longer_docs": F.col("docs_beyond") + F.coalesce(F.sum("n_docs").over(inside), F.lit(0)),
+            "longer_tokens": F.col("tokens_beyond") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)),
+        }
+    )
+    return sums.select(
         "n_tokens",
         "n_docs",
         "longer_docs",
