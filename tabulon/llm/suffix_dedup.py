@@ -4,12 +4,12 @@ A string of LENGTH bytes repeats if it starts at two places of the corpus. Of th
 is a sample: the one whose first LEAD bytes have the least hash, so equal strings sample the same place. Sampled suffixes
 are range-partitioned by their leading bytes with Spark's sampled splitters and sorted in their bucket. Where leading bytes
 occur twice the strings around the sample are sorted by multikey passes, eight bytes at a time, and equal neighbours are
-repeats; a lead lies in one bucket, so no string has an equal one beyond a boundary.
+repeats; a lead lies in one bucket, so no string has an equal one beyond a boundary. The strings of a lead with very many
+places are counted by all tasks instead.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +20,9 @@ from tabulon.sources.shared import materialize
 LENGTH = 200
 LEAD = 64
 SEED = 5
-#: Bytes of strings that a task sorts at once; a lead with more is sorted on its own.
+#: A lead with more places than this is not sorted in one task: its strings are counted by many.
+HOT_LEAD = 4096
+#: Bytes of strings that a task sorts at once; a lead with more, HOT_LEAD contexts at most, is sorted on its own.
 BATCH_BYTES = 1 << 25
 
 
@@ -148,8 +150,16 @@ def repeated_spans(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     long_texts = keyed.where(F.octet_length("text") >= LENGTH)
     suffixes = long_texts.select("k", "h", "text").mapInArrow(sampled, "k string, h bigint, lead bigint, first int, last int")
-    repeated = suffixes.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    places = suffixes.join(repeated, "lead").groupBy("k", "h").agg(F.collect_set(F.struct("lead", "first", "last")).alias("places"))
+    suffixes = materialize(suffixes, "sampled-suffixes")
+    # Kept as tables: a join of two plain shuffles is one whose hot leads adaptive execution can split.
+    repeated = materialize(suffixes.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-leads")
+    hot = materialize(repeated.where(F.col("n") > HOT_LEAD).select("lead"), "hot-leads")
+
+    def around(leads: DataFrame) -> DataFrame:
+        """(lead, k, h, first, context) of each place of these leads."""
+        places = suffixes.join(leads, "lead").groupBy("k", "h").agg(F.collect_set(F.struct("lead", "first", "last")).alias("places"))
+        wanted = long_texts.join(places, ["k", "h"]).select("k", "h", "text", "places")
+        return wanted.mapInArrow(contexts, "lead bigint, k string, h bigint, first bigint, context binary")
 
     def contexts(batches):
         for batch in batches:
@@ -165,9 +175,8 @@ def repeated_spans(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             if rows:
                 yield _context_batch(rows)
 
-    wanted = long_texts.join(places, ["k", "h"]).select("k", "h", "text", "places")
-    around = wanted.mapInArrow(contexts, "lead bigint, k string, h bigint, first bigint, context binary")
-    buckets = around.repartitionByRange("lead").sortWithinPartitions("lead")
+    usual = around(repeated.where(F.col("n") <= HOT_LEAD).select("lead"))
+    buckets = usual.repartitionByRange("lead").sortWithinPartitions("lead")
 
     def compared(batches):
         rows, size, open_lead = [], 0, None
@@ -182,7 +191,35 @@ def repeated_spans(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         if rows:
             yield _flush(rows)
 
-    return buckets.mapInArrow(compared, "k string, h bigint, begin bigint, end bigint")
+    spans = buckets.mapInArrow(compared, "k string, h bigint, begin bigint, end bigint")
+    return spans if hot.isEmpty() else spans.unionByName(hot_spans(around(hot)))
+
+
+def hot_spans(around: DataFrame) -> DataFrame:
+    """(k, h, begin, end) at leads of any number of places, by counts that tasks combine before they are shuffled.
+
+    Equal contexts are counted first: one that occurs twice is repeated as a whole. The strings of the distinct contexts
+    are counted next, by 128-bit digests, and go back to the contexts and from there to their places.
+    """
+    placed = materialize(around.withColumn("digest", F.unhex(F.md5("context"))), "hot-contexts")
+    distinct = materialize(
+        placed.groupBy("digest").agg((F.count(F.lit(1)) > 1).alias("several"), F.first("context").alias("context")), "hot-distinct-contexts"
+    )
+    last = F.octet_length("context") - LENGTH
+    at = distinct.select("digest", "several", "context", F.explode(F.sequence(F.lit(0), last)).alias("offset"))
+    strings = at.select("digest", "several", "offset", F.unhex(F.md5(F.expr(f"substring(context, offset + 1, {LENGTH})"))).alias("string"))
+    counted = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.max("several").alias("several"))
+    twice = materialize(counted.where("n > 1 or several").select("string"), "hot-strings")
+    found = strings.where("not several").join(twice, "string", "left_semi").groupBy("digest").agg(F.collect_set("offset").alias("all"))
+    # A context has fewer starts than a string has bytes, so the first and last string of a run cover all of it.
+    inner = lambda o: F.array_contains("all", o - 1) & F.array_contains("all", o + 1)
+    offsets = found.select("digest", F.filter("all", lambda o: ~inner(o)).alias("offsets"))
+    offsets = materialize(
+        offsets.unionByName(distinct.where("several").select("digest", F.array(F.lit(0), last).alias("offsets"))), "hot-offsets"
+    )
+    begin = F.col("first") + F.col("offset")
+    spans = placed.join(offsets, "digest").select("k", "h", "first", F.explode("offsets").alias("offset"))
+    return spans.select("k", "h", begin.alias("begin"), (begin + LENGTH).alias("end"))
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -239,8 +276,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return joined.mapInArrow(cut, T.StructType([*rows.schema.fields, *fields]))
 
 
-
-
 def valid_text(kept):
     """The bytes as text, without the bytes of code points that a cut has split."""
     from pyspark.sql.pandas.functions import pandas_udf

@@ -158,7 +158,9 @@ def test_components(spark):
     assert {(r.id, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
 
 
-def test_suffixes(docs, rows, empty):
+@pytest.mark.parametrize("hot", [1, 3, suffix_dedup.HOT_LEAD])
+def test_suffixes(docs, rows, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAD", hot)
     counts: Counter = Counter()
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     for _, b in data:
