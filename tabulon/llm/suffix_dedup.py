@@ -134,7 +134,7 @@ SPANS = pa.schema([("k", pa.string()), ("h", pa.int64()), ("begin", pa.int64()),
 
 
 def repeated_spans(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(k, h, begin, end): byte ranges of repeated strings; k and h, the id as text and a hash of the text, name the document."""
+    """(k, h, spans): byte ranges (begin, end) of repeated strings; k and h, the id as text and a hash of the text, name the document."""
     keyed = df.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("none")).alias("k"), F.coalesce(text, F.lit("")).alias("text"))
     keyed = keyed.withColumn("h", F.xxhash64("text"))
 
@@ -192,11 +192,12 @@ def repeated_spans(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield _flush(rows)
 
     spans = buckets.mapInArrow(compared, "k string, h bigint, begin bigint, end bigint")
+    spans = spans.select("k", "h", F.array(F.struct("begin", "end")).alias("spans"))
     return spans if hot.isEmpty() else spans.unionByName(hot_spans(around(hot)))
 
 
 def hot_spans(around: DataFrame) -> DataFrame:
-    """(k, h, begin, end) at leads of any number of places, by counts that tasks combine before they are shuffled.
+    """(k, h, spans) at leads of any number of places, by counts that tasks combine before they are shuffled.
 
     Equal contexts are counted first: one that occurs twice is repeated as a whole. The strings of the distinct contexts
     are counted next, by 128-bit digests, and go back to the contexts and from there to their places.
@@ -217,9 +218,11 @@ def hot_spans(around: DataFrame) -> DataFrame:
     offsets = materialize(
         offsets.unionByName(distinct.where("several").select("digest", F.array(F.lit(0), last).alias("offsets"))), "hot-offsets"
     )
-    begin = F.col("first") + F.col("offset")
-    spans = placed.join(offsets, "digest").select("k", "h", "first", F.explode("offsets").alias("offset"))
-    return spans.select("k", "h", begin.alias("begin"), (begin + LENGTH).alias("end"))
+    # A document has the same context at many places, so its places are gathered before the join.
+    gathered = placed.groupBy("digest", "k", "h").agg(F.collect_set("first").alias("firsts"))
+    span = lambda at: F.struct(at.alias("begin"), (at + LENGTH).alias("end"))
+    spans = F.flatten(F.transform("firsts", lambda first: F.transform("offsets", lambda offset: span(first + offset))))
+    return gathered.join(offsets, "digest").select("k", "h", spans.alias("spans"))
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -250,7 +253,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = df.drop(*added)
     spans = materialize(repeated_spans(rows, doc_id, text), "repeated-spans")
     # Neighbouring samples overlap, so a document has few spans beside its bytes.
-    listed = spans.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
+    listed = spans.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     named = rows.withColumns({"_k": F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), "_h": F.xxhash64(F.coalesce(text, F.lit(""))), "_text": F.coalesce(text, F.lit(""))})
     joined = named.join(listed, ["_k", "_h"], "left").select(*rows.columns, "_text", "_spans")
 
