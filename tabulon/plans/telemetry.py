@@ -13,6 +13,7 @@ from tabulon.operators.matrix import correlation, crosstab, pivot_values, top_sh
 from tabulon.operators.profiles import numeric_profile, text_profile
 from tabulon.operators.quality import distinct_values, null_counts, schema_report
 from tabulon.operators.reports import aggregate_by, count_by, non_null_counts_by, outside_range
+from tabulon.sources.shared import materialize
 
 # The band of round durations and the labels of the result column.
 DURATION_BAND = (180.0, 190.0)
@@ -50,8 +51,10 @@ def telemetry_report(
 ) -> dict[str, DataFrame]:
     """The results of the exploration by name.
 
-    Give the list of reasons to save the job that looks up the header of the crosstab.
+    The rows are written once, and every report reads its own columns of that table. Give the list of reasons to save
+    the job that looks up the header of the crosstab.
     """
+    df = materialize(df, "telemetry-rows")
     c = columns
     numerics = [f.name for f in df.schema if f.dataType.typeName() in _NUMERIC_TYPES]
     texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]

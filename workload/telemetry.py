@@ -13,8 +13,15 @@ from workload.fixtures import ROUNDS_SQL
 
 REASONS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 NUMERICS = ["roundduration", "nbkills", "haswon"]
-TEXTS = ["gamemode", "mapname", "primaryweapon", "skillrank"]
+TEXTS = (
+    "gamemode mapname objectivelocation winrole endroundreason primaryweapontype primaryweapon secondaryweapon"
+    " skillrank operator"
+).split()
+LINE_NUMERICS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
+).split()
 DISTINCT = ["gamemode", "mapname", "skillrank", "haswon"]
+PAIRED = ["1-URGENT", "5-LOW"]
 MODES = {"mode": ["A", "N", "R"], "label": ["area", "bomb", "hostage"]}
 
 
@@ -122,9 +129,7 @@ def rounds_correlation(spark, folder):
 
 
 def numeric_profile(spark, folder):
-    profile = profiles.numeric_profile(
-        fx.table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]
-    )
+    profile = profiles.numeric_profile(fx.table(spark, folder, "lineitem"), LINE_NUMERICS)
     return profile.withColumns({c: F.round(c, 6) for c in ["mean", "std", "p25", "p50", "p75"]})
 
 
@@ -145,36 +150,31 @@ def distinct_values(spark, folder):
 
 
 def telemetry_job(spark, folder):
-    """The exploration as a whole: its count results stacked."""
+    """The exploration as a whole: one row per cell of every report."""
     found = telemetry_report(
-        fx.rounds(spark, folder),
-        share_reasons=["1-URGENT"],
-        paired_reasons=["1-URGENT", "5-LOW"],
-        reasons=REASONS,
+        fx.rounds(spark, folder), share_reasons=REASONS[:1], paired_reasons=PAIRED, reasons=REASONS
     )
-
-    def counts(name: str, *keys: str, count: str = "row_count"):
-        return found[name].select(
-            F.lit(name).alias("report"),
-            F.concat_ws("|", *keys).alias("key"),
-            F.col(count).cast("bigint").alias("row_count"),
-        )
-
+    if set(found) != set(JOB_REPORTS):
+        raise ValueError(f"reports without a listing: {sorted(set(found) ^ set(JOB_REPORTS))}")
     return reports.stack_by_name(
-        [
-            counts("count_by_mode_and_map", "gamemode", "mapname"),
-            counts("count_by_mode_and_role", "gamemode", "winrole"),
-            counts("picks_by_operator", "operator"),
-            counts("weapon_types", "primaryweapontype"),
-            counts("kills_by_weapons", "primaryweapon", "secondaryweapon", count="kills"),
-            counts("won_lost_by_rank", "skillrank", count="Won"),
-            counts("objective_by_reason", "objectivelocation", count="3-MEDIUM"),
-            counts("null_counts", "column_name", count="null_count"),
-            counts("top_objectives_1-URGENT", "objectivelocation"),
-        ]
+        [_cells(found[name], name, keys, columns) for name, (_, keys, columns) in JOB_REPORTS.items()]
     )
 
 
+def _cells(frame, name, keys, columns):
+    """(report, key, column_name, value, text): numbers, rounded, in value, other cells in text."""
+    kinds = dict(frame.dtypes)
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.round(F.lit(None).cast("double") if kinds[c] == "string" else F.col(f"`{c}`").cast("double"), 6).alias("value"),
+            (F.col(f"`{c}`") if kinds[c] == "string" else F.lit(None).cast("string")).alias("text"),
+        )
+        for c in columns
+    ]
+    return frame.select(F.lit(name).alias("report"), F.concat_ws("|", *keys).alias("key"), F.inline(F.array(*cells)))
+
+
 _rounds = f"with {ROUNDS_SQL}\n"
 
 
@@ -200,6 +200,16 @@ def _correlation_sql(source: str, pairs: list[tuple[str, str]]) -> str:
     )
 
 
+def _profile_sql(source: str, columns: list[str]) -> str:
+    return "\nunion all\n".join(
+        f"""select '{c}' as column_name, count({c}) as value_count, round(avg({c}), 6) as mean,
+       round(stddev_samp({c}), 6) as std, cast(min({c}) as double) as min, round(quantile_cont({c}, 0.25), 6) as p25,
+       round(quantile_cont({c}, 0.5), 6) as p50, round(quantile_cont({c}, 0.75), 6) as p75, cast(max({c}) as double) as max
+from {source}"""
+        for c in columns
+    )
+
+
 _LINE_NUMERICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 _ROUND_COLUMNS = (
     "dateid matchid gamemode mapname objectivelocation winrole endroundreason roundduration"
@@ -285,13 +295,7 @@ select label, count(*) as row_count from rounds left join labels_of_modes on gam
     ),
     "numeric_profile": (
         numeric_profile,
-        "\nunion all\n".join(
-            f"""select '{c}' as column_name, count({c}) as value_count, round(avg({c}), 6) as mean,
-       round(stddev_samp({c}), 6) as std, min({c}) as min, round(quantile_cont({c}, 0.25), 6) as p25,
-       round(quantile_cont({c}, 0.5), 6) as p50, round(quantile_cont({c}, 0.75), 6) as p75, max({c}) as max
-from lineitem"""
-            for c in ["l_quantity", "l_extendedprice", "l_discount"]
-        ),
+        _profile_sql("lineitem", LINE_NUMERICS),
     ),
     "text_profile": (
         text_profile,
@@ -326,35 +330,91 @@ from (select {c} as v, count(*) as n from rounds where {c} is not null group by
             f"select '{c}' as column_name, cast({c} as varchar) as value from rounds" for c in DISTINCT
         ),
     ),
-    "telemetry_job": (
-        telemetry_job,
+}
+
+# Every report of the job: its SQL, the columns of its key and the columns that are cells.
+_ROUND_TYPES = {c: "string" for c in TEXTS} | {
+    "dateid": "int", "matchid": "bigint", "roundduration": "double", "nbkills": "int", "haswon": "int"
+}
+_ROUND_NUMERICS = [c for c, kind in _ROUND_TYPES.items() if kind != "string"]
+JOB_REPORTS = {
+    "schema": (
         _rounds
         + "\nunion all\n".join(
-            [
-                f"select '{report}' as report, {key} as key, cast({count} as bigint) as row_count"
-                f" from rounds group by {key}"
-                for report, key, count in [
-                    ("count_by_mode_and_map", "gamemode || '|' || mapname", "count(*)"),
-                    ("count_by_mode_and_role", "gamemode || '|' || winrole", "count(*)"),
-                    ("picks_by_operator", "operator", "count(*)"),
-                    ("weapon_types", "primaryweapontype", "count(*)"),
-                    ("kills_by_weapons", "primaryweapon || '|' || secondaryweapon", "sum(nbkills)"),
-                    ("won_lost_by_rank", "skillrank", "sum(haswon)"),
-                    (
-                        "objective_by_reason",
-                        "objectivelocation",
-                        "count(*) filter (where endroundreason = '3-MEDIUM')",
-                    ),
-                ]
-            ]
-            + [
-                f"select 'null_counts', '{c}', count(*) - count({c}) from rounds"
-                for c in [*_ROUND_COLUMNS, "operator"]
-            ]
-        )
-        + """
-union all select 'top_objectives_1-URGENT', objectivelocation, n from (
-    select objectivelocation, count(*) filter (where endroundreason = '1-URGENT') as n
-    from rounds group by objectivelocation order by n desc, objectivelocation limit 5)""",
+            f"select '{c}' as column_name, '{kind}' as data_type, count({c}) as non_null_count from rounds"
+            for c, kind in _ROUND_TYPES.items()
+        ),
+        ["column_name"],
+        ["data_type", "non_null_count"],
     ),
+    "null_counts": (
+        _rounds
+        + "\nunion all\n".join(
+            f"select '{c}' as column_name, count(*) - count({c}) as null_count from rounds" for c in _ROUND_TYPES
+        ),
+        ["column_name"],
+        ["null_count"],
+    ),
+    "numeric_profile": (
+        _rounds + _profile_sql("rounds", _ROUND_NUMERICS),
+        ["column_name"],
+        "value_count mean std min p25 p50 p75 max".split(),
+    ),
+    "text_profile": (
+        CASES["text_profile"][1],
+        ["column_name"],
+        ["value_count", "distinct_count", "top_value", "top_count"],
+    ),
+    "distinct_values": (CASES["distinct_values"][1], ["column_name"], ["value"]),
+    "count_by_mode_and_map": (CASES["count_mode_map"][1], ["gamemode", "mapname"], ["row_count"]),
+    "count_by_mode_and_role": (CASES["count_mode_role"][1], ["gamemode", "winrole"], ["row_count"]),
+    "non_null_counts_by_operator": (CASES["nonnull_counts_by_key"][1], ["operator"], _ROUND_COLUMNS),
+    "picks_by_operator": (CASES["pick_count"][1], ["operator"], ["row_count"]),
+    "duration_by_map": (CASES["avg_duration_by_map"][1], ["mapname"], ["mean_duration"]),
+    "duration_by_map_and_objective": (
+        CASES["pivot_mean"][1],
+        ["mapname", "objectivelocation"],
+        ["mean_duration"],
+    ),
+    "durations_outside_band": (
+        CASES["pivot_outside_range"][1],
+        ["mapname", "objectivelocation"],
+        ["mean_duration"],
+    ),
+    "objective_by_reason": (CASES["crosstab_objective_reason"][1], ["objectivelocation"], REASONS),
+    "paired_reasons": (CASES["paired_reason_counts"][1], ["objectivelocation"], PAIRED),
+    "correlation": (
+        _rounds + _correlation_sql("rounds", [(a, b) for a in NUMERICS for b in NUMERICS]),
+        ["column_a", "column_b"],
+        ["r"],
+    ),
+    "weapon_types": (CASES["weapon_type_count"][1], ["primaryweapontype"], ["row_count"]),
+    "kills_by_weapons": (
+        CASES["kills_by_weapon_pair"][1],
+        ["primaryweapon", "secondaryweapon"],
+        ["kills"],
+    ),
+    "won_lost_by_rank": (CASES["won_lost_by_rank"][1], ["skillrank"], ["Won", "Lost"]),
+    "top_objectives_1-URGENT": (CASES["top_share"][1], ["objectivelocation"], ["row_count", "share_percent"]),
 }
+
+
+def _cells_sql(name: str, sql: str, keys: list[str], columns: list[str]) -> str:
+    key = f"concat_ws('|', {', '.join(keys)})"
+    text = {"data_type", "top_value", "value"}
+    return "\nunion all\n".join(
+        f"select '{name}' as report, {key} as key, '{c}' as column_name, "
+        + (
+            f"cast(null as double) as value, {c} as text"
+            if c in text
+            else f"round(cast(\"{c}\" as double), 6) as value, cast(null as varchar) as text"
+        )
+        + f" from ({sql})"
+        for c in columns
+    )
+
+
+CASES["telemetry_job"] = (
+    telemetry_job,
+    "\nunion all\n".join(_cells_sql(name, *listed) for name, listed in JOB_REPORTS.items()),
+)
