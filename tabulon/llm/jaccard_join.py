@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import word_list
@@ -154,18 +154,18 @@ def _compare(pdf):
     return pd.DataFrame(out, columns=["id", "n_texts", "n_documents", "root"])
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, n_text_links, n_copies) per row.
+def words_hash(text: Column) -> Column:
+    """A number that all texts with the same words share."""
+    return F.xxhash64(F.sha2(F.array_join(word_list(text), " ").cast("binary"), 256))
 
-    Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more (a shorter
-    text is one shingle; texts without words equal each other and nothing else). class_id is the least id of the documents
-    joined by links, n_links the number of linked documents, n_text_links of linked other texts, n_copies of documents with
-    the same words, itself included. A null id is counted like any other, and class_id is null only where all ids of a class
-    are; equal rows count each; an empty table gives no rows. Signatures and ids of all documents are shuffled, shingle sets
-    only where there are candidates, copies of a text never.
-    """
-    words = F.array_join(word_list(F.col(text)), " ")
-    docs = df.select(F.col(doc_id).cast("bigint").alias("doc"), F.xxhash64(F.sha2(words.cast("binary"), 256)).alias("id"), F.col(text).alias("text"))
+
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, id, text): id is the hash of the words."""
+    return df.select(F.col(doc_id).cast("bigint").alias("doc"), words_hash(F.col(text)).alias("id"), F.col(text).alias("text"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, id) of every row, and one row per distinct text: id, doc, copies, root, n_text_links, n_others."""
     signed = materialize(_signed(docs, prefix_length()), "signatures")
     known = signed.select("doc", "id")
     per_text = materialize(
@@ -193,11 +193,23 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     counts = linked.groupBy("id").agg(F.sum("n_texts").alias("n_text_links"), F.sum("n_documents").alias("n_others"))
     joined = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     rooted = per_text.select("id", "doc", "copies").join(joined.withColumnRenamed("root", "_root"), "id", "left").withColumn("_root", F.coalesce("_root", "id"))
-    named = rooted.groupBy("_root").agg(F.min("doc").alias("class_id"))
-    facts = rooted.join(named, "_root").join(counts, "id", "left").select(
-        "id", "class_id", F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("n_others", F.lit(0)).alias("n_others"), "copies"
-    )
-    return known.join(facts, "id").select(
+    facts = rooted.join(counts, "id", "left").withColumnRenamed("_root", "root")
+    return known, facts.na.fill(0, ["n_text_links", "n_others"])
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links, n_text_links, n_copies) per row.
+
+    Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more (a shorter
+    text is one shingle; texts without words equal each other and nothing else). class_id is the least id of the documents
+    joined by links, n_links the number of linked documents, n_text_links of linked other texts, n_copies of documents with
+    the same words, itself included. A null id is counted like any other, and class_id is null only where all ids of a class
+    are; equal rows count each; an empty table gives no rows. Signatures and ids of all documents are shuffled, shingle sets
+    only where there are candidates, copies of a text never.
+    """
+    known, facts = _classes(_keyed(df, doc_id, text))
+    named = facts.groupBy("root").agg(F.min("doc").alias("class_id"))
+    return known.join(facts.drop("doc").join(named, "root"), "id").select(
         F.col("doc").alias("doc_id"),
         "class_id",
         (F.col("n_others") + F.col("copies") - 1).alias("n_links"),
@@ -207,7 +219,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def one_per_class(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stand for their class: the document with the least id; of rows with that id, all with equal words go but one."""
-    found = near_duplicates(df, doc_id, text)
-    kept = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("class_id").alias("_kept")).distinct()
-    return df.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    """The rows that stand for their class: the document with the least id, null ids last.
+
+    Different texts may share an id, or have none: a row is known by its id and its words, so each class keeps one row whatever its
+    ids are. Of equal ids in a class the least hash of the words stays, and of rows equal in both, one.
+    """
+    _, facts = _classes(_keyed(df, doc_id, text))
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("first")
+    kept = facts.groupBy("root").agg(first).select(F.col("first.doc").alias("_kept"), F.col("first.id").alias("_kept_words"))
+    rows = df.withColumn("_words", words_hash(F.col(text)))
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")) & (F.col("_words") == F.col("_kept_words"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_words"]).drop("_words")

@@ -153,6 +153,18 @@ def test_jaccard(docs, rows, empty, monkeypatch):
     assert sorted(kept) == sorted({r.class_id for r in found})
 
 
+def test_one_per_class_keeps_a_row_whatever_its_id(spark):
+    draw = random.Random(5)
+    first, second, third = (sentence(draw, 40) for _ in range(3))
+    near = first.rsplit(" ", 1)[0] + " other"
+    data = [(None, first), (None, second), (4, near), (7, third), (7, second + " more words here"), (7, third), (9, third)]
+    found = jaccard_join.one_per_class(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    # Near copies of null ids go where their class has an id; different texts of the id 7 both stay.
+    assert sorted((r.doc_id, r.text) for r in found) == sorted([(4, near), (7, third), (7, second + " more words here")])
+    alone = spark.createDataFrame([(None, first), (None, second), (None, second)], "doc_id bigint, text string")
+    assert sorted(r.text for r in jaccard_join.one_per_class(alone).collect()) == sorted([first, second])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 100)], "a bigint, b bigint")
     assert {(r.id, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
