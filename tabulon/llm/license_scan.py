@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import let
+
 # Notices as they are published, one or more per license.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -40,10 +43,15 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def bigrams(words: Column) -> Column:
-    """The set of neighbouring word pairs."""
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
-    return F.array_distinct(pairs)
+def bigrams(text: Column) -> Column:
+    """The set of neighbouring word pairs of a text."""
+
+    def pairs(words: Column) -> Column:
+        later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.array_distinct(F.transform(later, lambda w, i: F.concat_ws(" ", F.get(words, i), w)))
+
+    # The words are split once a line, not once a pair.
+    return let(normal_words(text), pairs)
 
 
 def template_bigrams(notice: str) -> list[str]:
@@ -51,34 +59,47 @@ def template_bigrams(notice: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def needed_bigrams(templates: list[list[str]], threshold: float) -> str:
+    """A pattern that every normalised text within the threshold of a template has.
+
+    Dice of t or more means that at least t / (2 - t) of a template's b bigrams are in the line, so of any
+    b - ceil(b t / (2 - t)) + 1 of them one is. The longest are taken, as these are seldom met by chance.
+    """
+    wanted = set()
+    for grams in templates:
+        shared = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        if shared > 0:
+            wanted.update(sorted(grams, key=len, reverse=True)[: len(grams) - shared + 1])
+    listed = "|".join(g.replace(" ", "[^a-z0-9]+") for g in sorted(wanted))
+    return f"(?<![a-z0-9])(?:{listed})(?![a-z0-9])" if wanted else "(?!)"
+
+
 def scan(df: DataFrame, doc_id: str, text: str, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, n_lines): the licenses of which a line of the document is a notice.
 
     Each line, and a text of one line as a whole, is compared with the templates whose number of bigrams allows
     the threshold: with a and b bigrams Dice is at most 2 min(a, b) / (a + b). dice is the best value of the document's
-    lines, n_lines how many reach the threshold. Null and empty texts and unrelated documents give no row; documents
+    lines, n_lines how many reach the threshold. Lines without any of the bigrams that a match must have are passed over; this
+    loses nothing (needed_bigrams). Null and empty texts and unrelated documents give no row; documents
     that share an id are one. Lines are compared where they are read, only the found ones are shuffled.
     """
-    compiled = [(name, template_bigrams(notice)) for name, notices in templates.items() for notice in notices]
-    sizes = [len(grams) for _, grams in compiled]
-    least = min(sizes) * threshold / (2 - threshold)
-    most = max(sizes) * (2 - threshold) / threshold
-    lines = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
-    # A word has a character and a separator at least, so a line shorter than this has too few bigrams.
-    lines = lines.where(F.length("line") >= 2 * least)
-    words = lines.withColumn("words", normal_words(F.col("line"))).where((F.size("words") - 1 >= least)).drop("line")
-    grams = words.select("doc_id", bigrams(F.col("words")).alias("grams")).where(F.size("grams").between(least, most))
-    per_license = []
-    for name in templates:
-        scores = []
-        for other, template in compiled:
-            if other == name:
-                b = len(template)
-                a = F.size("grams")
-                possible = F.least(a, F.lit(b)) * 2 >= (a + b) * threshold
-                shared = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in template])))
-                scores.append(F.when(possible, shared * 2 / (a + b)).otherwise(0.0))
-        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        per_license.append(F.struct(F.lit(name).alias("license"), best.alias("dice")))
-    found = grams.select("doc_id", F.inline(F.array(*per_license))).where(F.col("dice") >= threshold)
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    compiled = {name: [template_bigrams(notice) for notice in notices] for name, notices in templates.items()}
+    needed = needed_bigrams([grams for of_name in compiled.values() for grams in of_name], threshold)
+    documents = df.where(F.translate(F.col(text), UPPER, LOWER).rlike(needed))
+    lines = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
+    lines = lines.where(F.translate("line", UPPER, LOWER).rlike(needed))
+
+    def score(grams: Column, template: list[str]) -> Column:
+        a, b = F.size(grams), len(template)
+        possible = F.least(a, F.lit(b)) * 2 >= (a + b) * threshold
+        shared = F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in template])))
+        return F.when(possible, shared * 2 / (a + b)).otherwise(0.0)
+
+    def per_license(grams: Column) -> Column:
+        best = [(name, F.array_max(F.array(*[score(grams, t) for t in of_name]))) for name, of_name in compiled.items()]
+        return F.array(*[F.struct(F.lit(name).alias("license"), dice.alias("dice")) for name, dice in best])
+
+    found = lines.select("doc_id", F.inline(let(bigrams(F.col("line")), per_license))).where(F.col("dice") >= threshold)
     return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_lines"))

@@ -197,6 +197,33 @@ def test_licenses(docs, empty, spark):
     assert license_scan.scan(empty, "doc_id", "text").count() == 0
 
 
+def test_license_lines_equal_plain_dice(spark):
+    """Every notice with words replaced, dropped or doubled, against Dice over all templates; one line is very long."""
+    draw = random.Random(8)
+    notices = [(name, n) for name, of_name in license_scan.TEMPLATES.items() for n in of_name]
+    lines = []
+    for _, notice in notices:
+        for changes in range(12):
+            words = notice.split()
+            for _ in range(changes):
+                at = draw.randrange(len(words))
+                words[at : at + 1] = draw.choice([[], ["other"], [words[at], words[at]], [words[at].upper() + "!"]])
+                words = words or ["x"]
+            lines.append(" ".join(words))
+    lines.append(sentence(draw, 30_000) + " " + notices[0][1])
+    expected = {}
+    for i, line in enumerate(lines):
+        found = set(license_scan.template_bigrams(line))
+        for name, notice in notices:
+            template = set(license_scan.template_bigrams(notice))
+            dice = 2 * len(found & template) / (len(found) + len(template))
+            if dice >= license_scan.THRESHOLD:
+                expected[i, name] = max(dice, expected.get((i, name), 0.0))
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    assert {(r.doc_id, r.license): r.dice for r in license_scan.scan(table, "doc_id", "text").collect()} == pytest.approx(expected)
+    assert len(expected) > 50
+
+
 def test_classifier(spark, empty):
     small = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{small}/documents.parquet")
