@@ -108,7 +108,7 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def next_documents(keyed: DataFrame) -> DataFrame:
-    """(k, h, n_chars, next_k, next_h): the next document of each in descending id, the first after the last.
+    """(doc_id, k, h, n_chars, next_k, next_h): the next document of each in descending id, the first after the last.
 
     Equal ids are ordered by the hash of the text, equal rows follow each other. Only ids and hashes are moved: they are
     sorted into range partitions, neighbours are found inside, and a partition's last row takes the first of the next.
@@ -123,7 +123,7 @@ def next_documents(keyed: DataFrame) -> DataFrame:
     heads = placed.where(F.col("_n") == 1).select("block", F.struct("k", "h").alias("head"))
     heads = heads.select("block", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("after"))
     found = placed.join(heads, "block").withColumn("next", F.coalesce("following", "after"))
-    return found.select("k", "h", "n_chars", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
+    return found.select("doc_id", "k", "h", "n_chars", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
 
 
 def compare_with_edit(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -131,32 +131,34 @@ def compare_with_edit(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     The edited text has its last third of code points replaced by the first as many (or all) of the next document
     in descending id. Null texts are empty, a null id comes last, equal rows count each, a single row is its own next;
-    an empty table gives no rows. Each document moves once, and the needed beginning of its successor once.
+    an empty table gives no rows. Each document moves once, and the needed beginning of its successor once, compressed.
     """
     keyed = _keyed(df, doc_id, text)
     links = materialize(next_documents(keyed), "next-documents")
-    distinct = keyed.dropDuplicates(["k", "h"])
-    wanted = links.select("next_k", "next_h", F.floor(F.col("n_chars") / 3).cast("int").alias("need"), F.col("k").alias("pred_k"), F.col("h").alias("pred_h"))
-    followers = distinct.join(wanted, (distinct["k"] == wanted["next_k"]) & (distinct["h"] == wanted["next_h"])).select("pred_k", "pred_h", "need", "text")
+    # Both joins read the same columns of it, so the texts are shuffled once for the two.
+    distinct = keyed.select("k", "h", "text").dropDuplicates(["k", "h"])
+    wanted = links.select("next_k", "next_h", F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "doc_id", F.col("k").alias("pred_k"), F.col("h").alias("pred_h"))
+    followers = distinct.join(wanted, (distinct["k"] == wanted["next_k"]) & (distinct["h"] == wanted["next_h"])).select("pred_k", "pred_h", "need", "text", "doc_id")
 
     def beginnings(batches):
         for batch in batches:
             texts = [v or "" for v in batch.column(3).to_pylist()]
-            heads = [t[:n] for t, n in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            # Beginnings move to their predecessors, so they are compressed.
+            heads = [zlib.compress(t[:n].encode("utf-8", "surrogatepass"), 1) for t, n in zip(texts, batch.column(2).to_pylist(), strict=True)]
             prints = [to_bytes(fingerprint_of(paragraphs(t))) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(heads, pa.string()), pa.array(prints, pa.binary())],
-                names=["pred_k", "pred_h", "head", "next_print"],
+                [batch.column(0), batch.column(1), pa.array(heads, pa.binary()), pa.array(prints, pa.binary()), batch.column(4)],
+                names=["pred_k", "pred_h", "head", "next_print", "doc_id"],
             )
 
-    heads = followers.mapInArrow(beginnings, "pred_k string, pred_h bigint, head string, next_print binary")
+    heads = followers.mapInArrow(beginnings, "pred_k string, pred_h bigint, head binary, next_print binary, doc_id bigint")
     pairs = distinct.join(heads, (distinct["k"] == heads["pred_k"]) & (distinct["h"] == heads["pred_h"])).select("doc_id", "text", "head", "next_print")
 
     def compared(batches):
         for batch in batches:
             out = []
             for key, value, head, other in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                edited = value[: len(value) - len(value) // 3] + head
+                edited = value[: len(value) - len(value) // 3] + zlib.decompress(head).decode("utf-8", "surrogatepass")
                 a, b = fingerprint_of(paragraphs(value)), fingerprint_of(paragraphs(edited))
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((key, len(value), digest, to_text(a), to_text(b), likeness(a, b), likeness(a, from_bytes(other))))
