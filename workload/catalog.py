@@ -17,7 +17,9 @@ from tabulon.plans.catalog import (
     catalog_report,
 )
 from tabulon.plans.clustering import feature_input
-from tabulon.sources import register_views
+from tabulon.plans.output import write_reports
+from tabulon.sources import read_delimited, register_views, write_delimited
+from tabulon.sources.shared import new_path
 from workload import fixtures as fx
 from workload.fixtures import ITEMS_SQL, TOKENS_SQL, TYPED_SQL
 from workload.fixtures import rounded_sql as r
@@ -226,41 +228,80 @@ def union_by_name(spark, folder):
 
 
 def catalog_job(spark, folder):
-    """The statistics job as a whole: its count reports stacked, with the size of its rankings."""
-    found = catalog_report(fx.catalog_raw(spark, folder), fx.ITEM_COLUMNS, min_votes=MIN_VOTES)
+    """The statistics job as a whole, from a written CSV to its eleven saved reports: one row per report cell, read back from the saved files."""
+    job = new_path(spark, "catalog-job")
+    write_delimited(fx.catalog_raw(spark, folder), f"{job}/raw")
+    raw = read_delimited(spark, f"{job}/raw").withColumn("item_id", F.col("item_id").cast("bigint"))
+    found = catalog_report(raw, fx.ITEM_COLUMNS, min_votes=MIN_VOTES)
+    if set(found) != set(JOB_REPORTS):
+        raise ValueError(f"reports without a listing: {sorted(set(found) ^ set(JOB_REPORTS))}")
+    write_reports(found, f"{job}/reports")
+    saved = {name: read_delimited(spark, f"{job}/reports/{name}", columns=frame.columns) for name, frame in found.items()}
+    return reports.stack_by_name([_cells(saved[name], name, *listed) for name, listed in JOB_REPORTS.items()])
+
+
+def _cells(frame, name, keys, numbers, texts):
+    """(report, key, column_name, value, text): one row per cell, numbers in value, other cells in text."""
+    nothing = {"value": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), *[(cell if kind == k else nothing[k]).alias(k) for k in nothing])
+        for kind, columns in (("value", numbers), ("text", texts))
+        for c in columns
+        for cell in [F.col(c).cast("double") if kind == "value" else F.col(c)]
+    ]
+    return frame.select(F.lit(name).alias("report"), F.concat_ws("|", *keys).alias("key"), F.inline(F.array(*cells)))
 
-    def counts(report: str, key: str):
-        return found[report].select(
-            F.lit(report).alias("report"), F.col(key).cast("string").alias("key"), "movie_count"
-        )
 
-    def total(report: str, column: str):
-        return found[report].select(
-            F.lit(report).alias("report"), F.lit(column).alias("key"), F.col(column).alias("movie_count")
-        )
-
-    return reports.stack_by_name(
+# Every report of the job: the columns of its key, its numbers and its other cells.
+_RANKING_CELLS = (
+    ["title", "release_year", "genre"],
+    ["popularity", "vote_average", "vote_count"],
+    ["original_language"],
+)
+JOB_REPORTS = {
+    "summary": (
+        [],
         [
-            counts("films_by_genre", "genre_name"),
-            counts("avg_vote_by_genre", "genre_name"),
-            counts("films_by_language", "original_language"),
-            counts("films_by_year", "release_year"),
-            counts("films_by_decade", "decade"),
-            total("summary", "movies_after_cleaning"),
-            total("summary", "movie_genre_rows"),
-            found["data_quality_missing_values"].select(
-                F.lit("missing").alias("report"),
-                F.col("column_name").alias("key"),
-                F.col("missing_count").alias("movie_count"),
-            ),
-            found["data_quality_outlier_thresholds"].select(
-                F.lit("outliers").alias("report"),
-                F.col("metric").alias("key"),
-                F.col("outlier_count").alias("movie_count"),
-            ),
-            reports.count_by(found["top_popular_movies"].select(F.lit("top").alias("report")), ["report"])
-            .select("report", F.lit("rows").alias("key"), F.col("row_count").alias("movie_count")),
-        ]
+            "movies_after_cleaning",
+            "movie_genre_rows",
+            "distinct_languages",
+            "distinct_genres",
+            "min_release_year",
+            "max_release_year",
+            "typed_columns",
+            "avg_vote",
+            "avg_popularity",
+        ],
+        [],
+    ),
+    "films_by_genre": (["genre_name"], ["movie_count"], []),
+    "avg_vote_by_genre": (["genre_name"], ["avg_vote", "avg_popularity", "movie_count"], []),
+    "films_by_language": (["original_language"], ["movie_count"], []),
+    "films_by_year": (["release_year"], ["movie_count"], []),
+    "films_by_decade": (["decade"], ["movie_count", "avg_vote"], []),
+    "top_popular_movies": _RANKING_CELLS,
+    "high_quality_popular_movies": _RANKING_CELLS,
+    "data_quality_missing_values": (["column_name"], ["total_rows", "missing_count", "missing_percent"], ["why_problem"]),
+    "data_quality_outlier_thresholds": (
+        ["metric"],
+        ["q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_count"],
+        ["rule", "why_check_this_metric"],
+    ),
+    "data_quality_outlier_examples": (
+        ["metric", "title", "genre"],
+        ["release_year", "metric_value", "lower_bound", "upper_bound", "distance_from_bound"],
+        ["original_language", "outlier_side", "why_outlier"],
+    ),
+}
+
+
+def _cells_sql(name: str, sql: str, keys: list[str], numbers: list[str], texts: list[str]) -> str:
+    key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    cells = [(c, f"cast({c} as double)", "cast(null as varchar)") for c in numbers]
+    cells += [(c, "cast(null as double)", c) for c in texts]
+    return "\nunion all\n".join(
+        f"select '{name}' as report, {key} as key, '{c}' as column_name, {value} as value, {text} as text from ({sql})"
+        for c, value, text in cells
     )
 
 
@@ -462,30 +503,31 @@ select because, item_id, title, release_year, genre, vote_average, popularity, p
                 as int) as place
     from items join homes on original_language = home and lower(title) <> lower(because))
 where place <= 10""",
-    ),
-    "catalog_job": (
-        catalog_job,
-        _tokens
-        + "\nunion all\n".join(
-            f"select '{report}' as report, cast({key} as varchar) as key, count(*) as movie_count"
-            f" from {source} group by {key}{having}"
-            for report, key, source, having in [
-                ("films_by_genre", "genre_name", "item_tokens", ""),
-                ("avg_vote_by_genre", "genre_name", "item_tokens", " having count(*) >= 50"),
-                ("films_by_language", "original_language", "items", ""),
-                ("films_by_year", "release_year", "items", ""),
-                ("films_by_decade", "decade", "items", ""),
-            ]
-        )
-        + f"""
-union all select 'summary', 'movies_after_cleaning', count(*) from items
-union all select 'summary', 'movie_genre_rows', count(*) from item_tokens
-union all select 'missing', column_name, missing_count from ({missing_sql()})
-union all select 'outliers', metric, outlier_count from ({thresholds_sql("items", OUTLIER_METRICS)})
-union all select 'top', 'rows', count(*) from (select * from items limit 20)""",
     ),
     "union_by_name": (
         union_by_name,
         _items + "select item_id, title, vote_average from items where decade is not null",
     ),
 }
+
+_TOP_SQL = "select * from items {} order by {}popularity desc, item_id limit 20"
+_JOB_SQL = {
+    "summary": CASES["catalog_summary"][1].removeprefix(_tokens).replace("row_count", "movies_after_cleaning")
+    .replace("token_rows", "movie_genre_rows").replace("distinct_tokens", "distinct_genres"),
+    "films_by_genre": GENRE_COUNT_SQL,
+    "avg_vote_by_genre": RATED_SQL,
+    "films_by_language": LANGUAGE_COUNT_SQL,
+    "films_by_year": YEAR_COUNT_SQL + " group by release_year",
+    "films_by_decade": CASES["count_by_decade"][1].removeprefix(_items),
+    "top_popular_movies": _TOP_SQL.format("", ""),
+    "high_quality_popular_movies": _TOP_SQL.format(f"where vote_count >= {MIN_VOTES}", "vote_average desc, "),
+    "data_quality_missing_values": missing_sql(),
+    "data_quality_outlier_thresholds": thresholds_sql("items", OUTLIER_METRICS),
+    "data_quality_outlier_examples": examples_sql(
+        "items", OUTLIER_METRICS, "title, release_year, genre, original_language", "item_id"
+    ),
+}
+CASES["catalog_job"] = (
+    catalog_job,
+    _tokens + "\nunion all\n".join(_cells_sql(name, _JOB_SQL[name], *listed) for name, listed in JOB_REPORTS.items()),
+)
