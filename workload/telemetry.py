@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import map_values as mapped
 from tabulon.operators import matrix, profiles, quality, reports
+from tabulon.operators.quantiles import quantiles
+from tabulon.plans.output import write_reports
 from tabulon.plans.telemetry import DURATION_BAND, RESULT_LABELS, telemetry_report
 from tabulon.sources import literal_table as literal
+from tabulon.sources import read_delimited
+from tabulon.sources.shared import new_path
 from workload import fixtures as fx
 from workload.fixtures import ROUNDS_SQL
 
@@ -22,6 +26,8 @@ LINE_NUMERICS = (
 ).split()
 DISTINCT = ["gamemode", "mapname", "skillrank", "haswon"]
 PAIRED = ["1-URGENT", "5-LOW"]
+QUARTILES = [0.25, 0.5, 0.75]
+RANK_ERROR = 0.01
 MODES = {"mode": ["A", "N", "R"], "label": ["area", "bomb", "hostage"]}
 
 
@@ -67,6 +73,36 @@ def pivot_outside_range(spark, folder):
     return reports.outside_range(pivot_mean(spark, folder), "mean_duration", *DURATION_BAND)
 
 
+def saved_pivot(spark, folder):
+    """The means outside the band, saved with their keys and read back."""
+    target = new_path(spark, "pivot")
+    write_reports({"durations_outside_band": pivot_outside_range(spark, folder)}, target)
+    saved = read_delimited(spark, f"{target}/durations_outside_band", ["mapname", "objectivelocation", "mean_duration"])
+    return saved.withColumn("mean_duration", F.col("mean_duration").cast("double"))
+
+
+def approximate_quartiles(spark, folder):
+    """Quartiles of every numeric column with a given rank error: whether each value's exact ranks lie within it."""
+    lines = fx.table(spark, folder, "lineitem").select(*[F.col(c).cast("double") for c in LINE_NUMERICS])
+    found = quantiles(lines, LINE_NUMERICS, QUARTILES, rel_error=RANK_ERROR)
+    ranks = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(p).alias("p"),
+            F.count(c).alias("row_count"),
+            F.count_if(F.col(c) < value).alias("below"),
+            F.count_if(F.col(c) <= value).alias("up_to"),
+        )
+        for (c, p), value in found.items()
+    ]
+    within = (F.col("below") <= (F.col("p") + RANK_ERROR) * F.col("row_count")) & (
+        F.col("up_to") >= (F.col("p") - RANK_ERROR) * F.col("row_count")
+    )
+    return lines.agg(F.array(*ranks).alias("ranks")).select(F.inline("ranks")).select(
+        "column_name", "p", "row_count", within.alias("within_error")
+    )
+
+
 def kills_by_weapon_pair(spark, folder):
     return reports.aggregate_by(
         fx.rounds(spark, folder),
@@ -418,3 +454,12 @@ CASES["telemetry_job"] = (
     telemetry_job,
     "\nunion all\n".join(_cells_sql(name, *listed) for name, listed in JOB_REPORTS.items()),
 )
+CASES["saved_pivot"] = (saved_pivot, CASES["pivot_outside_range"][1])
+CASES["approximate_quartiles"] = (
+    approximate_quartiles,
+    "\nunion all\n".join(
+        f"select '{c}' as column_name, cast({p} as double) as p, count({c}) as row_count, true as within_error from lineitem"
+        for c in LINE_NUMERICS
+        for p in QUARTILES
+    ),
+)
