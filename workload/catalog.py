@@ -247,7 +247,7 @@ def _cells(frame, name, keys, numbers, texts):
         F.struct(F.lit(c).alias("column_name"), *[(cell if kind == k else nothing[k]).alias(k) for k in nothing])
         for kind, columns in (("value", numbers), ("text", texts))
         for c in columns
-        for cell in [F.col(c).cast("double") if kind == "value" else F.col(c)]
+        for cell in [F.round(F.col(c).cast("double"), 6) if kind == "value" else F.col(c)]
     ]
     return frame.select(F.lit(name).alias("report"), F.concat_ws("|", *keys).alias("key"), F.inline(F.array(*cells)))
 
@@ -297,7 +297,7 @@ JOB_REPORTS = {
 
 def _cells_sql(name: str, sql: str, keys: list[str], numbers: list[str], texts: list[str]) -> str:
     key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
-    cells = [(c, f"cast({c} as double)", "cast(null as varchar)") for c in numbers]
+    cells = [(c, f"round(cast({c} as double), 6)", "cast(null as varchar)") for c in numbers]
     cells += [(c, "cast(null as double)", c) for c in texts]
     return "\nunion all\n".join(
         f"select '{name}' as report, {key} as key, '{c}' as column_name, {value} as value, {text} as text from ({sql})"

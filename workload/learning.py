@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabulon.operators import clusters, features, grouping
@@ -52,6 +53,21 @@ def kmeans_assign(spark, folder):
     return _clustered(spark, folder).select("item_id", "cluster")
 
 
+def kmeans_nearest(spark, folder):
+    """Whether each item's center is the nearest one, by distances that plain column expressions add up."""
+    vectors = _features(spark, folder)
+    model = clusters.fit_kmeans(vectors, "item_id", K)
+    rows = clusters.assign(vectors, model).withColumn("point", vector_to_array("features"))
+
+    def distance(center):
+        parts = F.zip_with("point", F.array(*[F.lit(x) for x in center]), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(parts, F.lit(0.0), lambda total, part: total + part)
+
+    measured = rows.withColumn("distances", F.array(*[distance(c) for c in clusters.ordered_centers(model)]))
+    nearest = F.get("distances", "cluster") <= F.array_min("distances") + F.lit(1e-9)
+    return measured.select("item_id", nearest.alias("is_nearest"))
+
+
 def silhouette_by_label(spark, folder):
     found = clusters.silhouette_of_arrays(fx.table(spark, folder, "embeddings"), "embedding", "label")
     return found.withColumn("silhouette", F.round("silhouette", 9))
@@ -145,6 +161,7 @@ CASES = {
         + "\nselect item_id, token as dim, 1e0 as value from presence join vocabulary using (token)",
     ),
     "kmeans_assign": (kmeans_assign, None),
+    "kmeans_nearest": (kmeans_nearest, f"with {fx.ITEMS_SQL} select item_id, true as is_nearest from items"),
     "silhouette_by_label": (silhouette_by_label, _SILHOUETTE_SQL),
     "k_search": (k_search, None),
     "pca_2d": (pca_2d, None),
