@@ -1,7 +1,7 @@
 """Document fingerprints: a multiset hash that adds one wide vector per paragraph.
 
 Paragraphs are lines; a long line is cut behind words that its own content chooses. Each paragraph is hashed to LANES
-signs, and the fingerprint is their sum modulo 2^16, lane by lane, followed by the number of paragraphs. So the order
+signs, and the fingerprint is their sum modulo 2^32, lane by lane, followed by the number of paragraphs in 64 bits. So the order
 does not matter, inserting or deleting a paragraph adds or subtracts its vector, and the squared distance of
 two fingerprints over LANES estimates how many paragraphs differ.
 """
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tabulon.sources.shared import materialize
 
 LANES = 128
-MODULUS = 1 << 16
+MODULUS = 1 << 32
+#: Paragraphs whose signs are unpacked at once.
+BLOCK = 8192
 #: One word in so many ends a piece of a line.
 CUT = 8
 RESULT = pa.schema(
@@ -42,30 +44,34 @@ def paragraphs(text: str) -> list[bytes]:
 
 
 def fingerprint_of(pieces: list[bytes]) -> np.ndarray:
-    """LANES sums and the count, modulo 2^16."""
-    bits = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=LANES // 8).digest() for p in pieces), np.uint8)
-    ones = np.unpackbits(bits).reshape(-1, LANES).sum(0, dtype=np.int64) if pieces else np.zeros(LANES, np.int64)
-    return np.append((2 * ones - len(pieces)) % MODULUS, len(pieces) % MODULUS).astype(np.uint16)
+    """LANES sums modulo 2^32, and the count."""
+    sums = np.zeros(LANES, np.int64)
+    for begin in range(0, len(pieces), BLOCK):
+        part = pieces[begin : begin + BLOCK]
+        bits = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=LANES // 8).digest() for p in part), np.uint8)
+        sums += 2 * np.unpackbits(bits).reshape(-1, LANES).sum(0, dtype=np.int64) - len(part)
+    return np.append(sums % MODULUS, len(pieces))
 
 
 def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The fingerprint of both multisets together."""
-    return (a.astype(np.int64) + b).astype(np.int64) % MODULUS
+    return np.append((a[:LANES] + b[:LANES]) % MODULUS, a[LANES] + b[LANES])
 
 
 def remove(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The fingerprint of a without the paragraphs of b."""
-    return (a.astype(np.int64) - b.astype(np.int64)) % MODULUS
+    return np.append((a[:LANES] - b[:LANES]) % MODULUS, a[LANES] - b[LANES])
 
 
 def to_bytes(fingerprint: np.ndarray) -> bytes:
-    """All low bytes, then all high bytes, which are alike and so compress well."""
-    low_high = np.asarray(fingerprint).astype("<u2").view(np.uint8).reshape(-1, 2)
-    return low_high.T.tobytes()
+    """The lanes' low bytes first and their high bytes, which are alike and so compress well, last; then the count."""
+    lanes = fingerprint[:LANES].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return lanes.T.tobytes() + fingerprint[LANES:].astype("<i8").tobytes()
 
 
 def from_bytes(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
+    lanes = np.frombuffer(value, np.uint8, 4 * LANES).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.append(lanes.astype(np.int64), np.frombuffer(value, "<i8", 1, 4 * LANES))
 
 
 def to_text(fingerprint: np.ndarray) -> str:
@@ -78,7 +84,7 @@ def from_text(value: str) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 - (estimated number of differing paragraphs) / (paragraphs of both), between 0 and 1; 1 for two empty ones."""
-    d = (a[:LANES].astype(np.int64) - b[:LANES]) % MODULUS
+    d = (a[:LANES] - b[:LANES]) % MODULUS
     d = np.where(d >= MODULUS // 2, d - MODULUS, d)
     both = int(a[LANES]) + int(b[LANES])
     return float(np.clip(1 - (d * d).mean() / both, 0, 1)) if both else 1.0

@@ -254,6 +254,20 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.compare_with_edit(empty, "doc_id", "text").count() == 0
 
 
+def test_fingerprints_of_more_paragraphs_than_16_bits_count(spark):
+    lines = [f"line {i}" for i in range(75_000)]
+    one = fingerprints.fingerprint_of([line.encode() for line in lines])
+    two = fingerprints.fingerprint_of([line.encode() for line in lines[:50_000]] + [b"other %d" % i for i in range(25_000)])
+    assert one[-1] == 75_000 and (fingerprints.from_text(fingerprints.to_text(one)) == one).all()
+    assert fingerprints.likeness(one, two) == pytest.approx(2 / 3, abs=0.15)
+    # 65,536 paragraphs each: the counts were 0 and all such texts alike.
+    many, others = ([b"%s %d" % (kind, i) for i in range(1 << 16)] for kind in (b"a", b"b"))
+    assert fingerprints.likeness(fingerprints.fingerprint_of(many), fingerprints.fingerprint_of(others)) < 0.2
+    text = "\n".join(lines)
+    found = fingerprints.compare_with_edit(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "doc_id", "text").first()
+    assert fingerprints.from_text(found.fingerprint)[-1] >= 75_000 and found.near_next == 1.0 and found.near_edited > 0.5
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
