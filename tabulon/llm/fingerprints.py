@@ -1,15 +1,18 @@
 """Document fingerprints: a multiset hash that adds one wide vector per paragraph.
 
-Paragraphs are lines; a long line is cut behind words that its own content chooses. Each paragraph is hashed to LANES
+Paragraphs are lines; a long line is cut behind words that its own content chooses. Each paragraph is hashed, together with
+the number of equal ones before it in the text, to LANES
 signs, and the fingerprint is their sum modulo 2^32, lane by lane, followed by the number of paragraphs in 64 bits. So the order
-does not matter, inserting or deleting a paragraph adds or subtracts its vector, and the squared distance of
-two fingerprints over LANES estimates how many paragraphs differ.
+does not matter, inserting or deleting a paragraph adds or subtracts one vector, and the squared distance of
+two fingerprints over LANES estimates how many paragraphs differ; of a repeated one each copy that the other lacks counts one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ def paragraphs(text: str) -> list[bytes]:
         piece: list[str] = []
         for word in line.split(" "):
             piece.append(word)
-            if zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0:
+            if word and zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0:
                 out.append(" ".join(piece).encode("utf-8", "surrogatepass"))
                 piece = []
         if any(piece):
@@ -43,23 +46,30 @@ def paragraphs(text: str) -> list[bytes]:
     return out
 
 
-def fingerprint_of(pieces: list[bytes]) -> np.ndarray:
-    """LANES sums modulo 2^32, and the count."""
+def fingerprint_of(pieces: list[bytes], before: Iterable[bytes] = ()) -> np.ndarray:
+    """LANES sums modulo 2^32, and the count; copies are numbered on from those before, which are not summed."""
     sums = np.zeros(LANES, np.int64)
+    copies = Counter(before)
+
+    def digest(piece: bytes) -> bytes:
+        n = copies[piece]
+        copies[piece] = n + 1
+        return hashlib.blake2b(piece, digest_size=LANES // 8, person=n.to_bytes(8, "little")).digest()
+
     for begin in range(0, len(pieces), BLOCK):
         part = pieces[begin : begin + BLOCK]
-        bits = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=LANES // 8).digest() for p in part), np.uint8)
+        bits = np.frombuffer(b"".join(map(digest, part)), np.uint8)
         sums += 2 * np.unpackbits(bits).reshape(-1, LANES).sum(0, dtype=np.int64) - len(part)
     return np.append(sums % MODULUS, len(pieces))
 
 
 def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The fingerprint of both multisets together."""
+    """The fingerprint of both multisets together, where b was made with the paragraphs of a as those before."""
     return np.append((a[:LANES] + b[:LANES]) % MODULUS, a[LANES] + b[LANES])
 
 
 def remove(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The fingerprint of a without the paragraphs of b."""
+    """The fingerprint of a without the paragraphs of b, where b was made with the remaining ones as those before."""
     return np.append((a[:LANES] - b[:LANES]) % MODULUS, a[LANES] - b[LANES])
 
 

@@ -268,6 +268,29 @@ def test_fingerprints_of_more_paragraphs_than_16_bits_count(spark):
     assert fingerprints.from_text(found.fingerprint)[-1] >= 75_000 and found.near_next == 1.0 and found.near_edited > 0.5
 
 
+def test_likeness_counts_each_differing_copy_once(spark):
+    draw = random.Random(12)
+    shared = [sentence(draw, 4) for _ in range(200)]
+    texts = ["\n".join(shared + ["again and again"] * 60 + [sentence(draw, 4) for _ in range(40)]) for _ in range(3)]
+    texts += ["\n\n".join(shared), "\n".join(shared) + "  two  blanks" * 30, "", "\n\n \n"]
+    data = sorted(enumerate(texts), reverse=True)
+    found = {r.doc_id: r for r in fingerprints.compare_with_edit(spark.createDataFrame(data, "doc_id bigint, text string"), "doc_id", "text").collect()}
+
+    def true_likeness(one, two):
+        a, b = (Counter(fingerprints.paragraphs(t)) for t in (one, two))
+        both = a.total() + b.total()
+        return 1 - ((a - b).total() + (b - a).total()) / both if both else 1.0
+
+    for at, (doc_id, text) in enumerate(data):
+        following, n = data[(at + 1) % len(data)][1], len(text) // 3
+        assert found[doc_id].near_next == pytest.approx(true_likeness(text, following), abs=0.15)
+        assert found[doc_id].near_edited == pytest.approx(true_likeness(text, text[: len(text) - n] + following[:n]), abs=0.15)
+    assert fingerprints.paragraphs("a\n\n\n  \na") == [b"a", b"a"] and b"" not in fingerprints.paragraphs(texts[4])
+    once, twice = fingerprints.fingerprint_of([b"x"]), fingerprints.fingerprint_of([b"x", b"x"])
+    second = fingerprints.fingerprint_of([b"x"], before=[b"x"])
+    assert (fingerprints.add(once, second) == twice).all() and (fingerprints.remove(twice, second) == once).all()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
