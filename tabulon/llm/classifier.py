@@ -22,7 +22,13 @@ STEPS = 600
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
 TEXTS_AT_ONCE = 256
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
+#: Kinds of a token's shape: lower case, a capital first, capitals, other; by length, from 1 to LONGEST and more.
+LONGEST = 16
+SHAPES = 4 * LONGEST
+WIDTH = 2 * DIM + 2 + SHAPES
+#: Letters of scripts without spaces, each of which is a token: Thai to Burmese, Khmer, kana, Chinese characters.
+SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{SINGLE}]|[^\W\d_{SINGLE}]+|\d+|[^\w\s]+|_+|\n")
 _ids: dict[str, int] = {}
 
 
@@ -36,21 +42,30 @@ def index_vectors() -> np.ndarray:
 
 
 def token_buckets(text: str | None) -> np.ndarray:
-    """Buckets of the tokens of a whole text: a word in lower case together with its shape, digits and marks by kind."""
+    """One number per token of a whole text: bucket + BUCKETS * shape.
+
+    The bucket is that of the word in lower case, whatever its length, or of the kind of digits or marks. The shape says
+    how a word is written and how long it is; it is a feature of its own and has no part in the bucket.
+    """
     out = []
     for token in TOKEN.findall(text or ""):
-        bucket = _ids.get(token)
-        if bucket is None:
+        code = _ids.get(token)
+        if code is None:
+            kind = 3
             if token[0].isalpha():
-                shape = "U" if len(token) > 1 and token.isupper() else "w"
-                name = shape + (token.lower() if len(token) <= 4 else f"#{min(len(token), 16)}")
+                name = "w" + token.lower()
+                if token.islower():
+                    kind = 0
+                elif token[0].isupper():
+                    kind = 2 if len(token) > 1 and token.isupper() else 1
             else:
                 name = "9" if token[0].isdigit() else token[0] * min(len(token), 3)
-            bucket = zlib.crc32(name.encode()) % BUCKETS
+            shape = kind * LONGEST + min(len(token), LONGEST) - 1
+            code = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS + BUCKETS * shape
             if len(_ids) > 200_000:
                 _ids.clear()
-            _ids[token] = bucket
-        out.append(bucket)
+            _ids[token] = code
+        out.append(code)
     return np.asarray(out, np.int64)
 
 
@@ -58,7 +73,7 @@ def context_sums(texts: list[np.ndarray], index: np.ndarray, sums: np.ndarray) -
     """Adds to each token's bucket the index vectors of its neighbours in the same text."""
     for begin in range(0, len(texts), TEXTS_AT_ONCE):
         part = texts[begin : begin + TEXTS_AT_ONCE]
-        tokens = np.concatenate(part)
+        tokens = np.concatenate(part) % BUCKETS
         owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
         for step in range(1, REACH + 1):
             near = owner[:-step] == owner[step:]
@@ -81,13 +96,14 @@ def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 
 def pooled(tokens: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector, and the logarithm of the length; zeros for a text without tokens."""
+    """Mean word vector, the logarithm of the length, the share of distinct words, and the share of each shape; zeros without tokens."""
     if not len(tokens):
-        return np.zeros(2 * DIM + 2)
-    counts = np.bincount(tokens, minlength=BUCKETS)
+        return np.zeros(WIDTH)
+    counts = np.bincount(tokens % BUCKETS, minlength=BUCKETS)
     used = np.flatnonzero(counts)
     mean = counts[used] @ vectors[used] / len(tokens)
-    return np.concatenate([mean, [np.log1p(len(tokens)) / 10, len(used) / len(tokens)]])
+    shapes = np.bincount(tokens // BUCKETS, minlength=SHAPES) / len(tokens)
+    return np.concatenate([mean, [np.log1p(len(tokens)) / 10, len(used) / len(tokens)], shapes])
 
 
 @dataclass
@@ -178,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         found = table.withColumn("part", id_remainder(F.col("id"))).orderBy("id", "y").select("part", "y", "x").collect()
     finally:
         rows.unpersist()
-    width = 2 * DIM + 2
+    width = WIDTH
     x = np.array([r["x"] for r in found]).reshape(-1, width)
     y = np.array([r["y"] for r in found], float)
     later = np.array([r["part"] == 1 for r in found], bool)
@@ -202,7 +218,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
     def scored(frames):
         for batch in frames:
             m = shared.value
-            values = np.array([pooled(token_buckets(v.as_py()), m.vectors) for v in batch.column(batch.schema.get_field_index("_text"))]).reshape(-1, 2 * DIM + 2)
+            values = np.array([pooled(token_buckets(v.as_py()), m.vectors) for v in batch.column(batch.schema.get_field_index("_text"))]).reshape(-1, WIDTH)
             kept = batch.drop_columns(["_text"])
             yield kept.append_column(out, pa.array(m.scores(values), pa.float64()))
 

@@ -237,6 +237,24 @@ def test_classifier(spark, empty):
     assert [r.score for r in classifier.score(blank, nothing).collect()] == [0.5, 0.5]
 
 
+def test_classifier_learns_from_long_words_and_scripts_without_spaces(spark):
+    """Good and bad texts differ by words of equal lengths only, or by the characters of unbroken runs."""
+    draw = random.Random(21)
+    kinds = [("river castle window", "casino lender wagers"), ("学校图书馆文章", "赌场贷款彩票网")]
+    data = []
+    for i in range(600):
+        label, (good, bad) = i % 2, kinds[i // 2 % 2]
+        pool = (good if label else bad).split() if " " in good else list(good if label else bad)
+        data.append((i, (" " if " " in good else "").join(draw.choice(pool) for _ in range(40)), label))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id bigint, quality int")
+    scored = classifier.score(docs, classifier.fit(docs, labels)).collect()
+    held = [(r.score >= 0.5) == data[r.doc_id][2] for r in scored if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 80 and sum(held) / len(held) > 0.95
+    a, b, c = (classifier.token_buckets(t)[0] % classifier.BUCKETS for t in ("castle", "window", "CASTLE"))
+    assert a != b and a == c and len(classifier.token_buckets("学校图书馆")) == 5
+
+
 def test_fingerprints(docs, rows, empty):
     a, b, c = [b"one"], [b"two", b"three"], [b"three", b"one", b"two"]
     one, two, three = map(fingerprints.fingerprint_of, (a, b, c))
