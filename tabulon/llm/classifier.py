@@ -18,7 +18,7 @@ NONZERO = 6
 REACH = 2
 HIDDEN = 32
 STEPS = 600
-#: Labelled documents that a fit uses at most, those with the least hash of the id.
+#: Labelled documents that the layers and the temperature are fitted on at most, those with the least hash of the id.
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
 TEXTS_AT_ONCE = 256
@@ -32,12 +32,17 @@ TOKEN = re.compile(rf"[{SINGLE}]|[^\W\d_{SINGLE}]+|\d+|[^\w\s]+|_+|\n")
 _ids: dict[str, int] = {}
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse ternary vectors, one per bucket, the same wherever they are made."""
+def index_columns() -> np.ndarray:
+    """The NONZERO dimensions of each bucket's vector, the same wherever they are drawn: odd ones add 1, even ones -1."""
     draw = np.random.default_rng(SEED)
+    return np.stack([draw.integers(0, DIM, BUCKETS) for _ in range(NONZERO)])
+
+
+def index_vectors() -> np.ndarray:
+    """Sparse ternary vectors, one per bucket."""
     vectors = np.zeros((BUCKETS, DIM), np.float32)
-    for column in range(NONZERO):
-        vectors[np.arange(BUCKETS), draw.integers(0, DIM, BUCKETS)] += 1.0 if column % 2 else -1.0
+    for column, dims in enumerate(index_columns()):
+        vectors[np.arange(BUCKETS), dims] += 1.0 if column % 2 else -1.0
     return vectors
 
 
@@ -69,24 +74,23 @@ def token_buckets(text: str | None) -> np.ndarray:
     return np.asarray(out, np.int64)
 
 
-def context_sums(texts: list[np.ndarray], index: np.ndarray, sums: np.ndarray) -> None:
-    """Adds to each token's bucket the index vectors of its neighbours in the same text."""
+def context_sums(texts: list[np.ndarray], columns: np.ndarray, sums: np.ndarray) -> None:
+    """Adds to each token's bucket the index vectors of its neighbours in the same text; sums has BUCKETS * DIM whole numbers."""
     for begin in range(0, len(texts), TEXTS_AT_ONCE):
         part = texts[begin : begin + TEXTS_AT_ONCE]
         tokens = np.concatenate(part) % BUCKETS
         owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
         for step in range(1, REACH + 1):
             near = owner[:-step] == owner[step:]
-            pairs = np.concatenate([tokens[:-step][near] * BUCKETS + tokens[step:][near], tokens[step:][near] * BUCKETS + tokens[:-step][near]])
-            # Equal pairs are counted first; sorted by word, each word's neighbours are added in one run.
-            pairs, counts = np.unique(pairs, return_counts=True)
-            if len(pairs):
-                words, starts = np.unique(pairs // BUCKETS, return_index=True)
-                for low in range(0, len(words), 512):
-                    ends = starts[low + 512] if low + 512 < len(words) else len(pairs)
-                    span = slice(starts[low], ends)
-                    rows = index[pairs[span] % BUCKETS] * counts[span, None].astype(np.float32)
-                    sums[words[low : low + 512]] += np.add.reduceat(rows, starts[low : low + 512] - starts[low])
+            one, other = tokens[:-step][near], tokens[step:][near]
+            words, neighbours = np.concatenate([one, other]) * DIM, np.concatenate([other, one])
+            for column, dims in enumerate(columns):
+                # Vectors are sparse, so only their places that are not zero are counted.
+                counts = np.bincount(words + dims[neighbours], minlength=BUCKETS * DIM)
+                if column % 2:
+                    sums += counts
+                else:
+                    sums -= counts
 
 
 def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -154,10 +158,10 @@ def id_remainder(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Learn from labelled rows with id remainder 1 to 4; remainder 0 is never looked at.
+    """Learn from labelled rows with id remainder 1 to 4; labels of remainder 0 are never looked at.
 
-    Word vectors and layers come from at most MAX_FIT_ROWS labelled rows, chosen by a hash of the id; the rows with
-    remainder 1 set the temperature only. Texts stay in the tasks: context sums (BUCKETS x DIM numbers a task) and pooled
+    The contexts of words are summed over the texts of all documents, labelled or not. The layers come from at most
+    MAX_FIT_ROWS labelled rows, chosen by a hash of the id; the rows with remainder 1 set the temperature only. Texts stay in the tasks: context sums (BUCKETS x DIM numbers a task) and pooled
     vectors reach the driver. Null ids and labels are left out. Without rows of both classes every score is the
     share of label 1 (0.5 without rows).
     """
@@ -165,20 +169,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = marked.groupBy("id").agg(F.max("y").alias("y")).where(id_remainder(F.col("id")) != 0)
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(MAX_FIT_ROWS)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marked, "id").persist()
-    index = index_vectors()
+    index, columns = index_vectors(), index_columns()
 
     def sums_of(batches):
-        sums = np.zeros((BUCKETS, DIM), np.float32)
+        sums = np.zeros(BUCKETS * DIM, np.int64)
         for batch in batches:
-            context_sums([token_buckets(value.as_py()) for value in batch.column(0)], index, sums)
-        seen = np.flatnonzero(np.abs(sums).sum(1))
+            context_sums([token_buckets(value.as_py()) for value in batch.column(0)], columns, sums)
+        sums = sums.reshape(BUCKETS, DIM)
+        seen = np.flatnonzero(sums.any(1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int32()), pa.array(list(sums[seen]), pa.list_(pa.float32()))], names=["bucket", "v"]
+            [pa.array(seen, pa.int32()), pa.array(list(sums[seen]), pa.list_(pa.int64()))], names=["bucket", "v"]
         )
 
     try:
-        summed = rows.where(id_remainder(F.col("id")) != 1).select("text").mapInArrow(sums_of, "bucket int, v array<float>")
-        per_entry = summed.groupBy("bucket").agg(*[F.sum(F.col("v")[i].cast("double")).alias(f"v{i}") for i in range(DIM)])
+        summed = docs.select(F.col(text)).mapInArrow(sums_of, "bucket int, v array<bigint>")
+        per_entry = summed.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)])
         sums = np.zeros((BUCKETS, DIM))
         for row in per_entry.toLocalIterator():
             sums[row[0]] = row[1:]

@@ -255,6 +255,21 @@ def test_classifier_learns_from_long_words_and_scripts_without_spaces(spark):
     assert a != b and a == c and len(classifier.token_buckets("学校图书馆")) == 5
 
 
+def test_classifier_sums_contexts_of_all_documents(spark, monkeypatch):
+    texts = ["one two three", "two four", "five SIX seven six", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")
+    monkeypatch.setattr(classifier, "MAX_FIT_ROWS", 1)
+    found = classifier.fit(docs, labels).vectors
+    index, sums = classifier.index_vectors(), np.zeros((classifier.BUCKETS, classifier.DIM))
+    for text in texts:
+        tokens = classifier.token_buckets(text) % classifier.BUCKETS
+        for i, j in ((i, j) for i in range(len(tokens)) for j in range(len(tokens)) if 0 < abs(i - j) <= classifier.REACH):
+            sums[tokens[i]] += index[tokens[j]]
+    assert np.allclose(found, classifier.word_vectors(sums, index), atol=1e-6)
+    assert np.abs(found[classifier.token_buckets("seven")[0] % classifier.BUCKETS, classifier.DIM :]).sum() > 0
+
+
 def test_fingerprints(docs, rows, empty):
     a, b, c = [b"one"], [b"two", b"three"], [b"three", b"one", b"two"]
     one, two, three = map(fingerprints.fingerprint_of, (a, b, c))
