@@ -3,8 +3,9 @@
 Texts with the same words are one class, of which one text is compared. Its MinHash signature fills TREES sorted
 prefix tries; texts are candidates where they share a matched prefix in some trie. The prefix is shortened,
 level by level, until a pair at the threshold is found with the target recall. Candidates are held together by stars, and
-the texts of a candidate group are compared in tiles: in a tile, pairs whose signatures match in a trie are
-counted by their exact shingle sets, so no pair is emitted, however large a group of near copies is.
+the texts of a candidate group are compared in tiles: in a tile, all pairs whose sizes allow the threshold are
+counted by their exact shingle sets, so no link within a group is missed, and no pair is emitted, however large it is.
+Signatures only decide which texts come into one group; there a lone pair at the threshold is missed once in 3e8.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from tabulon.sources.shared import materialize
 
 WORDS = 5
 THRESHOLD = 0.8
-TARGET_RECALL = 0.999
-TREES = 24
+TARGET_RECALL = 1 - 1e-8
+TREES = 64
 LONGEST_PREFIX = 12
 TILE = 256
 SEED = 11
+#: Shingles that are compared at once.
+COLUMNS = 4096
 
 
 def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES) -> int:
@@ -54,15 +57,19 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
 def signature(hashes: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
     """One 64-bit code per trie: the hash of the first depth MinHash values of that trie."""
     draw = np.random.default_rng(SEED)
-    factors = draw.integers(1, 1 << 63, trees * depth, dtype=np.uint64) | np.uint64(1)
-    shifts = draw.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
-    least = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
+    factors = draw.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
+    shifts = draw.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
+    # Values of 32 bits are enough for the least of a text; texts with equal codes are compared by their sets.
+    short = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(trees * depth, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for begin in range(0, len(hashes), 1024):
-            part = hashes[begin : begin + 1024, None] * factors + shifts
-            least = np.minimum(least, (part ^ part >> np.uint64(31)).min(0))
+        for begin in range(0, len(short), 128):
+            part = short[begin : begin + 128, None] * factors
+            part ^= part >> np.uint32(15)
+            part *= shifts
+            least = np.minimum(least, part.min(0))
         codes = np.zeros(trees, np.uint64)
-        for level in least.reshape(trees, depth).T:
+        for level in least.reshape(trees, depth).T.astype(np.uint64):
             codes = (codes ^ level) * np.uint64(0xD6E8FEB86659FD93)
             codes ^= codes >> np.uint64(32)
     return codes
@@ -100,17 +107,28 @@ def _with_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, T.StructType([*fields, T.StructField("shingles", T.BinaryType())]))
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
-    """How many shingles each wanted pair shares; exact, and bounded by the tile whatever the texts are."""
-    counts = np.zeros(wanted.shape, np.int64)
-    for i in np.flatnonzero(wanted.any(1)):
-        columns = np.flatnonzero(wanted[i])
-        joined = np.concatenate([right[j] for j in columns])
-        if not len(left[i]) or not len(joined):
-            continue
-        at = np.minimum(np.searchsorted(left[i], joined), len(left[i]) - 1)
-        owner = np.repeat(np.arange(len(columns)), [len(right[j]) for j in columns])
-        counts[i, columns] = np.bincount(owner[left[i][at] == joined], minlength=len(columns))
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair shares; exact, and bounded by the tile whatever the texts are."""
+    counts = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return counts
+    values = [np.concatenate(side) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    common = np.intersect1d(*values)
+    places = []
+    for value, owner in zip(values, owners):
+        at = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
+        known = common[at] == value if len(common) else np.zeros(len(value), bool)
+        order = np.argsort(at[known], kind="stable")
+        places.append((at[known][order], owner[known][order]))
+    for begin in range(0, len(common), COLUMNS):
+        # 0 and 1 in float32 are summed exactly: a product has at most COLUMNS terms.
+        sides = []
+        for (at, owner), side in zip(places, (left, right)):
+            span = slice(*np.searchsorted(at, [begin, begin + COLUMNS]))
+            sides.append(np.zeros((len(side), COLUMNS), np.float32))
+            sides[-1][owner[span], at[span] - begin] = 1
+        counts += (sides[0] @ sides[1].T).astype(np.int64)
     return counts
 
 
@@ -122,16 +140,13 @@ def _compare(pdf):
     pdf = pdf.drop_duplicates("id").sort_values("id")
     parts = [pdf[pdf["tile"] == t] for t in (first, second)]
     sets = [[np.frombuffer(s, np.uint64) for s in p["shingles"]] for p in parts]
-    codes = [np.stack(p["codes"].to_numpy()) if len(p) else np.zeros((0, TREES), np.int64) for p in parts]
-    wanted = np.zeros((len(parts[0]), len(parts[1])), bool)
-    for tree in range(TREES):
-        wanted |= codes[0][:, tree, None] == codes[1][None, :, tree]
+    wanted = np.ones((len(parts[0]), len(parts[1])), bool)
     if first == second:
         wanted &= np.triu(np.ones(wanted.shape, bool), 1)
     sizes = [np.array([len(s) for s in side], np.int64) for side in sets]
     low, high = np.minimum(sizes[0][:, None], sizes[1][None, :]), np.maximum(sizes[0][:, None], sizes[1][None, :])
     wanted &= low * 10 >= high * round(THRESHOLD * 10)
-    shared = shared_counts(sets[0], sets[1], wanted)
+    shared = shared_counts(sets[0], sets[1]) if wanted.any() else np.zeros(wanted.shape, np.int64)
     union = sizes[0][:, None] + sizes[1][None, :] - shared
     linked = wanted & (shared * 10 >= union * round(THRESHOLD * 10))
     ids, copies = [p["id"].to_numpy() for p in parts], [p["copies"].to_numpy() for p in parts]
@@ -179,13 +194,13 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     tiled = groups.join(sizes, "root").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles").cast("bigint")).cast("int"))
-    chosen = per_text.join(tiled.drop("n"), "id").select("id", F.coalesce("doc", F.lit(-1)).alias("doc"), "copies", "codes", "root", "tile", "tiles")
+    chosen = per_text.join(tiled.drop("n"), "id").select("id", F.coalesce("doc", F.lit(-1)).alias("doc"), "copies", "root", "tile", "tiles")
     texts = docs.select(F.coalesce("doc", F.lit(-1)).alias("doc"), "id", "text").join(chosen, ["id", "doc"])
     # Each text goes to the pairs of tiles it is part of: as many as its group has tiles.
     spread = _with_sets(texts).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.withColumns({"tile_a": F.least("tile", "partner"), "tile_b": F.greatest("tile", "partner")})
     linked = (
-        spread.select("id", "copies", "shingles", "codes", "root", "tile", "tile_a", "tile_b")
+        spread.select("id", "copies", "shingles", "root", "tile", "tile_a", "tile_b")
         .groupBy("root", "tile_a", "tile_b")
         .applyInPandas(_compare, "id bigint, n_texts bigint, n_documents bigint, root bigint")
     )

@@ -153,6 +153,22 @@ def test_jaccard(docs, rows, empty, monkeypatch):
     assert sorted(kept) == sorted({r.class_id for r in found})
 
 
+def test_jaccard_finds_all_links_of_a_group_at_the_threshold(spark):
+    """Variants of one text, most pairs with exactly 0.8: not one of some 31,000 links is missed."""
+    draw = random.Random(31)
+    base, sets, data = [f"w{i}" for i in range(454)], [], []
+    for i in range(250):
+        words = list(base)
+        for slot in draw.sample(range(90), 5):
+            words[5 * slot + 2 if slot else 4] = f"v{i}x{slot}"
+        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)))
+        data.append((i, " ".join(words)))
+    expected = {i: sum(5 * len(one & other) >= 4 * len(one | other) for j, other in enumerate(sets) if j != i) for i, one in enumerate(sets)}
+    found = jaccard_join.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_text_links for r in found} == expected and sum(expected.values()) > 50_000
+    assert 1 - (1 - jaccard_join.THRESHOLD ** jaccard_join.prefix_length()) ** jaccard_join.TREES > 1 - 1e-8
+
+
 def test_one_per_class_keeps_a_row_whatever_its_id(spark):
     draw = random.Random(5)
     first, second, third = (sentence(draw, 40) for _ in range(3))
