@@ -34,6 +34,44 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     ),
 }
+MIT_CONDITIONS = (
+    ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"
+    " persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be"
+    " included in all copies or substantial portions of the Software."
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,'
+    " FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"
+    " LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN"
+    " THE SOFTWARE."
+)
+ISC_DISCLAIMER = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY'
+    " AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM"
+    " LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR"
+    " PERFORMANCE OF THIS SOFTWARE."
+)
+BSD_START = (
+    " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"
+    " and/or other materials provided with the distribution."
+)
+BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without"
+    " specific prior written permission."
+)
+BSD_DISCLAIMER = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE'
+    " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE"
+    " FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR"
+    " TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Texts of the short licenses as a whole, each made of its opening sentence in TEMPLATES and the rest.
+FULL_TEXTS: dict[str, tuple[str, ...]] = {
+    "MIT": (TEMPLATES["MIT"][1] + MIT_CONDITIONS,),
+    "ISC": (TEMPLATES["ISC"][0] + ISC_DISCLAIMER,),
+    "BSD-2-Clause": (TEMPLATES["BSD-3-Clause"][0] + BSD_START + BSD_DISCLAIMER,),
+    "BSD-3-Clause": (TEMPLATES["BSD-3-Clause"][0] + BSD_START + BSD_NAMES + BSD_DISCLAIMER,),
+}
 THRESHOLD = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,3 +141,103 @@ def scan(df: DataFrame, doc_id: str, text: str, templates: Mapping[str, tuple[st
 
     found = lines.select("doc_id", F.inline(let(bigrams(F.col("line")), per_license))).where(F.col("dice") >= threshold)
     return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def _all_templates(*parts: Mapping[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    return {name: tuple(dict.fromkeys(n for part in parts for n in part.get(name, ()))) for name in sorted(set().union(*parts))}
+
+
+#: What find_notices looks for.
+NOTICES = _all_templates(TEMPLATES, FULL_TEXTS)
+
+
+def pattern_of(grams: list[str]) -> str:
+    """A pattern for any of the bigrams as a prefix tree, so that few branches are tried at a place."""
+
+    def tree(words: list[str]) -> str:
+        by_first: dict[str, list[str]] = {}
+        for word in words:
+            by_first.setdefault(word[:1], []).append(word[1:])
+        out = [("[^a-z0-9]+" if c == " " else c) + tree(rest) if c else "(?![a-z0-9])" for c, rest in sorted(by_first.items())]
+        return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+    return f"(?<![a-z0-9]){tree(sorted(set(grams)))}" if grams else "(?!)"
+
+
+def needed_of(grams: list[str], threshold: float) -> list[str]:
+    """Bigrams of a template of which a text within the threshold has one (see needed_bigrams)."""
+    shared = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+    return sorted(grams, key=len, reverse=True)[: len(grams) - shared + 1] if shared > 0 else []
+
+
+def find_notices(df: DataFrame, doc_id: str, text: str, templates: Mapping[str, tuple[str, ...]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, license, dice, n_lines): the licenses of which a passage of the document is a notice.
+
+    The words of the whole text are compared, so a notice may span lines or stand within one. A template with p bigrams, repeated
+    ones counted, is compared with each window of up to p (2 - threshold) / threshold bigrams that begins and ends with one of its own; a
+    bigram at an end that is not of the template only lowers Dice. Windows that overlap are one place, which goes to the template with
+    the most bigrams in common, then the best Dice: a neighbour of the same length, as another version, has fewer, and
+    an opening sentence that licenses share has fewer than the text of one. dice is the best value of the license's places, n_lines how many
+    places there are. Null and empty texts and unrelated documents give no row; documents that share an id are one. Texts
+    are compared where they are read; only the found rows are shuffled.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    compiled = []
+    for name, notices in templates.items():
+        for notice in notices:
+            grams = template_bigrams(notice)
+            if grams:
+                words = len("".join(c if c.isascii() and c.isalnum() else " " for c in notice).split())
+                compiled.append((name, grams, math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9), int((words - 1) * (2 - threshold) / threshold + 1e-9)))
+    needed = [g for _, grams, _, _ in compiled for g in needed_of(grams, threshold)]
+    strings = lambda values: F.array(*[F.lit(v) for v in values])
+    known = F.array(
+        *[F.struct(F.lit(n).alias("license"), strings(g).alias("grams"), F.lit(least).alias("least"), F.lit(most).alias("most")) for n, g, least, most in compiled]
+    )
+    of_any = strings(dict.fromkeys(g for _, grams, _, _ in compiled for g in grams))
+    documents = df.where(F.translate(F.col(text), UPPER, LOWER).rlike(pattern_of(needed)))
+
+    def in_order(words: Column) -> Column:
+        later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.transform(later, lambda w, i: F.concat_ws(" ", F.get(words, i), w))
+
+    rows = documents.select(F.col(doc_id).alias("doc_id"), let(normal_words(F.col(text)), in_order).alias("all"))
+    rows = rows.withColumn("met", F.array_intersect("all", of_any))
+    # A template that shares too few bigrams with the whole text is within the threshold of none of its windows.
+    rows = rows.withColumn("near", F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], F.col("met"))) >= t["least"]))
+    rows = rows.where(F.size("near") > 0)
+
+    def windows(t: Column) -> Column:
+        """The best window from each place of a bigram of the template: (shared, dice, -begin, -end, license)."""
+
+        def from_places(places: Column) -> Column:
+            def from_place(begin: Column, i: Column) -> Column:
+                ends = F.filter(F.slice(places, i + t["least"], t["most"]), lambda e: e - begin < t["most"])
+
+                def of_end(end: Column) -> Column:
+                    def scored(window: Column) -> Column:
+                        shared = F.size(F.array_intersect(window, t["grams"]))
+                        dice = shared * 2 / (F.size(window) + F.size(t["grams"]))
+                        return F.struct(dice.alias("dice"), shared.alias("shared"), begin.alias("begin"), end.alias("end"), t["license"].alias("license"))
+
+                    return let(F.array_distinct(F.slice("all", begin + 1, end - begin + 1)), scored)
+
+                return F.array_max(F.transform(ends, of_end))
+
+            starts = F.slice(places, 1, F.greatest(F.size(places) - t["least"] + 1, F.lit(0)))
+            return F.filter(F.transform(starts, from_place), lambda w: w["dice"] >= threshold)
+
+        places = F.filter(F.transform("all", lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+        return let(places, from_places)
+
+    ranked = F.transform(
+        F.flatten(F.transform("near", windows)),
+        lambda w: F.struct((-w["shared"]).alias("a"), (-w["dice"]).alias("b"), w["begin"].alias("begin"), w["end"].alias("end"), w["license"].alias("license")),
+    )
+    rows = rows.select("doc_id", F.array_sort(ranked).alias("found"))
+    apart = lambda kept, w: ~F.exists(kept, lambda k: (k["begin"] <= w["end"]) & (w["begin"] <= k["end"]))
+    nothing = F.slice("found", 1, 0)
+    kept = F.aggregate("found", nothing, lambda kept, w: F.when(apart(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+    places = rows.select("doc_id", F.explode(kept).alias("w"))
+    return places.groupBy("doc_id", F.col("w.license").alias("license")).agg(F.max(-F.col("w.b")).alias("dice"), F.count(F.lit(1)).alias("n_lines"))

@@ -52,7 +52,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return license_scan.find_notices(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

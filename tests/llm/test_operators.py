@@ -240,6 +240,46 @@ def test_license_lines_equal_plain_dice(spark):
     assert len(expected) > 50
 
 
+def test_notices_span_lines_and_stand_in_prose(spark, empty):
+    apache = "Licensed under the Apache License, Version 2.0."
+    mit = license_scan.FULL_TEXTS["MIT"][0].split()
+    wrapped = "Copyright (c) 2020 A. Person\n\n" + "\n".join(" ".join(mit[i : i + 11]) for i in range(0, len(mit), 11)) + "\n\nother words"
+    texts = [apache.replace("License, ", "License,\n"), f"some prose before {apache} and a lot of other words after it", wrapped, " ".join(mit)]
+    texts += [f"{apache}\nwords between\n{apache} words", None, "", "words only, under the license of words"]
+    found = license_scan.find_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text").collect()
+    names = {0: "Apache-2.0", 1: "Apache-2.0", 2: "MIT", 3: "MIT", 4: "Apache-2.0"}
+    assert {(r.doc_id, r.license, r.dice, r.n_lines) for r in found} == {(i, n, 1.0, 2 if i == 4 else 1) for i, n in names.items()}
+    assert license_scan.find_notices(empty, "doc_id", "text").count() == 0
+
+
+def test_best_window_equals_brute_force(spark):
+    """Changed notices between other words, against Dice of every window of the text; SQL-free and without lines."""
+    draw, data, expected = random.Random(9), [], {}
+    for name, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            for changes in (0, 2, 5):
+                words = notice.split()
+                for _ in range(changes):
+                    at = draw.randrange(len(words))
+                    words[at : at + 1] = draw.choice([["other"], [words[at], words[at]], [words[at], "more"]])
+                text = sentence(draw, 8) + " " + "\n".join(words) + " " + sentence(draw, 8)
+                flat = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+                pairs = [f"{a} {b}" for a, b in zip(flat, flat[1:])]
+                template, longest = set(license_scan.template_bigrams(notice)), (len("".join(c if c.isalnum() else " " for c in notice).split()) - 1) * 3 // 2
+                spans = [set(pairs[i:j]) for i in range(len(pairs)) for j in range(i + 1, min(i + longest, len(pairs)) + 1)]
+                best = max(2 * len(s & template) / (len(s) + len(template)) for s in spans)
+                if best >= license_scan.THRESHOLD:
+                    expected[len(data)] = (name, best)
+                data.append((name, notice, text))
+    for i, (name, notice, text) in enumerate(data):
+        data[i] = (i, name, notice, text)
+    found = {}
+    for name, notice in dict.fromkeys((d[1], d[2]) for d in data):
+        df = spark.createDataFrame([(d[0], d[3]) for d in data if d[2] == notice], "doc_id int, text string")
+        found |= {r.doc_id: (r.license, pytest.approx(r.dice)) for r in license_scan.find_notices(df, "doc_id", "text", {name: (notice,)}).collect()}
+    assert found == expected and len(expected) > 20
+
+
 def test_classifier(spark, empty):
     small = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{small}/documents.parquet")
