@@ -72,6 +72,64 @@ FULL_TEXTS: dict[str, tuple[str, ...]] = {
     "BSD-2-Clause": (TEMPLATES["BSD-3-Clause"][0] + BSD_START + BSD_DISCLAIMER,),
     "BSD-3-Clause": (TEMPLATES["BSD-3-Clause"][0] + BSD_START + BSD_NAMES + BSD_DISCLAIMER,),
 }
+
+
+def _gnu(title: str, version: str, subjects: tuple[str, ...] = ("program",)) -> tuple[str, ...]:
+    by = f"you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation"
+    return (
+        f"This work is licensed under the {title}, version {version}.",
+        f"Licensed under the {title} v{version}.",
+        *(f"This {s} is free software: {by}, either version {version} of the License, or (at your option) any later version." for s in subjects),
+        *(f"This {s} is free software: {by}, version {version} of the License." for s in subjects),
+        f"{title} Version {version} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    )
+
+
+def _creative_commons() -> dict[str, tuple[str, ...]]:
+    kinds = {"": "", "-SA": "-ShareAlike", "-ND": "-NoDerivatives", "-NC": "-NonCommercial", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+    scopes = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+    return {
+        f"CC-BY{kind}-{version}": (
+            f"This work is licensed under a Creative Commons Attribution{name} {version} {scope} License.",
+            f"Licensed under CC BY{kind} {version}.",
+        )
+        for kind, name in kinds.items()
+        for version, scope in scopes.items()
+    }
+
+
+#: Further licenses and versions, and further notices of those above. Neighbours of a license must be here, or their texts count as it.
+MORE_NOTICES: dict[str, tuple[str, ...]] = _creative_commons() | {
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "3"),
+    "Apache-1.1": ("Licensed under the Apache License, Version 1.1.", "The Apache Software License, Version 1.1 Copyright (c) The Apache Software Foundation. All rights reserved."),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "Licensed under the BSD 2-Clause License."),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0.",
+        "This work is licensed under a Creative Commons CC0 1.0 Universal License.",
+        "This work is dedicated to the public domain under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, version 2.0."),
+    "GPL-1.0": _gnu("GNU General Public License", "1"),
+    "GPL-2.0": _gnu("GNU General Public License", "2"),
+    "GPL-3.0": _gnu("GNU General Public License", "3"),
+    "ISC": ("Released under the ISC License.", "Licensed under the ISC License."),
+    "LGPL-2.0": _gnu("GNU Library General Public License", "2", ("program", "library")),
+    "LGPL-2.1": _gnu("GNU Lesser General Public License", "2.1", ("program", "library")),
+    "LGPL-3.0": _gnu("GNU Lesser General Public License", "3", ("program", "library")),
+    "MIT": ("Licensed under the MIT License.",),
+    "MPL-1.1": (
+        "Licensed under the Mozilla Public License, version 1.1.",
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
+    ),
+    "MPL-2.0": (
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This work is licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+}
 THRESHOLD = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -148,7 +206,7 @@ def _all_templates(*parts: Mapping[str, tuple[str, ...]]) -> dict[str, tuple[str
 
 
 #: What find_notices looks for.
-NOTICES = _all_templates(TEMPLATES, FULL_TEXTS)
+NOTICES = _all_templates(TEMPLATES, FULL_TEXTS, MORE_NOTICES)
 
 
 def pattern_of(grams: list[str]) -> str:
@@ -191,7 +249,8 @@ def find_notices(df: DataFrame, doc_id: str, text: str, templates: Mapping[str,
                 words = len("".join(c if c.isascii() and c.isalnum() else " " for c in notice).split())
                 compiled.append((name, grams, math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9), int((words - 1) * (2 - threshold) / threshold + 1e-9)))
     needed = [g for _, grams, _, _ in compiled for g in needed_of(grams, threshold)]
-    strings = lambda values: F.array(*[F.lit(v) for v in values])
+    # Bigrams hold no line break; one literal that is split builds faster than one for each.
+    strings = lambda values: F.split(F.lit("\n".join(values)), "\n")
     known = F.array(
         *[F.struct(F.lit(n).alias("license"), strings(g).alias("grams"), F.lit(least).alias("least"), F.lit(most).alias("most")) for n, g, least, most in compiled]
     )
@@ -202,14 +261,12 @@ def find_notices(df: DataFrame, doc_id: str, text: str, templates: Mapping[str,
         later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
         return F.transform(later, lambda w, i: F.concat_ws(" ", F.get(words, i), w))
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), let(normal_words(F.col(text)), in_order).alias("all"))
-    rows = rows.withColumn("met", F.array_intersect("all", of_any))
-    # A template that shares too few bigrams with the whole text is within the threshold of none of its windows.
-    rows = rows.withColumn("near", F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], F.col("met"))) >= t["least"]))
-    rows = rows.where(F.size("near") > 0)
+    def near_templates(grams: Column) -> Column:
+        """The templates that share enough bigrams with the whole text; others are within the threshold of none of its windows."""
+        return let(F.array_intersect(grams, of_any), lambda met: F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], met)) >= t["least"]))
 
-    def windows(t: Column) -> Column:
-        """The best window from each place of a bigram of the template: (shared, dice, -begin, -end, license)."""
+    def windows(grams: Column, t: Column) -> Column:
+        """The best window from each place of a bigram of the template, as dice, shared, begin, end, license."""
 
         def from_places(places: Column) -> Column:
             def from_place(begin: Column, i: Column) -> Column:
@@ -221,23 +278,28 @@ def find_notices(df: DataFrame, doc_id: str, text: str, templates: Mapping[str,
                         dice = shared * 2 / (F.size(window) + F.size(t["grams"]))
                         return F.struct(dice.alias("dice"), shared.alias("shared"), begin.alias("begin"), end.alias("end"), t["license"].alias("license"))
 
-                    return let(F.array_distinct(F.slice("all", begin + 1, end - begin + 1)), scored)
+                    return let(F.array_distinct(F.slice(grams, begin + 1, end - begin + 1)), scored)
 
                 return F.array_max(F.transform(ends, of_end))
 
             starts = F.slice(places, 1, F.greatest(F.size(places) - t["least"] + 1, F.lit(0)))
             return F.filter(F.transform(starts, from_place), lambda w: w["dice"] >= threshold)
 
-        places = F.filter(F.transform("all", lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+        places = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
         return let(places, from_places)
 
-    ranked = F.transform(
-        F.flatten(F.transform("near", windows)),
-        lambda w: F.struct((-w["shared"]).alias("a"), (-w["dice"]).alias("b"), w["begin"].alias("begin"), w["end"].alias("end"), w["license"].alias("license")),
-    )
-    rows = rows.select("doc_id", F.array_sort(ranked).alias("found"))
-    apart = lambda kept, w: ~F.exists(kept, lambda k: (k["begin"] <= w["end"]) & (w["begin"] <= k["end"]))
-    nothing = F.slice("found", 1, 0)
-    kept = F.aggregate("found", nothing, lambda kept, w: F.when(apart(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
-    places = rows.select("doc_id", F.explode(kept).alias("w"))
+    def ranked(grams: Column) -> Column:
+        found = F.flatten(F.transform(near_templates(grams), lambda t: windows(grams, t)))
+        order = lambda w: F.struct((-w["shared"]).alias("a"), (-w["dice"]).alias("b"), w["begin"].alias("begin"), w["end"].alias("end"), w["license"].alias("license"))
+        return F.array_sort(F.transform(found, order))
+
+    def apart(kept: Column, w: Column) -> Column:
+        return ~F.exists(kept, lambda k: (k["begin"] <= w["end"]) & (w["begin"] <= k["end"]))
+
+    def best(found: Column) -> Column:
+        return F.aggregate(found, F.slice(found, 1, 0), lambda kept, w: F.when(apart(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+
+    # One expression, and an outer explode: a condition on the result would be pushed below and compute each part of it again.
+    kept = let(let(let(normal_words(F.col(text)), in_order), ranked), best)
+    places = documents.select(F.col(doc_id).alias("doc_id"), F.explode_outer(kept).alias("w")).where(F.col("w").isNotNull())
     return places.groupBy("doc_id", F.col("w.license").alias("license")).agg(F.max(-F.col("w.b")).alias("dice"), F.count(F.lit(1)).alias("n_lines"))

@@ -252,6 +252,28 @@ def test_notices_span_lines_and_stand_in_prose(spark, empty):
     assert license_scan.find_notices(empty, "doc_id", "text").count() == 0
 
 
+def test_a_notice_is_only_the_license_it_names(spark):
+    texts = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the Mozilla Public License, version 2.0.": "MPL-2.0",
+        "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Licensed under CC0 1.0.": "CC0-1.0",
+    }
+    texts |= {t: name for name, (t,) in license_scan.FULL_TEXTS.items()}
+    names = list(texts.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = license_scan.find_notices(df, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.license, r.dice, r.n_lines) for r in found) == [(i, name, 1.0, 1) for i, name in enumerate(names)]
+    both = spark.createDataFrame([(1, "\n".join(list(texts)[:6]))], "doc_id int, text string")
+    assert {r.license for r in license_scan.find_notices(both, "doc_id", "text").collect()} == set(names[:6])
+
+
 def test_best_window_equals_brute_force(spark):
     """Changed notices between other words, against Dice of every window of the text; SQL-free and without lines."""
     draw, data, expected = random.Random(9), [], {}
