@@ -1,8 +1,8 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with banded MinHash signatures and exact verification.
 
-Texts with the same words are one class, of which one text is compared. Its MinHash signature fills TREES sorted
-prefix tries; texts are candidates where they share a matched prefix in some trie. The prefix is shortened,
-level by level, until a pair at the threshold is found with the target recall. Candidates are held together by stars, and
+Texts with the same words are one class, of which one text is compared. Its MinHash signature is cut into TREES bands of a
+fixed number of values; texts are candidates where all values of some band are equal. Fixed bands stand in for an LSH forest: there are no
+tries, nothing is sorted, and no prefix is shortened by the data. Candidates are held together by stars, and
 the texts of a candidate group are compared in tiles: in a tile, all pairs whose sizes allow the threshold are
 counted by their exact shingle sets, so no link within a group is missed, and no pair is emitted, however large it is.
 Signatures only decide which texts come into one group; there a lone pair at the threshold is missed once in 3e8.
@@ -33,7 +33,7 @@ COLUMNS = 4096
 
 
 def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES) -> int:
-    """The longest matched prefix that finds a pair at the threshold with the target recall."""
+    """The most values of a band that find a pair at the threshold with the target recall."""
     for depth in range(LONGEST_PREFIX, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= target:
             return depth
@@ -55,7 +55,7 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """One 64-bit code per trie: the hash of the first depth MinHash values of that trie."""
+    """One 64-bit code per band: the hash of its depth MinHash values."""
     draw = np.random.default_rng(SEED)
     factors = draw.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
     shifts = draw.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
