@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,14 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda word: word != "")
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """name, or name with underscores before it, such that no column of the taken names clashes in any case."""
+    used = {column.lower() for column in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]
