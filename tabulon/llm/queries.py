@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import classifier, fingerprints, jaccard_join, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts, url_filter
 from tabulon.llm.common import table
+from tabulon.llm.conversation_queries import CASES as CONVERSATION_CASES
 from tabulon.llm.search_queries import CASES as SEARCH_CASES
 from tabulon.llm.url_filter import UrlRule
 
@@ -152,4 +153,4 @@ CASES = {
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_document_fingerprints": (op10_document_fingerprints, None),
 }
-CASES |= SEARCH_CASES
+CASES |= CONVERSATION_CASES | SEARCH_CASES
