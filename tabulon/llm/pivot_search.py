@@ -124,8 +124,10 @@ def build_index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     by pivot, distance and hash of the row spreads any pivot, and any vector that many rows share, over many tasks.
     """
     rows = df.where(searchable(F.col(vector))).select(F.col(vec_id).cast("bigint").alias("id"), whole_components(F.col(vector)).alias("v"))
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    sampled = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect()
+    total, dims = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    # Of the hashes below a share that holds some four times as many, so that tasks send few rows each.
+    low = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 4 * SAMPLE / max(1, total)))
+    sampled = rows.where(low).orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect()
     points = fit_pivots(_filled([r["v"] for r in sampled], dims).astype(float), pivots)
 
     def keyed(batches):

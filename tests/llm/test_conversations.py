@@ -153,7 +153,7 @@ def test_text_ids_and_empty_tables(spark):
 def test_query_damages_and_lists_every_conversation(spark):
     draw = random.Random(9)
     rows = [(c, t, draw.choice(["user", "assistant", None]), draw.choice(["A. B!", "C", None])) for c in range(80) for t in range(draw.randint(1, 4))]
-    rows += [(None, None, "user", "Hm."), (5, None, "user", "Hm.")]
+    rows += [(None, None, "user", "Hm."), (5, None, "user", "Hm."), *[(c, 0, "user", "Hm.") for c in range(80, 200)]]
     kept = []
     for conv, turn, role, text in rows:
         role, text = " " if role is None else role, " " if text is None else text
