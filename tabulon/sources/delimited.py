@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.operators.reports import stack_by_name
+from tabulon.sources.records import read_records
 from tabulon.sources.shared import new_path
 
+#: Text of a line that does not fit the columns.
+CORRUPT = "_corrupt_line"
+
 
 def read_delimited(
     spark: SparkSession,
@@ -17,14 +22,19 @@ def read_delimited(
     columns: Sequence[str] | None = None,
     multi_line: bool = False,
     partitions: int | None = None,
+    split: bool = False,
 ) -> DataFrame:
     """All-string table from CSV files with a header; cells are quoted with '"' and escape it by doubling.
 
-    Large files are split. Set multi_line where cells hold line breaks; a file is then read by one task, so give large
-    data as a folder of files. partitions
+    Large files are split. Set multi_line where cells hold line breaks; a file is then read by one task, in its order, unless split is set:
+    then as many tasks read it as any other file, and rows come in no fixed order (read_records tells how). partitions
     spreads the rows of few large files for the work that follows. Give columns to skip reading the
-    header beforehand; files whose header differs then raise.
+    header beforehand; files whose header differs then raise, and so does a cell that goes over the end of its line where
+    multi_line is not set.
     """
+    if multi_line and split:
+        df = read_records(spark, path, columns)
+        return df.repartition(partitions) if partitions else df
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -32,8 +42,17 @@ def read_delimited(
     )
     if columns is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        if not multi_line:
+            # A record that breaks off has too few cells, or too many after it: its text tells which.
+            schema = schema.add(CORRUPT, T.StringType())
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
         reader = reader.schema(schema).option("enforceSchema", False)
     df = reader.csv(path if isinstance(path, str) else list(path))
+    if columns is not None and not multi_line:
+        odd = F.length(F.regexp_replace(CORRUPT, '[^"]', "")) % 2 == 1
+        broken = F.raise_error(F.concat(F.lit("a cell goes on after its line, set multi_line: "), F.substring(CORRUPT, 1, 200)))
+        first = F.when(odd, broken.cast("string")).otherwise(F.col(f"`{columns[0]}`")).alias(columns[0])
+        df = df.select(first, *[F.col(f"`{c}`") for c in columns[1:]])
     return df.repartition(partitions) if partitions else df
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from tabulon.sources import (
@@ -122,3 +123,81 @@ def test_materialized_table_lies_in_the_shared_folder(spark):
 def test_named_views(spark):
     register_views(numbers_view=spark.range(4))
     assert spark.sql("select count(*) as n from numbers_view").first().n == 4
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are split every 200 bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name in settings:
+        spark.conf.unset(name)
+
+
+def multi_line_cell(draw):
+    if draw.random() < 0.3:
+        return draw.choice(["", "plain", "  padded ", "7"])
+    parts = ["a", "bé", ",", '""', "\n", "\n\n", " ", "long " * 9, ',\n"",']
+    return '"' + "".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) + '"'
+
+
+@pytest.mark.parametrize(("seed", "end", "closed"), [(1, "\n", True), (2, "\r\n", True), (3, "\n", False), (4, "\r\n", False)])
+def test_split_reading_agrees_with_whole_files(spark, small_ranges, tmp_path, seed, end, closed):
+    draw = random.Random(seed)
+    for number in range(3):
+        lines = ['"id",b,"c\nc"', *[f"{number}-{i},{multi_line_cell(draw)},{multi_line_cell(draw)}" for i in range(150)]]
+        lines[40:40] = ["", "  "]
+        text = "\n".join(lines).replace("\n", end) + (end if closed else "")
+        (tmp_path / f"{number}.csv").write_bytes(text.encode())
+    whole = read_delimited(spark, str(tmp_path), multi_line=True)
+    parts = read_delimited(spark, str(tmp_path), multi_line=True, split=True)
+    assert parts.columns == whole.columns == ["id", "b", "c\nc"]
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+    assert parts.count() == 453
+
+
+def test_one_large_cell_over_many_ranges(spark, small_ranges, tmp_path):
+    path = tmp_path / "a.csv"
+    cell = "\n".join(f'line {i}, ""quoted"",\n' for i in range(400))
+    path.write_text(f'a,b\n1,"{cell}"\n2,x\n', encoding="utf-8")
+    rows = sorted(tuple(r) for r in read_delimited(spark, str(path), multi_line=True, split=True).collect())
+    assert rows == [("1", cell.replace('""', '"')), ("2", "x")]
+
+
+def test_one_multi_line_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("a,b\n" + "".join(f'{i},"x\ny {i}"\n' for i in range(2000)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        scanned = spark.read.option("lineSep", "\n").text(str(path)).rdd.getNumPartitions()
+        rows = read_delimited(spark, str(path), columns=["a", "b"], multi_line=True, split=True)
+        assert scanned > 5 and rows.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert read_delimited(spark, str(path), multi_line=True).rdd.getNumPartitions() == 1
+
+
+def test_split_reading_refuses_what_it_cannot_tell(spark, tmp_path):
+    (tmp_path / "stray.csv").write_text('a,b\n1,5" disk\n', encoding="utf-8")
+    (tmp_path / "other.csv").write_text("a,c\n1,2\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("", encoding="utf-8")
+    read = lambda name, **options: read_delimited(spark, str(tmp_path / name), multi_line=True, split=True, **options)
+    with pytest.raises(Exception, match="quote inside"):
+        read("stray.csv").collect()
+    with pytest.raises(ValueError, match="header"):
+        read("other.csv", columns=["a", "b"])
+    with pytest.raises(ValueError, match="header"):
+        read_delimited(spark, [str(tmp_path / "stray.csv"), str(tmp_path / "other.csv")], multi_line=True, split=True)
+    with pytest.raises(ValueError, match="no header"):
+        read("empty.csv")
+    assert read("empty.csv", columns=["a"]).collect() == []
+
+
+def test_a_cell_with_a_line_break_is_not_read_as_two_rows(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('a,b\n1,"x\ny"\n', encoding="utf-8")
+    with pytest.raises(Exception, match="multi_line"):
+        read_delimited(spark, str(path), columns=["a", "b"]).collect()
+    assert [tuple(r) for r in read_delimited(spark, str(path), columns=["a", "b"], multi_line=True).collect()] == [("1", "x\ny")]

@@ -13,8 +13,8 @@ def csv_roundtrip(spark, folder):
     """Whole texts with quotes, commas and line breaks through the CSV scan."""
     path = new_path(spark, "documents")
     documents = fx.table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    write_delimited(documents.repartition(8, "doc_id"), path)
-    read = read_delimited(spark, path, columns=["doc_id", "lang", "source", "text"])
+    write_delimited(documents, path)
+    read = read_delimited(spark, path, columns=["doc_id", "lang", "source", "text"], multi_line=True, split=True)
     return read.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         "lang",
