@@ -1,4 +1,7 @@
-"""Tables written once and read by many reports, and named views."""
+"""Tables written once and read by many reports, and named views.
+
+A table lives until it is released, until the scope it was written in is closed, or until the program that wrote it ends.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Where a frame that materialize has returned keeps the path of its table.
+_PATH = "_tabulon_table"
 _local_folders: dict[str, str] = {}
+#: Paths of this program that may still be there, with their sessions.
+_kept: dict[str, SparkSession] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("paths of the innermost scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,19 +43,78 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder for files of a job, which go as the tables of materialize() do."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _kept:
+        atexit.register(_remove_all)
+    _kept[path] = spark
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read them from there.
 
     Later reports read only the columns they need, with filters pushed into the scan, and a lost executor
-    costs a re-read instead of a recomputation from the source. The table stays in the folder, since frames
-    built on it may be read at any later time; clean the folder as you would after checkpoints.
+    costs a re-read instead of a recomputation from the source. release() removes the table, and so do the end of an
+    enclosing table_scope() and of the program: frames built on it must have been computed by then.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    setattr(table, _PATH, path)
+    return table
+
+
+def _remove(path: str) -> None:
+    spark = _kept.pop(path, None)
+    # A stopped session has no file system; its temporary folder goes by itself.
+    if spark is not None and spark.sparkContext._jsc is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_all() -> None:
+    for path in list(_kept):
+        try:
+            _remove(path)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the tables of frames that materialize() has returned; nothing that is still to be computed may read them."""
+    for frame in frames:
+        if (path := getattr(frame, _PATH, None)) is not None:
+            _remove(path)
+
+
+@contextmanager
+def table_scope(*, keep_on_error: bool = False) -> Iterator[None]:
+    """Owns the tables written inside and removes them at its end.
+
+    Compute and save the results inside: frames of the job cannot be computed after it. A scope inside another one removes
+    its own tables only. keep_on_error leaves them in place when the job raises, to look into it.
+    """
+    tables: list[str] = []
+    token = _scope.set(tables)
+    try:
+        yield
+    except BaseException:
+        if not keep_on_error:
+            _close(tables)
+        raise
+    else:
+        _close(tables)
+    finally:
+        _scope.reset(token)
+
+
+def _close(tables: list[str]) -> None:
+    for path in tables:
+        _remove(path)
 
 
 def register_views(**frames: DataFrame) -> None:

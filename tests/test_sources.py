@@ -10,10 +10,14 @@ from tabulon.sources import (
     read_delimited,
     read_many,
     register_views,
+    release,
     shared_folder,
+    table_scope,
     write_delimited,
     write_report,
 )
+from workload.catalog import catalog_job
+from workload.telemetry import telemetry_job
 
 
 def test_quoted_cells_read_as_one_row(spark, tmp_path):
@@ -201,3 +205,50 @@ def test_a_cell_with_a_line_break_is_not_read_as_two_rows(spark, tmp_path):
     with pytest.raises(Exception, match="multi_line"):
         read_delimited(spark, str(path), columns=["a", "b"]).collect()
     assert [tuple(r) for r in read_delimited(spark, str(path), columns=["a", "b"], multi_line=True).collect()] == [("1", "x\ny")]
+
+
+@pytest.fixture
+def shared(spark, tmp_path, monkeypatch):
+    """A shared folder of this test's own."""
+    monkeypatch.setattr("tabulon.sources.shared.shared_folder", lambda session: str(tmp_path / "shared"))
+    return tmp_path / "shared"
+
+
+def listed(folder):
+    return sorted(os.listdir(folder)) if folder.exists() else []
+
+
+def test_a_scope_removes_the_tables_of_its_job(spark, shared):
+    outer = materialize(spark.range(3), "outer")
+    with table_scope():
+        kept = materialize(spark.range(5), "first")
+        with table_scope():
+            assert materialize(kept, "inner").count() == 5
+            assert len(listed(shared)) == 3
+        assert kept.count() == 5 and len(listed(shared)) == 2
+        read_delimited(spark, write(spark, shared), multi_line=True, split=True).count()
+        assert len(listed(shared)) > 2
+    assert outer.count() == 3 and len(listed(shared)) == 2
+    release(outer, spark.range(1))
+    assert len(listed(shared)) == 1
+
+
+def write(spark, shared):
+    write_delimited(spark.range(3), str(shared / "rows"))
+    return str(shared / "rows")
+
+
+def test_a_scope_that_fails(spark, shared):
+    for keep in (False, True):
+        with pytest.raises(ValueError, match="stop"), table_scope(keep_on_error=keep):
+            materialize(spark.range(3), "rows")
+            raise ValueError("stop")
+        assert len(listed(shared)) == keep
+
+
+def test_whole_jobs_leave_nothing_behind(spark, shared, small):
+    for job in (catalog_job, telemetry_job):
+        with table_scope():
+            rows = job(spark, small).collect()
+            assert rows and len(listed(shared)) > 0
+        assert listed(shared) == []
