@@ -16,6 +16,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Spark's setting that removes the shuffle files of a job when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where a frame that materialize has returned keeps the path of its table.
 _PATH = "_tabulon_table"
 _local_folders: dict[str, str] = {}
@@ -57,17 +59,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read them from there.
 
     Later reports read only the columns they need, with filters pushed into the scan, and a lost executor
-    costs a re-read instead of a recomputation from the source. release() removes the table, and so do the end of an
+    costs a re-read instead of a recomputation from the source; the shuffle files of the write go with it. release() removes the table, and so do the end of an
     enclosing table_scope() and of the program: frames built on it must have been computed by then.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     setattr(table, _PATH, path)
     return table
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of jobs that end inside go at their end, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def _remove(path: str) -> None:
     spark = _kept.pop(path, None)
     # A stopped session has no file system; its temporary folder goes by itself.
