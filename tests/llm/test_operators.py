@@ -186,19 +186,23 @@ def test_components(spark):
     assert {(r.id, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
 
 
-@pytest.mark.parametrize("hot", [1, 3, suffix_dedup.HOT_LEAD])
-def test_suffixes(docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_LEAD", hot)
+def covered_bytes(texts):
+    """Per text which bytes a repeated string covers."""
     counts: Counter = Counter()
-    data = [(r[0], (r[1] or "").encode()) for r in rows]
-    for _, b in data:
+    for b in texts:
         counts.update(b[p : p + 200] for p in range(len(b) - 199))
-    expected = Counter()
-    for doc_id, b in data:
+    for b in texts:
         covered = bytearray(len(b))
         for p in range(len(b) - 199):
             if counts[b[p : p + 200]] > 1:
                 covered[p : p + 200] = b"\1" * 200
+        yield covered
+
+
+def test_suffixes(docs, rows, empty):
+    expected = Counter()
+    for (doc_id, text, *_), covered in zip(rows, covered_bytes([(r[1] or "").encode() for r in rows])):
+        b = (text or "").encode()
         kept = bytes(x for x, c in zip(b, covered) if not c)
         expected[doc_id, len(b), sum(covered), len(bytes(covered).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()] += 1
     found = suffix_dedup.remove_repeats(docs).collect()
@@ -206,6 +210,49 @@ def test_suffixes(docs, rows, empty, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_passages_of_every_length_in_many_places(spark):
+    """Passages of 195 to 420 bytes that many texts share with other surroundings, over many small partitions and levels of blocks."""
+    draw = random.Random(12)
+    whole = sentence(draw, 120).encode()[:420].decode("utf-8", "ignore")
+    texts = []
+    for length in (150, 195, 199, 200, 201, 230, 260, 340, 368, 369, 410):
+        begin = draw.randrange(len(whole) - length) if length < len(whole) else 0
+        for _ in range(12):
+            texts.append(sentence(draw, draw.randint(0, 40)) + whole[begin : begin + length] + sentence(draw, draw.randint(0, 40)))
+    texts += ["ab" * 500, "ab" * 101, "x" * 200, "x" * 199, texts[5], texts[5], sentence(draw, 300) * 2]
+    df = spark.createDataFrame([(t, i, "n", 3) for i, t in enumerate(texts)], "text string, kept int, z string, _z int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = suffix_dedup.remove_repeats(df, "z").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = Counter()
+    for text, covered in zip(texts, covered_bytes([t.encode() for t in texts])):
+        expected[text, bytes(x for x, c in zip(text.encode(), covered) if not c), sum(covered)] += 1
+    assert Counter((r.text, bytes(r.kept), r.n_removed) for r in found) == expected
+    assert found[0].asDict().keys() == {"text", "z", "_z", "n_bytes", "n_removed", "n_spans", "kept"}
+
+
+@pytest.mark.parametrize("chunk", [150, 700, 1 << 20])
+def test_blocks_of_a_text_in_chunks_hold_each_string_once(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    draw = random.Random(2)
+    texts = [sentence(draw, n).encode() for n in (300, 20, 60, 900)] + [b"a" * 3000, b"", b"b" * 199]
+    spots: dict[int, list] = {}
+    for _, _, _, documents, found in suffix_dedup._whole_blocks(enumerate(texts)):
+        for document, spot in zip(documents.tolist(), found.tolist()):
+            spots.setdefault(document, []).append(spot)
+    for document, data in enumerate(texts):
+        for size, parent in suffix_dedup.BLOCKS:
+            blocks = [np.array(spots.get(document, []), np.int64)]
+            every = [p for b in blocks for _, low, high in [suffix_dedup.starts_of(b)] for x, y in zip(low, high) for p in range(x, y + 1)]
+            assert sorted(every) == list(range(max(0, len(data) - 199)))
+            if len(blocks[0]):
+                spots[document] = [s for *_, out in suffix_dedup._smaller_blocks(data, blocks[0], size, parent) for s in out.tolist()]
+        _, low, high = suffix_dedup.starts_of(np.array(spots.get(document, []), np.int64))
+        assert (low == high).all() and sorted(low.tolist()) == list(range(max(0, len(data) - 199)))
+
+
 def test_licenses(docs, empty, spark):
     assert {(r.license, r.dice > 0.7) for r in license_scan.scan(docs, "doc_id", "text", threshold=0.6).collect()} >= {("MIT", True)}
     df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, None), (3, ""), (4, "under the license of words")], "doc_id int, text string")
