@@ -8,8 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabulon.llm.common import free_name
 
 SEED = 7
 BUCKETS = 1 << 14
@@ -21,7 +25,10 @@ STEPS = 600
 #: Labelled documents that the layers and the temperature are fitted on at most, those with the least hash of the id.
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
-TEXTS_AT_ONCE = 256
+#: Tokens whose neighbours are counted at once.
+TOKENS_AT_ONCE = 1 << 20
+#: Distinct tokens whose codes a task remembers.
+REMEMBERED = 400_000
 #: Kinds of a token's shape: lower case, a capital first, capitals, other; by length, from 1 to LONGEST and more.
 LONGEST = 16
 SHAPES = 4 * LONGEST
@@ -29,7 +36,6 @@ WIDTH = 2 * DIM + 2 + SHAPES
 #: Letters of scripts without spaces, each of which is a token: Thai to Burmese, Khmer, kana, Chinese characters.
 SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"[{SINGLE}]|[^\W\d_{SINGLE}]+|\d+|[^\w\s]+|_+|\n")
-_ids: dict[str, int] = {}
 
 
 def index_columns() -> np.ndarray:
@@ -46,51 +52,56 @@ def index_vectors() -> np.ndarray:
     return vectors
 
 
+class _Codes(dict):
+    """The code of each token met so far."""
+
+    def __missing__(self, token: str) -> int:
+        kind = 3
+        if token[0].isalpha():
+            name = "w" + token.lower()
+            if token.islower():
+                kind = 0
+            elif token[0].isupper():
+                kind = 2 if len(token) > 1 and token.isupper() else 1
+        else:
+            name = "9" if token[0].isdigit() else token[0] * min(len(token), 3)
+        shape = kind * LONGEST + min(len(token), LONGEST) - 1
+        code = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS + BUCKETS * shape
+        if len(self) < REMEMBERED:
+            self[token] = code
+        return code
+
+
+_codes = _Codes()
+
+
 def token_buckets(text: str | None) -> np.ndarray:
     """One number per token of a whole text: bucket + BUCKETS * shape.
 
     The bucket is that of the word in lower case, whatever its length, or of the kind of digits or marks. The shape says
     how a word is written and how long it is; it is a feature of its own and has no part in the bucket.
     """
-    out = []
-    for token in TOKEN.findall(text or ""):
-        code = _ids.get(token)
-        if code is None:
-            kind = 3
-            if token[0].isalpha():
-                name = "w" + token.lower()
-                if token.islower():
-                    kind = 0
-                elif token[0].isupper():
-                    kind = 2 if len(token) > 1 and token.isupper() else 1
-            else:
-                name = "9" if token[0].isdigit() else token[0] * min(len(token), 3)
-            shape = kind * LONGEST + min(len(token), LONGEST) - 1
-            code = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS + BUCKETS * shape
-            if len(_ids) > 200_000:
-                _ids.clear()
-            _ids[token] = code
-        out.append(code)
-    return np.asarray(out, np.int64)
+    tokens = TOKEN.findall(text or "")
+    return np.fromiter(map(_codes.__getitem__, tokens), np.int64, len(tokens))
 
 
 def context_sums(texts: list[np.ndarray], columns: np.ndarray, sums: np.ndarray) -> None:
     """Adds to each token's bucket the index vectors of its neighbours in the same text; sums has BUCKETS * DIM whole numbers."""
-    for begin in range(0, len(texts), TEXTS_AT_ONCE):
-        part = texts[begin : begin + TEXTS_AT_ONCE]
-        tokens = np.concatenate(part) % BUCKETS
-        owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
-        for step in range(1, REACH + 1):
-            near = owner[:-step] == owner[step:]
-            one, other = tokens[:-step][near], tokens[step:][near]
-            words, neighbours = np.concatenate([one, other]) * DIM, np.concatenate([other, one])
-            for column, dims in enumerate(columns):
-                # Vectors are sparse, so only their places that are not zero are counted.
-                counts = np.bincount(words + dims[neighbours], minlength=BUCKETS * DIM)
-                if column % 2:
-                    sums += counts
-                else:
-                    sums -= counts
+    if not texts:
+        return
+    tokens = np.concatenate(texts) % BUCKETS
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    for step in range(1, REACH + 1):
+        near = owner[:-step] == owner[step:]
+        one, other = tokens[:-step][near], tokens[step:][near]
+        words, neighbours = np.concatenate([one, other]) * DIM, np.concatenate([other, one])
+        for column, dims in enumerate(columns):
+            # Vectors are sparse, so only their places that are not zero are counted.
+            counts = np.bincount(words + dims[neighbours], minlength=BUCKETS * DIM)
+            if column % 2:
+                sums += counts
+            else:
+                sums -= counts
 
 
 def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -103,9 +114,8 @@ def pooled(tokens: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean word vector, the logarithm of the length, the share of distinct words, and the share of each shape; zeros without tokens."""
     if not len(tokens):
         return np.zeros(WIDTH)
-    counts = np.bincount(tokens % BUCKETS, minlength=BUCKETS)
-    used = np.flatnonzero(counts)
-    mean = counts[used] @ vectors[used] / len(tokens)
+    used, counts = np.unique(tokens % BUCKETS, return_counts=True)
+    mean = counts @ vectors[used] / len(tokens)
     shapes = np.bincount(tokens // BUCKETS, minlength=SHAPES) / len(tokens)
     return np.concatenate([mean, [np.log1p(len(tokens)) / 10, len(used) / len(tokens)], shapes])
 
@@ -161,48 +171,53 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learn from labelled rows with id remainder 1 to 4; labels of remainder 0 are never looked at.
 
     The contexts of words are summed over the texts of all documents, labelled or not. The layers come from at most
-    MAX_FIT_ROWS labelled rows, chosen by a hash of the id; the rows with remainder 1 set the temperature only. Texts stay in the tasks: context sums (BUCKETS x DIM numbers a task) and pooled
-    vectors reach the driver. Null ids and labels are left out. Without rows of both classes every score is the
-    share of label 1 (0.5 without rows).
+    MAX_FIT_ROWS labelled ids, chosen by a hash of the id; those with remainder 1 set the temperature only. Of documents with the same id the one with
+    the least hash of its text counts, of labels the greatest. Texts stay in the tasks: context sums (BUCKETS x DIM numbers a task) and
+    pooled vectors, one per chosen id, reach the driver. Null ids and labels are left out. Without rows of both classes, as in empty tables, every score
+    is the share of label 1 (0.5 without rows).
     """
     marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     marked = marked.groupBy("id").agg(F.max("y").alias("y")).where(id_remainder(F.col("id")) != 0)
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(MAX_FIT_ROWS)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marked, "id").persist()
+    # MAX_FIT_ROWS ids and labels at most.
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(marked), "id")
     index, columns = index_vectors(), index_columns()
 
     def sums_of(batches):
         sums = np.zeros(BUCKETS * DIM, np.int64)
+        pending, size = [], 0
         for batch in batches:
-            context_sums([token_buckets(value.as_py()) for value in batch.column(0)], columns, sums)
+            for value in batch.column(0):
+                pending.append(token_buckets(value.as_py()))
+                size += len(pending[-1])
+                if size >= TOKENS_AT_ONCE:
+                    context_sums(pending, columns, sums)
+                    pending, size = [], 0
+        context_sums(pending, columns, sums)
         sums = sums.reshape(BUCKETS, DIM)
         seen = np.flatnonzero(sums.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int32()), pa.array(list(sums[seen]), pa.list_(pa.int64()))], names=["bucket", "v"]
-        )
-
-    try:
-        summed = docs.select(F.col(text)).mapInArrow(sums_of, "bucket int, v array<bigint>")
-        per_entry = summed.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)])
-        sums = np.zeros((BUCKETS, DIM))
-        for row in per_entry.toLocalIterator():
-            sums[row[0]] = row[1:]
-        vectors = word_vectors(sums, index)
-
-        def features_of(batches):
-            for batch in batches:
-                values = [pooled(token_buckets(v.as_py()), vectors) for v in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(values, pa.list_(pa.float64()))], names=["id", "y", "x"])
-
-        id_kind = rows.schema["id"].dataType.simpleString()
-        table = rows.select("text", "id", "y").mapInArrow(features_of, f"id {id_kind}, y int, x array<double>")
-        found = table.withColumn("part", id_remainder(F.col("id"))).orderBy("id", "y").select("part", "y", "x").collect()
-    finally:
-        rows.unpersist()
+        entries = pa.FixedSizeListArray.from_arrays(pa.array(sums[seen].ravel()), DIM).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), entries], names=["bucket", "v"])
+
+    summed = docs.select(F.col(text)).mapInArrow(sums_of, "bucket int, v array<bigint>")
+    per_entry = summed.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).toArrow()
+    sums = np.zeros((BUCKETS, DIM))
+    sums[per_entry.column(0).to_numpy()] = np.stack([per_entry.column(i + 1).to_numpy() for i in range(DIM)], axis=1)
+    vectors = word_vectors(sums, index)
+
+    def features_of(batches):
+        for batch in batches:
+            values = [pooled(token_buckets(v.as_py()), vectors).astype("<f4").tobytes() for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.binary())], names=["id", "y", "h", "x"])
+
+    id_kind = rows.schema["id"].dataType.simpleString()
+    table = rows.select("text", "id", "y", F.xxhash64("text").alias("h")).mapInArrow(features_of, f"id {id_kind}, y int, h bigint, x binary")
+    chosen = table.groupBy("id", "y").agg(F.min(F.struct("h", "x")).alias("of")).select("id", "y", id_remainder(F.col("id")).alias("part"), "of.x").toArrow()
+    found = chosen.take(pa.compute.sort_indices(chosen, sort_keys=[("id", "ascending")]))
     width = WIDTH
-    x = np.array([r["x"] for r in found]).reshape(-1, width)
-    y = np.array([r["y"] for r in found], float)
-    later = np.array([r["part"] == 1 for r in found], bool)
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), "<f4").reshape(-1, width).astype(float)
+    y = found["y"].to_numpy().astype(float)
+    later = found["part"].to_numpy() == 1
     if len(set(y[~later])) < 2:
         share = float(np.clip(y[~later].mean(), 1e-6, 1 - 1e-6)) if (~later).any() else 0.5
         zero = (np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array([np.log(share / (1 - share))]))
@@ -215,19 +230,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
     """The rows with the probability of label 1 of the whole text; null and empty texts get a score too.
 
-    A column named out is replaced. Rows do not move: the model (a few MB, fixed by BUCKETS and DIM) goes to the tasks.
+    A column named out is replaced, others stay whatever their names; equal rows are scored each, an empty table gives no rows. Rows do not move: the
+    model (a few MB, fixed by BUCKETS and DIM) goes to the tasks. A text of any length is one list of tokens in its task, some 50 bytes a token.
     """
-    docs = docs.drop(out)
+    rows = docs.drop(out)
+    whole = free_name([*docs.columns, out], "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(frames):
         for batch in frames:
-            m = shared.value
-            values = np.array([pooled(token_buckets(v.as_py()), m.vectors) for v in batch.column(batch.schema.get_field_index("_text"))]).reshape(-1, WIDTH)
-            kept = batch.drop_columns(["_text"])
-            yield kept.append_column(out, pa.array(m.scores(values), pa.float64()))
-
-    from pyspark.sql import types as T
+            m, at = shared.value, batch.schema.get_field_index(whole)
+            values = np.array([pooled(token_buckets(v.as_py()), m.vectors) for v in batch.column(at)]).reshape(-1, WIDTH)
+            yield batch.remove_column(at).append_column(out, pa.array(m.scores(values), pa.float64()))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    return docs.withColumn("_text", F.col(text)).mapInArrow(scored, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
+    return docs.select(*rows.columns, F.col(text).alias(whole)).mapInArrow(scored, schema)
