@@ -1,10 +1,10 @@
-"""Document fingerprints: a multiset hash that adds one wide vector per paragraph.
+"""Document fingerprints: a homomorphic multiset hash that adds one wide vector per paragraph.
 
-Paragraphs are lines; a long line is cut behind words that its own content chooses. Each paragraph is hashed, together with
-the number of equal ones before it in the text, to LANES
-signs, and the fingerprint is their sum modulo 2^32, lane by lane, followed by the number of paragraphs in 64 bits. So the order
-does not matter, inserting or deleting a paragraph adds or subtracts one vector, and the squared distance of
-two fingerprints over LANES estimates how many paragraphs differ; of a repeated one each copy that the other lacks counts one.
+Paragraphs are lines; a long line is cut behind words that its own content chooses. Each paragraph is hashed to LANES whole numbers, quantised draws of a
+Cauchy distribution, and the fingerprint is their sum modulo 2^BITS, lane by lane, followed by the number of paragraphs. So order does
+not matter, the fingerprint of two texts together is the sum of theirs whatever they share, and inserting or deleting a paragraph adds or
+subtracts its vector without a look at the rest. Cauchy draws are 1-stable: a lane of the difference of two fingerprints is one draw, as wide as the number of copies
+of paragraphs that one text has and the other lacks, so that number is estimated from the lanes of the difference.
 """
 
 from __future__ import annotations
@@ -12,24 +12,28 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabulon.llm.common import free_name
 from tabulon.sources.shared import materialize
 
-LANES = 128
-MODULUS = 1 << 32
-#: Paragraphs whose signs are unpacked at once.
-BLOCK = 8192
+LANES = 256
+#: Bits of a lane: room for 2^31 differing paragraphs, each in steps of 1 / SCALE.
+BITS = 40
+SCALE = 1 << 8
+MODULUS = 1 << BITS
+LONGEST_DRAW = 1 << (BITS - 2)
+#: Paragraphs whose draws are made at once.
+BLOCK = 1024
 #: One word in so many ends a piece of a line.
 CUT = 8
-RESULT = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-)
+SEED = 17
+ROUNDS = 8
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -46,42 +50,76 @@ def paragraphs(text: str) -> list[bytes]:
     return out
 
 
-def fingerprint_of(pieces: list[bytes], before: Iterable[bytes] = ()) -> np.ndarray:
-    """LANES sums modulo 2^32, and the count; copies are numbered on from those before, which are not summed."""
-    sums = np.zeros(LANES, np.int64)
-    copies = Counter(before)
+def _cauchy(uniform: np.ndarray) -> np.ndarray:
+    """Quantised Cauchy draws for 32 uniform bits."""
+    draws = SCALE * np.tan(np.pi * ((uniform.astype(float) + 0.5) / 2**32 - 0.5))
+    return np.clip(np.rint(draws), -LONGEST_DRAW, LONGEST_DRAW).astype(np.int64)
+
+
+#: Draws by the upper 16 bits; in the tails, where they lie far apart, all 32 bits count.
+_TABLE = _cauchy((np.arange(1 << 16, dtype=np.uint32) << np.uint32(16)) + np.uint32(1 << 15))
+TAIL = 32
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, LANES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def vectors(pieces: list[bytes]) -> np.ndarray:
+    """One row of LANES draws per paragraph."""
+    digests = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), "<u8").reshape(-1, 2)
+    with np.errstate(over="ignore"):
+        mixed = digests[:, :1] * _FACTORS[0]
+        mixed ^= mixed >> np.uint64(32)
+        mixed += digests[:, 1:]
+        mixed *= _FACTORS[1]
+    uniform = (mixed >> np.uint64(32)).astype(np.uint32)
+    upper = uniform >> np.uint32(16)
+    out = _TABLE[upper]
+    far = upper - np.uint32(TAIL) >= np.uint32((1 << 16) - 2 * TAIL)
+    if far.any():
+        out[far] = _cauchy(uniform[far])
+    return out
 
-    def digest(piece: bytes) -> bytes:
-        n = copies[piece]
-        copies[piece] = n + 1
-        return hashlib.blake2b(piece, digest_size=LANES // 8, person=n.to_bytes(8, "little")).digest()
 
+def fingerprint_of(pieces: list[bytes]) -> np.ndarray:
+    """LANES sums modulo 2^BITS, and the count."""
+    sums = np.zeros(LANES, np.int64)
     for begin in range(0, len(pieces), BLOCK):
-        part = pieces[begin : begin + BLOCK]
-        bits = np.frombuffer(b"".join(map(digest, part)), np.uint8)
-        sums += 2 * np.unpackbits(bits).reshape(-1, LANES).sum(0, dtype=np.int64) - len(part)
+        sums += vectors(pieces[begin : begin + BLOCK]).sum(0)
     return np.append(sums % MODULUS, len(pieces))
 
 
 def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The fingerprint of both multisets together, where b was made with the paragraphs of a as those before."""
+    """The fingerprint of both multisets together."""
     return np.append((a[:LANES] + b[:LANES]) % MODULUS, a[LANES] + b[LANES])
 
 
 def remove(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The fingerprint of a without the paragraphs of b, where b was made with the remaining ones as those before."""
+    """The fingerprint of a without the paragraphs of b, which a has."""
     return np.append((a[:LANES] - b[:LANES]) % MODULUS, a[LANES] - b[LANES])
 
 
+def changed(fingerprint: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
+    """The fingerprint of after from that of before: only the paragraphs that differ are hashed."""
+    old, new = Counter(before), Counter(after)
+    gone, come = list((old - new).elements()), list((new - old).elements())
+    return add(remove(fingerprint, fingerprint_of(gone)), fingerprint_of(come))
+
+
+def _signed(lanes: np.ndarray) -> np.ndarray:
+    return np.where(lanes >= MODULUS // 2, lanes - MODULUS, lanes)
+
+
 def to_bytes(fingerprint: np.ndarray) -> bytes:
-    """The lanes' low bytes first and their high bytes, which are alike and so compress well, last; then the count."""
-    lanes = fingerprint[:LANES].astype("<u4").view(np.uint8).reshape(-1, 4)
+    """The lanes' low bytes first and their high bytes, which are mostly 0 with the sign in the lowest bit, last; then the count."""
+    signed = _signed(fingerprint[:LANES])
+    lanes = (signed << 1 ^ signed >> 63).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
     return lanes.T.tobytes() + fingerprint[LANES:].astype("<i8").tobytes()
 
 
 def from_bytes(value: bytes) -> np.ndarray:
-    lanes = np.frombuffer(value, np.uint8, 4 * LANES).reshape(4, -1).T.copy().view("<u4").ravel()
-    return np.append(lanes.astype(np.int64), np.frombuffer(value, "<i8", 1, 4 * LANES))
+    lanes = np.zeros((LANES, 8), np.uint8)
+    lanes[:, : BITS // 8] = np.frombuffer(value, np.uint8, BITS // 8 * LANES).reshape(-1, LANES).T
+    folded = lanes.view("<i8").ravel()
+    return np.append((folded >> 1 ^ -(folded & 1)) % MODULUS, np.frombuffer(value, "<i8", 1, BITS // 8 * LANES))
 
 
 def to_text(fingerprint: np.ndarray) -> str:
@@ -92,35 +130,49 @@ def from_text(value: str) -> np.ndarray:
     return from_bytes(bytes.fromhex(value))
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> float:
+    """The estimated number of copies of paragraphs that one has and the other lacks; 0 for equal fingerprints, about a tenth off else.
+
+    The most likely width of the Cauchy distribution that the lanes of the difference were drawn from.
+    """
+    squares = _signed((a[:LANES] - b[:LANES]) % MODULUS).astype(float) ** 2
+    width = float(np.median(squares))
+    for _ in range(ROUNDS if width else 0):
+        weights = 1 / (squares + width)
+        width = float((squares * weights).sum() / weights.sum())
+    return width**0.5 / SCALE
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 - (estimated number of differing paragraphs) / (paragraphs of both), between 0 and 1; 1 for two empty ones."""
-    d = (a[:LANES] - b[:LANES]) % MODULUS
-    d = np.where(d >= MODULUS // 2, d - MODULUS, d)
     both = int(a[LANES]) + int(b[LANES])
-    return float(np.clip(1 - (d * d).mean() / both, 0, 1)) if both else 1.0
+    return float(np.clip(1 - differing(a, b) / both, 0, 1)) if both else 1.0
 
 
 def fingerprints(df: DataFrame, text: str, out: str = "fingerprint") -> DataFrame:
-    """The rows with the fingerprint of the whole text as hex; a null text counts as empty; out is replaced if there.
+    """The rows with the fingerprint of the whole text as hex; a null text counts as empty; a column out is replaced, all others stay.
 
-    Equal texts, and texts with the same paragraphs in another order, have equal fingerprints. No shuffle.
+    Equal texts, and texts with the same paragraphs in another order, have equal fingerprints; equal rows get one each, an empty table
+    gives none. A text of any length takes its own bytes and some KB for a block of paragraphs. No shuffle.
     """
-    from pyspark.sql import types as T
-
-    df = df.drop(out)
+    rows = df.drop(out)
+    whole = free_name([*df.columns, out], "text")
 
     def added(batches):
         for batch in batches:
-            values = [to_text(fingerprint_of(paragraphs(v.as_py() or ""))) for v in batch.column(batch.schema.get_field_index("_text"))]
-            yield batch.drop_columns(["_text"]).append_column(out, pa.array(values, pa.string()))
+            at = batch.schema.get_field_index(whole)
+            values = [to_text(fingerprint_of(paragraphs(v.as_py() or ""))) for v in batch.column(at)]
+            yield batch.remove_column(at).append_column(out, pa.array(values, pa.string()))
 
-    return df.withColumn("_text", F.col(text)).mapInArrow(added, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return df.select(*rows.columns, F.col(text).alias(whole)).mapInArrow(added, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, k, h, text): k and h, an id as text and a hash of the text, name a document in joins."""
-    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "h": F.xxhash64("text")})
+    id_column = F.col(doc_id) if df.schema[doc_id].dataType.typeName() == "string" else F.col(doc_id).cast("bigint")
+    docs = df.select(id_column.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    # A null id and the text of an id never meet: the one has a mark in front.
+    return docs.withColumns({"k": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("none")), "h": F.xxhash64("text")})
 
 
 def next_documents(keyed: DataFrame) -> DataFrame:
@@ -146,39 +198,65 @@ def compare_with_edit(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
     The edited text has its last third of code points replaced by the first as many (or all) of the next document
-    in descending id. Null texts are empty, a null id comes last, equal rows count each, a single row is its own next;
-    an empty table gives no rows. Each document moves once, and the needed beginning of its successor once, compressed.
+    in descending id; ids may be whole numbers or text. Null texts are empty, a null id comes last, equal rows count each, a single row is its own next;
+    an empty table gives no rows; other columns are left out. A text of any length is held in one task with its neighbour's beginning. Each document
+    moves once, compressed, and the needed beginning of its successor once.
     """
     keyed = _keyed(df, doc_id, text)
     links = materialize(next_documents(keyed), "next-documents")
+    id_field = keyed.schema["doc_id"]
+    id_kind, arrow_id = (id_field.dataType.simpleString(), pa.string() if id_field.dataType.typeName() == "string" else pa.int64())
+
+    def packed(batches):
+        for batch in batches:
+            data = [value.as_py().encode("utf-8", "surrogatepass") for value in batch.column(2)]
+            small = pa.array([pa.compress(d, codec="zstd", asbytes=True) for d in data], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small, pa.array([len(d) for d in data], pa.int64())], names=["k", "h", "z", "n"])
+
     # Both joins read the same columns of it, so the texts are shuffled once for the two.
-    distinct = keyed.select("k", "h", "text").dropDuplicates(["k", "h"])
+    distinct = keyed.select("k", "h", "text").mapInArrow(packed, "k string, h bigint, z binary, n bigint").dropDuplicates(["k", "h"])
     wanted = links.select("next_k", "next_h", F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "doc_id", F.col("k").alias("pred_k"), F.col("h").alias("pred_h"))
-    followers = distinct.join(wanted, (distinct["k"] == wanted["next_k"]) & (distinct["h"] == wanted["next_h"])).select("pred_k", "pred_h", "need", "text", "doc_id")
+    followers = distinct.join(wanted, (distinct["k"] == wanted["next_k"]) & (distinct["h"] == wanted["next_h"])).select("pred_k", "pred_h", "need", "z", "n", "doc_id")
+
+    print_bytes = BITS // 8 * LANES + 8
+
+    def grown(z: pa.Scalar, n: pa.Scalar) -> bytes:
+        return pa.decompress(z.as_py(), decompressed_size=n.as_py(), codec="zstd", asbytes=True) if n.as_py() else b""
+
+    def decoded(data: bytes) -> str:
+        return data.decode("utf-8", "surrogatepass")
 
     def beginnings(batches):
         for batch in batches:
-            texts = [v or "" for v in batch.column(3).to_pylist()]
-            # Beginnings move to their predecessors, so they are compressed.
-            heads = [zlib.compress(t[:n].encode("utf-8", "surrogatepass"), 1) for t, n in zip(texts, batch.column(2).to_pylist(), strict=True)]
-            prints = [to_bytes(fingerprint_of(paragraphs(t))) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(heads, pa.binary()), pa.array(prints, pa.binary()), batch.column(4)],
-                names=["pred_k", "pred_h", "head", "next_print", "doc_id"],
-            )
-
-    heads = followers.mapInArrow(beginnings, "pred_k string, pred_h bigint, head binary, next_print binary, doc_id bigint")
-    pairs = distinct.join(heads, (distinct["k"] == heads["pred_k"]) & (distinct["h"] == heads["pred_h"])).select("doc_id", "text", "head", "next_print")
+            heads, sizes = [], []
+            for need, z, n in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+                following = decoded(grown(z, n))
+                head = to_bytes(fingerprint_of(paragraphs(following))) + following[: need.as_py()].encode("utf-8", "surrogatepass")
+                heads.append(pa.compress(head, codec="zstd", asbytes=True))
+                sizes.append(len(head))
+            columns = [batch.column(0), batch.column(1), pa.array(heads, pa.binary()), pa.array(sizes, pa.int64()), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(columns, names=["pred_k", "pred_h", "head", "head_n", "doc_id"])
+
+    heads = followers.mapInArrow(beginnings, f"pred_k string, pred_h bigint, head binary, head_n bigint, doc_id {id_kind}")
+    pairs = distinct.join(heads, (distinct["k"] == heads["pred_k"]) & (distinct["h"] == heads["pred_h"])).select("doc_id", "z", "n", "head", "head_n")
+    result = pa.schema(
+        [("doc_id", arrow_id), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    )
 
     def compared(batches):
         for batch in batches:
             out = []
-            for key, value, head, other in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                edited = value[: len(value) - len(value) // 3] + zlib.decompress(head).decode("utf-8", "surrogatepass")
-                a, b = fingerprint_of(paragraphs(value)), fingerprint_of(paragraphs(edited))
+            for key, z, n, head, head_n in zip(*(batch.column(i) for i in range(5)), strict=True):
+                value, other = decoded(grown(z, n)), grown(head, head_n)
+                edited = value[: len(value) - len(value) // 3] + decoded(other[print_bytes:])
+                own = paragraphs(value)
+                a = fingerprint_of(own)
+                b = changed(a, own, paragraphs(edited))
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((key, len(value), digest, to_text(a), to_text(b), likeness(a, b), likeness(a, from_bytes(other))))
+                out.append((key.as_py(), len(value), digest, to_text(a), to_text(b), likeness(a, b), likeness(a, from_bytes(other[:print_bytes]))))
             columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RESULT.types, strict=True)], schema=RESULT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, result.types, strict=True)], schema=result)
 
-    return pairs.mapInArrow(compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return pairs.mapInArrow(
+        compared, f"doc_id {id_kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    )

@@ -445,8 +445,36 @@ def test_likeness_counts_each_differing_copy_once(spark):
         assert found[doc_id].near_edited == pytest.approx(true_likeness(text, text[: len(text) - n] + following[:n]), abs=0.15)
     assert fingerprints.paragraphs("a\n\n\n  \na") == [b"a", b"a"] and b"" not in fingerprints.paragraphs(texts[4])
     once, twice = fingerprints.fingerprint_of([b"x"]), fingerprints.fingerprint_of([b"x", b"x"])
-    second = fingerprints.fingerprint_of([b"x"], before=[b"x"])
-    assert (fingerprints.add(once, second) == twice).all() and (fingerprints.remove(twice, second) == once).all()
+    assert (fingerprints.add(once, once) == twice).all() and (fingerprints.remove(twice, once) == once).all()
+
+
+def test_fingerprints_of_shared_paragraphs_add_up():
+    draw = random.Random(6)
+    kinds = [b"p%d" % i for i in range(40)]
+    for _ in range(50):
+        one, two = ([draw.choice(kinds) for _ in range(draw.randint(0, 90))] for _ in range(2))
+        a, b, both = map(fingerprints.fingerprint_of, (one, two, draw.sample(one + two, len(one + two))))
+        assert (fingerprints.add(a, b) == both).all() and (fingerprints.remove(both, a) == b).all()
+        assert (fingerprints.changed(a, one, two) == b).all()
+        assert (fingerprints.from_bytes(fingerprints.to_bytes(both)) == both).all()
+
+
+def test_estimates_of_differing_paragraphs_are_near_at_every_size():
+    for n in (1, 3, 20, 500, 20_000):
+        ratios = []
+        for trial in range(12):
+            old, new = ([b"%d %s %d" % (trial, side, i) for i in range(n)] for side in (b"a", b"b"))
+            shared = [b"shared %d" % i for i in range(200)]
+            ratios.append(fingerprints.differing(fingerprints.fingerprint_of(old + shared), fingerprints.fingerprint_of(new + shared)) / (2 * n))
+        assert np.mean(ratios) == pytest.approx(1, abs=0.12) and max(ratios) < 1.6 and min(ratios) > 0.6
+
+
+def test_fingerprints_keep_other_columns_and_take_text_ids(spark):
+    df = spark.createDataFrame([("a", "x\ny", 1, "z"), ("none", "y\nx", 2, None), (None, "x\ny", 3, "z")], "doc_id string, body string, _text int, text string")
+    found = fingerprints.fingerprints(df, "body")
+    assert found.columns == [*df.columns, "fingerprint"] and found.select("fingerprint").distinct().count() == 1
+    compared = {r.doc_id: r for r in fingerprints.compare_with_edit(df, "doc_id", "body").collect()}
+    assert set(compared) == {"a", "none", None} and all(r.near_next == 1.0 for r in compared.values())
 
 
 def test_pipeline_stages(spark):
