@@ -3,93 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.operators.kmeans import FINAL_ITERATIONS, SEED, ClusterModel, fit_all, labels, moments, rows_of
+from tabulon.operators.sparse import Rows, dimensions, entries_of, stored_entries, summed
+
 # Fixed values of the clustering job.
-SEED = 42
 SEARCH_ITERATIONS = 20
-FINAL_ITERATIONS = 50
 K_MIN, K_MAX = 5, 14
-# Spark's own limit of a covariance matrix.
-MAX_COVARIANCE = 65_535
-
-# Layout of a fit unless the caller gives another; labels depend on it and on the ids, on nothing else.
-PARTITIONS = 32
-
-
-def stable_layout(df: DataFrame, id_column: str, partitions: int = PARTITIONS) -> DataFrame:
-    """The same rows in a partitioning that depends on the ids only.
-
-    KMeans starts from a sample that follows the layout of its input, so equal layouts give equal labels
-    whatever files or partitions the rows came from and whatever the session is set to. The number of partitions
-    is part of the fit: give about one per 200,000 rows for large tables, and the same one to repeat a fit.
-    """
-    return df.repartition(partitions, id_column).sortWithinPartitions(id_column)
-
-
-@contextmanager
-def kept_in_memory(df: DataFrame):
-    """Persist for the passes of an iterative fit and release afterwards.
-
-    Blocks that do not fit go to disk; blocks lost with an executor are computed again.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
-
-
-def _kmeans(k: int, max_iter: int, seed: int) -> KMeans:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster")
+#: Directions that the projection follows at once, more than the two it gives, so that it gets there in few scans.
+DIRECTIONS = 10
+MAX_SCANS = 100
+RESIDUAL = 1e-9
 
 
-def _by_center(model: KMeansModel) -> list[int]:
-    """New label of each cluster: its place when the centers are put in order."""
-    centers = [tuple(round(float(x), 9) for x in center) for center in model.clusterCenters()]
-    ordered = sorted(range(len(centers)), key=lambda i: centers[i])
-    labels = [0] * len(centers)
-    for place, old in enumerate(ordered):
-        labels[old] = place
-    return labels
-
-
-def fit_kmeans(
-    features: DataFrame,
-    id_column: str,
-    k: int,
-    max_iter: int = FINAL_ITERATIONS,
-    seed: int = SEED,
-    partitions: int = PARTITIONS,
-) -> KMeansModel:
-    """Fit on the vector column features; the rows are read once and kept for the iterations."""
-    laid_out = stable_layout(features.select(id_column, "features"), id_column, partitions)
-    with kept_in_memory(laid_out) as kept:
-        return _kmeans(k, max_iter, seed).fit(kept)
+def fit_kmeans(features: DataFrame, id_column: str, k: int, max_iter: int = FINAL_ITERATIONS, seed: int = SEED) -> ClusterModel:
+    """Fit on the vector column features; the result depends on the ids and vectors only."""
+    return fit_all(features, id_column, [k], max_iter, seed)[k]
 
 
-def assign(features: DataFrame, model: KMeansModel) -> DataFrame:
+def assign(features: DataFrame, model: ClusterModel) -> DataFrame:
     """Adds the cluster of each row, clusters being numbered by the order of their centers."""
-    labels = F.array(*[F.lit(label) for label in _by_center(model)])
-    return model.transform(features).withColumn("cluster", F.element_at(labels, F.col("cluster") + 1))
+    return features.withColumn("cluster", labels(model))
 
 
-def ordered_centers(model: KMeansModel) -> list[list[float]]:
+def ordered_centers(model: ClusterModel) -> list[list[float]]:
     """Centers in the numbering that assign() uses."""
-    centers = [[float(x) for x in center] for center in model.clusterCenters()]
-    ordered = [None] * len(centers)
-    for old, label in enumerate(_by_center(model)):
-        ordered[label] = centers[old]
-    return ordered
+    return [[float(x) for x in center] for center in model.centers]
 
 
 def silhouette(df: DataFrame, features: str, label: str) -> float:
@@ -105,6 +52,43 @@ def silhouette_of_arrays(df: DataFrame, array: str, label: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(silhouette(points, "features", label),)], "silhouette double")
 
 
+def silhouettes(features: DataFrame, id_column: str, models: dict[int, ClusterModel]) -> dict[int, float]:
+    """The mean silhouette of each model, with squared euclidean distance; two scans for all models.
+
+    The distances of a row to all rows of a cluster add up to n |x|^2 + sum |y|^2 - 2 x sum y, so the moments of the clusters are enough. A row
+    alone in its cluster scores 0.
+    """
+    rows = rows_of(features, id_column).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        dims = dimensions(features)
+        centers = [m.centers for m in models.values()]
+        counts, sums, squares, _ = moments(rows, centers, dims)
+
+        def scores(batches):
+            total = np.zeros((len(centers), 2))
+            for batch in batches:
+                part = Rows.of(batch.column(0), batch.column(1))
+                for number, (points, n, y, psi) in enumerate(zip(centers, counts, sums, squares)):
+                    own = part.distances(points).argmin(1)
+                    away = np.maximum(n * part.norms[:, None] + psi - 2 * part.times(y), 0.0)
+                    every = np.arange(len(part))
+                    inside = away[every, own] / np.maximum(n[own] - 1, 1)
+                    means = np.where(n > 0, away / np.maximum(n, 1), np.inf)
+                    means[every, own] = np.inf
+                    outside = means.min(1)
+                    greater = np.maximum(inside, outside)
+                    score = np.where((n[own] > 1) & (greater > 0) & np.isfinite(outside), (outside - inside) / np.where(greater > 0, greater, 1), 0.0)
+                    total[number] += score.sum(), len(part)
+            yield entries_of(total, ("model", "place", "value"))
+
+        found = np.zeros((len(centers), 2))
+        for model, place, value in summed(rows.select("indices", "values").mapInArrow(scores, "model int, place int, value double"), ["model", "place"], "value"):
+            found[int(model), int(place)] = value
+    finally:
+        rows.unpersist()
+    return {k: float(total / n) if n else 0.0 for k, (total, n) in zip(models, found)}
+
+
 def search_k(
     features: DataFrame,
     id_column: str,
@@ -112,30 +96,18 @@ def search_k(
     k_max: int = K_MAX,
     seed: int = SEED,
     max_iter: int = SEARCH_ITERATIONS,
-    parallelism: int = 4,
-    partitions: int = PARTITIONS,
 ) -> DataFrame:
     """(k, silhouette) for each k, scores rounded to four digits.
 
-    The rows are laid out and kept once; a few fits run side by side so that their short stages fill the
-    cluster. The fits do not depend on each other, so the order does not matter.
+    All models start from the same candidates and move in the same scans; their scores take two more.
     """
     if k_min > k_max:
         raise ValueError(f"empty range of k: {k_min}..{k_max}")
     if k_min < 2:
         raise ValueError("a silhouette needs at least two clusters")
-    laid_out = stable_layout(features.select(id_column, "features"), id_column, partitions)
-    spark = features.sparkSession
-    with kept_in_memory(laid_out) as kept:
-        kept.count()  # fill the store once before the fits share it
-
-        def score(k: int) -> tuple[int, float]:
-            model = _kmeans(k, max_iter, seed).fit(kept)
-            return k, round(silhouette(model.transform(kept), "features", "cluster"), 4)
-
-        with ThreadPool(min(parallelism, k_max - k_min + 1)) as pool:
-            scores = pool.map(inheritable_thread_target(spark)(score), range(k_min, k_max + 1))
-    return spark.createDataFrame(scores, "k int, silhouette double")
+    models = fit_all(features, id_column, range(k_min, k_max + 1), max_iter, seed)
+    scores = silhouettes(features, id_column, models)
+    return features.sparkSession.createDataFrame([(k, round(score, 4)) for k, score in scores.items()], "k int, silhouette double")
 
 
 def best_k(scores: DataFrame) -> int:
@@ -143,21 +115,81 @@ def best_k(scores: DataFrame) -> int:
     return scores.orderBy(F.desc("silhouette"), "k").first()["k"]
 
 
-def project_2d(features: DataFrame, keep: Sequence[str] = ("cluster",)) -> DataFrame:
-    """The kept columns and x, y: the two main components of the feature vectors.
+def principal_directions(features: DataFrame, count: int = 2, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, mean): the main components of the vectors, a line each, of any number of dimensions.
 
-    Stays distributed; only the covariance matrix (dimensions squared) is held by the driver, for which Spark
-    takes at most 65,535 dimensions. The sign of each component is fixed so that its largest loading is positive.
+    Block subspace iteration: a few random directions are multiplied with the covariance, one scan each time, and turned to the main directions of
+    their span, until these hardly change under the covariance. Only dimensions times DIRECTIONS numbers are held. Products use
+    the stored entries of the vectors and the mean apart. The largest loading of each direction is positive.
     """
-    first = features.select("features").first()
-    if first is not None and first["features"].size > MAX_COVARIANCE:
-        raise ValueError(f"Spark's covariance takes at most {MAX_COVARIANCE} dimensions, not {first['features'].size}")
-    model = PCA(k=2, inputCol="features", outputCol="_projected").fit(features)
-    loadings = model.pc.toArray()
-    signs = [1.0 if abs(column.max()) >= abs(column.min()) else -1.0 for column in loadings.T]
-    projected = model.transform(features).withColumn("_xy", vector_to_array("_projected"))
-    return projected.select(
-        *keep,
-        (F.col("_xy")[0] * F.lit(signs[0])).alias("x"),
-        (F.col("_xy")[1] * F.lit(signs[1])).alias("y"),
-    )
+    dims = dimensions(features)
+    rows = features.select(*stored_entries()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, mean = _mean(rows, dims)
+        if n < 2 or dims < count:
+            raise ValueError(f"{count} components need two rows and {count} dimensions, not {n} and {dims}")
+        found = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, min(dims, DIRECTIONS))))[0]
+        for _ in range(MAX_SCANS):
+            moved = _times_covariance(rows, found, mean, n)
+            within = found.T @ moved
+            values, turned = np.linalg.eigh((within + within.T) / 2)
+            turned = turned[:, ::-1]
+            main, image = found @ turned, moved @ turned
+            rest = np.linalg.norm(image[:, :count] - main[:, :count] * values[::-1][:count], axis=0)
+            if rest.max() <= RESIDUAL * max(values[-1], np.finfo(float).tiny):
+                break
+            found = np.linalg.qr(moved)[0]
+    finally:
+        rows.unpersist()
+    out = main[:, :count].T
+    return out * np.where(out[np.arange(count), np.abs(out).argmax(1)] >= 0, 1.0, -1.0)[:, None], mean
+
+
+def _mean(rows: DataFrame, dims: int) -> tuple[int, np.ndarray]:
+    def sums(batches):
+        out = np.zeros((1, dims + 1))
+        for batch in batches:
+            part = Rows.of(batch.column(0), batch.column(1))
+            out[:, :dims] += part.sums(np.zeros(len(part), np.int64), 1, dims)
+            out[0, dims] += len(part)
+        yield entries_of(out, ("line", "place", "value"))
+
+    total = np.zeros(dims + 1)
+    for _, place, value in summed(rows.mapInArrow(sums, "line int, place int, value double"), ["line", "place"], "value"):
+        total[int(place)] = value
+    return int(total[dims]), total[:dims] / max(total[dims], 1)
+
+
+def _times_covariance(rows: DataFrame, directions: np.ndarray, mean: np.ndarray, n: int) -> np.ndarray:
+    """The covariance of the rows times some directions, a column each."""
+    dims, width = directions.shape
+    shift = mean @ directions
+
+    def products(batches):
+        out = np.zeros((width, dims))
+        for batch in batches:
+            part = Rows.of(batch.column(0), batch.column(1))
+            along = part.times(directions.T) - shift
+            for i in range(width):
+                out[i] += np.bincount(part.indices, weights=part.values * along[part.owner, i], minlength=dims)
+        yield entries_of(out, ("line", "place", "value"))
+
+    found = summed(rows.mapInArrow(products, "line int, place int, value double"), ["line", "place"], "value")
+    out = np.zeros((width, dims))
+    out[found[:, 0].astype(int), found[:, 1].astype(int)] = found[:, 2]
+    # The deviations from the mean along a direction add up to 0, so the mean itself has no part.
+    return out.T / (n - 1)
+
+
+def project_2d(features: DataFrame, keep: Sequence[str] = ("cluster",)) -> DataFrame:
+    """The kept columns and x, y: the vectors along the two main components of all of them, which any number of dimensions may have."""
+    directions, _ = principal_directions(features)
+
+    @F.pandas_udf("x double, y double")
+    def along(indices, values):
+        import pandas as pd
+
+        part = Rows.of(pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())))
+        return pd.DataFrame(part.times(directions), columns=["x", "y"])
+
+    return features.select(*keep, along(*stored_entries()).alias("_xy")).select(*keep, "_xy.x", "_xy.y")

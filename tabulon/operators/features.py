@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: a token counts from this many rows on.
@@ -73,6 +73,17 @@ class FeatureModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.stages.transform(df)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the fitted stages and the names below the path, replacing what is there."""
+        self.stages.write().overwrite().save(f"{path}/stages")
+        rows = list(enumerate(self.names))
+        spark.createDataFrame(rows, "position int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureModel:
+        names = spark.read.parquet(f"{path}/names").orderBy("position").collect()
+        return cls(PipelineModel.load(f"{path}/stages"), tuple(r["name"] for r in names))
+
 
 def fit_features(
     df: DataFrame, tokens: str, numerics: Sequence[str], min_rows: int = MIN_ROWS

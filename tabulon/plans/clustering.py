@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import token_array
 from tabulon.operators import clusters
-from tabulon.operators.features import fit_features, with_log_columns
+from tabulon.operators.features import FeatureModel, fit_features, with_log_columns
 from tabulon.operators.grouping import group_profile
+from tabulon.operators.kmeans import ClusterModel
 from tabulon.operators.similar import recommend
 from tabulon.operators.tokens import explode_tokens
 from tabulon.plans.catalog import CatalogColumns, clean_catalog, typed_catalog
-from tabulon.sources import materialize
+from tabulon.sources import materialize, release
 
 # The numeric features, and the columns of the results.
 NUMERICS = ("log_popularity", "vote_average", "log_vote_count")
@@ -32,12 +34,32 @@ SIMILAR_COLUMNS = ("title", "release_year", "genre", "vote_average", "popularity
 
 
 def feature_input(rows: DataFrame) -> DataFrame:
-    """Clean catalog rows with the token array and the log columns the features are made of."""
+    """Clean catalog rows with the token array and the log columns the features are made of; twice is as good as once."""
     return with_log_columns(
         rows.withColumn("genre_array", token_array(F.col("genre"))), ["popularity", "vote_count"]
     )
 
 
+@dataclass(frozen=True)
+class CatalogModel:
+    """What the clustering job has learnt: the features of a row and the centers."""
+
+    features: FeatureModel
+    clusters: ClusterModel
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.features.save(spark, f"{path}/features")
+        self.clusters.save(spark, f"{path}/clusters")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CatalogModel:
+        return cls(FeatureModel.load(spark, f"{path}/features"), ClusterModel.load(spark, f"{path}/clusters"))
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Clean catalog rows with their vector, in the column features, and the cluster it belongs to."""
+        return clusters.assign(self.features.transform(feature_input(rows)), self.clusters)
+
+
 def cluster_report(
     raw: DataFrame,
     titles: Sequence[str],
@@ -46,22 +68,31 @@ def cluster_report(
     k: int | None = None,
     k_min: int = clusters.K_MIN,
     k_max: int = clusters.K_MAX,
+    model_path: str | None = None,
 ) -> dict[str, DataFrame]:
     """The frames of the clustering job by name; a given k skips the search.
 
-    Clean rows and clustered rows are each written once as a table; fits run while the job is put
-    together, all results but the search scores are lazy.
+    Clean rows with their vectors, and clustered rows with theirs, are each written once as a table that all later steps read; fits run
+    while the job is put together, all results but the search scores are lazy. With model_path the model is saved there, and the
+    rows are scored by the one that is loaded again.
     """
     rows = materialize(feature_input(clean_catalog(typed_catalog(raw, columns), columns)), "catalog")
-    features = fit_features(rows, "genre_array", NUMERICS).transform(rows)
+    fitted = fit_features(rows, "genre_array", NUMERICS)
+    features = materialize(fitted.transform(rows).select(id_column, "features"), "features")
     reports = {}
     if k is None:
         scores = clusters.search_k(features, id_column, k_min, k_max)
         reports["k_scores"] = scores
         k = clusters.best_k(scores)
-    model = clusters.fit_kmeans(features, id_column, k)
-    clustered = clusters.assign(features, model)
-    light = materialize(clustered.select(id_column, *LIGHT_COLUMNS), "clustered")
+    model = CatalogModel(fitted, clusters.fit_kmeans(features, id_column, k))
+    release(features)
+    if model_path is not None:
+        model.save(raw.sparkSession, model_path)
+        model = CatalogModel.load(raw.sparkSession, model_path)
+    kept = list(dict.fromkeys([id_column, *LIGHT_COLUMNS, "features"]))
+    clustered = materialize(model.score(rows).select(kept), "clustered")
+    release(rows)
+    light = clustered.drop("features")
     return reports | {
         "movies_with_clusters": light.select(*LIGHT_COLUMNS),
         "cluster_profiles": group_profile(

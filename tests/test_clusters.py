@@ -3,11 +3,13 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector, SparseVector
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from tabulon.functions import token_array
 from tabulon.operators import clusters
 from tabulon.operators.features import (
+    FeatureModel,
     features_long,
     fit_features,
     min_max_scaled,
@@ -16,6 +18,7 @@ from tabulon.operators.features import (
     vocabulary_list,
     with_log_columns,
 )
+from tabulon.operators.kmeans import ClusterModel, fit_all
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +143,83 @@ def test_projection_has_a_fixed_sign(spark):
     rows = clusters.project_2d(vectors, ["a"]).orderBy("a").collect()
     # The largest loading is b's; made positive, x falls while a rises.
     assert rows[0].x > rows[-1].x
+
+
+def test_labels_are_the_same_for_any_number_of_partitions(spark, rows):
+    features = featured(rows).select("id", "features")
+    found = []
+    for partitions in (8, 32, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            laid_out = features.repartition(partitions)
+            model = clusters.fit_kmeans(laid_out, "id", 5)
+            labels = {r.id: r.cluster for r in clusters.assign(laid_out, model).select("id", "cluster").collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        found.append((model.centers.tolist(), labels))
+    assert found[0] == found[1] == found[2] and len(set(found[0][1].values())) == 5
+
+
+def test_centers_are_the_means_of_their_rows(rows):
+    features = featured(rows)
+    model = clusters.fit_kmeans(features, "id", 4)
+    assigned = clusters.assign(features, model).select("cluster", vector_to_array("features").alias("x")).collect()
+    for number, center in enumerate(model.centers):
+        mine = np.array([r.x for r in assigned if r.cluster == number])
+        assert len(mine) == model.sizes[number] and np.allclose(mine.mean(0), center, atol=1e-3)
+    assert [tuple(c) for c in model.centers] == sorted(tuple(c) for c in model.centers)
+
+
+def test_starting_points_are_spread(spark):
+    """Three far groups of very different size: each gets a center."""
+    random = np.random.default_rng(1)
+    points = np.concatenate([random.normal(c, 0.1, (n, 2)) for c, n in (((0, 0), 900), ((50, 0), 30), ((0, 80), 5))])
+    df = spark.createDataFrame([(i, DenseVector(p)) for i, p in enumerate(points)], ["id", "features"])
+    model = clusters.fit_kmeans(df, "id", 3)
+    assert sorted(model.sizes) == [5, 30, 900]
+
+
+def test_fewer_different_rows_than_centers_and_bad_input(spark):
+    df = spark.createDataFrame([(i, SparseVector(4, {i % 2: 1.0})) for i in range(20)], ["id", "features"])
+    model = clusters.fit_kmeans(df, "id", 5)
+    assert model.sizes == (10, 10) and model.cost == 0.0
+    with pytest.raises(ValueError):
+        clusters.fit_kmeans(df.limit(0), "id", 2)
+    with pytest.raises(ValueError):
+        clusters.fit_kmeans(df, "id", 0)
+
+
+def test_silhouettes_agree_with_spark(rows):
+    features = featured(rows)
+    models = fit_all(features, "id", [2, 4, 6])
+    for k, score in clusters.silhouettes(features, "id", models).items():
+        assigned = clusters.assign(features, models[k])
+        assert score == pytest.approx(clusters.silhouette(assigned, "features", "cluster"), abs=1e-9)
+
+
+def test_models_score_after_loading_as_before(spark, rows, tmp_path):
+    fitted = fit_features(rows, "tokens", ["score", "votes"])
+    model = clusters.fit_kmeans(fitted.transform(rows), "id", 4)
+    for _ in range(2):
+        fitted.save(spark, str(tmp_path / "features"))
+        model.save(spark, str(tmp_path / "clusters"))
+    again = FeatureModel.load(spark, str(tmp_path / "features"))
+    centers = ClusterModel.load(spark, str(tmp_path / "clusters"))
+    assert again.names == fitted.names and (centers.centers == model.centers).all() and centers.summary.trainingCost == model.summary.trainingCost
+    scored = [{r.id: (r.features, r.cluster) for r in clusters.assign(f.transform(rows), m).select("id", "features", "cluster").collect()} for f, m in ((fitted, model), (again, centers))]
+    assert scored[0] == scored[1]
+
+
+def test_projection_of_a_hundred_thousand_dimensions(spark):
+    """Two strong directions, each over its own half of the first dimensions, and a little of every other one."""
+    random = np.random.default_rng(9)
+    dims, data = 100_000, []
+    for i in range(400):
+        a, b = random.normal(0, 9), random.normal(0, 5)
+        entries = {j: a if j < 10 else b for j in range(20)} | {int(j): float(random.normal()) for j in random.integers(20, dims, 5)}
+        data.append((i, a, b, SparseVector(dims, sorted(entries.items()))))
+    df = spark.createDataFrame(data, ["id", "a", "b", "features"])
+    found = np.array([[r.x, r.y, r.a, r.b] for r in clusters.project_2d(df, ["id", "a", "b"]).collect()])
+    correlations = np.abs(np.corrcoef(found.T))
+    assert correlations[0, 2] > 0.999 and correlations[1, 3] > 0.999
+    assert abs(np.cov(found[:, 0], found[:, 1])[0, 1]) < 1e-6

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from tabulon.operators.standardize import ColumnSpec
 from tabulon.plans import (
     CatalogColumns,
+    CatalogModel,
     TelemetryColumns,
     catalog_report,
     cluster_report,
     telemetry_report,
+    typed_catalog,
     write_reports,
 )
-from tabulon.sources import read_delimited, write_delimited
+from tabulon.plans.catalog import clean_catalog
+from tabulon.sources import read_delimited, table_scope, write_delimited
 from workload import fixtures as fx
 
 COLUMNS = CatalogColumns(extra=(ColumnSpec("item_id", "item_id", "int"),), tie_breaker="item_id")
@@ -104,6 +107,17 @@ def test_clustering_job(raw, tmp_path):
     assert os.path.isfile(tmp_path / "cluster_profiles.csv")
 
 
+def test_clustering_job_scores_with_the_saved_model(spark, raw, tmp_path):
+    path = str(tmp_path / "model")
+    with table_scope():
+        before = sorted(cluster_report(raw, [], "item_id", COLUMNS, k=4)["movies_with_clusters"].collect(), key=repr)
+        after = sorted(cluster_report(raw, [], "item_id", COLUMNS, k=4, model_path=path)["movies_with_clusters"].collect(), key=repr)
+    assert before == after
+    rows = clean_catalog(typed_catalog(raw, COLUMNS), COLUMNS)
+    scored = CatalogModel.load(spark, path).score(rows).select("title", "release_year", "genre", "vote_average", "popularity", "vote_count", "original_language", "cluster")
+    assert sorted(scored.collect(), key=repr) == after
+
+
 def test_fixed_k_skips_the_search(raw):
     found = cluster_report(raw, [], "item_id", COLUMNS, k=3)
     assert "k_scores" not in found

@@ -237,10 +237,10 @@ def catalog_job(spark, folder):
         raise ValueError(f"reports without a listing: {sorted(set(found) ^ set(JOB_REPORTS))}")
     write_reports(found, f"{job}/reports")
     saved = {name: read_delimited(spark, f"{job}/reports/{name}", columns=frame.columns) for name, frame in found.items()}
-    return reports.stack_by_name([_cells(saved[name], name, *listed) for name, listed in JOB_REPORTS.items()])
+    return reports.stack_by_name([cells(saved[name], name, *listed) for name, listed in JOB_REPORTS.items()])
 
 
-def _cells(frame, name, keys, numbers, texts):
+def cells(frame, name, keys, numbers, texts):
     """(report, key, column_name, value, text): one row per cell, numbers in value, other cells in text."""
     nothing = {"value": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
     cells = [
@@ -295,7 +295,7 @@ JOB_REPORTS = {
 }
 
 
-def _cells_sql(name: str, sql: str, keys: list[str], numbers: list[str], texts: list[str]) -> str:
+def cells_sql(name: str, sql: str, keys: list[str], numbers: list[str], texts: list[str]) -> str:
     key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
     cells = [(c, f"round(cast({c} as double), 6)", "cast(null as varchar)") for c in numbers]
     cells += [(c, "cast(null as double)", c) for c in texts]
@@ -529,5 +529,5 @@ _JOB_SQL = {
 }
 CASES["catalog_job"] = (
     catalog_job,
-    _tokens + "\nunion all\n".join(_cells_sql(name, _JOB_SQL[name], *listed) for name, listed in JOB_REPORTS.items()),
+    _tokens + "\nunion all\n".join(cells_sql(name, _JOB_SQL[name], *listed) for name, listed in JOB_REPORTS.items()),
 )
