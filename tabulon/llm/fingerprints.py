@@ -23,30 +23,46 @@ from tabulon.llm.common import free_name
 from tabulon.sources.shared import materialize
 
 LANES = 256
-#: Bits of a lane: room for 2^31 differing paragraphs, each in steps of 1 / SCALE.
+#: Bits of a lane: room for draws up to 2^35, in steps of 1 / SCALE.
 BITS = 40
-SCALE = 1 << 8
+SCALE = 1 << 4
 MODULUS = 1 << BITS
 LONGEST_DRAW = 1 << (BITS - 2)
 #: Paragraphs whose draws are made at once.
-BLOCK = 1024
+BLOCK = 256
+#: Words of which a task remembers whether they end a piece.
+REMEMBERED = 400_000
 #: One word in so many ends a piece of a line.
 CUT = 8
 SEED = 17
-ROUNDS = 8
+ROUNDS = 5
+
+
+class _Ends(dict):
+    """Whether a word ends a piece, for the words met so far."""
+
+    def __missing__(self, word: str) -> bool:
+        ends = bool(word) and zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0
+        if len(self) < REMEMBERED:
+            self[word] = ends
+        return ends
+
+
+_ends = _Ends()
 
 
 def paragraphs(text: str) -> list[bytes]:
+    """The pieces of a text, as bytes. Lines do not depend on each other."""
     out = []
     for line in text.split("\n"):
-        piece: list[str] = []
-        for word in line.split(" "):
-            piece.append(word)
-            if word and zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0:
-                out.append(" ".join(piece).encode("utf-8", "surrogatepass"))
-                piece = []
-        if any(piece):
-            out.append(" ".join(piece).encode("utf-8", "surrogatepass"))
+        words = line.split(" ")
+        begin = 0
+        for at, ends in enumerate(map(_ends.__getitem__, words)):
+            if ends:
+                out.append(" ".join(words[begin : at + 1]).encode("utf-8", "surrogatepass"))
+                begin = at + 1
+        if any(words[begin:]):
+            out.append(" ".join(words[begin:]).encode("utf-8", "surrogatepass"))
     return out
 
 
@@ -56,26 +72,28 @@ def _cauchy(uniform: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(draws), -LONGEST_DRAW, LONGEST_DRAW).astype(np.int64)
 
 
-#: Draws by the upper 16 bits; in the tails, where they lie far apart, all 32 bits count.
-_TABLE = _cauchy((np.arange(1 << 16, dtype=np.uint32) << np.uint32(16)) + np.uint32(1 << 15))
+#: Draws by the upper 16 bits; in the tails, where they lie far apart, all 32 bits count, and the table has 0.
 TAIL = 32
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, LANES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def vectors(pieces: list[bytes]) -> np.ndarray:
-    """One row of LANES draws per paragraph."""
-    digests = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), "<u8").reshape(-1, 2)
-    with np.errstate(over="ignore"):
-        mixed = digests[:, :1] * _FACTORS[0]
-        mixed ^= mixed >> np.uint64(32)
-        mixed += digests[:, 1:]
-        mixed *= _FACTORS[1]
-    uniform = (mixed >> np.uint64(32)).astype(np.uint32)
-    upper = uniform >> np.uint32(16)
-    out = _TABLE[upper]
-    far = upper - np.uint32(TAIL) >= np.uint32((1 << 16) - 2 * TAIL)
-    if far.any():
-        out[far] = _cauchy(uniform[far])
+_TABLE = _cauchy((np.arange(1 << 16, dtype=np.uint32) << np.uint32(16)) + np.uint32(1 << 15)).astype(np.int32)
+_TABLE[:TAIL] = _TABLE[-TAIL:] = 0
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, (4, LANES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def sums_of(pieces: list[bytes]) -> np.ndarray:
+    """The sums of LANES draws per paragraph: each lane mixes the 128 bits of a paragraph's digest in its own way."""
+    digest = hashlib.blake2b
+    digests = np.frombuffer(b"".join([digest(p, digest_size=16).digest() for p in pieces]), "<u4").reshape(-1, 4)
+    mixed = digests[:, :1] * _FACTORS[0]
+    for i in (1, 2, 3):
+        mixed ^= mixed >> np.uint32(15)
+        mixed += digests[:, i : i + 1]
+        mixed *= _FACTORS[i]
+    mixed ^= mixed >> np.uint32(16)
+    upper = mixed >> np.uint32(16)
+    out = _TABLE.take(upper).sum(0, dtype=np.int64)
+    row, lane = np.nonzero(upper - np.uint32(TAIL) >= np.uint32((1 << 16) - 2 * TAIL))
+    if len(row):
+        np.add.at(out, lane, _cauchy(mixed[row, lane]))
     return out
 
 
@@ -83,7 +101,7 @@ def fingerprint_of(pieces: list[bytes]) -> np.ndarray:
     """LANES sums modulo 2^BITS, and the count."""
     sums = np.zeros(LANES, np.int64)
     for begin in range(0, len(pieces), BLOCK):
-        sums += vectors(pieces[begin : begin + BLOCK]).sum(0)
+        sums += sums_of(pieces[begin : begin + BLOCK])
     return np.append(sums % MODULUS, len(pieces))
 
 
@@ -99,7 +117,8 @@ def remove(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def changed(fingerprint: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
     """The fingerprint of after from that of before: only the paragraphs that differ are hashed."""
-    old, new = Counter(before), Counter(after)
+    same = next((i for i, (a, b) in enumerate(zip(before, after)) if a != b), min(len(before), len(after)))
+    old, new = Counter(before[same:]), Counter(after[same:])
     gone, come = list((old - new).elements()), list((new - old).elements())
     return add(remove(fingerprint, fingerprint_of(gone)), fingerprint_of(come))
 
@@ -248,10 +267,13 @@ def compare_with_edit(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             out = []
             for key, z, n, head, head_n in zip(*(batch.column(i) for i in range(5)), strict=True):
                 value, other = decoded(grown(z, n)), grown(head, head_n)
-                edited = value[: len(value) - len(value) // 3] + decoded(other[print_bytes:])
-                own = paragraphs(value)
-                a = fingerprint_of(own)
-                b = changed(a, own, paragraphs(edited))
+                kept = len(value) - len(value) // 3
+                edited = value[:kept] + decoded(other[print_bytes:])
+                # Lines that end before the edit are in both texts.
+                line = value.rfind("\n", 0, kept) + 1
+                tail = paragraphs(value[line:])
+                shared, own = fingerprint_of(paragraphs(value[:line])), fingerprint_of(tail)
+                a, b = add(shared, own), add(shared, changed(own, tail, paragraphs(edited[line:])))
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((key.as_py(), len(value), digest, to_text(a), to_text(b), likeness(a, b), likeness(a, from_bytes(other[:print_bytes]))))
             columns = list(zip(*out)) or [()] * 7
