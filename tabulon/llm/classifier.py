@@ -26,9 +26,9 @@ STEPS = 600
 MAX_FIT_ROWS = 20_000
 THRESHOLD = 0.3
 #: Tokens whose neighbours are counted at once.
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 16
 #: Distinct tokens whose codes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Kinds of a token's shape: lower case, a capital first, capitals, other; by length, from 1 to LONGEST and more.
 LONGEST = 16
 SHAPES = 4 * LONGEST
@@ -94,14 +94,10 @@ def context_sums(texts: list[np.ndarray], columns: np.ndarray, sums: np.ndarray)
     for step in range(1, REACH + 1):
         near = owner[:-step] == owner[step:]
         one, other = tokens[:-step][near], tokens[step:][near]
-        words, neighbours = np.concatenate([one, other]) * DIM, np.concatenate([other, one])
-        for column, dims in enumerate(columns):
-            # Vectors are sparse, so only their places that are not zero are counted.
-            counts = np.bincount(words + dims[neighbours], minlength=BUCKETS * DIM)
-            if column % 2:
-                sums += counts
-            else:
-                sums -= counts
+        for words, neighbours in ((one * DIM, other), (other * DIM, one)):
+            for column, dims in enumerate(columns):
+                # Vectors are sparse, so only their places that are not zero are counted.
+                np.add.at(sums, words + dims[neighbours], 1 if column % 2 else -1)
 
 
 def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:

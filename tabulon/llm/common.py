@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tabulon.sources.shared import materialize
 
 # Fixed value: what separates words.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -33,28 +38,38 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sum(
-    df: DataFrame, group: Sequence[str], block: str, order: Sequence[Column], value: str, out: str
-) -> DataFrame:
-    """Adds out, the sum of value over the earlier rows of the group, in two levels.
+def ranged_sums(df: DataFrame, group: str | None, order: Sequence[Column], value: str, out: str, name: str) -> DataFrame:
+    """Adds out, the sum of value over the earlier rows in this order, of the same group if one is given; as a table in that order.
 
-    block is a non-decreasing function of the order, so a group of any size is summed block by block; only
-    one row per (group, block) meets in the second level.
+    Rows are range-sorted by group and order. Each partition adds up its own rows, and only one row per partition and group is put together to tell what
+    lies before it, so a group of any size is spread over as many partitions as its rows need.
     """
-    within = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    per_block = df.groupBy(*group, block).agg(F.sum(value).alias("_block_sum"))
-    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_block.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col(block).alias("_b"),
-        F.coalesce(F.sum("_block_sum").over(before), F.lit(0)).alias("_carried"),
-    )
-    same = F.col(block) == F.col("_b")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return (
-        df.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .join(carried, same)
-        .withColumn(out, F.col("_local") + F.col("_carried"))
-        .drop("_local", "_carried", "_b", *[f"_g{i}" for i in range(len(group))])
-    )
+    part, within, key = (free_name(df.columns, n) for n in ("part", "within", "group_key"))
+    keyed = df.withColumn(key, F.lit("") if group is None else F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("~none")))
+    by = [F.col(key), *order]
+    ordered = keyed.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(part, F.spark_partition_id())
+    summed = StructType([*ordered.schema.fields, StructField(within, LongType())])
+
+    def added(batches):
+        last, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(batch.schema.get_field_index(value)).to_numpy()
+            keys = batch.column(batch.schema.get_field_index(key)).dictionary_encode()
+            codes = keys.indices.to_numpy()
+            begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            running = np.cumsum(values) - values
+            sums = running - np.repeat(running[begins], np.diff(np.r_[begins, len(codes)]))
+            first = keys.dictionary[int(codes[0])].as_py()
+            if first == last:
+                sums[: begins[1] if len(begins) > 1 else len(sums)] += total
+            last, total = keys.dictionary[int(codes[-1])].as_py(), int(sums[-1] + values[-1])
+            yield batch.append_column(within, pa.array(sums))
+
+    table = materialize(ordered.mapInArrow(added, summed), name)
+    sums = table.groupBy(key, part).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(key).alias("_key"), F.col(part).alias("_part"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    joined = table.join(offsets, (F.col(key) == F.col("_key")) & (F.col(part) == F.col("_part")))
+    return joined.withColumn(out, F.col(within) + F.col("_offset")).drop(key, part, within, "_key", "_part", "_offset")

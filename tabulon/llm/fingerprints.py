@@ -31,7 +31,7 @@ LONGEST_DRAW = 1 << (BITS - 2)
 #: Paragraphs whose draws are made at once.
 BLOCK = 256
 #: Words of which a task remembers whether they end a piece.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: One word in so many ends a piece of a line.
 CUT = 8
 SEED = 17

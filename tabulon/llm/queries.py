@@ -109,20 +109,23 @@ from b
 """
 
 OP3_SQL = f"""
-with d as (select doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> '')) as bigint) as size,
-                  cast('0x' || substr(md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as key from documents),
+with d as (select row_number() over () as r, doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> '')) as bigint) as size,
+                  cast('0x' || substr(md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 15) as bigint) as key from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 r as (select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, source_size * 2 as cap from s),
 f as (select *, ((sum(source_size) over () * 15 / 10.0) - coalesce(sum(cap) over earlier, 0)) / (sum(weight) over () - coalesce(sum(weight) over earlier, 0)) as level
       from r window earlier as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 c as (select level from f where cap >= level * weight order by cap / weight, source nulls last limit 1),
 t as (select source, source_size, case when (select level from c) is null then cast(cap as double) else least(cast(cap as double), cast((select level from c) * weight as double)) end as target from f),
-p as (select doc_id, size, source_size, target,
-             cast(coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start
-      from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       cast(least(size, greatest(0, floor(target) - start)) + least(size, greatest(0, floor(target) - start - source_size)) as bigint) as taken
-from p
+p as (select r, doc_id, d.source, size, key, source_size, target,
+             cast(coalesce(sum(size) over (partition by d.source order by key, doc_id, size, r rows between unbounded preceding and 1 preceding), 0) as bigint) as start
+      from d join t on d.source is not distinct from t.source),
+packets as (select *, least({mixing.PACKET}, size - packet * {mixing.PACKET}) as words
+            from (select p.*, copy, unnest(range(0, greatest(1, (size + {mixing.PACKET - 1}) // {mixing.PACKET}))) as packet from p, (values (0), (1)) c(copy))),
+timed as (select *, case when target > 0 then cast(start + copy * source_size + packet * {mixing.PACKET} + words as double) / target else 0 end as finish from packets),
+placed as (select *, coalesce(sum(words) over (order by finish, source nulls last, copy, key, doc_id, r, packet rows between unbounded preceding and 1 preceding), 0) as position from timed)
+select doc_id, size, source_size, target, cast(sum(least(words, greatest(0, (select floor(sum(source_size) * 15 / 10) from s) - position))) as bigint) as taken
+from placed group by r, doc_id, size, source_size, target
 """
 
 

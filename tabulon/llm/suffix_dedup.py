@@ -30,7 +30,7 @@ SEED = 5
 #: Strings in a block, level by level after the whole block of a sample, and in the blocks that they are cut from at equal distances; the last are single ones.
 BLOCKS = ((43, 0), (7, 43), (1, 0))
 #: Bytes of text that a task looks at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: A sample's strings start at most this many bytes before it.
 REACH = LENGTH - LEAD
 BLOCK_SCHEMA = pa.schema([("prefix", pa.int64()), ("core", pa.int64()), ("span", pa.int64()), ("h", pa.int64()), ("c", pa.int32()), ("spot", pa.int64())])

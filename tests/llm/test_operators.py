@@ -80,19 +80,54 @@ def test_quality(docs, rows, empty):
     assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
 
 
-def test_mix(docs, rows, empty):
+def test_mix(docs, rows, empty, spark):
     mixed = mixing.mix(docs, "doc_id", "source", "text").collect()
+    sizes = Counter()
+    for r in mixed:
+        sizes[r.row] = r.size
+    budget = sum(sizes.values()) * 15 // 10
     assert all(0 <= r.taken <= r.size for r in mixed) and len(mixed) == 2 * len(rows)
+    assert sum(r.taken for r in mixed) == budget
     for source in {r.source for r in mixed}:
         own = [r for r in mixed if r.source == source]
-        assert sum(r.taken for r in own) == int(own[0].target)
-    placed = sorted((r.position, r.finish, r.taken) for r in mixed if r.position is not None)
-    assert [p[1] for p in placed] == sorted(p[1] for p in placed)
-    assert all(a[0] + a[2] == b[0] for a, b in zip(placed, placed[1:]))
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mixing.PACKET
+        # A copy is taken before the next one begins.
+        served = [r.taken < r.size for r in sorted(own, key=lambda r: (r.copy, r.finish)) if r.size]
+        assert served == sorted(served)
     assert mixing.mix(empty, "doc_id", "source", "text").count() == 0
     again = mixing.mix(docs.repartition(3), "doc_id", "source", "text").collect()
     key = lambda r: (r.doc_id, r.copy, r.size, r.taken)
-    assert sorted(map(key, mixed)) == sorted(map(key, again))
+    assert sorted(map(key, mixed), key=repr) == sorted(map(key, again), key=repr)
+
+
+def test_the_budget_alone_decides_what_is_taken(docs, rows, monkeypatch):
+    found = {}
+    for tenths in (15, 6, 1000):
+        monkeypatch.setattr(mixing, "BUDGET_TENTHS", tenths)
+        aims = mixing.targets(docs.select("source", mixing.word_count(F.col("text")).alias("size")), tenths=15)
+        monkeypatch.setattr(mixing, "targets", lambda rows, aims=aims: aims)
+        found[tenths] = mixing.mix(docs, "doc_id", "source", "text").collect()
+        monkeypatch.undo()
+    total = sum(len((r[1] or "").split()) for r in rows)
+    # Without the cut every copy is taken whole; a smaller budget takes the earliest packets, in the same proportions.
+    assert all(r.taken == r.size for r in found[1000])
+    assert [sum(r.taken for r in found[t]) for t in (15, 6)] == [total * 15 // 10, total * 6 // 10]
+    least = min(r.finish for r in found[6] if r.taken < r.size)
+    for source in {r.source for r in found[6]}:
+        own = [r for r in found[6] if r.source == source]
+        assert abs(sum(r.taken for r in own) - least * own[0].target) < 8000
+    packets = sorted((r.finish, r.taken == r.size) for r in found[6] if 0 < r.size <= mixing.PACKET)
+    assert [full for _, full in packets] == sorted((full for _, full in packets), reverse=True)
+
+
+def test_mixed_documents_come_in_order_and_rerun_alike(spark):
+    draw = random.Random(3)
+    data = [(draw.choice([None, 1, 2]), sentence(draw, draw.randint(0, 200)), draw.choice(["a", None]), i, "r", 5) for i in range(150)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string, size bigint, row string, n_chars bigint")
+    first, second = (mixing.mixed_documents(df.repartition(n)).collect() for n in (2, 7))
+    assert first == second and first[0].asDict().keys() == set(df.columns)
+    assert sum(len(r.text.split()) for r in first) == sum(len(d[1].split()) for d in data) * 15 // 10
+    assert all(r.n_chars == len(r.text) for r in first) and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
 def test_packing(docs, rows, empty):
