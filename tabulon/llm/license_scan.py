@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,12 +229,19 @@ def needed_of(grams: list[str], threshold: float) -> list[str]:
     return sorted(grams, key=len, reverse=True)[: len(grams) - shared + 1] if shared > 0 else []
 
 
+def gram_hash(gram: str) -> int:
+    """What Spark's xxhash64 gives for a bigram."""
+    value = xxhash.xxh64_intdigest(gram.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def find_notices(df: DataFrame, doc_id: str, text: str, templates: Mapping[str, tuple[str, ...]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, n_lines): the licenses of which a passage of the document is a notice.
 
     The words of the whole text are compared, so a notice may span lines or stand within one. A template with p bigrams, repeated
-    ones counted, is compared with each window of up to p (2 - threshold) / threshold bigrams that begins and ends with one of its own; a
-    bigram at an end that is not of the template only lowers Dice. Windows that overlap are one place, which goes to the template with
+    ones counted, is compared with the windows of up to p (2 - threshold) / threshold bigrams that begin with the head of a run of its own bigrams
+    and end with the end of one, or with the last of its bigrams within that length: one more bigram of the template at an end never lowers Dice, any other
+    does. Windows that overlap are one place, which goes to the template with
     the most bigrams in common, then the best Dice: a neighbour of the same length, as another version, has fewer, and
     an opening sentence that licenses share has fewer than the text of one. dice is the best value of the license's places, n_lines how many
     places there are. Null and empty texts and unrelated documents give no row; documents that share an id are one. Texts
@@ -249,41 +257,65 @@ def find_notices(df: DataFrame, doc_id: str, text: str, templates: Mapping[str,
                 words = len("".join(c if c.isascii() and c.isalnum() else " " for c in notice).split())
                 compiled.append((name, grams, math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9), int((words - 1) * (2 - threshold) / threshold + 1e-9)))
     needed = [g for _, grams, _, _ in compiled for g in needed_of(grams, threshold)]
-    # Bigrams hold no line break; one literal that is split builds faster than one for each.
-    strings = lambda values: F.split(F.lit("\n".join(values)), "\n")
+    # Bigrams are compared by their 64-bit hashes; one literal that is split builds faster than one for each.
+    hashes = lambda grams: F.split(F.lit("\n".join(str(gram_hash(g)) for g in grams)), "\n").cast("array<bigint>")
     known = F.array(
-        *[F.struct(F.lit(n).alias("license"), strings(g).alias("grams"), F.lit(least).alias("least"), F.lit(most).alias("most")) for n, g, least, most in compiled]
+        *[
+            F.struct(F.lit(n).alias("license"), hashes(g).alias("grams"), hashes(needed_of(g, threshold)).alias("needed"), F.lit(least).alias("least"), F.lit(most).alias("most"))
+            for n, g, least, most in compiled
+        ]
     )
-    of_any = strings(dict.fromkeys(g for _, grams, _, _ in compiled for g in grams))
+    of_needed = hashes(dict.fromkeys(needed))
+    of_any = hashes(dict.fromkeys(g for _, grams, _, _ in compiled for g in grams))
     documents = df.where(F.translate(F.col(text), UPPER, LOWER).rlike(pattern_of(needed)))
 
     def in_order(words: Column) -> Column:
         later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-        return F.transform(later, lambda w, i: F.concat_ws(" ", F.get(words, i), w))
+        return F.transform(later, lambda w, i: F.xxhash64(F.concat_ws(" ", F.get(words, i), w)))
 
     def near_templates(grams: Column) -> Column:
         """The templates that share enough bigrams with the whole text; others are within the threshold of none of its windows."""
-        return let(F.array_intersect(grams, of_any), lambda met: F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], met)) >= t["least"]))
+
+        def enough(met: Column) -> Column:
+            counted = lambda t: F.size(F.array_intersect(t["grams"], met)) >= t["least"]
+            # Few templates have one of the bigrams that theirs must have, so few are counted.
+            return let(F.array_intersect(met, of_needed), lambda some: F.filter(F.filter(known, lambda t: F.arrays_overlap(t["needed"], some)), counted))
+
+        return let(F.array_intersect(grams, of_any), enough)
 
     def windows(grams: Column, t: Column) -> Column:
-        """The best window from each place of a bigram of the template, as dice, shared, begin, end, license."""
+        """The best window from the head of each run of the template's bigrams, as dice, shared, begin, end, license."""
 
         def from_places(places: Column) -> Column:
-            def from_place(begin: Column, i: Column) -> Column:
-                ends = F.filter(F.slice(places, i + t["least"], t["most"]), lambda e: e - begin < t["most"])
+            far = F.lit(1 << 30)
+            marked = F.transform(
+                places, lambda p, i: F.struct(p.alias("p"), i.alias("i"), F.coalesce(F.get(places, i - 1), F.lit(-2)).alias("last"), F.coalesce(F.get(places, i + 1), far).alias("next"))
+            )
+            return let(marked, from_marked)
+
+        def from_marked(marked: Column) -> Column:
+            def from_head(head: Column) -> Column:
+                begin = head["p"]
+                limit = begin + t["most"] - 1
 
                 def of_end(end: Column) -> Column:
                     def scored(window: Column) -> Column:
                         shared = F.size(F.array_intersect(window, t["grams"]))
                         dice = shared * 2 / (F.size(window) + F.size(t["grams"]))
-                        return F.struct(dice.alias("dice"), shared.alias("shared"), begin.alias("begin"), end.alias("end"), t["license"].alias("license"))
+                        return F.struct(dice.alias("dice"), shared.alias("shared"), begin.alias("begin"), end["p"].alias("end"), t["license"].alias("license"))
 
-                    return let(F.array_distinct(F.slice(grams, begin + 1, end - begin + 1)), scored)
+                    return let(F.array_distinct(F.slice(grams, begin + 1, end["p"] - begin + 1)), scored)
 
-                return F.array_max(F.transform(ends, of_end))
+                # Ends of runs within reach, and the last place within it; a reach that holds too few of the bigrams has none.
+                ends = F.filter(
+                    F.slice(marked, head["i"] + t["least"], t["most"]),
+                    lambda e: (e["p"] <= limit) & ((e["next"] > e["p"] + 1) | (e["next"] > limit)),
+                )
+                reached = F.size(F.array_intersect(F.slice(grams, begin + 1, t["most"]), t["grams"])) >= t["least"]
+                return F.when(reached, F.array_max(F.transform(ends, of_end)))
 
-            starts = F.slice(places, 1, F.greatest(F.size(places) - t["least"] + 1, F.lit(0)))
-            return F.filter(F.transform(starts, from_place), lambda w: w["dice"] >= threshold)
+            heads = F.filter(marked, lambda m: m["last"] < m["p"] - 1)
+            return F.filter(F.transform(heads, from_head), lambda w: w["dice"] >= threshold)
 
         places = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
         return let(places, from_places)
