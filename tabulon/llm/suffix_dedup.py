@@ -331,10 +331,24 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     no rows. A text of any length is looked at in chunks, except where it is cut, which takes twice its bytes. Texts are
     compressed before they are moved: once for each level of smaller blocks and once to be cut.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept"]
-    rows = df.drop(*added)
+    added = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())]
+
+    def facts(whole: bytes, runs: int, kept: bytes) -> tuple:
+        return len(whole), len(whole) - len(kept), runs, kept
+
+    return _cut(df.drop(*[name for name, _ in added]), text, lambda whole, runs, kept: whole, facts, added)
+
+
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with what remove_repeats keeps of their text in its place, less the bytes of code points that a cut has split; null texts stay null."""
+    return _cut(df, text, lambda whole, runs, kept: kept if runs else whole, lambda *_: (), [])
+
+
+def _cut(rows: DataFrame, text: str, text_of, facts_of, added: list[tuple]) -> DataFrame:
+    """The rows with text_of and facts_of of (bytes of the text, number of removed runs, bytes that remain)."""
     spots = repeated_blocks(rows, text)
-    h, c, z, n, found, null = (free_name([*df.columns, *added], name) for name in ("h", "c", "z", "n", "spots", "null"))
+    taken = [*rows.columns, *[name for name, _ in added]]
+    h, c, z, n, found, null = (free_name(taken, name) for name in ("h", "c", "z", "n", "spots", "null"))
     others = [f for f in rows.schema.fields if f.name != text]
     filled = F.coalesce(F.col(text), F.lit(""))
     keyed = rows.select(*[f.name for f in others], F.xxhash64(filled).alias(h), F.hash(filled).alias(c), F.col(text).isNull().alias(null), filled.alias(text))
@@ -345,41 +359,31 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             small, size = _shrunk(batch, at)
             yield batch.remove_column(at).append_column(z, small).append_column(n, size)
 
-    def field(name, kind):
-        return T.StructField(name, kind)
-
+    field = T.StructField
     small_schema = T.StructType([*others, field(h, T.LongType()), field(c, T.IntegerType()), field(null, T.BooleanType()), field(z, T.BinaryType()), field(n, T.LongType())])
     listed = spots.select(F.col("h").alias(f"{h}2"), F.col("c").alias(f"{c}2"), F.col("spots").alias(found))
     same = (F.col(h) == F.col(f"{h}2")) & (F.col(c) == F.col(f"{c}2"))
     joined = keyed.mapInArrow(packed, small_schema).join(listed, same, "left").drop(h, c, f"{h}2", f"{c}2")
+    kinds = [pa.binary() if isinstance(kind, T.BinaryType) else pa.int64() for _, kind in added]
+    names = [*rows.columns, *[name for name, _ in added]]
 
     def cut(batches):
         for batch in batches:
-            columns = {name: batch.column(batch.schema.get_field_index(name)) for name in (z, n, null, found)}
-            texts, out = [], []
-            for data, size, empty, places in zip(*(columns[name] for name in (z, n, null, found)), strict=True):
+            columns = [batch.column(batch.schema.get_field_index(name)) for name in (z, n, null, found)]
+            texts, facts = [], []
+            for data, size, empty, places in zip(*columns, strict=True):
                 whole, at, parts = _grown(data, size), 0, []
                 runs = merged(*starts_of(np.array(places.as_py(), np.int64))[1:]) if places.is_valid else []
                 for begin, end in runs:
                     parts.append(whole[at:begin])
                     at = end
                 kept = b"".join([*parts, whole[at:]]) if runs else whole
-                texts.append(None if empty.as_py() else whole.decode("utf-8", "surrogatepass"))
-                out.append((len(whole), len(whole) - len(kept), len(runs), kept))
+                texts.append(None if empty.as_py() else text_of(whole, len(runs), kept).decode("utf-8", "ignore"))
+                facts.append(facts_of(whole, len(runs), kept))
             rest = batch.drop_columns([z, n, null, found])
             arrays = {name: rest.column(i) for i, name in enumerate(rest.schema.names)} | {text: pa.array(texts, pa.string())}
-            listed = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            arrays |= {name: pa.array(values, kind) for name, values, kind in zip(added, listed, kinds, strict=True)}
+            arrays |= {name: pa.array(values, kind) for (name, _), values, kind in zip(added, zip(*facts), kinds)}
             yield pa.RecordBatch.from_arrays([arrays[name] for name in names], names=names)
 
-    names = [*rows.columns, *added]
-    results = [field(name, T.LongType()) for name in added[:3]] + [field("kept", T.BinaryType())]
-    return joined.mapInArrow(cut, T.StructType([*[field(f.name, T.StringType() if f.name == text else f.dataType) for f in rows.schema.fields], *results]))
-
-
-def valid_text(kept):
-    """The bytes as text, without the bytes of code points that a cut has split."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    return pandas_udf(lambda column: column.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore"), "string")(kept)
+    schema = T.StructType([*[field(f.name, T.StringType() if f.name == text else f.dataType) for f in rows.schema.fields], *[field(name, kind) for name, kind in added]])
+    return joined.mapInArrow(cut, schema)

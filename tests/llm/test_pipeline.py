@@ -68,18 +68,25 @@ def mixed(texts, sources):
         target |= {s: float(2 * totals[s]) for s in full}
         budget -= sum(2 * totals[s] for s in full)
         open_names -= full
-    by_source = defaultdict(list)
-    for doc_id in texts:
-        key = int(hashlib.md5(f"mix-1:{doc_id}".encode()).hexdigest()[:15], 16)
+    by_source, packets = defaultdict(list), []
+    for doc_id, text in texts.items():
+        key = int(hashlib.md5(f"mix-1:{doc_id}:{text or ''}".encode()).hexdigest()[:15], 16)
         by_source[sources[doc_id]].append((key, doc_id))
     for s, docs in by_source.items():
-        left = math.floor(target[s])
-        for _ in range(2):
-            for _, doc_id in sorted(docs):
-                taken = min(left, sizes[doc_id])
-                left -= taken
-                if taken:
-                    yield doc_id, texts[doc_id] if taken == sizes[doc_id] else " ".join(words(texts[doc_id])[:taken])
+        served = 0
+        for copy in range(2):
+            for key, doc_id in sorted(docs):
+                for packet in range(-(-sizes[doc_id] // 64)):
+                    n = min(64, sizes[doc_id] - 64 * packet)
+                    served += n
+                    packets.append((served / target[s], s is None, s or "", copy, key, doc_id, packet, n))
+    left, taken = math.floor(sum(totals.values()) * 15 / 10), Counter()
+    for _, _, _, copy, _, doc_id, _, n in sorted(packets):
+        taken[doc_id, copy] += min(n, left)
+        left -= min(n, left)
+    for (doc_id, _), n in taken.items():
+        if n:
+            yield doc_id, texts[doc_id] if n == sizes[doc_id] else " ".join(words(texts[doc_id])[:n])
 
 
 def packed(copies):
@@ -106,3 +113,21 @@ def test_run_equals_brute_force(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == expected
     assert len({r.sequence_id for r in rows}) == len(rows) and {r.offset for r in rows} == {0}
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark, tmp_path):
+    """No rows, nulls in every column, empty and repeated texts, one row: each stage gives the columns of its input."""
+    docs = table(spark, FOLDER, "documents")
+    labels = table(spark, FOLDER, "labels")
+    odd = [(None, None, None, None, None), (1, None, "en", "a", None), (2, "", None, "a", 0), (2, "", None, "a", 0), (3, "word", "en", None, 4), (None, "x " * 300, "en", "b", 600)]
+    for name, rows, marks in (("none", [], labels), ("odd", odd * 2, labels.limit(0)), ("one", odd[4:5], labels)):
+        folder = str(tmp_path / name)
+        marks.write.parquet(f"{folder}/labels.parquet")
+        kept = spark.createDataFrame(rows, docs.schema)
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, kept, folder)
+            assert out.columns == docs.columns or stage is corpus_pipeline.sequences
+            if stage is corpus_pipeline.sequences:
+                out = out.select("doc_id", "doc_tokens")
+            before, kept = kept, spark.createDataFrame(out.collect(), out.schema)
+            assert kept.count() <= 2 * before.count() and (kept.count() > 0 or name == "none" or stage is not corpus_pipeline.quality)
