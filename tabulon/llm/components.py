@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.sources.shared import materialize
+from tabulon.sources.shared import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         following = materialize(star(star(current, True), False), "edges")
         sums = [frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for frame in (current, following)]
+        release(current)
         current = following
         if sums[0] == sums[1]:
             break

@@ -1,11 +1,11 @@
-"""N-gram Jaccard join with banded MinHash signatures and exact verification.
-
-Texts with the same words are one class, of which one text is compared. Its MinHash signature is cut into TREES bands of a
-fixed number of values; texts are candidates where all values of some band are equal. Fixed bands stand in for an LSH forest: there are no
-tries, nothing is sorted, and no prefix is shortened by the data. Candidates are held together by stars, and
-the texts of a candidate group are compared in tiles: in a tile, all pairs whose sizes allow the threshold are
-counted by their exact shingle sets, so no link within a group is missed, and no pair is emitted, however large it is.
-Signatures only decide which texts come into one group; there a lone pair at the threshold is missed once in 3e8.
+"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+
+Texts with the same words are one class, of which one text is compared. Its MinHash values make TREES labels of DEPTH values, a byte each. The labels of each tree are
+put in order, as the leaves of a prefix trie: range partitions sorted inside, each label compared with the next, also across partitions. Neighbours are
+candidates if they share a prefix; the prefix is shortened from DEPTH values on until a pair at the threshold shares one in some tree with the target recall.
+Candidates are held together as groups. A group that goes over one tile is parted once more by a filter that loses no link: two texts at the threshold share
+one of the shingles that each has to have among its rarest (in the group) fifth and one more; so pages that share no more than boilerplate part again, however many they are. In what
+is left, tiles of bounded size are compared with each other: all pairs whose sizes allow the threshold are counted by their exact shingle sets, and no pair is emitted.
 """
 
 from __future__ import annotations
@@ -14,30 +14,33 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulon.llm.common import word_list
+from tabulon.llm.common import free_name, word_list
 from tabulon.llm.components import components
-from tabulon.sources.shared import materialize
+from tabulon.sources.shared import materialize, release
 
 WORDS = 5
 THRESHOLD = 0.8
+#: With 64 trees this is reached at a prefix of 6 values.
 TARGET_RECALL = 1 - 1e-8
 TREES = 64
-LONGEST_PREFIX = 12
+DEPTH = 7
+#: Texts, and shingles of them, that a tile holds about; a longer text is a tile of its own.
 TILE = 256
+TILE_SHINGLES = 1 << 18
 SEED = 11
 #: Shingles that are compared at once.
 COLUMNS = 4096
 
 
-def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES) -> int:
-    """The most values of a band that find a pair at the threshold with the target recall."""
-    for depth in range(LONGEST_PREFIX, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix that a pair at the threshold shares in one of the trees with the target recall."""
+    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+        depth -= 1
+    return depth
 
 
 def shingle_hashes(words: list[str]) -> np.ndarray:
@@ -54,12 +57,12 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
     return np.unique(mixed + np.uint64(width))
 
 
-def signature(hashes: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """One 64-bit code per band: the hash of its depth MinHash values."""
+def labels(hashes: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
+    """One number per tree, in whose order texts with the same first values are neighbours: a byte of each MinHash value, the first one on top."""
     draw = np.random.default_rng(SEED)
     factors = draw.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
     shifts = draw.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
-    # Values of 32 bits are enough for the least of a text; texts with equal codes are compared by their sets.
+    # Values of 32 bits are enough for the least of a text; candidates are compared by their sets.
     short = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(trees * depth, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
@@ -68,11 +71,11 @@ def signature(hashes: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
             part ^= part >> np.uint32(15)
             part *= shifts
             least = np.minimum(least, part.min(0))
-        codes = np.zeros(trees, np.uint64)
-        for level in least.reshape(trees, depth).T.astype(np.uint64):
-            codes = (codes ^ level) * np.uint64(0xD6E8FEB86659FD93)
-            codes ^= codes >> np.uint64(32)
-    return codes
+        # The least values are small numbers, so their bytes are mixed.
+        mixed = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    packed = np.zeros((trees, 8), np.uint8)
+    packed[:, :depth] = mixed.reshape(trees, depth)
+    return (packed.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _words(text: str | None) -> list[str]:
@@ -81,21 +84,27 @@ def _words(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
-def _signed(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc, id, codes) of (doc, id, text); codes is empty for a text without words."""
+def _signed(docs: DataFrame) -> DataFrame:
+    """(doc, id, n, labels) of (doc, id, text): the number of shingles and the labels, none for a text without words."""
+    kind, doc_type = _doc_types(docs)
 
     def rows(batches):
         for batch in batches:
             sets = [shingle_hashes(_words(value.as_py())) for value in batch.column(2)]
-            codes = [signature(s, depth).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.list_(pa.int64()))], names=["doc", "id", "codes"])
+            found = [labels(s) if len(s) else np.zeros(0, np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "id", "n", "labels"]
+            )
 
-    return docs.select("doc", "id", "text").mapInArrow(rows, "doc bigint, id bigint, codes array<bigint>")
+    return docs.select("doc", "id", "text").mapInArrow(rows, f"doc {kind}, id bigint, n bigint, labels array<bigint>")
+
+
+def _doc_types(docs: DataFrame) -> tuple[str, pa.DataType]:
+    return ("string", pa.string()) if docs.schema["doc"].dataType.typeName() == "string" else ("bigint", pa.int64())
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:
     """The rows with the sorted shingle hashes of text in its place."""
-    from pyspark.sql import types as T
 
     def rows(batches):
         for batch in batches:
@@ -107,6 +116,79 @@ def _with_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, T.StructType([*fields, T.StructField("shingles", T.BinaryType())]))
 
 
+LEAF_ROW = "a bigint, b bigint, edge int, block int, tree int, label bigint"
+
+
+def forest_edges(per_text: DataFrame, length: int) -> DataFrame:
+    """(a, b): texts that are neighbours in a sorted trie and share a prefix of that many values; a chain of them holds together all that share it."""
+    leaves = per_text.select("id", F.posexplode("labels").alias("tree", "label"))
+    order = ["tree", "label", "id"]
+    ordered = leaves.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
+    rest = 8 * (8 - length)
+
+    def neighbours(batches):
+        """The pairs of neighbours of a partition, and its first (1) and last (2) leaf."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, trees, values, block = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "tree", "label", "block"))
+            if held is None:
+                yield _leaf(ids[0], 1, block[0], trees[0], values[0])
+            else:
+                ids, trees, values = (np.r_[h, x] for h, x in zip(held, (ids, trees, values)))
+            same = (trees[1:] == trees[:-1]) & ((values[1:] ^ values[:-1]).view(np.uint64) >> np.uint64(rest) == 0) & (ids[1:] != ids[:-1])
+            at = np.flatnonzero(same)
+            none = pa.nulls(len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at]), pa.array(ids[at + 1]), pa.array(np.zeros(len(at), np.int32)), none, none, pa.nulls(len(at), pa.int64())], names=["a", "b", "edge", "block", "tree", "label"]
+            )
+            held, last = (ids[-1:], trees[-1:], values[-1:]), block[-1]
+        if held is not None:
+            yield _leaf(held[0][0], 2, last, held[1][0], held[2][0])
+
+    found = materialize(ordered.mapInArrow(neighbours, LEAF_ROW), "forest-neighbours")
+    # Two leaves per partition meet here.
+    after = F.lead(F.struct("a", "tree", "label")).over(Window.orderBy("block", "edge"))
+    ends = found.where("edge > 0").withColumn("after", after).where("edge = 2 and after.tree = tree")
+    shared = F.shiftrightunsigned(F.col("label").bitwiseXOR(F.col("after.label")), rest) == 0
+    across = ends.where(shared & (F.col("after.a") != F.col("a"))).select("a", F.col("after.a").alias("b"))
+    return found.where("edge = 0").select("a", "b").unionByName(across).distinct()
+
+
+def _leaf(key, edge: int, block, tree, label) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((int(key), None, edge, int(block), int(tree), int(label)), kinds)], names=["a", "b", "edge", "block", "tree", "label"])
+
+
+def parted(members: DataFrame) -> DataFrame:
+    """(id, root) of (root, id, shingles): groups of texts that may have links, those without dropped out.
+
+    With a and b shingles and a similarity of t, two texts share at least t max(a, b) of them, so each has one of the shared ones among any a - ceil(t a) + 1
+    of its own that come first in an order that all texts follow. Here the shingles that fewest texts of the group have come first.
+    """
+
+    def exploded(batches):
+        for batch in batches:
+            sets = [np.frombuffer(value.as_py(), np.int64) for value in batch.column(2)]
+            owner = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["root", "id", "shingle"])
+
+    rows = materialize(members.select("root", "id", "shingles").mapInArrow(exploded, "root bigint, id bigint, shingle bigint"), "group-shingles")
+    counts = materialize(rows.groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
+    known = rows.join(counts, ["root", "shingle"])
+    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ordered = Window.partitionBy("id").orderBy("df", "shingle")
+    needed = F.col("n") - F.ceil(F.col("n") * round(THRESHOLD * 10) / 10) + 1
+    first = known.withColumn("place", F.row_number().over(ordered)).join(sizes, "id").where((F.col("place") <= needed) & (F.col("df") > 1)).select("root", "shingle", "id")
+    first = materialize(first, "first-shingles")
+    stars = first.groupBy("root", "shingle").agg(F.min("id").alias("b"))
+    edges = first.join(stars, ["root", "shingle"]).where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
+    found = materialize(components(edges), "parted-groups")
+    release(rows, counts, first)
+    return found
+
+
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many shingles each pair shares; exact, and bounded by the tile whatever the texts are."""
     counts = np.zeros((len(left), len(right)), np.int64)
@@ -132,28 +214,23 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return counts
 
 
-def _compare(pdf):
-    """The links of one pair of tiles: per text their number and documents, and edges that span them."""
-    import pandas as pd
-
-    first, second = int(pdf["tile_a"].iloc[0]), int(pdf["tile_b"].iloc[0])
-    pdf = pdf.drop_duplicates("id").sort_values("id")
-    parts = [pdf[pdf["tile"] == t] for t in (first, second)]
-    sets = [[np.frombuffer(s, np.uint64) for s in p["shingles"]] for p in parts]
-    wanted = np.ones((len(parts[0]), len(parts[1])), bool)
-    if first == second:
-        wanted &= np.triu(np.ones(wanted.shape, bool), 1)
+def _compare(rows: list[dict], first: int, second: int) -> list[tuple]:
+    """The links of one pair of tiles: per text (id, their number, their documents, the least text that links join it to)."""
+    by_id = {r["id"]: r for r in rows}
+    parts = [[by_id[i] for i in sorted(by_id) if by_id[i]["tile"] == t] for t in (first, second)]
+    sets = [[np.frombuffer(r["shingles"], np.uint64) for r in p] for p in parts]
     sizes = [np.array([len(s) for s in side], np.int64) for side in sets]
     low, high = np.minimum(sizes[0][:, None], sizes[1][None, :]), np.maximum(sizes[0][:, None], sizes[1][None, :])
-    wanted &= low * 10 >= high * round(THRESHOLD * 10)
+    wanted = low * 10 >= high * round(THRESHOLD * 10)
+    if first == second:
+        wanted &= np.triu(np.ones(wanted.shape, bool), 1)
     shared = shared_counts(sets[0], sets[1]) if wanted.any() else np.zeros(wanted.shape, np.int64)
     union = sizes[0][:, None] + sizes[1][None, :] - shared
     linked = wanted & (shared * 10 >= union * round(THRESHOLD * 10))
-    ids, copies = [p["id"].to_numpy() for p in parts], [p["copies"].to_numpy() for p in parts]
-    out = []
-    parent = {}
+    ids, copies = ([np.array([r[c] for r in p], np.int64) for p in parts] for c in ("id", "copies"))
+    parent: dict[int, int] = {}
 
-    def find(x):
+    def find(x: int) -> int:
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
@@ -162,11 +239,37 @@ def _compare(pdf):
         a, b = find(int(ids[0][i])), find(int(ids[1][j]))
         if a != b:
             parent[max(a, b)] = min(a, b)
-    for side, axis, other in ((0, 1, 1), (1, 0, 0)):
+    out = []
+    for side, axis in ((0, 1), (1, 0)):
         n = linked.sum(axis)
         documents = linked @ copies[1] if side == 0 else copies[0] @ linked
         out += [(int(ids[side][i]), int(n[i]), int(documents[i]), find(int(ids[side][i]))) for i in np.flatnonzero(n)]
-    return pd.DataFrame(out, columns=["id", "n_texts", "n_documents", "root"])
+    return out
+
+
+LINKS = pa.schema([("id", pa.int64()), ("n_texts", pa.int64()), ("n_documents", pa.int64()), ("root", pa.int64())])
+
+
+def _compared(batches):
+    """Pairs of tiles one after the other: the rows of one are next to each other."""
+    key, rows = None, []
+
+    def links():
+        found = _compare(rows, key[1], key[2])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), LINKS.types)], schema=LINKS) if found else None
+
+    for batch in batches:
+        names = batch.schema.names
+        for values in zip(*batch.columns, strict=True):
+            row = {name: value.as_py() for name, value in zip(names, values)}
+            now = (row["root"], row["tile_a"], row["tile_b"])
+            if rows and now != key and (found := links()) is not None:
+                yield found
+            if now != key:
+                key, rows = now, []
+            rows.append(row)
+    if rows and (found := links()) is not None:
+        yield found
 
 
 def words_hash(text: Column) -> Column:
@@ -176,40 +279,51 @@ def words_hash(text: Column) -> Column:
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, id, text): id is the hash of the words."""
-    return df.select(F.col(doc_id).cast("bigint").alias("doc"), words_hash(F.col(text)).alias("id"), F.col(text).alias("text"))
+    doc = F.col(doc_id) if df.schema[doc_id].dataType.typeName() == "string" else F.col(doc_id).cast("bigint")
+    return df.select(doc.alias("doc"), words_hash(F.col(text)).alias("id"), F.col(text).alias("text"))
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, id) of every row, and one row per distinct text: id, doc, copies, root, n_text_links, n_others."""
-    signed = materialize(_signed(docs, prefix_length()), "signatures")
+    signed = materialize(_signed(docs), "signatures")
     known = signed.select("doc", "id")
-    per_text = materialize(
-        signed.groupBy("id").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes")), "distinct-texts"
-    )
-    leaves = per_text.select("id", F.posexplode("codes").alias("tree", "code"))
-    stars = leaves.groupBy("tree", "code").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last")
-    candidates = leaves.join(stars.drop("last"), ["tree", "code"]).where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b")
-    groups = materialize(components(candidates), "candidate-groups")
-
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    tiled = groups.join(sizes, "root").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    firsts = [F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")]
+    per_text = materialize(signed.groupBy("id").agg(*firsts), "distinct-texts")
+    edges = materialize(forest_edges(per_text, prefix_length()), "forest-edges")
+    groups = materialize(components(edges), "candidate-groups")
+    release(edges)
+
+    # Texts of the groups: a text is found by its words and, as its copies differ in spaces only, by one of its documents.
+    facts = per_text.select("id", "doc", "copies", "n")
+    chosen = facts.join(groups, "id").withColumnsRenamed({"doc": "of_doc"})
+    same = (docs["id"] == chosen["id"]) & docs["doc"].eqNullSafe(chosen["of_doc"])
+    sets = materialize(_with_sets(docs.join(chosen, same).select(docs["id"], "text", "copies", "n", "root")).dropDuplicates(["id"]), "group-texts")
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    sizes = materialize(sizes.withColumn("tiles", _tiles()), "group-sizes")
+    large = sets.join(sizes.where("tiles > 1").select("root"), "root", "left_semi")
+    smaller = parted(large)
+    again = sets.drop("root").join(smaller, "id")
+    new_sizes = materialize(again.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")).withColumn("tiles", _tiles()), "part-sizes")
+    small = sets.join(sizes.where("tiles = 1").select("root", "tiles"), "root")
+    tiled = small.unionByName(again.join(new_sizes.select("root", "tiles"), "root"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles").cast("bigint")).cast("int"))
-    chosen = per_text.join(tiled.drop("n"), "id").select("id", F.coalesce("doc", F.lit(-1)).alias("doc"), "copies", "root", "tile", "tiles")
-    texts = docs.select(F.coalesce("doc", F.lit(-1)).alias("doc"), "id", "text").join(chosen, ["id", "doc"])
     # Each text goes to the pairs of tiles it is part of: as many as its group has tiles.
-    spread = _with_sets(texts).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = tiled.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.withColumns({"tile_a": F.least("tile", "partner"), "tile_b": F.greatest("tile", "partner")})
-    linked = (
-        spread.select("id", "copies", "shingles", "root", "tile", "tile_a", "tile_b")
-        .groupBy("root", "tile_a", "tile_b")
-        .applyInPandas(_compare, "id bigint, n_texts bigint, n_documents bigint, root bigint")
-    )
-    linked = materialize(linked, "links")
-    counts = linked.groupBy("id").agg(F.sum("n_texts").alias("n_text_links"), F.sum("n_documents").alias("n_others"))
-    joined = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    rooted = per_text.select("id", "doc", "copies").join(joined.withColumnRenamed("root", "_root"), "id", "left").withColumn("_root", F.coalesce("_root", "id"))
-    facts = rooted.join(counts, "id", "left").withColumnRenamed("_root", "root")
-    return known, facts.na.fill(0, ["n_text_links", "n_others"])
+    pairs = ["root", "tile_a", "tile_b"]
+    met = spread.select("id", "copies", "shingles", "root", "tile", "tile_a", "tile_b").repartition(*pairs).sortWithinPartitions(*pairs)
+    linked = materialize(met.mapInArrow(_compared, "id bigint, n_texts bigint, n_documents bigint, root bigint"), "links")
+    release(sets, sizes, new_sizes, smaller, groups)
+    counts = materialize(linked.groupBy("id").agg(F.sum("n_texts").alias("n_text_links"), F.sum("n_documents").alias("n_others")), "link-counts")
+    joined = materialize(components(linked.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "_root"), "classes")
+    rooted = per_text.select("id", "doc", "copies").join(joined, "id", "left").withColumn("root", F.coalesce("_root", "id")).drop("_root")
+    found = materialize(rooted.join(counts, "id", "left").na.fill(0, ["n_text_links", "n_others"]), "text-classes")
+    release(per_text, linked, counts, joined)
+    return known, found
+
+
+def _tiles() -> Column:
+    return F.ceil(F.greatest(F.col("texts") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,12 +333,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     text is one shingle; texts without words equal each other and nothing else). class_id is the least id of the documents
     joined by links, n_links the number of linked documents, n_text_links of linked other texts, n_copies of documents with
     the same words, itself included. A null id is counted like any other, and class_id is null only where all ids of a class
-    are; equal rows count each; an empty table gives no rows. Signatures and ids of all documents are shuffled, shingle sets
-    only where there are candidates, copies of a text never.
+    are; ids may be whole numbers or text; equal rows count each; other columns are left out; an empty table gives no rows. Labels and ids of all documents are
+    shuffled, texts only where there are candidates, and of copies one. A text of any length is one set of hashes in its task, eight bytes a word.
     """
     known, facts = _classes(_keyed(df, doc_id, text))
-    named = facts.groupBy("root").agg(F.min("doc").alias("class_id"))
-    return known.join(facts.drop("doc").join(named, "root"), "id").select(
+    # Tables on both sides, so that the rows of a large class may be joined by several tasks.
+    named = materialize(facts.groupBy("root").agg(F.min("doc").alias("class_id")), "class-ids")
+    classes = materialize(facts.drop("doc").join(named, "root"), "named-texts")
+    return known.join(classes, "id").select(
         F.col("doc").alias("doc_id"),
         "class_id",
         (F.col("n_others") + F.col("copies") - 1).alias("n_links"),
@@ -239,9 +355,12 @@ def one_per_class(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Different texts may share an id, or have none: a row is known by its id and its words, so each class keeps one row whatever its
     ids are. Of equal ids in a class the least hash of the words stays, and of rows equal in both, one.
     """
-    _, facts = _classes(_keyed(df, doc_id, text))
+    keyed = _keyed(df, doc_id, text)
+    _, facts = _classes(keyed)
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("first")
-    kept = facts.groupBy("root").agg(first).select(F.col("first.doc").alias("_kept"), F.col("first.id").alias("_kept_words"))
-    rows = df.withColumn("_words", words_hash(F.col(text)))
-    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")) & (F.col("_words") == F.col("_kept_words"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_words"]).drop("_words")
+    kept_doc, kept_words, words = (free_name(df.columns, n) for n in ("kept_doc", "kept_words", "words"))
+    kept = materialize(facts.groupBy("root").agg(first).select(F.col("first.doc").alias(kept_doc), F.col("first.id").alias(kept_words)), "kept-texts")
+    rows = df.withColumn(words, words_hash(F.col(text)))
+    doc = F.col(doc_id) if df.schema[doc_id].dataType.typeName() == "string" else F.col(doc_id).cast("bigint")
+    same = doc.eqNullSafe(F.col(kept_doc)) & (F.col(words) == F.col(kept_words))
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, words]).drop(words)

@@ -204,6 +204,54 @@ def test_jaccard_finds_all_links_of_a_group_at_the_threshold(spark):
     assert 1 - (1 - jaccard_join.THRESHOLD ** jaccard_join.prefix_length()) ** jaccard_join.TREES > 1 - 1e-8
 
 
+def pages_with_boilerplate(n):
+    draw = random.Random(n)
+    shared = " ".join(f"menu{i}" for i in range(130))
+    return [(i, shared + " " + " ".join(f"p{i}w{draw.randrange(10**6)}" for _ in range(80))) for i in range(n)]
+
+
+def test_pages_that_share_boilerplate_part_into_single_texts(spark):
+    """130 of 210 words are the same in 1,500 pages: many are neighbours in some tree, none are links, and no tile is compared."""
+    data = pages_with_boilerplate(1500)
+    copy = data[7][1].rsplit(" ", 3)[0] + " three other words"
+    docs = spark.createDataFrame([*data, (5000, copy)], "doc_id bigint, text string")
+    keyed = jaccard_join._keyed(docs, "doc_id", "text")
+    members = jaccard_join._with_sets(keyed.select("id", "text").withColumn("root", F.lit(0).cast("bigint")))
+    groups = jaccard_join.parted(members.select("root", "id", "shingles"))
+    assert groups.count() == 2 and groups.select("root").distinct().count() == 1
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert {i: f for i, f in found.items() if f[1]} == {7: (7, 1), 5000: (7, 1)}
+
+
+def test_the_forest_finds_what_shares_a_prefix(spark):
+    """Edges of sorted neighbours hold together the same texts as equal prefixes do, over many partitions."""
+    draw = np.random.default_rng(4)
+    values = draw.integers(0, 256, (300, 3, 8), dtype=np.uint8)
+    values[:, :, :4] //= 86
+    packed = [[int(x) for x in (v.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)] for v in values]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(packed)], "id bigint, labels array<bigint>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for length in (3, 4, 6):
+            found = {r.id: r.root for r in components(jaccard_join.forest_edges(df, length)).collect()}
+            root = list(range(300))
+            for tree in range(3):
+                first = {}
+                for i in range(300):
+                    a, b = sorted((root[i], root[first.setdefault(values[i, tree, :length].tobytes(), i)]))
+                    root = [a if r == b else r for r in root]
+            assert {i: r for i, r in enumerate(root) if root.count(r) > 1} == found
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_per_class_takes_text_ids_and_keeps_every_column(spark):
+    df = spark.createDataFrame([("b", "same words here", "x", 1), ("a", "same  words here", "y", 2), (None, "other", None, 3)], "doc_id string, text string, _words string, words int")
+    kept = jaccard_join.one_per_class(df)
+    assert kept.columns == df.columns and sorted((str(r.doc_id), r._words, r.words) for r in kept.collect()) == [("None", None, 3), ("a", "y", 2)]
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect()} == {("b", "a", 1), ("a", "a", 1), (None, None, 0)}
+
+
 def test_one_per_class_keeps_a_row_whatever_its_id(spark):
     draw = random.Random(5)
     first, second, third = (sentence(draw, 40) for _ in range(3))
