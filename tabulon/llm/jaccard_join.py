@@ -182,10 +182,11 @@ def parted(members: DataFrame) -> DataFrame:
     needed = F.col("n") - F.ceil(F.col("n") * round(THRESHOLD * 10) / 10) + 1
     first = known.withColumn("place", F.row_number().over(ordered)).join(sizes, "id").where((F.col("place") <= needed) & (F.col("df") > 1)).select("root", "shingle", "id")
     first = materialize(first, "first-shingles")
-    stars = first.groupBy("root", "shingle").agg(F.min("id").alias("b"))
+    # A table too, so that the texts of a frequent shingle may be joined by several tasks.
+    stars = materialize(first.groupBy("root", "shingle").agg(F.min("id").alias("b")), "shingle-stars")
     edges = first.join(stars, ["root", "shingle"]).where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
     found = materialize(components(edges), "parted-groups")
-    release(rows, counts, first)
+    release(rows, counts, first, stars)
     return found
 
 
