@@ -30,39 +30,24 @@ MODULUS = 1 << BITS
 LONGEST_DRAW = 1 << (BITS - 2)
 #: Paragraphs whose draws are made at once.
 BLOCK = 256
-#: Words of which a task remembers whether they end a piece.
-REMEMBERED = 100_000
 #: One word in so many ends a piece of a line.
 CUT = 8
 SEED = 17
 ROUNDS = 5
 
 
-class _Ends(dict):
-    """Whether a word ends a piece, for the words met so far."""
-
-    def __missing__(self, word: str) -> bool:
-        ends = bool(word) and zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0
-        if len(self) < REMEMBERED:
-            self[word] = ends
-        return ends
-
-
-_ends = _Ends()
-
-
 def paragraphs(text: str) -> list[bytes]:
     """The pieces of a text, as bytes. Lines do not depend on each other."""
     out = []
-    for line in text.split("\n"):
-        words = line.split(" ")
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        words = line.split(b" ")
         begin = 0
-        for at, ends in enumerate(map(_ends.__getitem__, words)):
-            if ends:
-                out.append(" ".join(words[begin : at + 1]).encode("utf-8", "surrogatepass"))
+        for at, code in enumerate(map(zlib.crc32, words)):
+            if code % CUT == 0 and words[at]:
+                out.append(b" ".join(words[begin : at + 1]))
                 begin = at + 1
         if any(words[begin:]):
-            out.append(" ".join(words[begin:]).encode("utf-8", "surrogatepass"))
+            out.append(b" ".join(words[begin:]))
     return out
 
 
@@ -91,9 +76,9 @@ def sums_of(pieces: list[bytes]) -> np.ndarray:
     mixed ^= mixed >> np.uint32(16)
     upper = mixed >> np.uint32(16)
     out = _TABLE.take(upper).sum(0, dtype=np.int64)
-    row, lane = np.nonzero(upper - np.uint32(TAIL) >= np.uint32((1 << 16) - 2 * TAIL))
-    if len(row):
-        np.add.at(out, lane, _cauchy(mixed[row, lane]))
+    far = np.flatnonzero(upper - np.uint32(TAIL) >= np.uint32((1 << 16) - 2 * TAIL))
+    if len(far):
+        np.add.at(out, far % LANES, _cauchy(mixed.ravel()[far]))
     return out
 
 
