@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import let, word_list
+from tabulon.llm.common import free_name, let, word_list
 
 # The symbols that count, and frequent short words of the four languages.
 SYMBOLS = "#*$%&|<>"
@@ -98,12 +98,13 @@ def measures(text: Column) -> Column:
 def apply_rules(df: DataFrame, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows with their counts, base_failed, failed (names of the rules that are broken) and kept.
 
-    Columns of those names are replaced. Null and empty texts have no words and fail; a ratio over nothing is 0.
-    Every word and line of a text counts; equal rows get equal verdicts. The plan is a single projection.
+    Columns of those names are replaced, all others stay. Null and empty texts have no words and fail; a ratio over nothing is 0.
+    Every word and line of a text of any length counts, in its task; equal rows get equal verdicts; an empty table gives none. The plan is a single projection.
     """
     added = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_stop_words n_lines".split()
-    df = df.drop(*added, "base_failed", "failed", "kept", "_m")
-    rows = df.withColumn("_m", measures(F.col(text))).select(*df.columns, "_m.*")
+    df = df.drop(*added, "base_failed", "failed", "kept")
+    counts = free_name(df.columns, "counts")
+    rows = df.withColumn(counts, measures(F.col(text))).select(*df.columns, f"{counts}.*")
 
     def ratio(top: str, bottom: str) -> Column:
         return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
