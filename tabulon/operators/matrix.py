@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import clean_double
 
 
+#: Rows whose moments a task takes at once.
+BLOCK_ROWS = 4096
+
+
 def pivot_values(df: DataFrame, column: str) -> list:
     """The sorted values of a column that becomes a header; runs a job. Each becomes a column, so the caller
     chooses the wide form where they are few and crosstab_long where they are many."""
@@ -39,15 +46,20 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = Non
     )
 
 
+def crosstab_of_counts(counts: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
+    """The wide form of crosstab_long, with one output column per value, absent pairs as 0."""
+    return counts.groupBy(row).pivot(column, list(values)).agg(F.sum("row_count")).na.fill(0).orderBy(row)
+
+
 def top_share(df: DataFrame, key: str, column: str, value: object, n: int = 5) -> DataFrame:
     """The n keys with most rows of one crosstab column, and each one's share among the n in percent."""
-    top = (
-        df.dropna(subset=[key, column])
-        .groupBy(key)
-        .agg(F.count_if(F.col(column) == F.lit(value)).alias("row_count"))
-        .orderBy(F.desc("row_count"), key)
-        .limit(n)
-    )
+    return top_share_of_counts(crosstab_long(df, key, column), key, column, value, n)
+
+
+def top_share_of_counts(counts: DataFrame, key: str, column: str, value: object, n: int = 5) -> DataFrame:
+    """The same from crosstab_long."""
+    rows = F.when(F.col(column) == F.lit(value), F.col("row_count")).otherwise(0)
+    top = counts.groupBy(key).agg(F.sum(rows).alias("row_count")).orderBy(F.desc("row_count"), key).limit(n)
     gathered = top.agg(
         F.collect_list(F.struct(F.col(key), "row_count")).alias("_top"), F.sum("row_count").alias("_all")
     )  # n entries in one row
@@ -59,37 +71,106 @@ def top_share(df: DataFrame, key: str, column: str, value: object, n: int = 5) -
     )
 
 
+#: What is kept of each pair of columns, over the rows where both are set: rows, means, squared deviations, their product, and squares about the mean of a batch.
+MOMENTS = ("n", "x", "y", "xx", "yy", "xy", "sx", "sy")
+
+
+def _batch_moments(values: np.ndarray) -> dict[str, np.ndarray]:
+    """The moments of all pairs of columns of some rows; NaN is missing. A few products of matrices, centred so that nothing large cancels."""
+    there = ~np.isnan(values)
+    counts = there.sum(0)
+    center = np.where(there, values, 0.0).sum(0) / np.maximum(counts, 1)
+    mask = there.astype(float)
+    deviation = np.where(there, values - center, 0.0)
+    n = mask.T @ mask
+    some = np.maximum(n, 1)
+    x = deviation.T @ mask
+    squares = (deviation * deviation).T @ mask
+    spread = np.maximum(squares - x * x / some, 0.0)
+    return {
+        "n": n,
+        "x": center[:, None] + x / some,
+        "y": center[None, :] + x.T / some,
+        "xx": spread,
+        "yy": spread.T,
+        "xy": deviation.T @ deviation - x * x.T / some,
+        "sx": squares,
+        "sy": squares.T,
+    }
+
+
+def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The moments of the rows of both."""
+    n = a["n"] + b["n"]
+    share = b["n"] / np.maximum(n, 1)
+    weight = a["n"] * share
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    return {
+        "n": n,
+        "x": a["x"] + dx * share,
+        "y": a["y"] + dy * share,
+        "xx": a["xx"] + b["xx"] + dx * dx * weight,
+        "yy": a["yy"] + b["yy"] + dy * dy * weight,
+        "xy": a["xy"] + b["xy"] + dx * dy * weight,
+        "sx": a["sx"] + b["sx"],
+        "sy": a["sy"] + b["sy"],
+    }
+
+
+def _coefficients(m: dict[str, np.ndarray]) -> np.ndarray:
+    """Correlations; NaN where a column is constant over the pair's rows, up to what rounding leaves."""
+
+    def constant(spread: str, mean: str, squares: str) -> np.ndarray:
+        return (m[spread] <= 1e-13 * m[squares]) | (m[spread] <= m["n"] * (4e-15 * m[mean]) ** 2)
+
+    unknown = (m["n"] == 0) | constant("xx", "x", "sx") | constant("yy", "y", "sy")
+    scale = np.sqrt(np.where(unknown, 1.0, m["xx"])) * np.sqrt(np.where(unknown, 1.0, m["yy"]))
+    return np.where(unknown, np.nan, m["xy"] / scale)
+
+
 def correlation(df: DataFrame, columns: Sequence[str], full: bool = False) -> DataFrame:
     """Pearson correlation as rows (column_a, column_b, r), each pair over the rows where both are set.
 
-    All pairs come from one pass. r is null where a column is constant over the pair's rows. With
+    All pairs come from one pass: each task multiplies its rows' matrix with itself and with the mask of what is set, and sends one row of moments per
+    column, so no row is multiplied however many columns there are. r is null where a column is constant over the pair's rows. With
     full=True the mirrored pairs and the diagonal are listed too.
     """
-    pairs = list(combinations(columns, 2)) + [(c, c) for c in columns if full]
-    doubles = df.select(*[clean_double(F.col(c)).alias(c) for c in columns])
-    # One row per pair keeps the aggregate small however many columns there are; each task sends one row
-    # of partial moments per pair.
-    entries = [
-        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    # Null unless both spreads are positive; a plain corr would divide by zero under ANSI mode.
-    spread = F.sqrt(F.regr_sxx("y", "x") * F.regr_syy("y", "x"))
-    moments = (
-        doubles.select(F.inline(F.array(*entries)))
-        .groupBy("pair")
-        .agg((F.regr_sxy("y", "x") / F.nullif(spread, F.lit(0.0))).alias("r"))
-    )
-    first = F.array(*[F.lit(a) for a, _ in pairs])[F.col("pair")]
-    second = F.array(*[F.lit(b) for _, b in pairs])[F.col("pair")]
-    listed = moments.select(first.alias("column_a"), second.alias("column_b"), "r")
-    if not full:
-        return listed
-    mirrored = F.array(
-        F.struct("column_a", "column_b", "r"),
-        F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"),
-    )
-    return listed.select(F.inline(mirrored)).distinct()
+    names = list(columns)
+    doubles = df.select(*[clean_double(F.col(c)).alias(c) for c in names])
+    kinds = ", ".join(f"{name} array<double>" for name in MOMENTS)
+
+    def of_task(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                values = np.stack([pc.fill_null(column, float("nan")).to_numpy(zero_copy_only=False) for column in batch.columns], axis=1)
+                for begin in range(0, len(values), BLOCK_ROWS):
+                    found = _batch_moments(values[begin : begin + BLOCK_ROWS])
+                    total = found if total is None else _merged(total, found)
+        if total is not None:
+            lists = [pa.array(list(total[name]), pa.list_(pa.float64())) for name in MOMENTS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names), dtype=np.int32)), *lists], names=["line", *MOMENTS])
+
+    def of_lines(batches):
+        lines: dict[int, dict[str, np.ndarray]] = {}
+        for batch in batches:
+            for line, *lists in zip(batch.column(0).to_pylist(), *(batch.column(i + 1) for i in range(len(MOMENTS))), strict=True):
+                found = {name: x.values.to_numpy() for name, x in zip(MOMENTS, lists)}
+                lines[line] = _merged(lines[line], found) if line in lines else found
+        out = []
+        for line, found in sorted(lines.items()):
+            for other, r in enumerate(_coefficients(found).tolist()):
+                if full or other > line:
+                    out.append((names[line], names[other], None if math.isnan(r) else r))
+        listed = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(listed, (pa.string(), pa.string(), pa.float64()))], names=["column_a", "column_b", "r"])
+
+    parts = doubles.mapInArrow(of_task, f"line int, {kinds}")
+    found = parts.repartition("line").mapInArrow(of_lines, "column_a string, column_b string, r double")
+    # Without rows there are no moments, but the pairs are listed all the same.
+    pairs = [(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if full or j > i]
+    listed = df.sparkSession.createDataFrame(pairs, "column_a string, column_b string")
+    return listed.join(found, ["column_a", "column_b"], "left")
 
 
 def won_lost(df: DataFrame, key: str, result: str, labels: Sequence[str]) -> DataFrame:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions import clean_double
-from tabulon.operators.quantiles import quantiles
+from tabulon.operators.quantiles import quantiles_and
 
 
 def numeric_profile(
@@ -16,33 +15,24 @@ def numeric_profile(
 ) -> DataFrame:
     """Count, mean, standard deviation, min, quartiles and max, one row per column.
 
-    Quartiles interpolate linearly and are exact unless rel_error is given. Null and NaN are left out.
+    Quartiles interpolate linearly and are exact unless rel_error is given. Null and NaN are left out. Runs jobs: two scans for all columns.
     """
-    found = quantiles(df, columns, [0.25, 0.5, 0.75], linear=True, rel_error=rel_error)
-    aggregates, rows = [], []
+    aggregates = []
     for i, column in enumerate(columns):
-        value = clean_double(F.col(column))
         aggregates += [
-            F.count(value).alias(f"n{i}"),
-            F.avg(value).alias(f"mean{i}"),
-            F.stddev_samp(value).alias(f"std{i}"),
-            F.min(value).alias(f"min{i}"),
-            F.max(value).alias(f"max{i}"),
+            F.count(column).alias(f"n{i}"),
+            F.avg(column).alias(f"mean{i}"),
+            F.stddev_samp(column).alias(f"std{i}"),
+            F.min(column).alias(f"min{i}"),
+            F.max(column).alias(f"max{i}"),
         ]
-        rows.append(
-            F.struct(
-                F.lit(column).alias("column_name"),
-                F.col(f"n{i}").alias("value_count"),
-                F.col(f"mean{i}").alias("mean"),
-                F.col(f"std{i}").alias("std"),
-                F.col(f"min{i}").alias("min"),
-                F.lit(found[column, 0.25]).cast("double").alias("p25"),
-                F.lit(found[column, 0.5]).cast("double").alias("p50"),
-                F.lit(found[column, 0.75]).cast("double").alias("p75"),
-                F.col(f"max{i}").alias("max"),
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    found, row = quantiles_and(df, columns, [0.25, 0.5, 0.75], aggregates, linear=True, rel_error=rel_error)
+    rows = [
+        (c, row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"], *(found[c, p] for p in (0.25, 0.5, 0.75)), row[f"max{i}"])
+        for i, c in enumerate(columns)
+    ]
+    kinds = "column_name string, value_count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    return df.sparkSession.createDataFrame([tuple(float(v) if isinstance(v, float) else v for v in r) for r in rows], kinds)
 
 
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -60,6 +50,11 @@ def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+    return profile_of_counts(counted)
+
+
+def profile_of_counts(counted: DataFrame) -> DataFrame:
+    """The text profile from (column_name, value, rows), one row for each value that is there."""
     return (
         counted.groupBy("column_name")
         .agg(

@@ -1,16 +1,14 @@
 """Exact quantiles of very large columns.
 
-Spark's exact percentile keeps every distinct value of a column in one task. Here each pass over the data
-returns a few numbers per quantile, and the next pass looks only at a narrower bracket of values:
+Spark's exact percentile keeps every distinct value of a column in one task. Here the data are scanned twice, for any number of columns:
 
-* a mergeable KLL sketch gives a first bracket around each quantile (about 1 % of the rows);
-* exact counts below, at the ends of and inside the bracket tell whether an end is the answer, and if not,
-  which rank inside is wanted;
-* while a bracket holds more than SMALL rows, a sketch of its rows gives the next, narrower one;
-* the rows of small brackets are counted per value and put in order.
+* in the first scan a mergeable KLL sketch gives a bracket around each quantile (about 1 % of the rows);
+* the second scan counts exactly the rows below, at the ends of and inside each bracket, and writes those inside to a table as it goes;
+* an end is the answer, or the counts tell which rank inside is wanted, and it is looked for in that table: while a bracket holds more than
+  SMALL rows, a sketch of its rows gives the next, narrower one; the rows of small brackets are counted per value and put in order.
 
 Sketches only choose where to look. Ranks come from exact counts, and a bracket that misses its rank is
-replaced by the side that holds it, so the result is always the exact order statistic.
+replaced by the side that holds it and looked for in the data again, so the result is always the exact order statistic.
 """
 
 from __future__ import annotations
@@ -21,10 +19,11 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import clean_double
+from tabulon.sources.shared import materialize, release
 
 SKETCH_SIZE = 2000  # rank error about 0.0014 at 99 %
 MARGIN = 0.005  # half width of the first bracket, over three times that error
@@ -71,9 +70,8 @@ def _ranks(n: int, p: float, linear: bool) -> tuple[int, int, float]:
     return math.floor(position) + 1, math.ceil(position) + 1, position - math.floor(position)
 
 
-def _counts(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple, tuple[int, int, int, int]]:
-    """One pass: rows below, at the low end of, inside and at the high end of each bracket."""
-    brackets = _brackets(searches)
+def _count_columns(brackets: Sequence[tuple[str, float, float]]) -> list[Column]:
+    """Rows below, at the low end of, strictly inside and at the high end of each bracket."""
     aggregates = []
     for i, (metric, low, high) in enumerate(brackets):
         value = F.col(metric)
@@ -83,11 +81,30 @@ def _counts(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple, tupl
             F.count_if((value > F.lit(low)) & (value < F.lit(high))).alias(f"inside{i}"),
             F.count_if((value == F.lit(high)) & F.lit(low < high)).alias(f"high{i}"),
         ]
-    row = doubles.agg(*aggregates).first()
-    return {
-        bracket: (row[f"below{i}"], row[f"low{i}"], row[f"inside{i}"], row[f"high{i}"])
-        for i, bracket in enumerate(brackets)
-    }
+    return aggregates
+
+
+def _listed(brackets: Sequence[tuple[str, float, float]], row: dict) -> dict[tuple, tuple[int, int, int, int]]:
+    return {bracket: tuple(row[f"{name}{i}"] for name in ("below", "low", "inside", "high")) for i, bracket in enumerate(brackets)}
+
+
+def _counts(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple, tuple[int, int, int, int]]:
+    """One pass: rows below, at the low end of, inside and at the high end of each bracket."""
+    brackets = _brackets(searches)
+    return _listed(brackets, doubles.agg(*_count_columns(brackets)).first().asDict())
+
+
+def _counted_and_kept(doubles: DataFrame, searches: Sequence[_Search]) -> tuple[dict[tuple, tuple[int, int, int, int]], DataFrame]:
+    """One pass: the counts, and a table of the values strictly inside the brackets, a column inside<i> for each bracket.
+
+    The counts are observed while the table is written.
+    """
+    brackets = _brackets(searches)
+    seen = Observation()
+    strictly = [(F.col(m) > F.lit(low)) & (F.col(m) < F.lit(high)) for m, low, high in brackets]
+    columns = [F.when(inside, F.col(m)).alias(f"inside{i}") for i, (inside, (m, _, _)) in enumerate(zip(strictly, brackets, strict=True))]
+    kept = materialize(doubles.observe(seen, *_count_columns(brackets)).where(reduce(or_, strictly)).select(*columns), "bracketed-values")
+    return _listed(brackets, seen.get), kept
 
 
 def _cut_points(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple, list[float]]:
@@ -207,15 +224,25 @@ def quantiles(
 
     linear=False gives an actual value of the column (percentile_disc), linear=True interpolates between
     neighbours (percentile_cont). With rel_error the values come from one approximate pass, each within
-    rel_error * rows ranks of the exact one. Runs jobs; only the listed numbers come to the driver.
+    rel_error * rows ranks of the exact one. Runs jobs, two scans of the data if they are exact; only the listed numbers come to the driver.
     """
+    return quantiles_and(df, metrics, probs, (), linear, rel_error)[0]
+
+
+def quantiles_and(
+    df: DataFrame,
+    metrics: Sequence[str],
+    probs: Sequence[float],
+    also: Sequence[Column],
+    linear: bool = False,
+    rel_error: float | None = None,
+) -> tuple[dict[tuple[str, float], float | None], Row]:
+    """The quantiles, and a row with other aggregates of the metrics, cleaned of NaN, that the first scan takes along."""
     doubles = df.select(*[clean_double(F.col(m)).alias(m) for m in metrics])
     if rel_error is not None:
         accuracy = max(1, round(1 / rel_error))
-        row = doubles.agg(
-            *[F.percentile_approx(m, list(probs), accuracy).alias(m) for m in metrics]
-        ).first()
-        return {(m, p): row[m][j] if row[m] else None for m in metrics for j, p in enumerate(probs)}
+        row = doubles.agg(*[F.percentile_approx(m, list(probs), accuracy).alias(f"q_{m}") for m in metrics], *also).first()
+        return {(m, p): row[f"q_{m}"][j] if row[f"q_{m}"] else None for m in metrics for j, p in enumerate(probs)}, row
 
     bracket_ranks = [min(1.0, max(0.0, p + side)) for p in probs for side in (-MARGIN, MARGIN)]
     first = doubles.agg(
@@ -224,6 +251,7 @@ def quantiles(
             _grid(F.kll_sketch_agg_double(m, F.lit(SKETCH_SIZE)), F.count(m), bracket_ranks).alias(f"q_{m}")
             for m in metrics
         ],
+        *also,
     ).first()
 
     searches: dict[tuple[str, int], _Search] = {}
@@ -241,7 +269,7 @@ def quantiles(
             }
             for rank in plan[metric, p][:2]:
                 searches.setdefault((metric, rank), _Search(metric, rank, **bracket))
-    values = _order_statistics(doubles, list(searches.values())) if searches else {}
+    values = _found(doubles, list(searches.values())) if searches else {}
 
     result: dict[tuple[str, float], float | None] = {}
     for metric in metrics:
@@ -252,4 +280,28 @@ def quantiles(
             low_rank, high_rank, weight = plan[metric, p]
             low, high = values[metric, low_rank], values[metric, high_rank]
             result[metric, p] = low if weight == 0.0 else low + weight * (high - low)
-    return result
+    return result, first
+
+
+def _found(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple[str, int], float]:
+    """The values of the wanted ranks from one scan of the rows, and what the table of bracketed values needs."""
+    counts, kept = _counted_and_kept(doubles, searches)
+    numbers = {bracket: i for i, bracket in enumerate(_brackets(searches))}
+    values: dict[tuple[str, int], float] = {}
+    missed: list[_Search] = []
+    inside: dict[tuple[str, int], _Search] = {}
+    for search in searches:
+        found = _after_counts(search, *counts[search.bracket])
+        if isinstance(found, float):
+            values[search.metric, search.rank] = found
+        elif found.inside == 0:
+            missed.append(found)
+        else:
+            # In the table the bracket's values are a column of their own, in which ranks begin anew.
+            inside[search.metric, search.rank] = replace(found, metric=f"inside{numbers[search.bracket]}", rank=search.rank - found.below, below=0)
+    try:
+        ranked = _order_statistics(kept, list(dict.fromkeys(inside.values()))) if inside else {}
+        values |= {key: ranked[s.metric, s.rank] for key, s in inside.items()}
+    finally:
+        release(kept)
+    return values | (_order_statistics(doubles, missed) if missed else {})

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import rounded
+from tabulon.sources.shared import materialize
 
 
 def _present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,6 +27,34 @@ def count_by(
     return base.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), *keys)
 
 
+def counts_by_sets(df: DataFrame, sets: Sequence[Sequence[str]], measures: Mapping[str, Column] = {}, keep_null_keys: Collection[int] = ()) -> list[DataFrame]:
+    """For each set of keys a frame (keys, row_count, measures), all from one scan of the rows.
+
+    Spark's grouping sets make one entry per row and set, which each task adds up before anything is shuffled; the groups of all sets are
+    written once as a table. Rows with a null key are left out of a set unless its place is in keep_null_keys. Measures are made for every set.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    # A set that is asked for twice would be counted twice.
+    distinct = {frozenset(s): s for s in sets}.values()
+    prefix = "key"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    name = {k: f"{prefix}{i}" for i, k in enumerate(keys)}
+    inputs = df.select(*[F.col(k).alias(name[k]) for k in keys], "*")
+    aggregates = [F.grouping_id().alias("set_id"), F.count(F.lit(1)).alias("row_count"), *[m.alias(f"measure{i}") for i, m in enumerate(measures.values())]]
+    found = inputs.groupingSets([[F.col(name[k]) for k in s] for s in distinct], *[F.col(name[k]) for k in keys]).agg(*aggregates)
+    table = materialize(found, "grouped-counts")
+    frames = []
+    for place, names in enumerate(sets):
+        # A key that does not take part in a set has a bit in its id, the first key the highest one.
+        set_id = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in names)
+        rows = table.where(F.col("set_id") == set_id)
+        if place not in keep_null_keys:
+            rows = rows.dropna(subset=[name[k] for k in names])
+        frames.append(rows.select(*[F.col(name[k]).alias(k) for k in names], "row_count", *[F.col(f"measure{i}").alias(m) for i, m in enumerate(measures)]))
+    return frames
+
+
 def aggregate_by(
     df: DataFrame,
     keys: Sequence[str],

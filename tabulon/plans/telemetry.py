@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import map_values
-from tabulon.operators.matrix import correlation, crosstab, pivot_values, top_share, won_lost
-from tabulon.operators.profiles import numeric_profile, text_profile
-from tabulon.operators.quality import distinct_values, null_counts, schema_report
-from tabulon.operators.reports import aggregate_by, count_by, non_null_counts_by, outside_range
+from tabulon.operators.matrix import correlation, crosstab_of_counts, pivot_values, top_share_of_counts
+from tabulon.operators.profiles import numeric_profile, profile_of_counts
+from tabulon.operators.quality import null_counts, schema_report
+from tabulon.operators.reports import counts_by_sets, non_null_counts_by, outside_range, stack_by_name
 from tabulon.sources.shared import materialize
 
 # The band of round durations and the labels of the result column.
@@ -51,55 +51,70 @@ def telemetry_report(
 ) -> dict[str, DataFrame]:
     """The results of the exploration by name.
 
-    The rows are written once, and every report reads its own columns of that table. Give the list of reasons to save
-    the job that looks up the header of the crosstab.
+    The rows are written once, and every report reads its own columns of that table. All counts by one key or two, and what is made of them, come from one
+    scan with grouping sets, which runs while the job is put together, as do the two scans for the quartiles. Give the list of reasons to save
+    the look at their values.
     """
     df = materialize(df, "telemetry-rows")
     c = columns
     numerics = [f.name for f in df.schema if f.dataType.typeName() in _NUMERIC_TYPES]
     texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
-    labelled = df.withColumn(c.result, map_values(F.col(c.result), RESULT_LABELS))
-    mean_duration = aggregate_by(
-        df,
-        [c.map, c.objective],
-        {"mean_duration": F.avg(c.duration)},
-        order=[F.desc("mean_duration"), c.map, c.objective],
-        drop_null_keys=True,
-    )
+    distinct = [c.mode, c.map, c.rank, c.result]
+    label = "result_label"
+    while label in df.columns:
+        label = f"_{label}"
+    labelled = df.withColumn(label, map_values(F.col(c.result), RESULT_LABELS))
+    sets = {
+        "mode_map": [c.mode, c.map],
+        "mode_role": [c.mode, c.role],
+        "map_objective": [c.map, c.objective],
+        "objective_reason": [c.objective, c.reason],
+        "weapons": [c.primary, c.secondary],
+        "rank_result": [c.rank, label],
+        **{f"one:{name}": [name] for name in dict.fromkeys([c.operator, c.weapon_type, c.map, *texts, *distinct])},
+    }
+    with_null = [place for place, name in enumerate(sets) if name.startswith("one:")]
+    measures = {"mean_duration": F.avg(c.duration), "kills": F.sum(c.kills)}
+    found = dict(zip(sets, counts_by_sets(labelled, list(sets.values()), measures, with_null), strict=True))
+
+    def counts(name: str) -> DataFrame:
+        keys = sets[name]
+        return found[name].dropna(subset=keys).select(*keys, "row_count").orderBy(F.desc("row_count"), *keys)
+
+    def measured(name: str, measure: str) -> DataFrame:
+        keys = sets[name]
+        return found[name].dropna(subset=keys).select(*keys, measure).orderBy(F.desc(measure), *keys)
+
+    def values(names: Sequence[str], *more: str) -> DataFrame:
+        listed = [found[f"one:{n}"].select(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("value"), *more) for n in names]
+        return stack_by_name(listed)
+
+    reason_counts = found["objective_reason"].select(c.objective, c.reason, "row_count")
+    if reasons is None:
+        reasons = pivot_values(reason_counts, c.reason)
+    mean_duration = measured("map_objective", "mean_duration")
     reports = {
         "schema": schema_report(df),
         "null_counts": null_counts(df),
         "numeric_profile": numeric_profile(df, numerics),
-        "text_profile": text_profile(df, texts),
-        "distinct_values": distinct_values(df, [c.mode, c.map, c.rank, c.result]),
-        "count_by_mode_and_map": count_by(df, [c.mode, c.map], drop_null_keys=True),
-        "count_by_mode_and_role": count_by(df, [c.mode, c.role], drop_null_keys=True),
+        "text_profile": profile_of_counts(values(texts, "row_count").withColumnRenamed("row_count", "rows").where(F.col("value").isNotNull())),
+        "distinct_values": values(distinct),
+        "count_by_mode_and_map": counts("mode_map"),
+        "count_by_mode_and_role": counts("mode_role"),
         "non_null_counts_by_operator": non_null_counts_by(df, c.operator),
-        "picks_by_operator": count_by(df, [c.operator], drop_null_keys=True),
-        "duration_by_map": aggregate_by(
-            df,
-            [c.map],
-            {"mean_duration": F.avg(c.duration)},
-            order=[F.desc("mean_duration"), c.map],
-            drop_null_keys=True,
-        ),
+        "picks_by_operator": counts(f"one:{c.operator}"),
+        "duration_by_map": measured(f"one:{c.map}", "mean_duration"),
         "duration_by_map_and_objective": mean_duration,
         "durations_outside_band": outside_range(mean_duration, "mean_duration", *DURATION_BAND),
-        "objective_by_reason": crosstab(
-            df, c.objective, c.reason, reasons if reasons is not None else pivot_values(df, c.reason)
-        ),
-        "paired_reasons": crosstab(df, c.objective, c.reason, paired_reasons),
+        "objective_by_reason": crosstab_of_counts(reason_counts, c.objective, c.reason, reasons),
+        "paired_reasons": crosstab_of_counts(reason_counts, c.objective, c.reason, paired_reasons),
         "correlation": correlation(df, [n for n in numerics if n not in c.ids], full=True),
-        "weapon_types": count_by(df, [c.weapon_type], drop_null_keys=True),
-        "kills_by_weapons": aggregate_by(
-            df,
-            [c.primary, c.secondary],
-            {"kills": F.sum(c.kills)},
-            order=[F.desc("kills"), c.primary, c.secondary],
-            drop_null_keys=True,
+        "weapon_types": counts(f"one:{c.weapon_type}"),
+        "kills_by_weapons": measured("weapons", "kills"),
+        "won_lost_by_rank": crosstab_of_counts(
+            found["rank_result"].withColumnRenamed(label, c.result), c.rank, c.result, list(RESULT_LABELS.values())
         ),
-        "won_lost_by_rank": won_lost(labelled, c.rank, c.result, list(RESULT_LABELS.values())),
     }
     for reason in share_reasons:
-        reports[f"top_objectives_{reason}"] = top_share(df, c.objective, c.reason, reason)
+        reports[f"top_objectives_{reason}"] = top_share_of_counts(reason_counts, c.objective, c.reason, reason)
     return reports

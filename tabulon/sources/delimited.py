@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.operators.reports import stack_by_name
 from tabulon.sources.records import read_records
-from tabulon.sources.shared import new_path
+from tabulon.sources.shared import new_path, shuffles_removed
 
 #: Text of a line that does not fit the columns.
 CORRUPT = "_corrupt_line"
@@ -61,7 +62,7 @@ def read_many(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame
     if not paths:
         raise ValueError("no paths given")
     frames = [read_delimited(spark, path, **options) for path in paths]
-    return stack_by_name(frames, allow_missing=True)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def literal_table(
@@ -90,22 +91,64 @@ def write_delimited(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_report(df: DataFrame, path: str, limit: int | None = None) -> None:
-    """One CSV file of exactly this name, replacing an earlier one, for small reports.
+    """One CSV file of exactly this name, replacing an earlier one, with the rows in their order.
 
-    A single file is written by a single task, which streams any number of rows; write_delimited is the way
-    for results that grow with the data.
+    All tasks write their part of the rows; the file system then joins the parts in order: by reference where it can (concat), otherwise
+    they are copied one after the other as a stream. The file is put in place when it is complete. Rows of a frame that is
+    sorted stay sorted.
     """
     spark = df.sparkSession
     rows = df.limit(limit) if limit is not None else df
     staging = new_path(spark, "report")
-    _writer(rows.coalesce(1)).csv(staging)
+    with shuffles_removed(spark):
+        _writer(rows).option("header", False).csv(staging)
+    header = literal_table(spark, {c: [c] for c in rows.columns}, ", ".join(f"`{c.replace('`', '``')}` string" for c in rows.columns))
+    _writer(header.coalesce(1)).option("header", False).csv(f"{staging}-header")
+    _join_files(spark, [f"{staging}-header", staging], path)
 
-    # The Hadoop file system of the target, so that any storage Spark can write to works.
-    hadoop = spark._jvm.org.apache.hadoop.fs
+
+def _join_files(spark: SparkSession, folders: Sequence[str], path: str) -> None:
+    """One file of the part files of the folders, in order; the folders go."""
+    # The Hadoop file system of each path, so that any storage Spark can write to works.
+    hadoop = spark._jvm.org.apache.hadoop
     conf = spark._jsc.hadoopConfiguration()
-    target = hadoop.Path(path)
-    source_fs = hadoop.Path(staging).getFileSystem(conf)
+    target = hadoop.fs.Path(path)
     target_fs = target.getFileSystem(conf)
-    part = source_fs.globStatus(hadoop.Path(f"{staging}/part-*.csv"))[0].getPath()
-    hadoop.FileUtil.copy(source_fs, part, target_fs, target, True, True, conf)
-    source_fs.delete(hadoop.Path(staging), True)
+    parts = []
+    for folder in folders:
+        fs = hadoop.fs.Path(folder).getFileSystem(conf)
+        found = fs.globStatus(hadoop.fs.Path(f"{folder}/part-*.csv"))
+        parts += [(fs, p) for p in sorted((f.getPath() for f in found if f.getLen() > 0), key=lambda p: p.getName())]
+    unfinished = hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}.unfinished") if target.getParent() is not None else hadoop.fs.Path(f"{path}.unfinished")
+    if not _joined_by_reference(spark, target_fs, parts, unfinished):
+        stream = target_fs.create(unfinished, True)
+        try:
+            for fs, part in parts:
+                source = fs.open(part)
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, stream, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            stream.close()
+    target_fs.delete(target, False)
+    if not target_fs.rename(unfinished, target):
+        raise OSError(f"{path} cannot be put in place")
+    for folder in folders:
+        where = hadoop.fs.Path(folder)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def _joined_by_reference(spark: SparkSession, target_fs, parts: Sequence[tuple], unfinished) -> bool:
+    """Whether the file system has joined the parts without copying; it needs them all in its own store."""
+    if any(fs.getUri() != target_fs.getUri() for fs, _ in parts) or target_fs.getScheme() != "hdfs":
+        return False
+    target_fs.create(unfinished, True).close()
+    paths = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
+    for i, (_, part) in enumerate(parts):
+        paths[i] = part
+    try:
+        target_fs.concat(unfinished, paths)
+    except Exception:  # noqa: BLE001  a store may refuse, as for encrypted folders; then the parts are copied
+        return False
+    return True

@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,6 +24,9 @@ _PATH = "_tabulon_table"
 _local_folders: dict[str, str] = {}
 #: Paths of this program that may still be there, with their sessions.
 _kept: dict[str, SparkSession] = {}
+#: Per session the writes that are under way, and the setting before them.
+_writes: dict[SparkSession, tuple[int, str | None]] = {}
+_lock = threading.Lock()
 _scope: ContextVar[list[str] | None] = ContextVar("paths of the innermost scope", default=None)
 
 
@@ -73,13 +77,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of jobs that end inside go at their end, not when the driver happens to collect garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """The shuffle files of jobs that end inside go at their end, not when the driver happens to collect garbage.
+
+    The setting is put back when the last of the writes that run side by side has ended.
+    """
+    with _lock:
+        open_writes, before = _writes.get(spark, (0, None))
+        if not open_writes:
+            before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writes[spark] = (open_writes + 1, before)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        with _lock:
+            open_writes, before = _writes.pop(spark)
+            if open_writes > 1:
+                _writes[spark] = (open_writes - 1, before)
+            else:
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def _remove(path: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tabulon.functions import map_values
 from tabulon.operators.matrix import correlation, crosstab, crosstab_long, pivot_values, top_share, won_lost
-from tabulon.operators.reports import aggregate_by, count_by, mean_by, non_null_counts_by, outside_range
+from tabulon.operators.reports import aggregate_by, count_by, counts_by_sets, mean_by, non_null_counts_by, outside_range
 
 
 def test_correlation_uses_complete_pairs_only(spark):
@@ -76,3 +76,47 @@ def test_crosstabs_of_many_values(spark):
     df = spark.range(3003).selectExpr("cast(id % 3 as string) as k", "cast(id % 1001 as int) as c")
     assert len(pivot_values(df, "c")) == 1001
     assert crosstab_long(df, "k", "c").agg({"row_count": "sum"}).first()[0] == 3003
+
+
+def test_correlation_of_two_hundred_columns_with_nulls(spark):
+    random = np.random.default_rng(7)
+    values = random.normal(size=(700, 200)) + random.normal(size=(700, 1)) * np.linspace(0, 3, 200) + 1e6
+    values[:, 5] = 3.25
+    values[random.random(values.shape) < 0.2] = np.nan
+    values[:, 7] = np.where(np.isnan(values[:, 8]), 4.0, 0.1)
+    names = [f"c{i}" for i in range(200)]
+    df = spark.createDataFrame([tuple(None if np.isnan(x) else float(x) for x in row) for row in values], ", ".join(f"{n} double" for n in names)).repartition(6)
+    frame = correlation(df, names)
+    assert "Generate" not in frame._jdf.queryExecution().executedPlan().toString()
+    found = {(r.column_a, r.column_b): r.r for r in frame.collect()}
+    assert len(found) == 200 * 199 // 2
+    for i, j in [(0, 1), (10, 190), (150, 151), (8, 9), (6, 199)]:
+        both = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+        assert found[names[i], names[j]] == pytest.approx(np.corrcoef(values[both, i], values[both, j])[0, 1], rel=1e-9)
+    # Constant as a whole, and constant over the rows of a pair only.
+    assert all(found[pair] is None for pair in found if "c5" in pair) and found["c7", "c8"] is None and found["c7", "c9"] is not None
+
+
+def test_correlation_lists_its_pairs_without_rows(spark):
+    empty = spark.createDataFrame([], "a double, b int")
+    assert sorted(tuple(r) for r in correlation(empty, ["a", "b"], full=True).collect()) == [("a", "a", None), ("a", "b", None), ("b", "a", None), ("b", "b", None)]
+
+
+def test_counts_by_sets_come_from_one_scan(spark):
+    read = spark.sparkContext.accumulator(0)
+    data = [("a", "x", 1, 2.0), ("a", "y", 2, 4.0), ("b", None, 3, None), (None, "x", 4, 1.0), ("a", "x", 5, 6.0), (None, None, 6, 9.0)]
+    df = spark.createDataFrame(data, "k string, `c` string, set_id int, key0 double")
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    sets = [["k", "c"], ["c"], ["k"], ["k"], ["set_id"]]
+    found = counts_by_sets(df.mapInArrow(passed, df.schema), sets, {"mean": F.avg("key0")}, keep_null_keys=[3])
+    assert read.value == len(data)
+    rows = [sorted((tuple(r) for r in f.collect()), key=repr) for f in found]
+    assert rows[0] == [("a", "x", 2, 4.0), ("a", "y", 1, 4.0)]
+    assert rows[1] == [("x", 3, 3.0), ("y", 1, 4.0)]
+    assert rows[2] == [("a", 3, 4.0), ("b", 1, None)] and rows[3] == sorted([("a", 3, 4.0), ("b", 1, None), (None, 2, 5.0)], key=repr)
+    assert len(rows[4]) == 6 and found[0].columns == ["k", "c", "row_count", "mean"]

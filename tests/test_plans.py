@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,30 @@ def test_telemetry_job(spark, small):
     assert found["won_lost_by_rank"].agg(F.sum(F.col("Won") + F.col("Lost"))).first()[0] == total
     assert not {"dateid", "matchid"} & {r.column_a for r in found["correlation"].collect()}
     assert len(found["top_objectives_1-URGENT"].collect()) == 5
+
+
+def test_reports_are_written_side_by_side(spark, tmp_path):
+    """Each of six frames waits for a second in its tasks; one after the other they would take six."""
+
+    def waiting(batches):
+        time.sleep(1)
+        yield from batches
+
+    slow = {f"r{i}": spark.range(3).coalesce(1).mapInArrow(waiting, "id bigint") for i in range(6)}
+    slow["r0"].count()
+    started = time.time()
+    write_reports(slow, str(tmp_path), single_file=["r5"])
+    assert time.time() - started < 5
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["r0", "r1", "r2", "r3", "r4", "r5.csv"]
+    broken = {"good": spark.range(3), "bad": spark.range(3).select(F.raise_error(F.lit("no such thing")))}
+    with pytest.raises(Exception, match="no such thing"):
+        write_reports(broken, str(tmp_path / "more"))
+    assert spark.read.csv(str(tmp_path / "more" / "good"), header=True).count() == 3
+
+
+def test_counted_telemetry_reports_share_one_scan(spark, small):
+    found = telemetry_report(fx.rounds(spark, small), share_reasons=["1-URGENT"], paired_reasons=["1-URGENT"])
+    counted = ["count_by_mode_and_map", "count_by_mode_and_role", "picks_by_operator", "weapon_types", "duration_by_map", "objective_by_reason", "kills_by_weapons", "won_lost_by_rank", "text_profile", "distinct_values", "top_objectives_1-URGENT"]
+    for name in counted:
+        plan = found[name]._jdf.queryExecution().executedPlan().toString()
+        assert "grouped-counts" in plan and "telemetry-rows" not in plan, name

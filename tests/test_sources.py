@@ -252,3 +252,25 @@ def test_whole_jobs_leave_nothing_behind(spark, shared, small):
             rows = job(spark, small).collect()
             assert rows and len(listed(shared)) > 0
         assert listed(shared) == []
+
+
+def test_a_named_report_is_written_by_many_tasks_in_order(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("id", "concat('cell, \"', id, '\"') as text").repartition(7).orderBy("id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written = rows.rdd.getNumPartitions()
+        for _ in range(2):
+            write_report(rows, str(tmp_path / "rows.csv"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert written > 1 and os.listdir(tmp_path).count("rows.csv") == 1 and not [f for f in os.listdir(tmp_path) if "unfinished" in f and not f.startswith(".")]
+    lines = (tmp_path / "rows.csv").read_text().splitlines()
+    assert lines[0] == "id,text" and len(lines) == 200_001
+    assert [int(line.split(",")[0]) for line in lines[1:]] == list(range(200_000)) and lines[8] == '7,"cell, ""7"""'
+
+
+def test_a_report_without_rows_is_its_header(spark, tmp_path):
+    write_report(spark.range(0).selectExpr("id", "'x' as `a, b`"), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_text() == 'id,"a, b"\n'
+    write_report(spark.range(9), str(tmp_path / "none.csv"), limit=2)
+    assert (tmp_path / "none.csv").read_text() == "id\n0\n1\n"
