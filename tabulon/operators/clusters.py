@@ -11,9 +11,10 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulon.operators.kmeans import FINAL_ITERATIONS, SEED, ClusterModel, fit_all, labels, moments, rows_of
-from tabulon.operators.sparse import Rows, dimensions, entries_of, stored_entries, summed
+from tabulon.operators.kmeans import FINAL_ITERATIONS, SEED, ClusterModel, fit_all, moments, rows_of, with_labels
+from tabulon.operators.sparse import Rows, dimensions, entries_of, stored_entries, summed, with_numbers
 
 # Fixed values of the clustering job.
 SEARCH_ITERATIONS = 20
@@ -31,7 +32,7 @@ def fit_kmeans(features: DataFrame, id_column: str, k: int, max_iter: int = FINA
 
 def assign(features: DataFrame, model: ClusterModel) -> DataFrame:
     """Adds the cluster of each row, clusters being numbered by the order of their centers."""
-    return features.withColumn("cluster", labels(model))
+    return with_labels(features, model, "cluster")
 
 
 def ordered_centers(model: ClusterModel) -> list[list[float]]:
@@ -184,12 +185,6 @@ def _times_covariance(rows: DataFrame, directions: np.ndarray, mean: np.ndarray,
 def project_2d(features: DataFrame, keep: Sequence[str] = ("cluster",)) -> DataFrame:
     """The kept columns and x, y: the vectors along the two main components of all of them, which any number of dimensions may have."""
     directions, _ = principal_directions(features)
-
-    @F.pandas_udf("x double, y double")
-    def along(indices, values):
-        import pandas as pd
-
-        part = Rows.of(pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())))
-        return pd.DataFrame(part.times(directions), columns=["x", "y"])
-
-    return features.select(*keep, along(*stored_entries()).alias("_xy")).select(*keep, "_xy.x", "_xy.y")
+    fields = [T.StructField(name, T.DoubleType()) for name in ("x", "y")]
+    rows = features.select("features", *[c for c in keep if c not in ("features", "x", "y")])
+    return with_numbers(rows, fields, lambda part: list(part.times(directions).T)).select(*keep, "x", "y")

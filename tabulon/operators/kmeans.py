@@ -13,13 +13,13 @@ from dataclasses import dataclass, field
 from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulon.operators.sparse import Rows, dimensions, entries_of, stored_entries, summed
+from tabulon.operators.sparse import Rows, dimensions, entries_of, stored_entries, summed, with_numbers
 
 # Fixed values of the clustering job.
 SEED = 42
@@ -199,13 +199,7 @@ def fit_all(features: DataFrame, id_column: str, ks: Sequence[int], max_iter: in
     return {k: ClusterModel(c, tuple(int(x) for x in n), cost, k) for (k, c), n, cost in zip(ordered.items(), counts, costs, strict=True)}
 
 
-def labels(model: ClusterModel) -> Column:
-    """The number of the center nearest to the vector in the column features, the first of equals."""
+def with_labels(features: DataFrame, model: ClusterModel, out: str) -> DataFrame:
+    """The rows with the number of the center nearest to the vector in the column features, the first of equals; a column out is replaced."""
     centers = model.centers
-
-    @F.pandas_udf("int")
-    def nearest(indices: pd.Series, values: pd.Series) -> pd.Series:
-        part = Rows.of(pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())))
-        return pd.Series(part.distances(centers).argmin(1).astype(np.int32))
-
-    return nearest(*stored_entries())
+    return with_numbers(features, [T.StructField(out, T.IntegerType())], lambda part: [part.distances(centers).argmin(1).astype(np.int32)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def stored_entries(vector: str = "features") -> tuple[Column, Column]:
@@ -72,3 +75,23 @@ def entries_of(matrix: np.ndarray, names: tuple[str, str, str]) -> pa.RecordBatc
     """The entries of a matrix that are not 0 as rows (line, place, value)."""
     line, place = np.nonzero(matrix)
     return pa.RecordBatch.from_arrays([pa.array(line, pa.int32()), pa.array(place, pa.int32()), pa.array(matrix[line, place])], names=list(names))
+
+
+def with_numbers(df: DataFrame, fields: Sequence[T.StructField], numbers: Callable[[Rows], Sequence[np.ndarray]]) -> DataFrame:
+    """The rows with further columns that numbers makes of their vectors, in the column features; columns of those names are replaced."""
+    rows = df.drop(*[f.name for f in fields])
+    taken = {c.lower() for c in df.columns}
+    prefix = "entry"
+    while any(c.startswith(prefix) for c in taken):
+        prefix = f"_{prefix}"
+    indices, values = stored_entries()
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def added(batches):
+        for batch in batches:
+            found = numbers(Rows.of(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)))
+            columns = [*batch.columns[:-2], *[pa.array(n, k) for n, k in zip(found, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], *[f.name for f in fields]])
+
+    schema = T.StructType([*rows.schema.fields, *fields])
+    return df.select(*rows.columns, indices.alias(f"{prefix}1"), values.alias(f"{prefix}2")).mapInArrow(added, schema)
