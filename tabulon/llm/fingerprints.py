@@ -33,7 +33,7 @@ BLOCK = 256
 #: One word in so many ends a piece of a line.
 CUT = 8
 SEED = 17
-ROUNDS = 5
+ROUNDS = 4
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -70,10 +70,9 @@ def sums_of(pieces: list[bytes]) -> np.ndarray:
     digests = np.frombuffer(b"".join([digest(p, digest_size=16).digest() for p in pieces]), "<u4").reshape(-1, 4)
     mixed = digests[:, :1] * _FACTORS[0]
     for i in (1, 2, 3):
-        mixed ^= mixed >> np.uint32(15)
-        mixed += digests[:, i : i + 1]
-        mixed *= _FACTORS[i]
-    mixed ^= mixed >> np.uint32(16)
+        mixed += digests[:, i : i + 1] * _FACTORS[i]
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x2C1B3C6D)
     upper = mixed >> np.uint32(16)
     out = _TABLE.take(upper).sum(0, dtype=np.int64)
     far = np.flatnonzero(upper - np.uint32(TAIL) >= np.uint32((1 << 16) - 2 * TAIL))
