@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -13,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.operators.kmeans import FINAL_ITERATIONS, SEED, ClusterModel, fit_all, moments, rows_of, with_labels
-from tabulon.operators.sparse import Rows, dimensions, entries_of, stored_entries, summed, with_numbers
+from tabulon.operators.kmeans import FINAL_ITERATIONS, SEED, ClusterModel, fit_all, fit_kept, kept_rows, moments, with_labels
+from tabulon.operators.sparse import BLOCK, blocks_of, dimensions, entries_of, nearest, packed, summed, with_numbers
 
 # Fixed values of the clustering job.
 SEARCH_ITERATIONS = 20
@@ -59,34 +58,34 @@ def silhouettes(features: DataFrame, id_column: str, models: dict[int, ClusterMo
     The distances of a row to all rows of a cluster add up to n |x|^2 + sum |y|^2 - 2 x sum y, so the moments of the clusters are enough. A row
     alone in its cluster scores 0.
     """
-    rows = rows_of(features, id_column).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        dims = dimensions(features)
-        centers = [m.centers for m in models.values()]
-        counts, sums, squares, _ = moments(rows, centers, dims)
-
-        def scores(batches):
-            total = np.zeros((len(centers), 2))
-            for batch in batches:
-                part = Rows.of(batch.column(0), batch.column(1))
-                for number, (points, n, y, psi) in enumerate(zip(centers, counts, sums, squares)):
-                    own = part.distances(points).argmin(1)
-                    away = np.maximum(n * part.norms[:, None] + psi - 2 * part.times(y), 0.0)
-                    every = np.arange(len(part))
-                    inside = away[every, own] / np.maximum(n[own] - 1, 1)
-                    means = np.where(n > 0, away / np.maximum(n, 1), np.inf)
-                    means[every, own] = np.inf
-                    outside = means.min(1)
-                    greater = np.maximum(inside, outside)
-                    score = np.where((n[own] > 1) & (greater > 0) & np.isfinite(outside), (outside - inside) / np.where(greater > 0, greater, 1), 0.0)
-                    total[number] += score.sum(), len(part)
-            yield entries_of(total, ("model", "place", "value"))
-
-        found = np.zeros((len(centers), 2))
-        for model, place, value in summed(rows.select("indices", "values").mapInArrow(scores, "model int, place int, value double"), ["model", "place"], "value"):
-            found[int(model), int(place)] = value
-    finally:
-        rows.unpersist()
+    with kept_rows(features, id_column) as (rows, dims):
+        return silhouettes_of_kept(rows, dims, models)
+
+
+def silhouettes_of_kept(rows: DataFrame, dims: int, models: dict[int, ClusterModel]) -> dict[int, float]:
+    """The same on rows that kept_rows() holds."""
+    centers = [m.centers for m in models.values()]
+    counts, sums, squares, _ = moments(rows, centers, dims)
+
+    def scores(batches):
+        total = np.zeros((len(centers), 2))
+        for part, _ in blocks_of(batches, dims):
+            every = np.arange(len(part))
+            for number, (points, n, y, psi) in enumerate(zip(centers, counts, sums, squares)):
+                own = nearest(part.distances(points))[0]
+                away = np.maximum(n[:, None] * part.norms + psi[:, None] - 2 * part.times(y), 0.0)
+                inside = away[own, every] / np.maximum(n[own] - 1, 1)
+                means = np.where(n[:, None] > 0, away / np.maximum(n, 1)[:, None], np.inf)
+                means[own, every] = np.inf
+                outside = means.min(0)
+                greater = np.maximum(inside, outside)
+                score = np.where((n[own] > 1) & (greater > 0) & np.isfinite(outside), (outside - inside) / np.where(greater > 0, greater, 1), 0.0)
+                total[number] += score.sum(), len(part)
+        yield entries_of(total, ("model", "place", "value"))
+
+    found = np.zeros((len(centers), 2))
+    for model, place, value in summed(rows.select(*BLOCK).mapInArrow(scores, "model int, place int, value double"), ["model", "place"], "value"):
+        found[int(model), int(place)] = value
     return {k: float(total / n) if n else 0.0 for k, (total, n) in zip(models, found)}
 
 
@@ -106,8 +105,9 @@ def search_k(
         raise ValueError(f"empty range of k: {k_min}..{k_max}")
     if k_min < 2:
         raise ValueError("a silhouette needs at least two clusters")
-    models = fit_all(features, id_column, range(k_min, k_max + 1), max_iter, seed)
-    scores = silhouettes(features, id_column, models)
+    with kept_rows(features, id_column, seed) as (rows, dims):
+        models = fit_kept(rows, dims, range(k_min, k_max + 1), max_iter, seed)
+        scores = silhouettes_of_kept(rows, dims, models)
     return features.sparkSession.createDataFrame([(k, round(score, 4)) for k, score in scores.items()], "k int, silhouette double")
 
 
@@ -124,7 +124,7 @@ def principal_directions(features: DataFrame, count: int = 2, seed: int = SEED)
     the stored entries of the vectors and the mean apart. The largest loading of each direction is positive.
     """
     dims = dimensions(features)
-    rows = features.select(*stored_entries()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = packed(features, dims).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n, mean = _mean(rows, dims)
         if n < 2 or dims < count:
@@ -149,8 +149,7 @@ def principal_directions(features: DataFrame, count: int = 2, seed: int = SEED)
 def _mean(rows: DataFrame, dims: int) -> tuple[int, np.ndarray]:
     def sums(batches):
         out = np.zeros((1, dims + 1))
-        for batch in batches:
-            part = Rows.of(batch.column(0), batch.column(1))
+        for part, _ in blocks_of(batches, dims):
             out[:, :dims] += part.sums(np.zeros(len(part), np.int64), 1, dims)
             out[0, dims] += len(part)
         yield entries_of(out, ("line", "place", "value"))
@@ -168,11 +167,8 @@ def _times_covariance(rows: DataFrame, directions: np.ndarray, mean: np.ndarray,
 
     def products(batches):
         out = np.zeros((width, dims))
-        for batch in batches:
-            part = Rows.of(batch.column(0), batch.column(1))
-            along = part.times(directions.T) - shift
-            for i in range(width):
-                out[i] += np.bincount(part.indices, weights=part.values * along[part.owner, i], minlength=dims)
+        for part, _ in blocks_of(batches, dims):
+            out += part.weighted(part.times(directions.T) - shift[:, None], dims)
         yield entries_of(out, ("line", "place", "value"))
 
     found = summed(rows.mapInArrow(products, "line int, place int, value double"), ["line", "place"], "value")
@@ -187,4 +183,4 @@ def project_2d(features: DataFrame, keep: Sequence[str] = ("cluster",)) -> DataF
     directions, _ = principal_directions(features)
     fields = [T.StructField(name, T.DoubleType()) for name in ("x", "y")]
     rows = features.select("features", *[c for c in keep if c not in ("features", "x", "y")])
-    return with_numbers(rows, fields, lambda part: list(part.times(directions).T)).select(*keep, "x", "y")
+    return with_numbers(rows, directions.shape[1], fields, lambda part: list(part.times(directions))).select(*keep, "x", "y")

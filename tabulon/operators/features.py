@@ -71,7 +71,8 @@ class FeatureModel:
     names: tuple[str, ...]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.stages.transform(df)
+        """The rows with the vector column features; what the stages make on the way is left out."""
+        return self.stages.transform(df).select(*[F.col(f"`{c}`") for c in df.columns if c != "features"], "features")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the fitted stages and the names below the path, replacing what is there."""

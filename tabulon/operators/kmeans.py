@@ -8,7 +8,8 @@ of their rows. Each step is one aggregate over the rows, for any number of model
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from types import SimpleNamespace
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.operators.sparse import Rows, dimensions, entries_of, stored_entries, summed, with_numbers
+from tabulon.operators.sparse import BLOCK, Rows, blocks_of, dimensions, entries_of, nearest, packed, summed, with_numbers
 
 # Fixed values of the clustering job.
 SEED = 42
@@ -65,18 +66,21 @@ def drawn(seed: int, step: int, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _cost(rows: DataFrame, points: np.ndarray) -> float:
+def _cost(rows: DataFrame, dims: int, points: np.ndarray) -> float:
     def costs(batches):
         total = 0.0
-        for batch in batches:
-            total += float(Rows.of(batch.column(0), batch.column(1)).distances(points).min(1).sum())
+        for part, _ in blocks_of(batches, dims):
+            total += float(nearest(part.distances(points))[1].sum())
         yield pa.RecordBatch.from_arrays([pa.array([total])], names=["cost"])
 
-    return rows.select("indices", "values").mapInArrow(costs, "cost double").agg(F.sum("cost")).first()[0] or 0.0
+    return rows.select(*BLOCK).mapInArrow(costs, "cost double").agg(F.sum("cost")).first()[0] or 0.0
 
 
 def _candidates(rows: DataFrame, dims: int, k: int, seed: int) -> np.ndarray:
     """Some ROUNDS * OVERSAMPLING * k rows, in the order in which they were drawn."""
+    id_type = rows.schema["id"].dataType.elementType
+    lists = [T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    fields = T.StructType([T.StructField("u", T.DoubleType()), T.StructField("id", id_type), *lists])
 
     def dense(found: Sequence) -> np.ndarray:
         out = np.zeros((len(found), dims))
@@ -84,39 +88,51 @@ def _candidates(rows: DataFrame, dims: int, k: int, seed: int) -> np.ndarray:
             out[i, list(row["indices"])] = row["values"]
         return out
 
-    first = rows.agg(F.min(F.struct(drawn(seed, 0, F.col("id")).alias("u"), "id", "indices", "values")).alias("row")).first()["row"]
+    def taken(part: Rows, lists: dict, u: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        entries = [part.entries(i) for i in numbers]
+        columns = [
+            pa.array(u[numbers]),
+            lists["id"].take(pa.array(numbers)),
+            pa.array([e[0].tolist() for e in entries], pa.list_(pa.int32())),
+            pa.array([e[1].tolist() for e in entries], pa.list_(pa.float64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=fields.names)
+
+    def least(batches):
+        for part, lists in blocks_of(batches, dims):
+            u = lists["u0"].to_numpy()
+            yield taken(part, lists, u, np.flatnonzero(u == u.min()))
+
+    first = rows.select(*BLOCK, "id", "u0").mapInArrow(least, fields).agg(F.min(F.struct(*fields.names)).alias("row")).first()["row"]
     points = dense([] if first is None else [first])
     for step in range(1, ROUNDS + 1):
-        cost = _cost(rows, points) if len(points) else 0.0
+        cost = _cost(rows, dims, points) if len(points) else 0.0
         if not cost:
             break
-        known = points
+        known, draws = points, f"u{step}"
 
         def chosen(batches):
-            for batch in batches:
-                distances = Rows.of(batch.column(0), batch.column(1)).distances(known).min(1)
-                share = OVERSAMPLING * k * distances / cost
-                yield batch.take(pa.array(np.flatnonzero(batch.column(2).to_numpy() < share)))
-
-        id_type = rows.schema["id"].dataType.simpleString()
-        more = rows.select("indices", "values", drawn(seed, step, F.col("id")).alias("u"), "id").mapInArrow(
-            chosen, f"indices array<int>, values array<double>, u double, id {id_type}"
-        )
+            for part, lists in blocks_of(batches, dims):
+                u = lists[draws].to_numpy()
+                share = OVERSAMPLING * k * nearest(part.distances(known))[1] / cost
+                yield taken(part, lists, u, np.flatnonzero(u < share))
+
+        more = rows.select(*BLOCK, "id", draws).mapInArrow(chosen, fields)
         points = np.concatenate([points, dense(sorted(more.collect(), key=lambda r: (r["u"], r["id"])))])
     return points
 
 
-def _weights(rows: DataFrame, points: np.ndarray) -> np.ndarray:
+def _weights(rows: DataFrame, dims: int, points: np.ndarray) -> np.ndarray:
     """How many rows are nearest to each point."""
 
     def counts(batches):
         total = np.zeros(len(points))
-        for batch in batches:
-            total += np.bincount(Rows.of(batch.column(0), batch.column(1)).distances(points).argmin(1), minlength=len(points))
+        for part, _ in blocks_of(batches, dims):
+            total += np.bincount(nearest(part.distances(points))[0], minlength=len(points))
         yield entries_of(total[:, None], NAMES)
 
     out = np.zeros(len(points))
-    for center, _, value in summed(rows.select("indices", "values").mapInArrow(counts, ENTRIES), ["center", "place"], "value"):
+    for center, _, value in summed(rows.select(*BLOCK).mapInArrow(counts, ENTRIES), ["center", "place"], "value"):
         out[int(center)] = value
     return out
 
@@ -141,26 +157,33 @@ def moments(rows: DataFrame, models: Sequence[np.ndarray], dims: int) -> tuple[l
 
     def sums(batches):
         out = np.zeros((total, dims + 3))
-        for batch in batches:
-            part = Rows.of(batch.column(0), batch.column(1))
+        for part, _ in blocks_of(batches, dims):
             distances = part.distances(stacked)
             for begin, end in zip(begins[:-1], begins[1:]):
-                label = distances[:, begin:end].argmin(1)
+                label, least = nearest(distances[begin:end])
                 out[begin:end, :dims] += part.sums(label, end - begin, dims)
                 out[begin:end, dims] += np.bincount(label, minlength=end - begin)
                 out[begin:end, dims + 1] += np.bincount(label, weights=part.norms, minlength=end - begin)
-                out[begin, dims + 2] += distances[np.arange(len(part)), begin + label].sum()
+                out[begin, dims + 2] += least.sum()
         yield entries_of(out, NAMES)
 
     whole = np.zeros((total, dims + 3))
-    found = summed(rows.select("indices", "values").mapInArrow(sums, ENTRIES), ["center", "place"], "value")
+    found = summed(rows.select(*BLOCK).mapInArrow(sums, ENTRIES), ["center", "place"], "value")
     whole[found[:, 0].astype(int), found[:, 1].astype(int)] = found[:, 2]
     parts = [whole[begin:end] for begin, end in zip(begins[:-1], begins[1:])]
     return [p[:, dims] for p in parts], [p[:, :dims] for p in parts], [p[:, dims + 1] for p in parts], [float(p[0, dims + 2]) if len(p) else 0.0 for p in parts]
 
 
-def rows_of(features: DataFrame, id_column: str) -> DataFrame:
-    return features.select(F.col(id_column).alias("id"), *stored_entries())
+@contextmanager
+def kept_rows(features: DataFrame, id_column: str, seed: int = SEED) -> Iterator[tuple[DataFrame, int]]:
+    """The blocks of the rows with their ids and draws, read and packed once and kept, and the dimensions of their vectors."""
+    dims = dimensions(features)
+    drawn_at = [drawn(seed, step, F.col(id_column)).alias(f"u{step}") for step in range(ROUNDS + 1)]
+    rows = packed(features, dims, [F.col(id_column).alias("id"), *drawn_at]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows, dims
+    finally:
+        rows.unpersist()
 
 
 def fit_all(features: DataFrame, id_column: str, ks: Sequence[int], max_iter: int = FINAL_ITERATIONS, seed: int = SEED) -> dict[int, ClusterModel]:
@@ -169,37 +192,43 @@ def fit_all(features: DataFrame, id_column: str, ks: Sequence[int], max_iter: in
     Ids must be unique and not null, as they decide the draws. A model has fewer centers than k if there are fewer different candidates; a center
     that no row is nearest to stays where it is.
     """
+    _check(ks)
+    with kept_rows(features, id_column, seed) as (rows, dims):
+        return fit_kept(rows, dims, ks, max_iter, seed)
+
+
+def _check(ks: Sequence[int]) -> None:
     if not ks or min(ks) < 1:
         raise ValueError(f"k must be at least 1: {list(ks)}")
-    dims = dimensions(features)
-    rows = rows_of(features, id_column).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        points = _candidates(rows, dims, max(ks), seed)
-        if not len(points):
-            raise ValueError("no rows to fit on")
-        weights = _weights(rows, points)
-        centers = {k: chosen_points(points, weights, k) for k in ks}
-        moving = list(centers)
-        for _ in range(max_iter):
-            if not moving:
-                break
-            counts, sums, _, _ = moments(rows, [centers[k] for k in moving], dims)
-            still = []
-            for k, n, total in zip(moving, counts, sums, strict=True):
-                new = np.where(n[:, None] > 0, np.round(total / np.maximum(n, 1)[:, None], DIGITS), centers[k])
-                if ((new - centers[k]) ** 2).sum(1).max() > TOLERANCE**2:
-                    still.append(k)
-                centers[k] = new
-            moving = still
-        # Sorted by the first coordinate, then the next ones.
-        ordered = {k: c[np.lexsort(c.T[::-1])] for k, c in centers.items()}
-        counts, _, _, costs = moments(rows, list(ordered.values()), dims)
-    finally:
-        rows.unpersist()
+
+
+def fit_kept(rows: DataFrame, dims: int, ks: Sequence[int], max_iter: int = FINAL_ITERATIONS, seed: int = SEED) -> dict[int, ClusterModel]:
+    """The same on rows that kept_rows() holds."""
+    _check(ks)
+    points = _candidates(rows, dims, max(ks), seed)
+    if not len(points):
+        raise ValueError("no rows to fit on")
+    weights = _weights(rows, dims, points)
+    centers = {k: chosen_points(points, weights, k) for k in ks}
+    moving = list(centers)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        counts, sums, _, _ = moments(rows, [centers[k] for k in moving], dims)
+        still = []
+        for k, n, total in zip(moving, counts, sums, strict=True):
+            new = np.where(n[:, None] > 0, np.round(total / np.maximum(n, 1)[:, None], DIGITS), centers[k])
+            if ((new - centers[k]) ** 2).sum(1).max() > TOLERANCE**2:
+                still.append(k)
+            centers[k] = new
+        moving = still
+    # Sorted by the first coordinate, then the next ones.
+    ordered = {k: c[np.lexsort(c.T[::-1])] for k, c in centers.items()}
+    counts, _, _, costs = moments(rows, list(ordered.values()), dims)
     return {k: ClusterModel(c, tuple(int(x) for x in n), cost, k) for (k, c), n, cost in zip(ordered.items(), counts, costs, strict=True)}
 
 
 def with_labels(features: DataFrame, model: ClusterModel, out: str) -> DataFrame:
     """The rows with the number of the center nearest to the vector in the column features, the first of equals; a column out is replaced."""
     centers = model.centers
-    return with_numbers(features, [T.StructField(out, T.IntegerType())], lambda part: [part.distances(centers).argmin(1).astype(np.int32)])
+    return with_numbers(features, centers.shape[1], [T.StructField(out, T.IntegerType())], lambda part: [nearest(part.distances(centers))[0].astype(np.int32)])

@@ -29,10 +29,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """One item per order: its customer as title, its lines as votes, its part types as genre list."""
+    """One item per order: its customer as title, its lines as votes, its part types as genre list.
+
+    An order has few lines, so they are dealt by order as they are: sets of them in each task before would be larger and dearer than the lines.
+    """
     lines = (
         table(spark, folder, "lineitem")
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select("l_orderkey", "l_quantity", "p_type")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).cast("int").alias("vote_count"),

@@ -29,10 +29,12 @@ def _features(spark, folder):
     return features.fit_features(rows, "genre_array", NUMERICS).transform(rows)
 
 
-def _clustered(spark, folder):
-    """Items with their vector and cluster, written once for the queries that pass over them again."""
-    vectors = materialize(_features(spark, folder), "vectors")
-    return materialize(clusters.assign(vectors, clusters.fit_kmeans(vectors, "item_id", K)), "clustered")
+def _clustered(spark, folder, columns):
+    """The listed columns of the items with their cluster, written once for the queries that pass over them again."""
+    wanted = list(dict.fromkeys(["item_id", *[c for c in columns if c != "cluster"]]))
+    vectors = materialize(_features(spark, folder).select(*dict.fromkeys([*wanted, "features"])), "vectors")
+    model = clusters.fit_kmeans(vectors, "item_id", K)
+    return materialize(clusters.assign(vectors, model).select(*wanted, "cluster"), "clustered")
 
 
 def vocabulary(spark, folder):
@@ -55,12 +57,12 @@ def features_long(spark, folder):
 
 
 def kmeans_assign(spark, folder):
-    return _clustered(spark, folder).select("item_id", "cluster")
+    return _clustered(spark, folder, ["item_id"]).select("item_id", "cluster")
 
 
 def kmeans_nearest(spark, folder):
     """Whether each item's center is the nearest one, by distances that plain column expressions add up."""
-    vectors = _features(spark, folder)
+    vectors = _features(spark, folder).select("item_id", "features")
     model = clusters.fit_kmeans(vectors, "item_id", K)
     rows = clusters.assign(vectors, model).withColumn("point", vector_to_array("features"))
 
@@ -83,12 +85,12 @@ def k_search(spark, folder):
 
 
 def pca_2d(spark, folder):
-    found = clusters.project_2d(_clustered(spark, folder), ["item_id", "cluster"])
+    found = clusters.project_2d(_clustered(spark, folder, ["features"]), ["item_id", "cluster"])
     return found.withColumns({c: F.round(c, 6) for c in "xy"})
 
 
 def cluster_profile(spark, folder):
-    rows = _clustered(spark, folder)
+    rows = _clustered(spark, folder, ["genre", "vote_average", "popularity", "release_year"])
     return grouping.group_profile(
         rows,
         explode_tokens(rows, "genre", "genre_name"),
@@ -102,7 +104,7 @@ def cluster_profile(spark, folder):
 
 def recommend_in_cluster(spark, folder):
     return recommend(
-        _clustered(spark, folder),
+        _clustered(spark, folder, SIMILAR_COLUMNS),
         PROBES,
         group="cluster",
         title="title",
