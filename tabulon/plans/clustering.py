@@ -55,9 +55,12 @@ class CatalogModel:
     def load(cls, spark: SparkSession, path: str) -> CatalogModel:
         return cls(FeatureModel.load(spark, f"{path}/features"), ClusterModel.load(spark, f"{path}/clusters"))
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """Clean catalog rows with their vector, in the column features, and the cluster it belongs to."""
-        return clusters.assign(self.features.transform(feature_input(rows)), self.clusters)
+    def score(self, rows: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+        """Clean catalog rows, or the columns to keep of them, with their vector, in the column features, and the cluster it belongs to."""
+        vectors = self.features.transform(feature_input(rows))
+        if keep is not None:
+            vectors = vectors.select(*[c for c in dict.fromkeys(keep) if c not in ("features", "cluster")], "features")
+        return clusters.assign(vectors, self.clusters)
 
 
 def cluster_report(
@@ -76,7 +79,9 @@ def cluster_report(
     while the job is put together, all results but the search scores are lazy. With model_path the model is saved there, and the
     rows are scored by the one that is loaded again.
     """
-    rows = materialize(feature_input(clean_catalog(typed_catalog(raw, columns), columns)), "catalog")
+    # Later steps read and write these only.
+    needed = list(dict.fromkeys([id_column, *[c for c in LIGHT_COLUMNS if c != "cluster"], "genre_array", *NUMERICS]))
+    rows = materialize(feature_input(clean_catalog(typed_catalog(raw, columns), columns)).select(needed), "catalog")
     fitted = fit_features(rows, "genre_array", NUMERICS)
     features = materialize(fitted.transform(rows).select(id_column, "features"), "features")
     reports = {}
@@ -90,7 +95,7 @@ def cluster_report(
         model.save(raw.sparkSession, model_path)
         model = CatalogModel.load(raw.sparkSession, model_path)
     kept = list(dict.fromkeys([id_column, *LIGHT_COLUMNS, "features"]))
-    clustered = materialize(model.score(rows).select(kept), "clustered")
+    clustered = materialize(model.score(rows, kept).select(kept), "clustered")
     release(rows)
     light = clustered.drop("features")
     return reports | {
