@@ -56,3 +56,8 @@ def written(monkeypatch, name, spark, small):
 
 def test_projection_writes_ids_vectors_and_clusters_only(spark, small, monkeypatch):
     assert written(monkeypatch, "pca_2d", spark, small) == {"vectors": ["item_id", "features"], "clustered": ["item_id", "features", "cluster"]}
+
+
+def test_similar_rows_are_found_without_vectors(spark, small, monkeypatch):
+    clustered = written(monkeypatch, "recommend_in_cluster", spark, small)["clustered"]
+    assert clustered == ["item_id", *learning.SIMILAR_COLUMNS[:-1], "cluster"] and "features" not in clustered
