@@ -70,22 +70,28 @@ def _ranks(n: int, p: float, linear: bool) -> tuple[int, int, float]:
     return math.floor(position) + 1, math.ceil(position) + 1, position - math.floor(position)
 
 
+def _ends(brackets: Sequence[tuple[str, float, float]]) -> list[tuple[str, float]]:
+    """The different ends of all brackets."""
+    return list(dict.fromkeys((metric, end) for metric, *ends in brackets for end in ends))
+
+
 def _count_columns(brackets: Sequence[tuple[str, float, float]]) -> list[Column]:
-    """Rows below, at the low end of, strictly inside and at the high end of each bracket."""
+    """Rows below and up to each end; brackets share ends, and what is between two of them is a difference."""
     aggregates = []
-    for i, (metric, low, high) in enumerate(brackets):
-        value = F.col(metric)
-        aggregates += [
-            F.count_if(value < F.lit(low)).alias(f"below{i}"),
-            F.count_if(value == F.lit(low)).alias(f"low{i}"),
-            F.count_if((value > F.lit(low)) & (value < F.lit(high))).alias(f"inside{i}"),
-            F.count_if((value == F.lit(high)) & F.lit(low < high)).alias(f"high{i}"),
-        ]
+    for i, (metric, end) in enumerate(_ends(brackets)):
+        aggregates += [F.count_if(F.col(metric) < F.lit(end)).alias(f"below{i}"), F.count_if(F.col(metric) <= F.lit(end)).alias(f"upto{i}")]
     return aggregates
 
 
 def _listed(brackets: Sequence[tuple[str, float, float]], row: dict) -> dict[tuple, tuple[int, int, int, int]]:
-    return {bracket: tuple(row[f"{name}{i}"] for name in ("below", "low", "inside", "high")) for i, bracket in enumerate(brackets)}
+    """Rows below, at the low end of, strictly inside and at the high end of each bracket."""
+    counts = {end: (row[f"below{i}"], row[f"upto{i}"]) for i, end in enumerate(_ends(brackets))}
+    found = {}
+    for metric, low, high in brackets:
+        below, upto = counts[metric, low]
+        before, end = counts[metric, high]
+        found[metric, low, high] = (below, upto - below, max(before - upto, 0), end - before if low < high else 0)
+    return found
 
 
 def _counts(doubles: DataFrame, searches: Sequence[_Search]) -> dict[tuple, tuple[int, int, int, int]]:

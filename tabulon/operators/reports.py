@@ -55,6 +55,11 @@ def counts_by_sets(df: DataFrame, sets: Sequence[Sequence[str]], measures: Mappi
     return frames
 
 
+def rolled_up(groups: DataFrame, keys: Sequence[str], sums: Sequence[str] = ("row_count",)) -> DataFrame:
+    """Groups of fewer keys, made of the groups of more: the listed counts and sums added up, null keys included."""
+    return groups.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def aggregate_by(
     df: DataFrame,
     keys: Sequence[str],

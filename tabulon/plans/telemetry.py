@@ -12,7 +12,7 @@ from tabulon.functions import map_values
 from tabulon.operators.matrix import correlation, crosstab_of_counts, pivot_values, top_share_of_counts
 from tabulon.operators.profiles import numeric_profile, profile_of_counts
 from tabulon.operators.quality import null_counts, schema_report
-from tabulon.operators.reports import counts_by_sets, non_null_counts_by, outside_range, stack_by_name
+from tabulon.operators.reports import counts_by_sets, non_null_counts_by, outside_range, rolled_up, stack_by_name
 from tabulon.sources.shared import materialize
 
 # The band of round durations and the labels of the result column.
@@ -52,30 +52,34 @@ def telemetry_report(
     """The results of the exploration by name.
 
     The rows are written once, and every report reads its own columns of that table. All counts by one key or two, and what is made of them, come from one
-    scan with grouping sets, which runs while the job is put together, as do the two scans for the quartiles. Give the list of reasons to save
-    the look at their values.
+    scan with grouping sets, those by a key of a pair from the groups of the pair; the scan runs while the job is put together, as do the two scans for
+    the quartiles. Give the list of reasons to save the look at their values.
     """
     df = materialize(df, "telemetry-rows")
     c = columns
     numerics = [f.name for f in df.schema if f.dataType.typeName() in _NUMERIC_TYPES]
     texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
     distinct = [c.mode, c.map, c.rank, c.result]
-    label = "result_label"
-    while label in df.columns:
-        label = f"_{label}"
-    labelled = df.withColumn(label, map_values(F.col(c.result), RESULT_LABELS))
-    sets = {
+    pairs = {
         "mode_map": [c.mode, c.map],
         "mode_role": [c.mode, c.role],
         "map_objective": [c.map, c.objective],
         "objective_reason": [c.objective, c.reason],
         "weapons": [c.primary, c.secondary],
-        "rank_result": [c.rank, label],
-        **{f"one:{name}": [name] for name in dict.fromkeys([c.operator, c.weapon_type, c.map, *texts, *distinct])},
+        "rank_result": [c.rank, c.result],
     }
-    with_null = [place for place, name in enumerate(sets) if name.startswith("one:")]
-    measures = {"mean_duration": F.avg(c.duration), "kills": F.sum(c.kills)}
-    found = dict(zip(sets, counts_by_sets(labelled, list(sets.values()), measures, with_null), strict=True))
+    singles = list(dict.fromkeys([c.operator, c.weapon_type, c.map, *texts, *distinct]))
+    # A column of a pair is added up from the groups of the pair, so that a row is not entered once more for it.
+    parents = {name: pair for pair, names in pairs.items() for name in names}
+    sets = pairs | {f"one:{name}": [name] for name in singles}
+    scanned = [name for name in sets if name in pairs or sets[name][0] not in parents]
+    duration = F.col(c.duration).cast("double")
+    measures = {"duration": F.sum(duration), "durations": F.count(duration), "kills": F.sum(c.kills)}
+    found = dict(zip(scanned, counts_by_sets(df, [sets[s] for s in scanned], measures, range(len(scanned))), strict=True))
+    for name in singles:
+        if name in parents:
+            found[f"one:{name}"] = rolled_up(found[parents[name]], [name], ["row_count", *measures])
+    found = {name: frame.withColumn("mean_duration", F.try_divide("duration", "durations")) for name, frame in found.items()}
 
     def counts(name: str) -> DataFrame:
         keys = sets[name]
@@ -89,7 +93,8 @@ def telemetry_report(
         listed = [found[f"one:{n}"].select(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("value"), *more) for n in names]
         return stack_by_name(listed)
 
-    reason_counts = found["objective_reason"].select(c.objective, c.reason, "row_count")
+    reason_counts = found["objective_reason"].dropna(subset=sets["objective_reason"]).select(c.objective, c.reason, "row_count")
+    results = found["rank_result"].select(c.rank, map_values(F.col(c.result), RESULT_LABELS).alias(c.result), "row_count")
     if reasons is None:
         reasons = pivot_values(reason_counts, c.reason)
     mean_duration = measured("map_objective", "mean_duration")
@@ -111,9 +116,7 @@ def telemetry_report(
         "correlation": correlation(df, [n for n in numerics if n not in c.ids], full=True),
         "weapon_types": counts(f"one:{c.weapon_type}"),
         "kills_by_weapons": measured("weapons", "kills"),
-        "won_lost_by_rank": crosstab_of_counts(
-            found["rank_result"].withColumnRenamed(label, c.result), c.rank, c.result, list(RESULT_LABELS.values())
-        ),
+        "won_lost_by_rank": crosstab_of_counts(results.dropna(), c.rank, c.result, list(RESULT_LABELS.values())),
     }
     for reason in share_reasons:
         reports[f"top_objectives_{reason}"] = top_share_of_counts(reason_counts, c.objective, c.reason, reason)
