@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import free_name
-from tabulon.sources.shared import materialize
 
 LANES = 256
 #: Bits of a lane: room for draws up to 2^35, in steps of 1 / SCALE.
@@ -34,6 +34,11 @@ BLOCK = 256
 CUT = 8
 SEED = 17
 ROUNDS = 4
+#: Blocks of neighbours for each partition of a shuffle, so that a hash deals them evenly, and documents that a block has at least, as a rule: its first one moves twice.
+BLOCKS_A_PARTITION = 64
+ROWS_A_BLOCK = 16
+#: Rows that a task gives at once.
+ROWS_AT_ONCE = 1024
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -171,98 +176,107 @@ def fingerprints(df: DataFrame, text: str, out: str = "fingerprint") -> DataFram
 
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, k, h, text): k and h, an id as text and a hash of the text, name a document in joins."""
+    """(doc_id, h, text): an id and h, a hash of the text, name a document."""
     id_column = F.col(doc_id) if df.schema[doc_id].dataType.typeName() == "string" else F.col(doc_id).cast("bigint")
     docs = df.select(id_column.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    # A null id and the text of an id never meet: the one has a mark in front.
-    return docs.withColumns({"k": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("none")), "h": F.xxhash64("text")})
+    return docs.withColumn("h", F.xxhash64("text"))
 
 
-def next_documents(keyed: DataFrame) -> DataFrame:
-    """(doc_id, k, h, n_chars, next_k, next_h): the next document of each in descending id, the first after the last.
+def _key(doc_id: int | str | None, h: int) -> tuple:
+    """Documents are in descending order of their keys: null ids last, equal ids by the hash of the text."""
+    return (False, 0, ~h) if doc_id is None else (True, doc_id, ~h)
 
-    Equal ids are ordered by the hash of the text, equal rows follow each other. Only ids and hashes are moved: they are
-    sorted into range partitions, neighbours are found inside, and a partition's last row takes the first of the next.
-    """
-    ids = keyed.select("doc_id", "k", "h", F.length("text").cast("bigint").alias("n_chars"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h").asc()]
-    placed = materialize(ids.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "id-order")
-    inside = Window.partitionBy("block").orderBy(*order)
-    placed = placed.withColumn("following", F.lead(F.struct("k", "h")).over(inside)).withColumn("_n", F.row_number().over(inside))
-    every = Window.orderBy("block")
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = placed.where(F.col("_n") == 1).select("block", F.struct("k", "h").alias("head"))
-    heads = heads.select("block", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("after"))
-    found = placed.join(heads, "block").withColumn("next", F.coalesce("following", "after"))
-    return found.select("doc_id", "k", "h", "n_chars", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
+
+def block_starts(keyed: DataFrame) -> list[tuple]:
+    """The keys of the documents that begin a block of neighbours, ascending: those that a hash draws, some BLOCKS_A_PARTITION for each partition of a shuffle, whatever the rows."""
+    rows, partitions = keyed.count(), int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one_in = max(1, rows // (BLOCKS_A_PARTITION * partitions), min(ROWS_A_BLOCK, rows // partitions))
+    ids = keyed.select("doc_id", "h")
+    drawn = ids.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(one_in)) == 0).distinct().collect() or ids.take(1)
+    return sorted(_key(*row) for row in drawn)
 
 
 def compare_with_edit(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
     The edited text has its last third of code points replaced by the first as many (or all) of the next document
-    in descending id; ids may be whole numbers or text. Null texts are empty, a null id comes last, equal rows count each, a single row is its own next;
-    an empty table gives no rows; other columns are left out. A text of any length is held in one task with its neighbour's beginning. Each document
-    moves once, compressed, and the needed beginning of its successor once.
+    in descending id; ids may be whole numbers or text. Null texts are empty, a null id comes last, equal ids are ordered by the hash of the text, equal rows
+    follow each other and count each, a single row is its own next; an empty table gives no rows; other columns are left out. Each document moves once, compressed,
+    to the block of its neighbours, where it is fingerprinted once, for itself and as the next one; only the first of a block goes to the block before as well. A text of
+    any length is held in one task with its neighbour.
     """
     keyed = _keyed(df, doc_id, text)
-    links = materialize(next_documents(keyed), "next-documents")
     id_field = keyed.schema["doc_id"]
     id_kind, arrow_id = (id_field.dataType.simpleString(), pa.string() if id_field.dataType.typeName() == "string" else pa.int64())
+    starts = block_starts(keyed)
+    moved = pa.schema([("block", pa.int32()), ("lap", pa.int32()), ("doc_id", arrow_id), ("h", pa.int64()), ("z", pa.binary()), ("n", pa.int64())])
 
-    def packed(batches):
-        for batch in batches:
-            data = [value.as_py().encode("utf-8", "surrogatepass") for value in batch.column(2)]
-            small = pa.array([pa.compress(d, codec="zstd", asbytes=True) for d in data], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small, pa.array([len(d) for d in data], pa.int64())], names=["k", "h", "z", "n"])
-
-    # Both joins read the same columns of it, so the texts are shuffled once for the two.
-    distinct = keyed.select("k", "h", "text").mapInArrow(packed, "k string, h bigint, z binary, n bigint").dropDuplicates(["k", "h"])
-    wanted = links.select("next_k", "next_h", F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "doc_id", F.col("k").alias("pred_k"), F.col("h").alias("pred_h"))
-    followers = distinct.join(wanted, (distinct["k"] == wanted["next_k"]) & (distinct["h"] == wanted["next_h"])).select("pred_k", "pred_h", "need", "z", "n", "doc_id")
-
-    print_bytes = BITS // 8 * LANES + 8
-
-    def grown(z: pa.Scalar, n: pa.Scalar) -> bytes:
-        return pa.decompress(z.as_py(), decompressed_size=n.as_py(), codec="zstd", asbytes=True) if n.as_py() else b""
-
-    def decoded(data: bytes) -> str:
-        return data.decode("utf-8", "surrogatepass")
-
-    def beginnings(batches):
+    def placed(batches):
         for batch in batches:
-            heads, sizes = [], []
-            for need, z, n in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
-                following = decoded(grown(z, n))
-                head = to_bytes(fingerprint_of(paragraphs(following))) + following[: need.as_py()].encode("utf-8", "surrogatepass")
-                heads.append(pa.compress(head, codec="zstd", asbytes=True))
-                sizes.append(len(head))
-            columns = [batch.column(0), batch.column(1), pa.array(heads, pa.binary()), pa.array(sizes, pa.int64()), batch.column(5)]
-            yield pa.RecordBatch.from_arrays(columns, names=["pred_k", "pred_h", "head", "head_n", "doc_id"])
-
-    heads = followers.mapInArrow(beginnings, f"pred_k string, pred_h bigint, head binary, head_n bigint, doc_id {id_kind}")
-    pairs = distinct.join(heads, (distinct["k"] == heads["pred_k"]) & (distinct["h"] == heads["pred_h"])).select("doc_id", "z", "n", "head", "head_n")
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part, out = batch.slice(begin, ROWS_AT_ONCE), []
+                for key, h, value in zip(*(part.column(i) for i in range(3)), strict=True):
+                    key, h, data = key.as_py(), h.as_py(), value.as_py().encode("utf-8", "surrogatepass")
+                    row = (key, h, pa.compress(data, codec="zstd", asbytes=True), len(data))
+                    own = _key(key, h)
+                    at = bisect_left(starts, own)
+                    # Documents before the first block are the end of the last one, so the order is a circle.
+                    out.append((at, 0, *row) if at < len(starts) else (0, 1, *row))
+                    if at < len(starts) and starts[at] == own:
+                        out.append(((at + 1) % len(starts), 2, *row))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), moved.types, strict=True)], schema=moved)
+
+    rows = keyed.select("doc_id", "h", "text").mapInArrow(placed, f"block int, lap int, doc_id {id_kind}, h bigint, z binary, n bigint")
+    ordered = rows.repartition("block").sortWithinPartitions("block", "lap", F.col("doc_id").desc_nulls_last(), F.col("h").asc())
     result = pa.schema(
         [("doc_id", arrow_id), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     )
 
     def compared(batches):
+        before, out = None, []
         for batch in batches:
-            out = []
-            for key, z, n, head, head_n in zip(*(batch.column(i) for i in range(5)), strict=True):
-                value, other = decoded(grown(z, n)), grown(head, head_n)
-                kept = len(value) - len(value) // 3
-                edited = value[:kept] + decoded(other[print_bytes:])
-                # Lines that end before the edit are in both texts.
-                line = value.rfind("\n", 0, kept) + 1
-                tail = paragraphs(value[line:])
-                shared, own = fingerprint_of(paragraphs(value[:line])), fingerprint_of(tail)
-                a, b = add(shared, own), add(shared, changed(own, tail, paragraphs(edited[line:])))
-                digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((key.as_py(), len(value), digest, to_text(a), to_text(b), likeness(a, b), likeness(a, from_bytes(other[:print_bytes]))))
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, result.types, strict=True)], schema=result)
-
-    return pairs.mapInArrow(
+            columns = [batch.column(batch.schema.get_field_index(name)) for name in ("block", "lap", "doc_id", "z", "n")]
+            for block, lap, key, z, n in zip(*columns, strict=True):
+                block, lap, size = block.as_py(), lap.as_py(), n.as_py()
+                if lap == 2 and before is None:
+                    # A copy of the first of the next block, whose neighbour has met it.
+                    continue
+                value = (pa.decompress(z.as_py(), decompressed_size=size, codec="zstd", asbytes=True) if size else b"").decode("utf-8", "surrogatepass")
+                found = _Halves(block, key.as_py(), value)
+                if before is not None:
+                    out.append(before.beside(found))
+                before = found if lap < 2 else None
+                if len(out) >= ROWS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), result.types, strict=True)], schema=result)
+                    out = []
+        if before is not None:
+            raise ValueError(f"block {before.block} ends without the first document of the next one")
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), result.types, strict=True)], schema=result)
+
+    return ordered.mapInArrow(
         compared, f"doc_id {id_kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
+
+
+class _Halves:
+    """A document with the fingerprints of the lines that end before its edit, and of the rest."""
+
+    def __init__(self, block: int, doc_id: int | str | None, value: str):
+        self.block, self.doc_id, self.value = block, doc_id, value
+        self.kept = len(value) - len(value) // 3
+        # Lines that end before the edit are in both texts.
+        self.line = value.rfind("\n", 0, self.kept) + 1
+        self.tail = paragraphs(value[self.line :])
+        self.shared, self.own = fingerprint_of(paragraphs(value[: self.line])), fingerprint_of(self.tail)
+        self.whole = add(self.shared, self.own)
+
+    def beside(self, following: _Halves) -> tuple:
+        """The row of the result, given the next document."""
+        if following.block != self.block:
+            raise ValueError(f"block {self.block} ends without the first document of the next one")
+        edited = self.value[: self.kept] + following.value[: len(self.value) - self.kept]
+        changed_to = add(self.shared, changed(self.own, self.tail, paragraphs(edited[self.line :])))
+        digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+        near = likeness(self.whole, changed_to), likeness(self.whole, following.whole)
+        return (self.doc_id, len(self.value), digest, to_text(self.whole), to_text(changed_to), *near)

@@ -495,6 +495,33 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.compare_with_edit(empty, "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("rows_a_block", [1, 3, 1000])
+def test_fingerprints_are_made_once_in_blocks_of_neighbours(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BLOCK", rows_a_block)
+    monkeypatch.setattr(fingerprints, "BLOCKS_A_PARTITION", 1 << 20)
+    draw = random.Random(rows_a_block)
+    texts = ["\n".join(sentence(draw, 5) for _ in range(draw.randint(0, 9))) for _ in range(60)]
+    for ids, kind in ((range(60), "bigint"), ([f"d{i}" for i in range(60)], "string")):
+        # Null ids, equal ids and equal rows too.
+        data = [*zip(ids, texts), *[(None, t) for t in texts[:5]], *[(ids[7], t) for t in (*texts[20:24], None)], *[(ids[9], texts[9])] * 3, *[(None, None)] * 2]
+        draw.shuffle(data)
+        df = spark.createDataFrame(data, f"doc_id {kind}, text string").repartition(7)
+        hashed = df.selectExpr("doc_id", "coalesce(text, '') text").selectExpr("*", "xxhash64(text) h").orderBy("h").collect()
+        ordered = sorted((r for r in hashed if r.doc_id is not None), key=lambda r: r.doc_id, reverse=True) + [r for r in hashed if r.doc_id is None]
+        expected = Counter()
+        for i, r in enumerate(ordered):
+            n, following = len(r.text) // 3, ordered[(i + 1) % len(ordered)].text
+            edited = r.text[: len(r.text) - n] + following[:n]
+            a, b, c = (fingerprints.fingerprint_of(fingerprints.paragraphs(t)) for t in (r.text, edited, following))
+            digest = hashlib.sha256(edited.encode()).hexdigest()
+            expected[r.doc_id, len(r.text), digest, *map(fingerprints.to_text, (a, b)), fingerprints.likeness(a, b), fingerprints.likeness(a, c)] += 1
+        found = fingerprints.compare_with_edit(df, "doc_id", "text")
+        # Texts are moved once, to their neighbours, and what is needed of the next one is not joined to them.
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+        assert Counter(map(tuple, found.collect())) == expected
+
+
 def test_fingerprints_of_more_paragraphs_than_16_bits_count(spark):
     lines = [f"line {i}" for i in range(75_000)]
     one = fingerprints.fingerprint_of([line.encode() for line in lines])
