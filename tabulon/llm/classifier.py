@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import free_name
+from tabulon.llm.common import free_name, small_batches
 
 SEED = 7
 BUCKETS = 1 << 14
@@ -53,7 +53,7 @@ def index_vectors() -> np.ndarray:
 
 
 class _Codes(dict):
-    """The code of each token met so far."""
+    """The code of each token that a task has met so far; it is emptied at the task's end, as workers live on."""
 
     def __missing__(self, token: str) -> int:
         kind = 3
@@ -190,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     context_sums(pending, columns, sums)
                     pending, size = [], 0
         context_sums(pending, columns, sums)
+        _codes.clear()
         sums = sums.reshape(BUCKETS, DIM)
         seen = np.flatnonzero(sums.any(1))
         entries = pa.FixedSizeListArray.from_arrays(pa.array(sums[seen].ravel()), DIM).cast(pa.list_(pa.int64()))
@@ -202,9 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     vectors = word_vectors(sums, index)
 
     def features_of(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             values = [pooled(token_buckets(v.as_py()), vectors).astype("<f4").tobytes() for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.binary())], names=["id", "y", "h", "x"])
+        _codes.clear()
 
     id_kind = rows.schema["id"].dataType.simpleString()
     table = rows.select("text", "id", "y", F.xxhash64("text").alias("h")).mapInArrow(features_of, f"id {id_kind}, y int, h bigint, x binary")
@@ -234,10 +236,11 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(frames):
-        for batch in frames:
+        for batch in small_batches(frames):
             m, at = shared.value, batch.schema.get_field_index(whole)
             values = np.array([pooled(token_buckets(v.as_py()), m.vectors) for v in batch.column(at)]).reshape(-1, WIDTH)
             yield batch.remove_column(at).append_column(out, pa.array(m.scores(values), pa.float64()))
+        _codes.clear()
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
     return docs.select(*rows.columns, F.col(text).alias(whole)).mapInArrow(scored, schema)

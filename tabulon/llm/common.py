@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from tabulon.sources.shared import materialize
 
 # Fixed value: what separates words.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that a task turns into rows of texts or sets at a time; a longer row goes alone.
+BYTES_AT_ONCE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,14 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def small_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BYTES_AT_ONCE, so that what a task makes of them, in Python and on the way back, does not grow with the rows of Spark's batches."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * BYTES_AT_ONCE // max(batch.nbytes, 1))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]

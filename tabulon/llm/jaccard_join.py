@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import free_name, word_list
+from tabulon.llm.common import free_name, small_batches, word_list
 from tabulon.llm.components import components
 from tabulon.sources.shared import materialize, release
 
@@ -89,7 +89,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     kind, doc_type = _doc_types(docs)
 
     def rows(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingle_hashes(_words(value.as_py())) for value in batch.column(2)]
             found = [labels(s) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -107,7 +107,7 @@ def _with_sets(texts: DataFrame) -> DataFrame:
     """The rows with the sorted shingle hashes of text in its place."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             at = batch.schema.get_field_index("text")
             sets = [shingle_hashes(_words(value.as_py())).tobytes() for value in batch.column(at)]
             yield batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
@@ -169,7 +169,7 @@ def parted(members: DataFrame) -> DataFrame:
     """
 
     def exploded(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [np.frombuffer(value.as_py(), np.int64) for value in batch.column(2)]
             owner = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["root", "id", "shingle"])

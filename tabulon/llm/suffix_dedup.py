@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import free_name
+from tabulon.llm.common import free_name, small_batches
 from tabulon.sources.shared import materialize, release
 
 LENGTH = 200
@@ -259,7 +259,7 @@ def repeated_blocks(df: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (prefix, core, span)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(spot)], schema=BLOCK_SCHEMA)
 
     def packed(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_shrunk(batch, 2)], names=["h", "c", "z", "n"])
 
     def cut_to(size: int, parent: int):
@@ -354,7 +354,7 @@ def _cut(rows: DataFrame, text: str, text_of, facts_of, added: list[tuple]) -> D
     keyed = rows.select(*[f.name for f in others], F.xxhash64(filled).alias(h), F.hash(filled).alias(c), F.col(text).isNull().alias(null), filled.alias(text))
 
     def packed(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             at = batch.schema.get_field_index(text)
             small, size = _shrunk(batch, at)
             yield batch.remove_column(at).append_column(z, small).append_column(n, size)
@@ -368,7 +368,7 @@ def _cut(rows: DataFrame, text: str, text_of, facts_of, added: list[tuple]) -> D
     names = [*rows.columns, *[name for name, _ in added]]
 
     def cut(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = [batch.column(batch.schema.get_field_index(name)) for name in (z, n, null, found)]
             texts, facts = [], []
             for data, size, empty, places in zip(*columns, strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from tabulon.llm import (
     token_counts,
     url_filter,
 )
+from tabulon.llm.common import small_batches
 
 #: Names that operators use inside, as columns of the input.
 CLASHES = "k h c z n spots null part block words _words _text _m _score runs collapsed row copy taken size position key id label labels edges place host rule kept".split()
@@ -77,3 +79,10 @@ def test_odd_rows_and_clashing_names(odd, name):
 def test_a_table_of_nulls(spark, name):
     nulls = spark.createDataFrame([(None,) * 5] * 3, "doc_id bigint, text string, source string, url string, turn bigint")
     OPERATORS[name][0](nulls).collect()
+
+
+def test_tasks_take_rows_of_few_bytes_at_a_time():
+    rows = pa.RecordBatch.from_pydict({"id": range(3000), "text": ["x" * 2000] * 2999 + ["y" * 3_000_000]})
+    parts = list(small_batches([rows, rows.slice(0, 0)]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([rows]))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) <= 400
