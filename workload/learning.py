@@ -24,15 +24,17 @@ def _rows(spark, folder):
     return feature_input(fx.kept_items(spark, folder))
 
 
-def _features(spark, folder):
-    rows = _rows(spark, folder)
+def _features(spark, folder, columns=("item_id",)):
+    """The listed columns of the items with their vector; what the vectors are made of is computed and written once, and no other column."""
+    needed = list(dict.fromkeys([*columns, "genre_array", *NUMERICS]))
+    rows = materialize(feature_input(fx.items(spark, folder)).select(needed), "items")
     return features.fit_features(rows, "genre_array", NUMERICS).transform(rows)
 
 
 def _clustered(spark, folder, columns):
     """The listed columns of the items with their cluster, written once for the queries that pass over them again."""
     wanted = list(dict.fromkeys(["item_id", *[c for c in columns if c != "cluster"]]))
-    vectors = materialize(_features(spark, folder).select(*dict.fromkeys([*wanted, "features"])), "vectors")
+    vectors = materialize(_features(spark, folder, [c for c in wanted if c != "features"]).select(*dict.fromkeys([*wanted, "features"])), "vectors")
     model = clusters.fit_kmeans(vectors, "item_id", K)
     return materialize(clusters.assign(vectors, model).select(*wanted, "cluster"), "clustered")
 
