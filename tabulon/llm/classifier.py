@@ -199,8 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     summed = docs.select(F.col(text)).mapInArrow(sums_of, "bucket int, v array<bigint>")
     per_entry = summed.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).toArrow()
     sums = np.zeros((BUCKETS, DIM))
-    sums[per_entry.column(0).to_numpy()] = np.stack([per_entry.column(i + 1).to_numpy() for i in range(DIM)], axis=1)
+    for i in range(DIM):
+        sums[per_entry.column(0).to_numpy(), i] = per_entry.column(i + 1).to_numpy()
     vectors = word_vectors(sums, index)
+    del per_entry, sums
 
     def features_of(batches):
         for batch in small_batches(batches):
@@ -213,16 +215,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = table.groupBy("id", "y").agg(F.min(F.struct("h", "x")).alias("of")).select("id", "y", id_remainder(F.col("id")).alias("part"), "of.x").toArrow()
     found = chosen.take(pa.compute.sort_indices(chosen, sort_keys=[("id", "ascending")]))
     width = WIDTH
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), "<f4").reshape(-1, width).astype(float)
-    y = found["y"].to_numpy().astype(float)
-    later = found["part"].to_numpy() == 1
+    y, later = found["y"].to_numpy().astype(float), found["part"].to_numpy() == 1
+    # Of the lines of numbers, some 8 * WIDTH bytes each, the driver holds one copy.
+    parts = [np.zeros((n, width)) for n in ((~later).sum(), later.sum())]
+    places = [iter(part) for part in parts]
+    for line, kind in zip(found["x"], later):
+        next(places[int(kind)])[:] = np.frombuffer(line.as_buffer(), "<f4")
+    del chosen, found, places
+    seen, unseen = parts
+    pa.default_memory_pool().release_unused()
     if len(set(y[~later])) < 2:
         share = float(np.clip(y[~later].mean(), 1e-6, 1 - 1e-6)) if (~later).any() else 0.5
         zero = (np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array([np.log(share / (1 - share))]))
         return QualityModel(vectors, np.zeros(width), np.ones(width), zero, 1.0)
-    mean, scale = x[~later].mean(0), x[~later].std(0) + 1e-3
-    layers = _train((x[~later] - mean) / scale, y[~later])
-    return QualityModel(vectors, mean, scale, layers, _temperature(_logits(layers, (x[later] - mean) / scale), y[later]))
+    mean, scale = seen.mean(0), seen.std(0) + 1e-3
+    for part in (seen, unseen):
+        part -= mean
+        part /= scale
+    layers = _train(seen, y[~later])
+    return QualityModel(vectors, mean, scale, layers, _temperature(_logits(layers, unseen), y[later]))
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:

@@ -120,14 +120,15 @@ LEAF_ROW = "a bigint, b bigint, edge int, block int, tree int, label bigint"
 
 
 def forest_edges(per_text: DataFrame, length: int) -> DataFrame:
-    """(a, b): texts that are neighbours in a sorted trie and share a prefix of that many values; a chain of them holds together all that share it."""
+    """(a, b): texts of a sorted trie that share a prefix of that many values. Those of a partition's batch that share it are linked to the least of them, and
+    batches and partitions by one of each, so the edges hold together all that share it and are mostly the same in all trees."""
     leaves = per_text.select("id", F.posexplode("labels").alias("tree", "label"))
     order = ["tree", "label", "id"]
     ordered = leaves.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id())
     rest = 8 * (8 - length)
 
     def neighbours(batches):
-        """The pairs of neighbours of a partition, and its first (1) and last (2) leaf."""
+        """The links of a partition, its first leaf (1), and one that stands for its last ones (2)."""
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -137,13 +138,15 @@ def forest_edges(per_text: DataFrame, length: int) -> DataFrame:
                 yield _leaf(ids[0], 1, block[0], trees[0], values[0])
             else:
                 ids, trees, values = (np.r_[h, x] for h, x in zip(held, (ids, trees, values)))
-            same = (trees[1:] == trees[:-1]) & ((values[1:] ^ values[:-1]).view(np.uint64) >> np.uint64(rest) == 0) & (ids[1:] != ids[:-1])
-            at = np.flatnonzero(same)
+            same = (trees[1:] == trees[:-1]) & ((values[1:] ^ values[:-1]).view(np.uint64) >> np.uint64(rest) == 0)
+            begins = np.flatnonzero(np.r_[True, ~same])
+            least = np.repeat(np.minimum.reduceat(ids, begins), np.diff(np.r_[begins, len(ids)]))
+            at = np.flatnonzero(ids != least)
             none = pa.nulls(len(at), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), pa.array(ids[at + 1]), pa.array(np.zeros(len(at), np.int32)), none, none, pa.nulls(len(at), pa.int64())], names=["a", "b", "edge", "block", "tree", "label"]
+                [pa.array(ids[at]), pa.array(least[at]), pa.array(np.zeros(len(at), np.int32)), none, none, pa.nulls(len(at), pa.int64())], names=["a", "b", "edge", "block", "tree", "label"]
             )
-            held, last = (ids[-1:], trees[-1:], values[-1:]), block[-1]
+            held, last = (least[-1:], trees[-1:], values[-1:]), block[-1]
         if held is not None:
             yield _leaf(held[0][0], 2, last, held[1][0], held[2][0])
 

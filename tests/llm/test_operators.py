@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import random
 import zlib
 from collections import Counter
@@ -269,6 +270,28 @@ def test_components(spark):
     assert {(r.id, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
 
 
+def test_components_take_a_few_half_rounds_however_long_a_chain_is(spark, monkeypatch):
+    written = []
+    module = importlib.import_module("tabulon.llm.components")
+    plain = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(name) or plain(df, name))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 60)] + [(5, 2), (7, 7)], "a bigint, b bigint").repartition(5)
+    assert {(r.id, r.root) for r in components(stars).collect()} == {(i, i % 3) for i in range(60)}
+    assert len(written) == 1
+    written.clear()
+    order = random.Random(5).sample(range(600), 600)
+    chain = spark.createDataFrame(list(zip(order, order[1:])) + [(-7, -9), (-8, -9)], "a bigint, b bigint").repartition(6)
+    assert {(r.id, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(600)} | {(-i, -9) for i in (7, 8, 9)}
+    assert len(written) <= 7
+
+
+def test_all_trees_link_a_group_to_the_same_text(spark):
+    draw = random.Random(6)
+    alike = spark.createDataFrame([(i, [j << 40 | draw.randrange(1 << 16) for j in range(20)]) for i in range(50)], "id bigint, labels array<bigint>")
+    edges = {(r.a, r.b) for r in jaccard_join.forest_edges(alike, 6).collect()}
+    assert edges >= {(i, 0) for i in range(1, 50)} and len(edges) < 150
+
+
 def covered_bytes(texts):
     """Per text which bytes a repeated string covers."""
     counts: Counter = Counter()
