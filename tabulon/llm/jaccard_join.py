@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import free_name, small_batches, word_list
+from tabulon.llm.common import BYTES_AT_ONCE, free_name, small_batches, word_list
 from tabulon.llm.components import components
-from tabulon.sources.shared import materialize, release
+from tabulon.sources.shared import materialize, release, small_arrow_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -289,6 +289,12 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, id) of every row, and one row per distinct text: id, doc, copies, root, n_text_links, n_others."""
+    # All that runs Python is written inside.
+    with small_arrow_batches(docs.sparkSession, BYTES_AT_ONCE):
+        return _joined_classes(docs)
+
+
+def _joined_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = materialize(_signed(docs), "signatures")
     known = signed.select("doc", "id")
     firsts = [F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")]

@@ -11,7 +11,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 #: Spark's setting that removes the shuffle files of a job when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the bytes that a batch of rows for tasks' Python may have.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Where a frame that materialize has returned keeps the path of its table.
 _PATH = "_tabulon_table"
 _local_folders: dict[str, str] = {}
 #: Paths of this program that may still be there, with their sessions.
 _kept: dict[str, SparkSession] = {}
-#: Per session the writes that are under way, and the setting before them.
-_writes: dict[SparkSession, tuple[int, str | None]] = {}
+#: Per session and setting the blocks that hold it, and its value before them.
+_holders: dict[tuple[SparkSession, str], tuple[int, str | None]] = {}
 _lock = threading.Lock()
 _scope: ContextVar[list[str] | None] = ContextVar("paths of the innermost scope", default=None)
 
@@ -75,27 +77,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of jobs that end inside go at their end, not when the driver happens to collect garbage.
+def shuffles_removed(spark: SparkSession) -> AbstractContextManager[None]:
+    """The shuffle files of jobs that end inside go at their end, not when the driver happens to collect garbage."""
+    return held_setting(spark, CLEANUP, "true")
+
+
+def small_arrow_batches(spark: SparkSession, size: int) -> AbstractContextManager[None]:
+    """Jobs that run inside pass rows to tasks' Python in batches of about that many bytes; a longer row goes alone.
 
-    The setting is put back when the last of the writes that run side by side has ended.
+    Without it a batch is 10,000 rows of any length, which a task holds whole outside of the heap, and its worker once more.
     """
+    return held_setting(spark, BATCH_BYTES, str(size))
+
+
+@contextmanager
+def held_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The setting has the value inside. It is put back when the last of the blocks that hold it side by side has ended."""
     with _lock:
-        open_writes, before = _writes.get(spark, (0, None))
-        if not open_writes:
-            before = spark.conf.get(CLEANUP, None)
-            spark.conf.set(CLEANUP, "true")
-        _writes[spark] = (open_writes + 1, before)
+        holders, before = _holders.get((spark, key), (0, None))
+        if not holders:
+            before = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+        _holders[spark, key] = (holders + 1, before)
     try:
         yield
     finally:
         with _lock:
-            open_writes, before = _writes.pop(spark)
-            if open_writes > 1:
-                _writes[spark] = (open_writes - 1, before)
+            holders, before = _holders.pop((spark, key))
+            if holders > 1:
+                _holders[spark, key] = (holders - 1, before)
             else:
-                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def _remove(path: str) -> None:

@@ -21,7 +21,8 @@ from tabulon.llm import (
     token_counts,
     url_filter,
 )
-from tabulon.llm.common import small_batches
+from tabulon.llm.common import BYTES_AT_ONCE, small_batches
+from tabulon.sources.shared import BATCH_BYTES
 
 #: Names that operators use inside, as columns of the input.
 CLASHES = "k h c z n spots null part block words _words _text _m _score runs collapsed row copy taken size position key id label labels edges place host rule kept".split()
@@ -86,3 +87,20 @@ def test_tasks_take_rows_of_few_bytes_at_a_time():
     parts = list(small_batches([rows, rows.slice(0, 0)]))
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([rows]))
     assert len(parts) > 5 and max(p.num_rows for p in parts) <= 400
+
+
+def test_join_gets_rows_of_few_bytes_from_spark(spark, monkeypatch):
+    """Not only the slices: the batch that they are cut from would be held whole, in the task and in its worker."""
+
+    def checked(batches):
+        for batch in batches:
+            if batch.nbytes > 2 * BYTES_AT_ONCE:
+                raise ValueError(f"a batch of {batch.nbytes} bytes")
+            yield batch
+
+    monkeypatch.setattr(jaccard_join, "small_batches", checked)
+    before = spark.conf.get(BATCH_BYTES, None)
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" some words of a text"), 10_000)).alias("text"))
+    found = jaccard_join.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == [(i, i, 0) for i in range(40)]
+    assert spark.conf.get(BATCH_BYTES, None) == before
